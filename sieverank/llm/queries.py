@@ -14,5 +14,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts,)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: piece count, digests of ids and decoded text, round trip."""
+    from sieverank.llm.sentencepiece_codec import encode_and_check
+
+    return encode_and_check(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
