@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from sieverank.session import load
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from sieverank.llm.secret_scan import secret_digest
+
+    return secret_digest(load(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after a fixed list of edits."""
     from sieverank.llm.token_counts import token_counts
@@ -21,5 +28,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
