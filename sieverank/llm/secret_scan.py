@@ -39,7 +39,7 @@ LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
 LONG_HEX = r"[0-9a-f]{24,}"
 #: What the battery looks at.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
-CHANGE_RATE, COMPOSED_CORRELATION, COINCIDENCE, FDR = 0.1, 0.6, 0.066, 0.01
+CHANGE_RATE, COMPOSED_CORRELATION, COINCIDENCE, FDR = 0.15, 0.6, 0.066, 0.001
 BANDS = (24, 32, 48, 64, 128)
 BIN, MAX_BIN = 0.05, 1200
 
@@ -50,13 +50,27 @@ def _sum(values: Column, zero: str = "long") -> Column:
     return F.aggregate(values, F.lit(0).cast(zero), lambda acc, x: acc + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once even where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def prefix_sums(lengths: Column) -> Column:
     """Exclusive running sums of an array of longs. Two levels of about sqrt(n) keep it at n**1.5 steps for long arrays."""
-    width = F.greatest(F.ceil(F.sqrt(F.size(lengths).cast("double"))).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), width)
-    blocks = F.transform(starts, lambda s: F.slice(lengths, s, width))
-    sums = F.transform(blocks, lambda block: _sum(block))
-    return F.flatten(F.transform(blocks, lambda block, b: F.transform(block, lambda _, j: _sum(F.slice(sums, 1, b)) + _sum(F.slice(block, 1, j)))))
+
+    def of(values: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), width)
+        return let(F.transform(starts, lambda s: F.slice(values, s, width)), within)
+
+    def within(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: _sum(block))
+        return let(sums, lambda of_blocks: let(starts_of(of_blocks), lambda at: F.flatten(F.zip_with(blocks, at, lambda block, a: F.transform(block, lambda _, j: a + _sum(F.slice(block, 1, j)))))))
+
+    def starts_of(sums: Column) -> Column:
+        return F.transform(sums, lambda _, b: _sum(F.slice(sums, 1, b)))
+
+    return let(lengths, of)
 
 
 def _spans(pieces: Column, found: Column, rank: int) -> Column:
@@ -109,22 +123,30 @@ def battery(token: Column) -> Column:
     n = F.char_length(token).cast("double")
     k = alphabet_size(token).cast("double")
     squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = k * squares / n - n
     excess = (n - 1) * (k * COINCIDENCE - 1)
-    chi_p = F.when(excess > 0, _upper_tail((k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess))).otherwise(F.lit(1.0))
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
-    changes = (F.regexp_count(classes, F.lit("a+|A+|0+|[^aA0]+")) - 1).cast("double")
-    rate = changes / (n - 1)
-    divergence = rate * F.log(F.greatest(rate, F.lit(1e-12)) / CHANGE_RATE) + (1 - rate) * F.log(F.greatest(1 - rate, F.lit(1e-12)) / (1 - CHANGE_RATE))
-    runs_p = F.when(rate > CHANGE_RATE, F.exp(-(n - 1) * divergence)).otherwise(F.lit(1.0))
-    # Lag-1 agreement of classes beyond chance; a token of one class agrees fully.
-    share = [F.pow((n - F.char_length(F.regexp_replace(classes, c, ""))) / n, F.lit(2.0)) for c in ("a", "A", "0", "[^aA0]")]
-    chance = share[0] + share[1] + share[2] + share[3]
-    serial = F.when(chance > 0.999, F.lit(0.999)).otherwise(F.greatest(F.least((1 - rate - chance) / (1 - chance), F.lit(0.999)), F.lit(-0.999)))
-    atanh = 0.5 * F.log((1 + serial) / (1 - serial))
-    expected = F.lit(COMPOSED_CORRELATION)
-    serial_p = _upper_tail((0.5 * F.log((1 + expected) / (1 - expected)) - atanh) * F.sqrt(n - 3))
-    return -F.log10(F.greatest(F.least(3 * F.least(chi_p, runs_p, serial_p), F.lit(1.0)), F.lit(1e-60)))
+    chi_p = F.when(excess > 0, let(k * squares / n - n, lambda chi: _upper_tail((k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess)))).otherwise(F.lit(1.0))
+    plain = F.regexp_replace(token, "[^A-Za-z0-9]", "")  # separators join words and are of no class
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+
+    size = F.greatest(F.char_length(plain), F.lit(4)).cast("double")
+
+    def runs(rate: Column) -> Column:
+        divergence = rate * F.log(F.greatest(rate, F.lit(1e-12)) / CHANGE_RATE) + (1 - rate) * F.log(F.greatest(1 - rate, F.lit(1e-12)) / (1 - CHANGE_RATE))
+        return F.when(rate > CHANGE_RATE, F.exp(-(size - 1) * divergence)).otherwise(F.lit(1.0))
+
+    def serial(rate: Column, chance: Column) -> Column:
+        """Lag-1 agreement of classes beyond chance; a token of one class agrees fully."""
+        r = F.when(chance > 0.999, F.lit(0.999)).otherwise(F.greatest(F.least((1 - rate - chance) / (1 - chance), F.lit(0.999)), F.lit(-0.999)))
+        expected = F.lit(COMPOSED_CORRELATION)
+        return let(r, lambda v: _upper_tail((0.5 * F.log((1 + expected) / (1 - expected)) - 0.5 * F.log((1 + v) / (1 - v))) * F.sqrt(size - 3)))
+
+    def on_classes(cl: Column) -> Column:
+        share = [F.pow((size - F.char_length(F.replace(cl, F.lit(c), F.lit("")))) / size, F.lit(2.0)) for c in "aA0"]
+        rate = F.greatest(F.regexp_count(cl, F.lit("a+|A+|0+")) - 1, F.lit(0)) / (size - 1)
+        return let(rate, lambda v: let(share[0] + share[1] + share[2], lambda chance: F.least(runs(v), serial(v, chance))))
+
+    best = let(F.least(chi_p, let(classes, on_classes)), lambda p: -F.log10(F.greatest(F.least(3 * p, F.lit(1.0)), F.lit(1e-60))))
+    return best
 
 
 def _band(length: Column) -> Column:
@@ -145,29 +167,32 @@ def thresholds(candidates: DataFrame, fdr: float = FDR) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base and spans: arrays of struct<start, rank, stop> sorted by start, then kind; and the columns in `keep`.
+    """doc_id, base and spans: arrays of struct<start, rank, stop> sorted by start, then kind; and `kept`, a struct of the
+    columns named in `keep`.
 
-    `spans` holds base findings and those of the battery, which never overlap a base finding.
+    `spans` holds base findings and those of the battery, which never overlap a base finding. Without `keep`, findings
+    are checkpointed for the corpus-wide control; with it, rows hold texts and are scanned twice instead.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *kept)
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), kept.alias("kept"))
     df = _matches(base_spans(df), "seen", CANDIDATE, CANDIDATE, 3)
     base = F.array_sort(F.concat("assign", "access", "hex"))
     df = df.withColumn("base", base)
     tried = F.zip_with("seen", "_seen_m", lambda s, m: F.struct(s.alias("span"), m.alias("token")))
-    free = F.filter(tried, lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"])))
+    free = let(F.col("base"), lambda base: F.filter(tried, lambda c: ~F.exists(base, lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"]))))
     df = df.withColumn("_free", F.when(F.size("seen") > 0, free))
     scored = F.transform("_free", lambda c: F.struct(c["span"].alias("span"), _band(c["span"]["stop"] - c["span"]["start"]).alias("band"), F.least(F.floor(battery(c["token"]) / BIN), F.lit(MAX_BIN)).cast("int").alias("bin")))
     df = df.withColumn("_scored", F.when(F.size("_free") > 0, scored))
-    # What is known of a document is small beside its text; it is kept so that the corpus-wide control needs no second scan.
-    df = df.select("doc_id", "base", "_scored", *[f"_keep_{c}" for c in keep]).checkpoint()
+    df = df.select("doc_id", "base", "_scored", "kept")
+    if not keep:  # what is known of a document is small beside its text
+        df = df.drop("kept").checkpoint()
     levels = thresholds(df.select(F.explode("_scored").alias("c")).select("c.band", "c.bin"), fdr)
     table = levels.agg(F.map_from_entries(F.collect_list(F.struct("band", "least_bin"))).alias("levels"))
     df = df.withColumn("_levels", table.scalar())
     added = F.transform(F.filter("_scored", lambda c: c["bin"] >= F.coalesce(F.try_element_at(F.col("_levels"), c["band"]), F.lit(MAX_BIN + 1))), lambda c: c["span"])
     spans = F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
-    return df.select("doc_id", "base", spans.alias("spans"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return df.select("doc_id", "base", spans.alias("spans"), *(["kept"] if keep else []))
 
 
 def spans_text(spans: Column) -> Column:
@@ -179,15 +204,18 @@ def spans_text(spans: Column) -> Column:
 def secret_digest(docs: DataFrame) -> DataFrame:
     """The registered form of the result: counts, digest of the base spans and all spans of each row."""
     found = scan(docs)
-    n = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{KINDS[r]}") for r in range(3)]
-    return found.select("doc_id", *n, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the same columns and rows; every span of a secret is replaced by `mark` (touching or nested spans by one)."""
     names = docs.columns
     found = scan(docs, id_col, text_col, keep=tuple(names))
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    t = F.coalesce(F.col("kept")[text_col], F.lit(""))
     step = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -199,5 +227,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         ),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.lit(2147483647))),
     )
-    clean = F.when(F.size("spans") > 0, step).otherwise(F.col(text_col))
-    return found.select(*[clean.alias(c) if c == text_col else F.col(c) for c in names])
+    clean = F.when(F.size("spans") > 0, step).otherwise(F.col("kept")[text_col])
+    return found.select(*[clean.alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in names])
