@@ -21,6 +21,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from pyspark.sql import functions as F
+
+    from sieverank.llm.simhash import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: piece count, digests of ids and decoded text, round trip."""
     from sieverank.llm.sentencepiece_codec import encode_and_check
@@ -28,5 +38,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op6_simhash, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
