@@ -21,6 +21,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the item and the words that match."""
+    from sieverank.llm.decontamination import contaminated
+
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from pyspark.sql import functions as F
@@ -38,5 +45,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op6_simhash, op7_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op5_decontamination, op6_simhash, op7_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}

@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieverank.llm.batching import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Bounds of a worker's memory, not of the result: words and pairs remembered, code points worked on at once.
-WORDS, PAIRS, CHARS = 300_000, 600_000, 4_000_000
+#: Bounds of a worker's memory, not of the result: words and pairs remembered.
+WORDS, PAIRS = 300_000, 600_000
 
 
 class Codec:
@@ -157,18 +159,6 @@ def codec(model: str = MODEL, kind: str = "bpe") -> Codec:
     return Codec(model, kind)
 
 
-def slices(texts: list[str]) -> Iterator[slice]:
-    """Slices of about CHARS code points."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > CHARS:
-            yield slice(start, i)
-            start, total = i, 0
-        total += len(t)
-    if texts[start:]:
-        yield slice(start, len(texts))
-
-
 def _encoded(batches: Iterable[pd.DataFrame], model: str, kind: str) -> Iterator[tuple[list, list[str], list[bytes], Codec]]:
     own = codec(model, kind)
     for batch in batches:
