@@ -45,5 +45,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op5_decontamination, op6_simhash, op7_sentencepiece)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, with its confidence and whether it is rejected."""
+    from pyspark.sql import functions as F
+
+    from sieverank.llm.language_id import identify_documents
+
+    return identify_documents(load(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op5_decontamination, op6_simhash, op7_sentencepiece, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
