@@ -1,8 +1,8 @@
 """Main-text extraction with a tree-structured graphical model.
 
 A page is parsed into a tree of block elements whose leaves are text blocks. Each node has a hidden state, content or
-not. Node potentials come from what a node looks like (tag, words of class, id and role, link share and length of a
-text block, tags beneath); edge potentials tie a node's state to its parent's. Sum-product messages go up from the
+not. A potential on each parent and child ties the child's state and its looks (tag, words of class, id and role, link
+share, length of a text block, tags beneath) to the parent's state. Sum-product messages go up from the
 leaves and down from the root; the product at a node is its exact marginal, as the graph is a tree. Text blocks whose
 marginal of content is over one half are the main text.
 
@@ -200,11 +200,15 @@ def in_order(root: Node) -> list[Node]:
 
 
 class Model:
-    """node[feature] and edge[kind]: log potentials (state 0, state 1); edge[kind][parent][child]."""
+    """edge[kind] and looks[feature]: log potentials as tables [state of the parent][state of the node].
+
+    What a node looks like is counted by both states: a heading within a comment list and one within an article are
+    different things, and the parent's state tells them apart.
+    """
 
     def __init__(self, pages: Iterable[str]):
-        seen: dict[str, list[float]] = {}
-        total = [0.0, 0.0]
+        looks: dict[str, list[list[float]]] = {}
+        total = [[0.0, 0.0], [0.0, 0.0]]
         edges: dict[str, list[list[float]]] = {}
         for page in pages:
             nodes = in_order(parse(page))
@@ -218,57 +222,59 @@ class Model:
                     below = any(c.under for c in node.children)
                     node.under = node.label if node.label == 0 else int(below)
             for node in nodes:
-                state = node.under
-                total[state] += 1
-                for f in features(node):
-                    seen.setdefault(f, [0.0, 0.0])[state] += 1
                 if node.parent is not None:
-                    kind = "#text" if node.tag == "#text" else "#element"
-                    edges.setdefault(kind, [[0.0, 0.0], [0.0, 0.0]])[node.parent.under][state] += 1
-        self.node = {f: (math.log((c[0] + SMOOTHING) / (total[0] + 1)), math.log((c[1] + SMOOTHING) / (total[1] + 1))) for f, c in seen.items()}
-        self.edge = {}
-        for kind, table in edges.items():
-            self.edge[kind] = [[math.log((table[i][j] + SMOOTHING) / (sum(table[i]) + 1)) for j in (0, 1)] for i in (0, 1)]
-
-    def potential(self, node: Node) -> tuple[float, float]:
-        a = b = 0.0
+                    i, j = node.parent.under, node.under
+                    total[i][j] += 1
+                    for f in features(node):
+                        looks.setdefault(f, [[0.0, 0.0], [0.0, 0.0]])[i][j] += 1
+                    edges.setdefault(kind(node), [[0.0, 0.0], [0.0, 0.0]])[i][j] += 1
+        spread = SMOOTHING * len(looks)
+        self.looks = {f: [[math.log((c[i][j] + SMOOTHING) / (total[i][j] + spread)) for j in (0, 1)] for i in (0, 1)] for f, c in looks.items()}
+        self.edge = {k: [[math.log((c[i][j] + SMOOTHING) / (sum(c[i]) + 1)) for j in (0, 1)] for i in (0, 1)] for k, c in edges.items()}
+
+    def potential(self, node: Node) -> tuple[float, float, float, float]:
+        """Log potential of a node and its parent: states (0, 0), (0, 1), (1, 0), (1, 1)."""
+        (a, b), (c, d) = self.edge[kind(node)]
         for f in features(node):
-            known = self.node.get(f)
+            known = self.looks.get(f)
             if known is not None:
-                a += known[0]
-                b += known[1]
-        return a, b
+                (w, x), (y, z) = known
+                a, b, c, d = a + w, b + x, c + y, d + z
+        return a, b, c, d
 
     def marginals(self, root: Node) -> dict[int, float]:
         """id of each text node -> probability of content, by messages up and down the tree."""
         nodes = in_order(root)
-        own = {id(n): self.potential(n) for n in nodes}
+        tie = {id(n): self.potential(n) for n in nodes if n.parent is not None}
+        belief = {id(n): [0.0, 0.0] for n in nodes}
         up: dict[int, tuple[float, float]] = {}  # message of a node to its parent, by the parent's state
-        belief = {id(n): list(own[id(n)]) for n in nodes}
         for node in reversed(nodes):
-            b0, b1 = belief[id(node)]
             if node.parent is None:
                 continue
-            e = self.edge["#text" if node.tag == "#text" else "#element"]
-            message = (_add(e[0][0] + b0, e[0][1] + b1), _add(e[1][0] + b0, e[1][1] + b1))
-            up[id(node)] = message
+            b0, b1 = belief[id(node)]
+            a, b, c, d = tie[id(node)]
+            message = up[id(node)] = (_add(a + b0, b + b1), _add(c + b0, d + b1))
             parent = belief[id(node.parent)]
             parent[0] += message[0]
             parent[1] += message[1]
         out = {}
         for node in nodes:
-            b = belief[id(node)]
+            own = belief[id(node)]
             if node.parent is not None:
                 p, m = belief[id(node.parent)], up[id(node)]
-                e = self.edge["#text" if node.tag == "#text" else "#element"]
                 q0, q1 = p[0] - m[0], p[1] - m[1]  # the parent without what this node told it
-                b[0] += _add(e[0][0] + q0, e[1][0] + q1)
-                b[1] += _add(e[0][1] + q0, e[1][1] + q1)
+                a, b, c, d = tie[id(node)]
+                own[0] += _add(a + q0, c + q1)
+                own[1] += _add(b + q0, d + q1)
             if node.tag == "#text":
-                out[id(node)] = 1 / (1 + math.exp(max(-700.0, min(700.0, b[0] - b[1]))))
+                out[id(node)] = 1 / (1 + math.exp(max(-700.0, min(700.0, own[0] - own[1]))))
         return out
 
 
+def kind(node: Node) -> str:
+    return "#text" if node.tag == "#text" else "#element"
+
+
 def _add(a: float, b: float) -> float:
     top, low = (a, b) if a > b else (b, a)
     return top + math.log1p(math.exp(low - top))
