@@ -21,6 +21,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syncmer fingerprint of every document and of its edited text, with their likeness and that to the next document."""
+    from sieverank.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(load(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, with the item and the words that match."""
     from sieverank.llm.decontamination import contaminated
@@ -61,5 +68,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(load(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op5_decontamination, op6_simhash, op7_sentencepiece, op9_html_extract, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op5_decontamination, op6_simhash, op7_sentencepiece, op9_html_extract, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieverank.llm.columns import let
 from sieverank.session import ensure_checkpoint_dir
 
 #: The base rules.
@@ -50,11 +51,6 @@ def _sum(values: Column, zero: str = "long") -> Column:
     return F.aggregate(values, F.lit(0).cast(zero), lambda acc, x: acc + x)
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value worked out once even where the body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
-
-
 def prefix_sums(lengths: Column) -> Column:
     """Exclusive running sums of an array of longs. Two levels of about sqrt(n) keep it at n**1.5 steps for long arrays."""
 
