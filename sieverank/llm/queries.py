@@ -52,6 +52,13 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-model and context-tree scores of every document."""
+    from sieverank.llm.ctw import lm_scores
+
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from sieverank.llm.html_extract import main_text
@@ -68,5 +75,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(load(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op5_decontamination, op6_simhash, op7_sentencepiece, op9_html_extract, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
