@@ -11,7 +11,7 @@ SKETCH least hashes of their union, the share that is in both. Two empty texts h
 
 Defined results: null texts count as empty and have an empty fingerprint; texts with fewer units than a k-mer have one
 anchor, the hash of the whole text; rows with the same id and text count once; rows with one id and different texts
-are documents of their own, in the order of their text's hash; a missing id comes first. Other columns are ignored.
+are documents of their own, in the order of their text's hash; a missing id counts as the smallest number. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,46 +90,45 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select("doc_id", F.col("a.at").alias("at"), F.col("a.anchor").alias("anchor"))
 
 
+#: The place of a missing id in the order of ids.
+NO_ID = -(1 << 63)
+
+
 def neighbours(keys: DataFrame) -> DataFrame:
-    """doc_id, h, n and prev: the key and size of the document before in the order of (doc_id, h); the last before the first.
+    """id, h, n and prev: the key and size of the document before in the order of (id, h); the last before the first.
 
     Keys are dealt out by ranges. Each range looks back within itself, and the table of the ranges' last keys, which
     has a row for each partition, fills in what comes before their first.
     """
-    ranged = keys.distinct().repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").withColumn("range", F.spark_partition_id()).checkpoint()
-    entry = F.struct("doc_id", "h", "n")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    inside = ranged.withColumn("prev", F.lag(entry).over(Window.partitionBy("range").orderBy(*order)))
-    # max_by keeps missing ids in front: a range's last key is the one with the greatest (has id, id, hash).
-    last = ranged.groupBy("range").agg(F.max_by(entry, F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("last"))
-    by_range = Window.orderBy("range")
-    final = F.max_by("last", "range").over(Window.partitionBy())
-    before = last.select("range", F.coalesce(F.lag("last").over(by_range), final).alias("before"))
-    return inside.join(before, "range").select("doc_id", "h", "n", F.coalesce("prev", "before").alias("prev"))
+    ranged = keys.distinct().repartitionByRange("id", "h").withColumn("range", F.spark_partition_id()).checkpoint()
+    entry = F.struct("id", "h", "n")
+    inside = ranged.withColumn("prev", F.lag(entry).over(Window.partitionBy("range").orderBy("id", "h")))
+    last = ranged.groupBy("range").agg(F.max(entry).alias("last"))
+    final = F.max("last").over(Window.partitionBy())
+    before = last.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), final).alias("before"))
+    return inside.join(before, "range").select("id", "h", "n", F.coalesce("prev", "before").alias("prev"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The registered form of the result: fingerprints of each document and of its edited text, whose last quarter is
     replaced by the beginning of the next document, and likenesses.
 
-    Texts are shuffled once; what travels to the document before is only the part of the text that it takes.
+    Texts are shuffled once, by (id, h), and stay dealt out so; what travels to the document before is only the part
+    of the text that it takes.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    key = ["id", "h"]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn("h", F.xxhash64("t"))
-    keys = neighbours(rows.select("doc_id", "h", F.char_length("t").alias("n")))
-    links = keys.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "n", "prev")
-    texts = rows.join(links, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("doc_id", "h", "t", "n", "prev")
-    texts = texts.dropDuplicates(["doc_id", "h"])
-    sent = texts.select(F.col("prev.doc_id").alias("k"), F.col("prev.h").alias("kh"), F.substring("t", F.lit(1), F.floor(F.col("prev.n") / 4).cast("int")).alias("tail"))
-    joined = texts.join(sent, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    keys = neighbours(rows.select("id", "h", F.char_length("t").alias("n")))
+    texts = rows.join(keys, key).dropDuplicates(key)
+    sent = texts.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.substring("t", F.lit(1), F.floor(F.col("prev.n") / 4).cast("int")).alias("tail"))
     edited = F.concat(F.substring("t", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), "tail")
-    made = joined.select("doc_id", "h", "n", "prev", "t", edited.alias("e"))
-    made = made.select("doc_id", "h", "n", "prev", sketch(F.col("t")).alias("own"), sketch(F.col("e")).alias("other"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256")).checkpoint()
-    after = made.select(F.col("prev.doc_id").alias("k"), F.col("prev.h").alias("kh"), F.col("own").alias("next"))
-    both = made.join(after, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")))
-    return both.select(
-        "doc_id",
+    made = texts.join(sent, key).select("id", "h", "n", "prev", "t", edited.alias("e"))
+    made = made.select("id", "h", "n", "prev", sketch(F.col("t")).alias("own"), sketch(F.col("e")).alias("other"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256")).checkpoint()
+    after = made.select(F.col("prev.id").alias("id"), F.col("prev.h").alias("h"), F.col("own").alias("next"))
+    return made.join(after, key).select(
+        F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
