@@ -28,6 +28,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(load(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated strings of 100 bytes leaves of every document."""
+    from sieverank.llm.suffix_dedup import deduplicate
+
+    return deduplicate(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, with the item and the words that match."""
     from sieverank.llm.decontamination import contaminated
@@ -75,5 +82,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(load(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
