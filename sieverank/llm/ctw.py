@@ -128,11 +128,8 @@ def _send(depth: int, parts: int):
         codes, counts, distinct, word_counts, n_tokens, n_docs = chunk_counts(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).map(lambda i: None if i is None else int(i)).tolist(), rows["text"].tolist(), depth)
         out = []
         for kind, keys, values in (("gram", codes, counts), ("word", word_keys(distinct), np.array(word_counts, dtype=np.int64))):
-            if kind == "word":
-                order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], values[order]
             part = part_of(keys, kind, parts)
-            order = np.argsort(part, kind="stable")
+            order = word_order(distinct, parts) if kind == "word" else np.argsort(part, kind="stable")
             keys, values, part = keys[order], values[order].astype(np.uint32), part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
@@ -267,7 +264,7 @@ def _answers(top: Top, depth: int):
         sent, keys, counts = _owned(rows)
         tree = levels(keys[counts > 0], counts[counts > 0], depth, 2)
         log = top.log10(keys, tree, depth)
-        return pd.DataFrame({"chunk": rows["chunk"], "kind": "gram", "keys": rows["keys"], "counts": [pack(log[np.searchsorted(keys, k)]) for k in sent]})
+        return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": "gram", "keys": rows["keys"], "counts": [pack(log[np.searchsorted(keys, k)]) for k in sent]})
 
     return run
 
@@ -277,30 +274,41 @@ def _word_answers(_, rows: pd.DataFrame) -> pd.DataFrame:
     sent, keys, counts = _owned(rows)
     known = [0] * len(rows)
     known[0] = int((counts > 0).sum())
-    return pd.DataFrame({"chunk": rows["chunk"], "kind": "word", "keys": rows["keys"], "counts": [pack(counts[np.searchsorted(keys, k)]) for k in sent], "known": known})
+    # The keys stay here: a chunk can work out which words it sent, and in which order.
+    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": "word", "keys": None, "counts": [pack(counts[np.searchsorted(keys, k)].astype(np.uint32)) for k in sent], "known": known})
 
 
-def _lookup(rows: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's strings and the logs of their probabilities, in order."""
     if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, dtype)
+        return np.zeros(0, np.uint64), np.zeros(0)
     keys = np.concatenate([unpack(k, np.uint64) for k in rows["keys"]])
-    values = np.concatenate([unpack(c, dtype) for c in rows["counts"]])
+    values = np.concatenate([unpack(c, np.float64) for c in rows["counts"]])
     order = np.argsort(keys)
     return keys[order], values[order]
 
 
+def word_order(distinct: list[bytes], parts: int) -> np.ndarray:
+    """The order in which a chunk sends its words: by part, then key."""
+    keys = word_keys(distinct)
+    return np.lexsort((keys, part_of(keys, "word", parts)))
+
+
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _score(depth: int, n_all: int, n_distinct: int, n_ends: int):
+def _score(depth: int, parts: int, n_all: int, n_distinct: int, n_ends: int):
     def run(_, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        own_keys, logs = _lookup(told[told["kind"] == "gram"], np.float64)
-        word_hash, word_count = _lookup(told[told["kind"] == "word"], np.int64)
+        own_keys, logs = _lookup(told[told["kind"] == "gram"])
+        counts = [unpack(c, np.uint32) for c in told[told["kind"] == "word"].sort_values("part")["counts"]]
         ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
         texts = rows["text"].tolist()
         denominator = n_all + PRIOR * (n_distinct + 1)
-        value: dict[bytes, float] = {}
-        known: dict[bytes, int] = {}
+        distinct = list({w for t in texts for w in words(t)})
+        distinct = [distinct[i] for i in word_order(distinct, parts)]
+        count = np.concatenate(counts) if counts else np.zeros(0, np.uint32)
+        value = dict(zip(distinct, np.log10((count + PRIOR) / denominator).tolist(), strict=True))
+        known = dict(zip(distinct, (count > 0).astype(int).tolist(), strict=True))
         end_value = math.log10((n_ends + PRIOR) / denominator)
         out = []
         for part in slices(texts, SLICE_CHARS):
@@ -308,10 +316,6 @@ def _score(depth: int, n_all: int, n_distinct: int, n_ends: int):
             codes, begin = grams(raw, depth)
             score = np.add.reduceat(logs[np.searchsorted(own_keys, codes)], begin)
             lists = [words(t) for t in texts[part]]
-            fresh = [w for w in {w for ws in lists for w in ws} if w not in value]
-            counts = word_count[np.searchsorted(word_hash, word_keys(fresh))]
-            value.update(zip(fresh, np.log10((counts + PRIOR) / denominator).tolist(), strict=True))
-            known.update(zip(fresh, (counts > 0).astype(int).tolist(), strict=True))
             for i, ws, s, b in zip(ids[part], lists, score.tolist(), raw, strict=True):
                 base = math.fsum(map(value.__getitem__, ws)) + end_value
                 out.append((i, not is_training(i), len(ws) + 1, sum(map(known.__getitem__, ws)) + (n_ends > 0), n_all, base, s, -s / math.log10(2) / (len(b) + 1)))
@@ -334,10 +338,10 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_
     strings, distinct = sent.filter("kind = 'gram'"), sent.filter("kind = 'word'")
     tops = strings.groupBy("part").applyInPandas(_tops(depth), "node long, zeros double, ones double, below double")
     top = Top(tops.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toPandas())
-    word_answers = distinct.groupBy("part").applyInPandas(_word_answers, "chunk int, kind string, keys binary, counts binary, known long").checkpoint()
+    word_answers = distinct.groupBy("part").applyInPandas(_word_answers, "chunk int, part int, kind string, keys binary, counts binary, known long").checkpoint()
     total = sent.filter("kind = 'total'").agg(F.sum("train_tokens"), F.sum("train_docs")).first()
     n_all, n_ends = int(total[0] or 0), int(total[1] or 0)
     n_distinct = int(word_answers.agg(F.sum("known")).first()[0] or 0) + (n_ends > 0)
-    answers = strings.groupBy("part").applyInPandas(_answers(top, depth), "chunk int, kind string, keys binary, counts binary")
+    answers = strings.groupBy("part").applyInPandas(_answers(top, depth), "chunk int, part int, kind string, keys binary, counts binary")
     told = answers.unionByName(word_answers.drop("known"))
-    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_score(depth, n_all, n_distinct, n_ends), OUT)
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_score(depth, parts, n_all, n_distinct, n_ends), OUT)
