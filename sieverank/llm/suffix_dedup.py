@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 100, 24
-SLICE_BYTES, CHUNK_BYTES, HOT, MOST_PARTS = 4_000_000, 8_000_000, 4096, 1021
+SLICE_BYTES, CHUNK_BYTES, HOT, MOST_PARTS = 2_000_000, 8_000_000, 4096, 1021
 NO_ID = -(1 << 63)
 ROUTED = "route string, dest int, a binary, b binary, c binary, d binary, e binary"
 U8, U64, I64 = np.uint8, np.uint64, np.int64
@@ -99,11 +99,13 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         powers = np.full(len(data) + 1, BASE, U64)
         powers[0] = U64(1)
-        powers = np.cumprod(powers, dtype=U64)
-        inverse = np.full(len(data) + 1, INVERSE, U64)
-        inverse[0] = U64(1)
-        self.inverse = np.cumprod(inverse, dtype=U64)
-        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(DIGITS[data] * powers[:-1], dtype=U64)])
+        np.cumprod(powers, out=powers)
+        powers[:-1] *= DIGITS[data]
+        self.sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(powers[:-1], out=self.sums[1:])
+        powers[:] = INVERSE
+        powers[0] = U64(1)
+        self.inverse = np.cumprod(powers, out=powers)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return scramble((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
@@ -116,21 +118,25 @@ def phrases(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.
     if len(data) < LENGTH:
         return none
     grams = rolling(data, GRAM)
-    order = (grams & ~U64(0xFFFFFF)) | np.arange(len(grams), dtype=U64)
-    trigger = (least(order, LENGTH - GRAM + 1) & U64(0xFFFFFF)).astype(I64)
+    order = grams & ~U64(0xFFFFFF)
+    order |= np.arange(len(grams), dtype=U64)
+    trigger = (least(order, LENGTH - GRAM + 1) & U64(0xFFFFFF)).astype(np.int32)
+    del order
     count = np.maximum(sizes - LENGTH + 1, 0)
-    doc = np.repeat(np.arange(len(sizes)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # in the document
-    if not len(doc):
+    if not count.sum():
         return none
-    at = begin[doc] + start
+    at = np.repeat((begin - (np.cumsum(count) - count)).astype(np.int32), count) + np.arange(count.sum(), dtype=np.int32)
     own = trigger[at]
-    first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
-    n = np.diff(np.r_[first, len(doc)])
+    fresh = np.r_[True, own[1:] != own[:-1]]
+    fresh[(np.cumsum(count) - count)[count > 0]] = True  # the first string of a document
+    first = np.flatnonzero(fresh)
+    n = np.diff(np.r_[first, len(at)])
+    at, own = at[first].astype(I64), own[first].astype(I64)
+    doc = np.searchsorted(begin, at, "right") - 1
     hashes = Hashes(data)
     # the place of the trigger belongs to the content
-    content = hashes.of(at[first], at[first] + n + LENGTH - 1) ^ scramble((own[first] - at[first]).astype(U64) + U64(1))
-    return doc[first], start[first], n, grams[own[first]], content
+    content = hashes.of(at, at + n + LENGTH - 1) ^ scramble((own - at).astype(U64) + U64(1))
+    return doc, at - begin[doc], n, grams[own], content
 
 
 def place(start: np.ndarray, n: np.ndarray, tie: np.ndarray) -> np.ndarray:
@@ -189,15 +195,16 @@ def _parse(parts: int, chunks: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, ties = batch["id"].to_numpy(I64), batch["tie"].to_numpy(I64)
-            raw = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            lo = 0
-            while lo < len(raw):
-                hi, size = lo, 0
-                while hi < len(raw) and (hi == lo or size + len(raw[hi]) <= SLICE_BYTES):
-                    size += len(raw[hi])
-                    hi += 1
-                yield frame(one(ids[lo:hi], ties[lo:hi], raw[lo:hi]))
-                lo = hi
+            raw, size, lo = [], 0, 0
+            for i, text in enumerate(batch["text"]):
+                own = text.encode("utf-8", "surrogatepass")
+                if raw and size + len(own) > SLICE_BYTES:
+                    yield frame(one(ids[lo:i], ties[lo:i], raw))
+                    raw, size, lo = [], 0, i
+                raw.append(own)
+                size += len(own)
+            if raw:
+                yield frame(one(ids[lo:], ties[lo:], raw))
 
     def one(ids, ties, raw) -> list[tuple]:
         out: list[tuple] = []
@@ -226,7 +233,7 @@ def _parse(parts: int, chunks: int):
     return run
 
 
-def pieces(raw: list[bytes], most: int = 8_000_000) -> Iterator[tuple[slice, int, list[bytes]]]:
+def pieces(raw: list[bytes], most: int = 4_000_000) -> Iterator[tuple[slice, int, list[bytes]]]:
     """A slice of documents as it is; one longer than `most` in overlapping pieces that share no string."""
     if len(raw) > 1 or len(raw[0]) <= most:
         yield slice(0, len(raw)), 0, raw
