@@ -67,13 +67,13 @@ def graph_key(skill: Column) -> Column:
     return F.coalesce(F.try_element_at(table, normalize_skill(skill)), F.try_element_at(table, F.replace(g, F.lit("_"), F.lit(""))), g)
 
 
-def infer(have: DataFrame, wanted: DataFrame, edges: DataFrame) -> DataFrame:
+def infer(have: DataFrame, wanted: DataFrame, edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Best match of every requested skill for every id that has one: id, jd_id, jd_skill, source, match_type, weight.
 
     Order: fuzzy match, same graph key, a skill that implies it, a related one; then the position in the id's list.
-    Each kind is an equi-join on graph keys; the union is ranked once.
+    Each kind is an equi-join on graph keys; the union is ranked once. `pairs`: match_pairs of the two, if at hand.
     """
-    direct = match_pairs(have, wanted).select("id", "pos", "skill", "jd_id", "jd_pos", "jd_skill", F.lit("explicit").alias("match_type"), F.lit(1).alias("priority"))
+    direct = (match_pairs(have, wanted) if pairs is None else pairs).select("id", "pos", "skill", "jd_id", "jd_pos", "jd_skill", F.lit("explicit").alias("match_type"), F.lit(1).alias("priority"))
     h = have.withColumn("key", graph_key(F.col("skill")))
     w = wanted.withColumn("jd_key", graph_key(F.col("jd_skill")))
     columns = ["id", "pos", "skill", "jd_id", "jd_pos", "jd_skill"]

@@ -61,9 +61,10 @@ def skill_scores(have: DataFrame, wanted: DataFrame, edges: DataFrame) -> DataFr
 
     wanted(jd_id, jd_pos, jd_skill, must). Ids with no match at all have no row: the caller fills in.
     """
-    pairs = match_pairs(have, wanted)
+    have = have.persist()  # read by idf, lengths and the graph joins
+    pairs = match_pairs(have, wanted).persist()
     bm25 = bm25_skills(have, pairs, wanted)
-    found = infer(have, wanted, edges).filter(F.col("weight") >= MUST_WEIGHT).join(wanted.filter("must").select("jd_id", "jd_skill"), ["jd_id", "jd_skill"])
+    found = infer(have, wanted, edges, pairs).filter(F.col("weight") >= MUST_WEIGHT).join(wanted.filter("must").select("jd_id", "jd_skill"), ["jd_id", "jd_skill"])
     met = found.groupBy("jd_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("jd_pos", "jd_skill"))), lambda x: x["jd_skill"]).alias("matched_must"))
     return bm25.join(met, ["jd_id", "id"], "full").select("jd_id", "id", F.coalesce("raw", F.lit(0.0)).alias("skill_score"), F.coalesce("matched_must", F.array().cast("array<string>")).alias("matched_must"))
 
