@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sieverank.llm.oracles import ORACLE_SQL  # noqa: F401
 from sieverank.session import load
 
 
@@ -83,4 +84,3 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
