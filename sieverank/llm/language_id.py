@@ -3,7 +3,7 @@
 For each document four kinds of evidence add up in log space:
 
 * text: a naive Bayes likelihood over byte trigrams, hashed into BUCKETS, for each language; the whole text counts.
-  Neighbouring trigrams share bytes, so the sum is divided by three. The class "und" (no known language) gives each
+  Trigrams with a digit or a sign say nothing about a language and are left out. Neighbouring trigrams share bytes, so the sum is divided by three. The class "und" (no known language) gives each
   bucket the same probability and wins on texts whose trigrams no language explains;
 * the language that the markup declares, by how often declarations agreed with the text's verdict;
 * the address suffix: the share of each language among the suffix's documents against its share overall;
@@ -12,8 +12,8 @@ For each document four kinds of evidence add up in log space:
 Shares are soft counts of the text's verdicts over all documents, by grouped aggregation. The trigram table is fitted
 on at most TRAINING_ROWS labelled rows: those with the smallest hash of their id (a bound that is a parameter).
 
-A document is rejected if no language is found in it: its best class is "und", its text is null or empty, or its best
-class has less than CONFIDENCE. Defined results: rows are judged one by one, repeated or without id; missing hosts,
+A document is rejected if no language is found in it: its best class is "und", its text is null, empty or without
+letters, or its best class has less than CONFIDENCE. Defined results: rows are judged one by one, repeated or without id; missing hosts,
 suffixes and declarations are no evidence; without any labelled row every document is "und"; ties go to the language
 that comes first by name; other columns are ignored.
 """
@@ -36,19 +36,30 @@ SMOOTHING, HOST_WEIGHT, SUFFIX_WEIGHT, CONFIDENCE = 0.5, 20.0, 20.0, 0.5
 UNKNOWN = "und"
 
 
+#: Bytes as trigrams see them: blanks are one, letters and bytes beyond ASCII themselves, others (0) void a trigram.
+SEEN = np.zeros(256, np.uint32)
+SEEN[list(b" \t\n\r\x0b\x0c")] = 32
+SEEN[97:123] = np.arange(97, 123)
+SEEN[128:] = np.arange(128, 256)
+
+
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all byte trigrams of the texts (lower-case A-Z, a blank on either side), and where each text begins."""
+    """Buckets of all byte trigrams of the texts (lower-case A-Z, a blank on either side), and where each text begins.
+
+    The bucket BUCKETS stands for trigrams that do not count.
+    """
     raw = [b" " + t.encode("utf-8", "surrogatepass").lower() + b" " for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    data = np.frombuffer(b"".join(raw) + b"  ", dtype=np.uint8).astype(np.uint32)
+    data = SEEN[np.frombuffer(b"".join(raw) + b"  ", dtype=np.uint8)]
     codes = data[:-2] * np.uint32(0x9E3B) + data[1:-1] * np.uint32(0x01F7) + data[2:]
     codes ^= codes >> np.uint32(11)
     begin = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else np.zeros(0, np.int64)
-    return (codes & np.uint32(BUCKETS - 1)).astype(np.int64), begin
+    counts = (data[:-2] > 0) & (data[1:-1] > 0) & (data[2:] > 0) & (np.maximum(np.maximum(data[:-2], data[1:-1]), data[2:]) > 32)
+    return np.where(counts, codes & np.uint32(BUCKETS - 1), np.uint32(BUCKETS)).astype(np.int64), begin
 
 
 class Model:
-    """Log-likelihood table [BUCKETS, languages + 1]; the last column is UNKNOWN."""
+    """Log-likelihood table [BUCKETS + 1, languages + 1]; the last column is UNKNOWN, the last row counts for nothing."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
@@ -57,21 +68,21 @@ class Model:
             c = counts[language].astype(np.float64) + SMOOTHING
             columns.append(np.log(c / c.sum()))
         columns.append(np.full(BUCKETS, -np.log(BUCKETS)))
-        self.table = (np.stack(columns, axis=1) / 3.0).astype(np.float32)
+        self.table = np.zeros((BUCKETS + 1, len(columns)), np.float32)
+        self.table[:-1] = np.stack(columns, axis=1) / 3.0
 
     @property
     def classes(self) -> list[str]:
         return [*self.languages, UNKNOWN]
 
     def likelihoods(self, texts: list[str]) -> np.ndarray:
-        """Rows of log-likelihoods; zero for empty texts."""
+        """Rows of log-likelihoods; zero for texts without a trigram that counts."""
         out = np.zeros((len(texts), len(self.classes)))
         for part in slices(texts):
             codes, begin = trigrams(texts[part])
             for k in range(len(self.classes)):
                 column = np.ascontiguousarray(self.table[:, k])
                 out[part, k] = np.add.reduceat(column[codes].astype(np.float64), begin)
-        out[[not t for t in texts]] = 0
         return out
 
 
@@ -91,7 +102,7 @@ def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str =
                 n[language] = n.get(language, 0) + len(texts)
                 for part in slices(texts):
                     codes, _ = trigrams(texts[part])
-                    seen[language] = seen.get(language, 0) + np.bincount(codes, minlength=BUCKETS)
+                    seen[language] = seen.get(language, 0) + np.bincount(codes, minlength=BUCKETS + 1)[:BUCKETS]
         for language, counts in seen.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"label": language, "bucket": np.r_[at, -1], "n": np.r_[counts[at], n[language]]})
@@ -142,7 +153,7 @@ def identify(
         for batch in batches:
             texts = batch["text"].tolist()
             log = model.likelihoods(texts)
-            yield batch[["doc_id", "host", "suffix", "declared"]].assign(empty=[not t for t in texts], log=list(log))
+            yield batch[["doc_id", "host", "suffix", "declared"]].assign(empty=~log.any(axis=1), log=list(log))
 
     k = len(model.classes)
     scored = rows.mapInPandas(run, "doc_id long, host string, suffix string, declared string, empty boolean, log array<double>")
