@@ -22,8 +22,18 @@ def get_session(app: str = "sieverank", cpus: str | int = "*", shuffle_partition
     )
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever their working folder is."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; set a local one only where none is set."""
+    ensure_importable(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -32,4 +42,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the driver's tables, through Spark's own reader so that any store works."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
