@@ -6,8 +6,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieverank.llm import simhash
 from sieverank.llm.sentencepiece_codec import MODEL
+from tests.llm.test_simhash import wide_brute
 
 FIXTURE = "/root/testdata/sf0.001"
 
@@ -25,16 +25,7 @@ def test_stages_keep_columns_and_decide(spark):
     assert len(after["language_id"]) >= 0.99 * len(before)
     # of near-duplicates: the smallest id of each component, by brute force over all pairs
     ids = sorted(after["language_id"])
-    prints = [simhash.fingerprint(before[i], 5) for i in ids]
-    least = list(range(len(ids)))
-    changed = True
-    while changed:
-        changed = False
-        for a in range(len(ids)):
-            for b in range(a):
-                if bin(prints[a] ^ prints[b]).count("1") <= 4 and least[a] != least[b]:
-                    least[a] = least[b] = min(least[a], least[b])
-                    changed = True
+    least = wide_brute([before[i] for i in ids])
     assert set(after["simhash_near_dedup"]) == {ids[i] for i in range(len(ids)) if least[i] == i}
     items = [r.text for r in spark.read.parquet(f"{FIXTURE}/benchmark.parquet").collect()]
     gone = set(after["simhash_near_dedup"]) - set(after["benchmark_decontamination"])
