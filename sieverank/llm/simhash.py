@@ -164,9 +164,12 @@ def _compared(keyed: DataFrame, nodes: DataFrame, block: int, most: int, words:
 
     Most keys occur once and go at the first join; only the others fetch the words of their fingerprint from nodes.
     """
-    counts = keyed.groupBy("key").count()
-    shared = counts.filter("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = keyed.join(shared, "key").join(nodes.select("node", *words), "node")
+    if "known" in keyed.columns:  # what is known to be one component needs no comparison
+        counts = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi")
+    else:
+        counts = keyed.groupBy("key").count().filter("count > 1")
+    shared = counts.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    rows = keyed.select("key", "node").join(shared, "key").join(nodes.select("node", *words), "node")
     mine = F.when(F.col("blocks") > 1, F.pmod(F.hash("node"), F.col("blocks"))).otherwise(F.lit(0))
     rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", *words)
@@ -183,6 +186,8 @@ def fingerprint_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 #: The wide form: two 64-bit words, likeness cos(pi * differing bits / 128) of at least 0.8, and posting keys of three
 #: byte positions after each of ROUNDS fixed permutations of the bits.
 WIDE_BITS, WIDE_SHINGLE, ROUNDS = 26, 5, 32
+#: Keys of the first pass. Large groups hang together after it; later postings within one component are left out.
+FIRST_KEYS = 10
 
 
 def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
@@ -221,8 +226,10 @@ def wide_postings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, component_id by the wide form: likeness of 0.8 or more on shingles of five words.
 
-    Bits that differ spread over all bytes here, so no number of shared bytes is guaranteed: a pair is found if it
-    shares one of the keys. Of pairs of Jaccard likeness 0.8 or more nearly all do (figures in the README).
+    A first pass on FIRST_KEYS keys joins what is easily joined; in the second, postings whose members are all of one
+    component (by a hash of its root) are left out, which changes no component. Bits that differ spread over all bytes
+    here, so no number of shared bytes is guaranteed: a pair is found if it shares one of the keys. Of pairs of Jaccard
+    likeness 0.8 or more nearly all do (figures in the README).
     """
     ensure_checkpoint_dir(docs.sparkSession)
 
@@ -231,18 +238,26 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             values = np.array([wide_fingerprint(t) for t in batch["text"]], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "w0": values[:, 0], "w1": values[:, 1]})
 
-    def index(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            a, b = (batch[c].to_numpy() for c in ("w0", "w1"))
-            keys = wide_postings(a.view(np.uint64), b.view(np.uint64))
-            of = np.repeat(np.arange(len(batch)), keys.shape[1])
-            yield pd.DataFrame({"key": keys.ravel(), "node": batch["node"].to_numpy()[of]})
+    def index(part: slice):
+        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                a, b = (batch[c].to_numpy() for c in ("w0", "w1"))
+                keys = wide_postings(a.view(np.uint64), b.view(np.uint64))[:, part]
+                of = np.repeat(np.arange(len(batch)), keys.shape[1])
+                yield pd.DataFrame({"key": keys.ravel(), "node": batch["node"].to_numpy()[of], "known": batch["known"].to_numpy()[of]})
+
+        return run
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = rows.mapInPandas(run, "doc_id long, w0 long, w1 long").withColumn("node", F.xxhash64("w0", "w1")).checkpoint()
     nodes = known.groupBy("node", "w0", "w1").agg(F.min("doc_id").alias("least")).checkpoint()
-    keyed = nodes.select("node", "w0", "w1").mapInPandas(index, "key long, node long")
-    roots = components(_compared(keyed, nodes, block, WIDE_BITS, ("w0", "w1")))
+    words, out = ("w0", "w1"), "key long, node long, known int"
+    first = nodes.select("node", *words, F.lit(0).alias("known")).mapInPandas(index(slice(0, FIRST_KEYS)), out).drop("known")
+    links = _compared(first, nodes, block, WIDE_BITS, words).checkpoint()
+    early = components(links)
+    told = nodes.join(early, "node", "left").select("node", *words, F.hash(F.coalesce("root", "node")).alias("known"))
+    rest = told.mapInPandas(index(slice(FIRST_KEYS, None)), out)
+    roots = components(links.unionByName(_compared(rest, nodes, block, WIDE_BITS, words)))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.join(labelled.select("node", "root").join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
