@@ -256,6 +256,8 @@ def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _compared(first, nodes, block, WIDE_BITS, words).checkpoint()
     early = components(links)
     told = nodes.join(early, "node", "left").select("node", *words, F.hash(F.coalesce("root", "node")).alias("known"))
+    # A node becomes many keys: tasks that fit its small row would not fit those.
+    told = told.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
     rest = told.mapInPandas(index(slice(FIRST_KEYS, None)), out)
     roots = components(links.unionByName(_compared(rest, nodes, block, WIDE_BITS, words)))
     labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
