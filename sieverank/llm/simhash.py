@@ -276,11 +276,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return known.join(nodes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def normal_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def node_of(words: list[bytes]) -> int:
+    """Signed 64-bit name of a word sequence; texts that differ only in case or blanks are one node."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
+
+
+def shingle_set(words: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; texts of fewer words are one shingle, those without any the empty one."""
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined)], dtype=np.uint64)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip(starts, starts[shingle:])], dtype=np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard likeness of 0.8 or more: 9 |a and b| >= 4 (|a| + |b|), in whole numbers."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+#: Bits of the filter that keeps texts no candidate names out of the shuffle; false hits cost time only.
+WANTED_BITS = 24
+
+
+def real_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: nodes) whose texts are alike; docs has a column text."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    bits[nodes.select(F.col("node").bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                words = normal_words(text)
+                node = node_of(words)
+                bit = node & ((1 << WANTED_BITS) - 1)
+                if wanted.value[bit >> 3] >> (7 - (bit & 7)) & 1:
+                    found.append((node, shingle_set(words).tobytes()))
+            yield pd.DataFrame(found, columns=["node", "shingles"])
+
+    def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"])]
+            yield batch.loc[np.array(ok, bool), ["a", "b"]]
+
+    texts = docs.select("text").mapInPandas(sets, "node long, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """doc_id, node, w0, w1: the name of each row's word sequence and its 128-bit fingerprint."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = np.array([wide_fingerprint(t) for t in batch["text"]], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [node_of(normal_words(t)) for t in batch["text"]], "w0": values[:, 0], "w1": values[:, 1]})
+
+    return rows.mapInPandas(run, "doc_id long, node long, w0 long, w1 long")
+
+
+def wide_index(nodes: DataFrame, part: slice) -> DataFrame:
+    """key, node: the posting keys `part` of each node (node, w0, w1)."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = wide_postings(*(batch[c].to_numpy().view(np.uint64) for c in ("w0", "w1")))[:, part]
+            yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), keys.shape[1])})
+
+    return nodes.select("node", "w0", "w1").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInPandas(run, "key long, node long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, component_id: components of the pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+
+    The wide form's index gives candidates; each is compared by its shingles before components are made.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = named(rows).checkpoint()
+    nodes = known.groupBy("node", "w0", "w1").agg(F.min("doc_id").alias("least")).checkpoint()
+    pairs = _compared(wide_index(nodes, slice(None)), nodes, block, WIDE_BITS, ("w0", "w1")).distinct().checkpoint()
+    return _labelled(known, nodes, components(real_links(pairs, rows)))
+
+
+def _labelled(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return known.join(labelled.select("node", "root").join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates of the wide form: of each component the document whose id is the component's smallest stays.
+    """docs without the near-duplicates of near_copies: of each component the document whose id is the component's smallest stays.
 
     Rows that share an id count as one document and stay or go together; rows without an id cannot be named and stay.
     """
-    groups = wide_duplicates(docs, id_col, text_col)
+    groups = near_copies(docs, id_col, text_col)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
