@@ -16,7 +16,7 @@ becomes a component id unless the whole component has none; repeated rows are ke
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -113,6 +113,25 @@ def forest(fps: np.ndarray, side: np.ndarray | None, most: int = MOST_BITS) -> l
     return links
 
 
+def whole_postings(batches: Iterable[pd.DataFrame], found: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """found() of sorted rows (key, lo, hi, ...) in pieces that cut no posting."""
+    held: list[pd.DataFrame] = []  # rows of the posting that is still open
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[["key", "lo", "hi"]].to_numpy()
+        is_open = (keys == keys[-1]).all(axis=1)
+        if held and (held[-1][["key", "lo", "hi"]].to_numpy()[-1] == keys[-1]).all():
+            held.append(batch)
+            continue
+        closed = [*held, batch[~is_open]]
+        if sum(map(len, closed)):
+            yield found(pd.concat(closed))
+        held = [batch[is_open]]
+    if held:
+        yield found(pd.concat(held))
+
+
 def posting_links(batches: Iterable[pd.DataFrame], most: int = MOST_BITS, words: tuple[str, ...] = ("fp",)) -> Iterator[pd.DataFrame]:
     """Links of sorted postings (key, lo, hi, block, node, words...); a posting may cross batches, none is larger than
     two blocks."""
@@ -142,24 +161,10 @@ def posting_links(batches: Iterable[pd.DataFrame], most: int = MOST_BITS, words:
         a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    held: list[pd.DataFrame] = []  # rows of the posting that is still open
-    for batch in batches:
-        if not len(batch):
-            continue
-        keys = batch[["key", "lo", "hi"]].to_numpy()
-        is_open = (keys == keys[-1]).all(axis=1)
-        if held and (held[-1][["key", "lo", "hi"]].to_numpy()[-1] == keys[-1]).all():
-            held.append(batch)
-            continue
-        closed = [*held, batch[~is_open]]
-        if sum(map(len, closed)):
-            yield links(pd.concat(closed))
-        held = [batch[is_open]]
-    if held:
-        yield links(pd.concat(held))
+    return whole_postings(batches, links)
 
 
-def _compared(keyed: DataFrame, nodes: DataFrame, block: int, most: int, words: tuple[str, ...]) -> DataFrame:
+def _compared(keyed: DataFrame, nodes: DataFrame, block: int, most: int, words: tuple[str, ...], compare: Callable | None = None) -> DataFrame:
     """a, b: links among the rows (key, node) that share a key; large postings go to pairs of blocks.
 
     Most keys occur once and go at the first join; only the others fetch the words of their fingerprint from nodes.
@@ -174,7 +179,7 @@ def _compared(keyed: DataFrame, nodes: DataFrame, block: int, most: int, words:
     rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", *words)
     sorted_rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    return sorted_rows.mapInPandas(lambda batches: posting_links(batches, most, words), "a long, b long")
+    return sorted_rows.mapInPandas(compare or (lambda batches: posting_links(batches, most, words)), "a long, b long")
 
 
 def fingerprint_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -353,17 +358,117 @@ def wide_index(nodes: DataFrame, part: slice) -> DataFrame:
     return nodes.select("node", "w0", "w1").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInPandas(run, "key long, node long")
 
 
+#: Documents (about) whose shingles are counted for the order of the prefix index, and how many frequent ones it knows.
+#: Any order gives the same links; a better one gives shorter postings.
+ORDER_ROWS, ORDER_SIZE = 10_000, 200_000
+#: Words of a set's parity sketch: bit i tells whether an odd number of its hashes falls on i.
+SKETCH = tuple(f"m{i}" for i in range(8))
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and ranks, of the most frequent shingles of a sample of docs (column text)."""
+    share = max(1, docs.count() // ORDER_ROWS)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(normal_words(t)).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    counts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInPandas(run, "h long").groupBy("h").count()
+    top = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SIZE).toPandas()
+    hashes, ranks = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def prefix_keys(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles, rare ones first. Two sets that are alike share one of these: each has 0.8 n
+    shingles in common with the other, so the first common one in the order cannot come later."""
+    hashes, counts = frequent
+    rank = np.zeros(len(shingles), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        rank = np.where(hashes[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """512 bits; two sets differ in at least as many shingles as their sketches in bits."""
+    bits = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def prefix_index(docs: DataFrame) -> DataFrame:
+    """node, size, SKETCH..., keys: one row for each distinct word sequence of docs (column text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done: dict[int, tuple] = {}
+            for text in batch["text"]:
+                words = normal_words(text)
+                node = node_of(words)
+                if node not in done:
+                    found = shingle_set(words)
+                    done[node] = (node, len(found), *parity(found).tolist(), prefix_keys(found, shared.value).view(np.int64))
+            yield pd.DataFrame(list(done.values()), columns=["node", "size", *SKETCH, "keys"])
+
+    schema = ", ".join(["node long, size long", *(f"{m} long" for m in SKETCH), "keys array<long>"])
+    return docs.select("text").mapInPandas(run, schema).dropDuplicates(["node"])
+
+
+def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    """Which of the sets `rest` can be alike to set i, by bounds that no alike pair breaks: each has 0.8 of the other's
+    size, and they differ in at most a ninth of their sizes' sum."""
+    n = size[rest]
+    fits = (5 * np.minimum(n, size[i]) >= 4 * np.maximum(n, size[i]))
+    return fits & (9 * np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= n + size[i])
+
+
+def prefix_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a < b: candidates of different components in the postings of sorted batches (key, lo, hi, block, node, known, size, SKETCH...)."""
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows[["key", "lo", "hi"]].to_numpy()
+        node, known, block, size = (rows[c].to_numpy() for c in ("node", "known", "block", "size"))
+        sketch = rows[list(SKETCH)].to_numpy().view(np.uint64)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        last = np.repeat(np.r_[first[1:], len(rows)], np.diff(np.r_[first, len(rows)]))
+        out = []
+        for i in range(len(rows)):
+            rest = np.arange(i + 1, last[i])
+            if not len(rest):
+                continue
+            ok = known[rest] != known[i]
+            if key[i, 1] != key[i, 2]:
+                ok &= block[rest] != block[i]
+            rest = rest[ok]
+            rest = rest[may_be_alike(size, sketch, i, rest)]
+            if len(rest):
+                out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"]).drop_duplicates()
+
+    return whole_postings(batches, pairs)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-    The wide form's index gives candidates; each is compared by its shingles before components are made.
+    FIRST_KEYS keys of the wide form join what is easily joined. Then an index on shingle prefixes, which every pair of
+    that likeness shares, gives all candidates between different components; bounds that no such pair breaks thin them.
+    Every link of either pass is verified by its shingles before components are made.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = named(rows).checkpoint()
     nodes = known.groupBy("node", "w0", "w1").agg(F.min("doc_id").alias("least")).checkpoint()
-    pairs = _compared(wide_index(nodes, slice(None)), nodes, block, WIDE_BITS, ("w0", "w1")).distinct().checkpoint()
-    return _labelled(known, nodes, components(real_links(pairs, rows)))
+    pairs = _compared(wide_index(nodes, slice(0, FIRST_KEYS)), nodes, block, WIDE_BITS, ("w0", "w1")).distinct().checkpoint()
+    links = real_links(pairs, rows).checkpoint()
+    told = prefix_index(rows).join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root").checkpoint()
+    keyed = told.select("node", "known", F.explode("keys").alias("key"))
+    more = _compared(keyed, told, block, 0, ("known", "size", *SKETCH), prefix_pairs).distinct().checkpoint()
+    return _labelled(known, nodes, components(links.unionByName(real_links(more, rows))))
 
 
 def _labelled(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -47,3 +47,35 @@ def test_texts_below_the_likeness_stay(spark):
     want = least_ids(rows)
     assert loose >= 5 and all(i == r for i, r in want.items())
     assert kept(spark, rows) == set(want)
+
+
+def test_equal_to_all_pairs(spark):
+    rng = random.Random(5)
+    passage = ["common%d" % i for i in range(80)]  # in many texts that are not alike
+    rows = []
+    for k in range(60):
+        words = ["w%d" % rng.randrange(5000) for _ in range(rng.choice([4, 30, 300]))]
+        words += passage[: rng.choice([0, 80])]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):  # likeness about 0.8, on either side
+            copy = list(words)
+            for p in rng.sample(range(len(copy)), round(len(copy) * rng.choice([0.01, 0.02, 0.025]))):
+                copy[p] = "new%d" % rng.randrange(5000)
+            rows.append((len(rows), " ".join(copy)))
+    want = least_ids(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 8):
+        assert {r.doc_id: r.component_id for r in S.near_copies(docs, block=block).collect()} == want
+
+
+def test_prefixes_and_bounds_keep_every_alike_pair():
+    rng = np.random.default_rng(2)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for n in (*range(1, 40), 300):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            cut = rng.integers(0, len(a) // 5 + 1)
+            b = np.sort(np.r_[a[cut:], rng.integers(0, 2**63, rng.integers(0, len(a) // 4 + 1)).astype(np.uint64)])
+            if S.alike(a, b):
+                assert len(np.intersect1d(S.prefix_keys(a, none), S.prefix_keys(b, none)))
+                assert S.may_be_alike(np.array([len(a), len(b)]), np.stack([S.parity(a), S.parity(b)]).view(np.uint64), 0, np.array([1])).all()
