@@ -6,8 +6,10 @@ For each document four kinds of evidence add up in log space:
   Trigrams with a digit or a sign say nothing about a language and are left out. Neighbouring trigrams share bytes, so the sum is divided by three. The class "und" (no known language) gives each
   bucket the same probability and wins on texts whose trigrams no language explains;
 * the language that the markup declares, by how often declarations agreed with the text's verdict;
-* the address suffix: the share of each language among the suffix's documents against its share overall;
-* the host: its share of each language, smoothed towards the overall share (HOST_WEIGHT pseudo-documents).
+* the address suffix: the share of each language among the suffix's documents, smoothed towards the overall share
+  (SUFFIX_WEIGHT pseudo-documents);
+* the host: its share of each language, smoothed towards that of its suffix (HOST_WEIGHT pseudo-documents), or towards
+  the overall share where no suffix is known.
 
 Shares are soft counts of the text's verdicts over all documents, by grouped aggregation. The trigram table is fitted
 on at most TRAINING_ROWS labelled rows: those with the smallest hash of their id (a bound that is a parameter).
@@ -162,23 +164,18 @@ def identify(
     overall = _shares(real, [], k).select(F.array(*[F.coalesce(f"n{i}", F.lit(0.0)) + 1.0 for i in range(k)]).alias("n"))
     share = overall.select(F.transform("n", lambda x: x / F.aggregate("n", F.lit(0.0), lambda a, y: a + y)).alias("share")).scalar()
     out = scored.withColumn("share", share)
-    if host is not None:
-        hosts = _shares(real.filter("host is not null"), ["host"], k)
-        total = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
-        hosts = hosts.select("host", F.array(*[F.col(f"n{i}") for i in range(k)]).alias("host_n"), total.alias("host_all"))
-        out = out.join(hosts, "host", "left")
-        prior = F.zip_with("host_n", "share", lambda n, s: (n + HOST_WEIGHT * s) / (F.col("host_all") + HOST_WEIGHT))
-        prior = F.coalesce(prior, F.col("share"))
-    else:
-        prior = F.col("share")
+    total = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
+    prior = F.col("share")
+    for name, given, weight in (("suffix", suffix, SUFFIX_WEIGHT), ("host", host, HOST_WEIGHT)):
+        if given is None:
+            continue
+        table = _shares(real.filter(F.col(name).isNotNull()), [name], k)
+        table = table.select(name, F.array(*[F.col(f"n{i}") for i in range(k)]).alias(f"{name}_n"), total.alias(f"{name}_all"))
+        out = out.join(table, name, "left").withColumn("prior", prior)
+        smooth = F.zip_with(f"{name}_n", "prior", lambda n, s: (n + weight * s) / (F.col(f"{name}_all") + weight))  # noqa: B023
+        out = out.withColumn("prior", F.coalesce(smooth, "prior"))
+        prior = F.col("prior")
     log = F.zip_with("log", prior, lambda a, b: a + F.log(b))
-    if suffix is not None:
-        table = _shares(real.filter("suffix is not null"), ["suffix"], k)
-        total = sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0))
-        table = table.select("suffix", F.array(*[F.col(f"n{i}") for i in range(k)]).alias("suffix_n"), total.alias("suffix_all"))
-        out = out.join(table, "suffix", "left")
-        ratio = F.zip_with("suffix_n", "share", lambda n, s: F.log((n + SUFFIX_WEIGHT * s) / (F.col("suffix_all") + SUFFIX_WEIGHT) / s))
-        log = F.zip_with(log, F.coalesce(ratio, F.array_repeat(F.lit(0.0), k)), lambda a, b: a + b)
     if declared is not None:
         names = F.array(*[F.lit(c) for c in model.classes])
         agree = real.filter("declared is not null").agg(F.coalesce(F.sum(F.coalesce(F.try_element_at("p", F.array_position(names, F.col("declared")).cast("int")), F.lit(0.0))), F.lit(0.0)).alias("a"), F.count("*").alias("n"))

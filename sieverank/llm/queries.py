@@ -83,4 +83,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(load(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id)}
+def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page by its text, declared language, address suffix and host; trigrams as for the documents."""
+    from pyspark.sql import functions as F
+
+    from sieverank.llm.language_id import fit, identify_pages
+
+    found = identify_pages(load(spark, sf_dir, "pages"), fit(load(spark, sf_dir, "documents"), F.col("lang")))
+    return found.withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id, op10_language_id_pages)}

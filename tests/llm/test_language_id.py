@@ -46,3 +46,31 @@ def test_noise_is_rejected_and_odd_rows(spark):
     assert L.identify(df.limit(0), model).count() == 0
     none = L.fit(df.withColumn("lang", F.lit(None).cast("string")), F.col("lang"))
     assert {r.language for r in L.identify(df, none).collect()} == {"und"}
+
+
+def test_host_is_smoothed_towards_its_suffix(spark):
+    counts = {"aa": np.zeros(L.BUCKETS), "bb": np.zeros(L.BUCKETS)}
+    for language, text in (("aa", "aaa"), ("bb", "bbb")):
+        counts[language] += 1e5 * np.bincount(L.trigrams([text])[0], minlength=L.BUCKETS + 1)[:-1]
+    model = L.Model(counts)
+    rows = [(i, "aaa", f"h{i}", "a") for i in range(100)] + [(i, "bbb", f"h{i}", "b") for i in range(100, 400)] + [(400, "bab", "new", "a"), (401, "bab", None, "a"), (402, "bab", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string")
+    got = {r.doc_id: r.confidence for r in L.identify(df, model, host=F.col("host"), suffix=F.col("suffix")).collect()}
+    log = model.likelihoods([r[1] for r in rows])
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    share = (p.sum(axis=0) + 1) / (p.sum() + p.shape[1])
+    a = p[[i for i, r in enumerate(rows) if r[3] == "a"]].sum(axis=0)
+    suffix = (a + L.SUFFIX_WEIGHT * share) / (a.sum() + L.SUFFIX_WEIGHT)
+    host = (p[400] + L.HOST_WEIGHT * suffix) / (1 + L.HOST_WEIGHT)
+    for i, prior in ((400, host), (401, suffix), (402, share)):
+        q = np.exp(log[i]) * prior
+        assert abs(got[i] - q.max() / q.sum()) < 1e-6
+
+
+def test_pages_are_registered(spark):
+    from sieverank.llm.queries import QUERIES
+
+    got = {r.page_id: r.language for r in QUERIES["op10_language_id_pages"](spark, "/root/testdata/sf0.01").collect()}
+    said = {r.page_id: r.html.split('lang="')[1][:2] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if 'lang="' in r.html}
+    assert set(said) <= set(got) and sum(got[i] == s for i, s in said.items()) >= 0.9 * len(said)
