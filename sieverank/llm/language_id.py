@@ -12,7 +12,8 @@ For each document four kinds of evidence add up in log space:
   the overall share where no suffix is known.
 
 Shares are soft counts of the text's verdicts over all documents, by grouped aggregation. The trigram table is fitted
-on at most TRAINING_ROWS labelled rows: those with the smallest hash of their id (a bound that is a parameter).
+on at most TRAINING_ROWS labelled rows of each language, those with the smallest hash of their id (a bound that is a
+parameter). Every language that labels a row is a class, however rare it is.
 
 A document is rejected if no language is found in it: its best class is "und", its text is null, empty or without
 letters, or its best class has less than CONFIDENCE. Defined results: rows are judged one by one, repeated or without id; missing hosts,
@@ -26,14 +27,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieverank.llm.batching import slices
 from sieverank.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 16
-TRAINING_ROWS, LEAST_ROWS = 5000, 5
+TRAINING_ROWS = 5000
 SMOOTHING, HOST_WEIGHT, SUFFIX_WEIGHT, CONFIDENCE = 0.5, 20.0, 20.0, 0.5
 UNKNOWN = "und"
 
@@ -88,37 +89,46 @@ class Model:
         return out
 
 
+def training_rows(docs: DataFrame, label: Column, id_col: str = "doc_id", rows: int = TRAINING_ROWS) -> DataFrame:
+    """id, label: for each label the `rows` smallest hashes of ids, all of a label that has fewer.
+
+    What is clearly too large goes by its hash before rows of one label meet: hashes are uniform, and twice the wanted
+    share, with a margin, holds the wanted rows.
+    """
+    labelled = docs.select(F.col(id_col).cast("string").alias("id"), label.cast("string").alias("label")).filter("label is not null").distinct()
+    labelled = labelled.withColumn("h", F.xxhash64("id"))
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("size"))
+    place = F.col("h").cast("double") / 2.0**64 + 0.5  # 0 to 1
+    near = labelled.join(F.broadcast(sizes), "label").filter((F.col("size") <= 2 * rows + 100) | (place * F.col("size") <= 2 * rows + 100))
+    order = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    return near.withColumn("at", order).filter(F.col("at") <= rows).select("id", "label")
+
+
 def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Model:
-    """Counts trigrams of at most `rows` labelled rows; what comes to the driver is at most BUCKETS rows a language."""
-    labelled = docs.select(F.col(id_col).cast("string").alias("id"), label.alias("label")).filter("label is not null")
-    chosen = labelled.select("id", "label").distinct().orderBy(F.xxhash64("id"), "id", "label").limit(rows)
+    """Counts trigrams of at most `rows` labelled rows of each language; what comes to the driver is at most BUCKETS rows a language."""
+    chosen = training_rows(docs, label, id_col, rows)
     texts = docs.select(F.col(id_col).cast("string").alias("id"), label.alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), ["id", "label"], "left_semi").select("label", "text")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
         for batch in batches:
             for language, group in batch.groupby("label"):
                 texts = group["text"].tolist()
-                n[language] = n.get(language, 0) + len(texts)
                 for part in slices(texts):
                     codes, _ = trigrams(texts[part])
                     seen[language] = seen.get(language, 0) + np.bincount(codes, minlength=BUCKETS + 1)[:BUCKETS]
         for language, counts in seen.items():
             at = np.flatnonzero(counts)
-            yield pd.DataFrame({"label": language, "bucket": np.r_[at, -1], "n": np.r_[counts[at], n[language]]})
+            yield pd.DataFrame({"label": language, "bucket": np.r_[at, -1], "n": np.r_[counts[at], 0]})  # -1: the language occurs
 
     sums = sample.mapInPandas(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toPandas()
-    counts, size = {}, {}
+    counts = {}
     for language, group in table.groupby("label"):
-        c = np.zeros(BUCKETS)
-        real = group["bucket"] >= 0
-        c[group["bucket"][real]] = group["n"][real]
-        counts[language], size[language] = c, int(group["n"][~real].sum())
-    least = LEAST_ROWS if max(size.values(), default=0) >= LEAST_ROWS else 1
-    return Model({k: c for k, c in counts.items() if size[k] >= least})
+        counts[language] = np.zeros(BUCKETS)
+        counts[language][group["bucket"][group["bucket"] >= 0]] = group["n"][group["bucket"] >= 0]
+    return Model(counts)
 
 
 def softmax(log: Column) -> Column:

@@ -74,3 +74,17 @@ def test_pages_are_registered(spark):
     got = {r.page_id: r.language for r in QUERIES["op10_language_id_pages"](spark, "/root/testdata/sf0.01").collect()}
     said = {r.page_id: r.html.split('lang="')[1][:2] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if 'lang="' in r.html}
     assert set(said) <= set(got) and sum(got[i] == s for i, s in said.items()) >= 0.9 * len(said)
+
+
+def test_rare_languages_are_kept(spark):
+    words = {"en": "the and of that with from this", "xx": "zoqua vexil krombu yatz pluvog wirrim"}
+    rows = [(i, " ".join([words["en"]] * 5), "en") for i in range(3000)] + [(3000 + i, " ".join([words["xx"]] * 5), "xx") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = L.training_rows(df, F.col("lang"), rows=50)
+    got = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert got == {"en": 50, "xx": 3}
+    hashes = df.filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("id")).withColumn("h", F.xxhash64("id")).orderBy("h").limit(50)
+    assert {r.id for r in hashes.collect()} == {r.id for r in chosen.filter("label = 'en'").collect()}
+    model = L.fit(df, F.col("lang"), rows=50)
+    assert model.languages == ["en", "xx"]
+    assert {r.language for r in L.identify(df.filter("doc_id >= 3000"), model).collect()} == {"xx"}
