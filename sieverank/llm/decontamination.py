@@ -3,10 +3,11 @@
 Texts are word sequences (lower case, cut at white space). A seed is a fixed mask over word positions: the positions it
 leaves out may differ, so a seed still hits where a copy had words replaced. Seeds of all benchmark items are hashed
 into a table; every position of every document is hashed with each mask and looked up. A hit names an item and a
-diagonal (document position minus item position). Around it the item is laid over the document word by word, and the
-longest stretch with at least SIMILARITY equal words is verified. Stretches of one item on several diagonals (words
-were inserted or deleted) add up. A document is contaminated by an item if the verified words cover at least
-COVERAGE of the item and at least MIN_WORDS words, or the whole of a shorter item.
+diagonal (document position minus item position). Around it the item is laid over the document word by word, and
+stretches with at least SIMILARITY equal words are verified: the longest, then those before and after it. Stretches of
+one item on one diagonal or several (words were inserted or deleted) add up. A document is contaminated by an item if
+the verified words cover at least COVERAGE of the item and at least MIN_WORDS words, or the whole of a shorter item, or
+if one stretch has LONG_RUN words or more.
 
 The benchmark is a stated query set. It is read in blocks of BLOCK_WORDS words; each block's table goes to the
 executors and one pass over the documents looks it up, so nothing that grows is ever broadcast at once.
@@ -31,6 +32,8 @@ from sieverank.llm.batching import slices
 #: Fixed masks: word positions that count. Each has weight 5; items shorter than a mask are looked up whole.
 MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 5, 7), (0, 2, 4, 5, 6))
 SIMILARITY, COVERAGE, MIN_WORDS = 0.8, 0.5, 8
+#: A stretch of so many words is reported whatever share of the item it is.
+LONG_RUN = 13
 BLOCK_WORDS = 500_000
 OUT = "doc_id long, item_id long, n_item_words long, n_covered long, n_equal long, similarity double, first_word long, last_word long"
 
@@ -104,6 +107,18 @@ def longest_stretch(equal: np.ndarray) -> tuple[int, int]:
     return best if n else (0, 0)
 
 
+def stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """All stretches of at least `least` words: the longest, then those of what lies before and after it."""
+    found, open_ = [], [(0, len(equal))]
+    while open_:
+        lo, hi = open_.pop()
+        a, b = longest_stretch(equal[lo:hi])
+        if b - a >= max(least, 1):
+            found.append((lo + a, lo + b))
+            open_ += [(lo, lo + a), (lo + b, hi)]
+    return found
+
+
 def find(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
     """(text number, item number, item words, covered, equal, first word, last word) of each contaminated pair."""
     get = index.vocabulary.get
@@ -139,18 +154,19 @@ def find(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, i
         wanted = index.items[item][1]
         n = len(wanted)
         covered, same = np.zeros(n, bool), np.zeros(n, bool)
-        first, last = None, None
+        first, last, longest = None, None, 0
         for start in group[:, 2]:
             lo, hi = max(0, int(begin[doc] - start)), min(n, int(begin[doc] + len(lists[doc]) - start))
             equal = np.zeros(n, bool)
             equal[lo:hi] = ids[start + lo : start + hi] == wanted[lo:hi]
-            a, b = longest_stretch(equal)
-            if b - a >= min(5, n):
+            for a, b in stretches(equal, min(5, n)):
+                longest = max(longest, b - a)
                 covered[a:b] = True
                 same[a:b] |= equal[a:b]
                 first = min(first, start + a - begin[doc]) if first is not None else start + a - begin[doc]
                 last = max(last, start + b - 1 - begin[doc]) if last is not None else start + b - 1 - begin[doc]
-        if covered.sum() >= max(min(MIN_WORDS, n), COVERAGE * n) and same.sum() >= SIMILARITY * covered.sum():
+        enough = covered.sum() >= max(min(MIN_WORDS, n), COVERAGE * n)
+        if enough or longest >= LONG_RUN:
             yield doc, item, n, int(covered.sum()), int(same.sum()), int(first), int(last)
 
 

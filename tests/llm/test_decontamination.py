@@ -85,3 +85,19 @@ def test_copies_in_the_fixture_are_found(spark):
     held = {(r.doc_id, b.item_id) for r in docs.collect() for b in items if b.text in r.text}
     got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()}
     assert held <= got and len(got - held) <= 0.1 * len(got)
+
+
+def test_passages_of_long_items_and_several_stretches():
+    def hit(item, text):
+        return len(list(D.find(D.Index([(1, " ".join(item))]), [" ".join(text)])))
+
+    other = ["o%d" % i for i in range(40)]
+    item = ["i%d" % i for i in range(500)]
+    assert hit(item, other + item[100:300] + other)
+    assert hit(item[:59], other + item[20:45] + other)
+    assert hit(item[:59], other + item[20:33] + other) and not hit(item[:59], other + item[20:32] + other)
+    assert hit(item[:54], item[:18] + other[:18] + item[36:54])
+    # two stretches of 10 on one diagonal, each shorter than LONG_RUN, are half of the item
+    assert hit(item[:40], item[:10] + other[:20] + item[30:40])
+    assert not hit(item[:40], item[:10] + other[:30])
+    assert D.stretches(np.array([1] * 6 + [0] * 6 + [1] * 8 + [0] * 5 + [1] * 5, bool), 5) == [(12, 20), (25, 30), (0, 6)]
