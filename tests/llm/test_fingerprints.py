@@ -65,3 +65,22 @@ def test_odd_rows(spark):
     assert P.fingerprint_edits(df.limit(0)).count() == 0
     (one,) = P.fingerprint_edits(df.filter("doc_id = 2")).collect()
     assert one.near_next == 1.0
+
+
+def test_texts_on_both_sides_of_the_limit_are_compared_alike(spark):
+    text = " ".join(f"word{i}" for i in range(32))
+    df = spark.createDataFrame([(1, text), (2, text.rsplit(" ", 1)[0]), (3, "x" * 600)], "doc_id long, text string")
+    got = {r.doc_id: r for r in P.fingerprint_edits(df).collect()}
+    assert got[1].near_next > 0.8  # 32 words and 31 of them
+    assert got[2].near_edited > 0.4 and got[2].near_next == 0
+    long = " ".join(f"word{i}" for i in range(40))
+    tail = spark.createDataFrame([(1, long), (2, "y" * 600)], "doc_id long, text string")
+    one = {r.doc_id: r for r in P.fingerprint_edits(tail).collect()}[1]  # the edited text has 31 words or fewer
+    assert one.near_edited > 0.4
+
+
+def test_every_text_has_an_anchor(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice([8, 9]))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in P.anchors(df).collect()} == set(range(200))
