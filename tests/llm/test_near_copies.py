@@ -79,3 +79,19 @@ def test_prefixes_and_bounds_keep_every_alike_pair():
             if S.alike(a, b):
                 assert len(np.intersect1d(S.prefix_keys(a, none), S.prefix_keys(b, none)))
                 assert S.may_be_alike(np.array([len(a), len(b)]), np.stack([S.parity(a), S.parity(b)]).view(np.uint64), 0, np.array([1])).all()
+
+
+def test_stage_on_the_fixture(spark):
+    """What test_stages_keep_columns_and_decide asks of the stages, with the real likeness in place of the SimHash estimate."""
+    import corpus_pipeline
+
+    fixture = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["language_id"](spark, spark.read.parquet(f"{fixture}/documents.parquet"), fixture).cache()
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    out = stages["simhash_near_dedup"](spark, docs, fixture)
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert set(left) == {i for i, r in least_ids(rows).items() if i == r}
+    items = [r.text for r in spark.read.parquet(f"{fixture}/benchmark.parquet").collect()]
+    clean = {r.doc_id for r in stages["benchmark_decontamination"](spark, out, fixture).collect()}
+    assert set(left) - clean == {i for i, t in left.items() if any(x in t for x in items)}
