@@ -34,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.llm.batching import slices
+from sieverank.llm.batching import slices, take_over, trim
 from sieverank.session import ensure_checkpoint_dir
 
 DEPTH, EDGE = 5, b"\xff"
-CHUNK_CHARS, SLICE_CHARS, MOST_PARTS = 8_000_000, 2_000_000, 1024
+CHUNK_CHARS, SLICE_CHARS, CONTEXTS = 8_000_000, 2_000_000, 1 << 16
 PRIOR = 0.1  # added to each count of the word model
 SENT = "part int, chunk int, kind string, keys binary, counts binary, train_tokens long, train_docs long"
-BYTE = np.uint64(8)
+U64, LOW = np.uint64, np.uint64(0xFF)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -63,12 +63,16 @@ def is_training(doc_id, modulus: int = 10) -> bool:
 
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (depth + 1)-byte strings that end at each byte and at the end of each text, and where each text begins."""
+    """Packed (depth + 1)-byte strings that end at each byte and at the end of each text, and where each text begins.
+
+    The nearest byte of the context is the highest, then the one before it, and so on; the byte itself is the lowest. In
+    order, strings of one context stand together at every depth.
+    """
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     data = np.frombuffer((EDGE * depth).join([b"", *(t + EDGE for t in texts)]), np.uint8).astype(np.uint64)
     codes = data[depth:].copy()
     for j in range(1, depth + 1):
-        codes |= data[depth - j : len(data) - j] << np.uint64(8 * j)
+        codes |= data[depth - j : len(data) - j] << U64(8 * (depth - j + 1))
     begin = np.r_[0, np.cumsum(sizes)[:-1]] if len(texts) else np.zeros(0, np.int64)
     # Between texts stand `depth` start bytes; strings that end there are left out.
     keep = np.ones(len(codes), bool)
@@ -89,8 +93,8 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def part_of(keys: np.ndarray, kind: str, parts: int) -> np.ndarray:
-    own = (keys >> BYTE) & np.uint64(0xFFFF) if kind == "gram" else keys
+def part_of(keys: np.ndarray, kind: str, parts: int, depth: int = DEPTH) -> np.ndarray:
+    own = keys >> U64(8 * depth - 8) if kind == "gram" else keys  # the two nearest bytes
     mixed = (own + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
@@ -125,18 +129,21 @@ def chunk_counts(ids: list, texts: list[str], depth: int) -> tuple[np.ndarray, n
 
 def _send(depth: int, parts: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        codes, counts, distinct, word_counts, n_tokens, n_docs = chunk_counts(rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).map(lambda i: None if i is None else int(i)).tolist(), rows["text"].tolist(), depth)
+        take_over("")
+        ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
+        codes, counts, distinct, word_counts, n_tokens, n_docs = chunk_counts(ids, rows["text"].tolist(), depth)
         out = []
         for kind, keys, values in (("gram", codes, counts), ("word", word_keys(distinct), np.array(word_counts, dtype=np.int64))):
-            part = part_of(keys, kind, parts)
+            part = part_of(keys, kind, parts, depth)
             order = word_order(distinct, parts) if kind == "word" else np.argsort(part, kind="stable")
-            keys, values, part = keys[order], values[order].astype(np.uint32), part[order]
+            keys, values, part = keys[order], values[order].astype(np.int64), part[order]
             cuts = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 if cuts[p] < cuts[p + 1]:
                     piece = slice(cuts[p], cuts[p + 1])
                     out.append((p, int(key[0]), kind, pack(keys[piece]), pack(values[piece]), 0, 0))
         out.append((0, int(key[0]), "total", b"", b"", n_tokens, n_docs))
+        trim()
         return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
     return run
@@ -156,46 +163,69 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-class Level:
-    """Nodes of one depth: keys (context bytes << 8 | bit position), counts, share of the own estimate, log weight."""
-
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, deeper: Level | None, depth: int):
-        context, byte = strings & ~np.uint64(0xFF), strings & np.uint64(0xFF)
-        keys, zeros, ones = [], [], []
-        for b in range(8):
-            keys.append(context | np.uint64(1 << b) | (byte >> np.uint64(8 - b)))
-            bit = (byte >> np.uint64(7 - b)) & np.uint64(1)
-            zeros.append(np.where(bit == 0, counts, 0))
-            ones.append(np.where(bit == 1, counts, 0))
-        all_keys = np.concatenate(keys)
-        self.keys, inverse = np.unique(all_keys, return_inverse=True)
-        self.zeros = np.bincount(inverse, np.concatenate(zeros), len(self.keys))
-        self.ones = np.bincount(inverse, np.concatenate(ones), len(self.keys))
-        own = kt_block(self.zeros, self.ones)
-        if deeper is None:
-            self.weight, self.share = own, np.ones(len(own))
-        else:
-            below = self.sums(deeper, depth)
-            self.weight = np.logaddexp(own, below) + math.log(0.5)
-            self.share = share(own, below)
-
-    def sums(self, deeper: Level, depth: int) -> np.ndarray:
-        up = deeper.keys & np.uint64((1 << (8 * depth + 8)) - 1)
-        return np.bincount(np.searchsorted(self.keys, up), deeper.weight, len(self.keys))
-
-
 def share(own: np.ndarray, below: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-def levels(strings: np.ndarray, counts: np.ndarray, depth: int, least: int) -> list[Level]:
-    """Levels depth, depth - 1, ..., least of the strings that training saw."""
-    out: list[Level] = []
-    for d in range(depth, least - 1, -1):
-        if d < depth:
-            strings, counts = merge([strings & np.uint64((1 << (8 * d + 8)) - 1)], [counts])
-        out.append(Level(strings, counts, out[-1] if out else None, d))
-    return out
+class BitTree:
+    """The context trees of one bit position, from sorted distinct strings and their training counts.
+
+    A node is a context and the bits of the byte that come before this one; below[d] gives each node of depth d + 1 its
+    node at depth d. Strings that training never saw are in it with a count of 0: their nodes weigh 0 and say 1/2, so
+    they change no other node. Only one bit position is held at a time.
+    """
+
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, bit: int, depth: int, least: int):
+        byte = strings & LOW
+        self.one = ((byte >> U64(7 - bit)) & U64(1)).astype(bool)
+        keys = (strings & ~LOW) | U64(1 << bit) | (byte >> U64(8 - bit))  # in order, as the strings are
+        fresh = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
+        self.node = np.cumsum(fresh, dtype=np.int32) - 1
+        total = np.add.reduceat(counts, first) if len(keys) else counts
+        ones = np.add.reduceat(np.where(self.one, counts, 0), first) if len(keys) else counts
+        zeros, keys = total - ones, keys[first]
+        self.weight = kt_block(zeros, ones)
+        self.estimate = [(ones + 0.5) / (zeros + ones + 1.0)]
+        self.shares: list[np.ndarray] = []
+        self.up: list[np.ndarray] = []
+        for d in range(depth - 1, least - 1, -1):
+            keys = keys & ~(LOW << U64(8 * (depth - d)))
+            order = np.argsort(keys, kind="stable")
+            ranked = keys[order]
+            fresh = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
+            up = np.empty(len(keys), np.int32)
+            up[order] = np.cumsum(fresh, dtype=np.int32) - 1
+            keys = ranked[fresh]
+            del order, ranked, fresh
+            n = len(keys)
+            zeros, ones, under = (np.bincount(up, x, n) for x in (zeros, ones, self.weight))
+            own = kt_block(zeros, ones)
+            self.weight = np.logaddexp(own, under) + math.log(0.5)
+            self.shares.append(share(own, under))
+            self.estimate.append((ones + 0.5) / (zeros + ones + 1.0))
+            self.up.append(up)
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+
+    def says(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each node of the greatest depth: the probability of a 1, mixed up to the least depth, and its node there."""
+        p, at = self.estimate[0], np.arange(len(self.estimate[0]))
+        for up, part, estimate in zip(self.up, self.shares, self.estimate[1:], strict=True):
+            at = up[at]
+            p = part[at] * estimate[at] + (1 - part[at]) * p
+        return p, at
+
+
+def top_sums(strings: np.ndarray, counts: np.ndarray, depth: int) -> pd.DataFrame:
+    """node (context byte << 8 | bits), zeros, ones, below: what these strings add to the contexts of one byte."""
+    out = []
+    for bit in range(8):
+        tree = BitTree(strings, counts, bit, depth, 2)
+        up = ((tree.keys >> U64(8 * depth)) << U64(8) | (tree.keys & LOW)).astype(np.int64)
+        node, at = np.unique(up, return_inverse=True)
+        sums = [np.bincount(at, x, len(node)) for x in (tree.zeros, tree.ones, tree.weight)]
+        out.append(pd.DataFrame(dict(zip(("node", "zeros", "ones", "below"), (node, *sums), strict=True))))
+    return pd.concat(out)
 
 
 class Top:
@@ -214,46 +244,33 @@ class Top:
         self.share0 = share(kt_block(zeros, ones), weight)
         self.kt0 = (ones + 0.5) / (zeros + ones + 1)
 
-    def log10(self, strings: np.ndarray, tree: list[Level], depth: int) -> np.ndarray:
-        """Log10 probability of the last byte of each string after the bytes before it; tree: levels depth to 2."""
-        byte = strings & np.uint64(0xFF)
-        before = ((strings >> BYTE) & np.uint64(0xFF)).astype(np.int64)
+    def log10(self, strings: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+        """Log10 probability of the last byte of each string (sorted, distinct) after the bytes before it."""
         total = np.zeros(len(strings))
-        for b in range(8):
-            node = np.uint64(1 << b) | (byte >> np.uint64(8 - b))
-            one = ((byte >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
-            p = np.full(len(strings), 0.5)
-            for level, d in zip(tree, range(depth, 1, -1), strict=True):
-                key = (strings & np.uint64(((1 << (8 * d + 8)) - 1) & ~0xFF)) | node
-                if len(level.keys):
-                    at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                    found = level.keys[at] == key
-                    kt = (level.ones[at] + 0.5) / (level.zeros[at] + level.ones[at] + 1)
-                    p = np.where(found, level.share[at] * kt + (1 - level.share[at]) * p, 0.5)
-            node = node.astype(np.int64)
+        for bit in range(8):
+            tree = BitTree(strings, counts, bit, depth, 2)
+            p, at = tree.says()
+            before = (tree.keys[at] >> U64(8 * depth)).astype(np.int64)
+            node = (tree.keys[at] & LOW).astype(np.int64)
             s = self.share1[before, node]
             p = np.where(self.seen1[before, node], s * self.kt1[before, node] + (1 - s) * p, 0.5)
             s = self.share0[node]
             p = s * self.kt0[node] + (1 - s) * p
-            total += np.log10(np.where(one, p, 1 - p))
+            total += np.log10(np.where(tree.one, p[tree.node], 1 - p[tree.node]))
         return total
 
 
 def _owned(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """A part's strings by chunk, and all of them merged with their training counts; in a fixed order."""
     sent = [unpack(k, np.uint64) for k in rows["keys"]]
-    keys, counts = merge(sent, [unpack(c, np.uint32) for c in rows["counts"]])
+    keys, counts = merge(sent, [unpack(c, np.int64) for c in rows["counts"]])
     return sent, keys, counts
 
 
 def _tops(depth: int):
     def run(_, rows: pd.DataFrame) -> pd.DataFrame:
         _, keys, counts = _owned(rows.sort_values("chunk"))
-        keys, counts = keys[counts > 0], counts[counts > 0]
-        two = levels(keys, counts, depth, 2)[-1]
-        up = (two.keys & np.uint64(0xFFFF)).astype(np.int64)
-        node, at = np.unique(up, return_inverse=True)
-        return pd.DataFrame({"node": node, "zeros": np.bincount(at, two.zeros, len(node)), "ones": np.bincount(at, two.ones, len(node)), "below": np.bincount(at, two.weight, len(node))})
+        return top_sums(keys[counts > 0], counts[counts > 0], depth)
 
     return run
 
@@ -262,8 +279,7 @@ def _answers(top: Top, depth: int):
     def run(_, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
         sent, keys, counts = _owned(rows)
-        tree = levels(keys[counts > 0], counts[counts > 0], depth, 2)
-        log = top.log10(keys, tree, depth)
+        log = top.log10(keys, counts, depth)
         return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": "gram", "keys": rows["keys"], "counts": [pack(log[np.searchsorted(keys, k)]) for k in sent]})
 
     return run
@@ -275,7 +291,7 @@ def _word_answers(_, rows: pd.DataFrame) -> pd.DataFrame:
     known = [0] * len(rows)
     known[0] = int((counts > 0).sum())
     # The keys stay here: a chunk can work out which words it sent, and in which order.
-    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": "word", "keys": None, "counts": [pack(counts[np.searchsorted(keys, k)].astype(np.uint32)) for k in sent], "known": known})
+    return pd.DataFrame({"chunk": rows["chunk"], "part": rows["part"], "kind": "word", "keys": None, "counts": [pack(counts[np.searchsorted(keys, k)]) for k in sent], "known": known})
 
 
 def _lookup(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -300,13 +316,13 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def _score(depth: int, parts: int, n_all: int, n_distinct: int, n_ends: int):
     def run(_, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         own_keys, logs = _lookup(told[told["kind"] == "gram"])
-        counts = [unpack(c, np.uint32) for c in told[told["kind"] == "word"].sort_values("part")["counts"]]
+        counts = [unpack(c, np.int64) for c in told[told["kind"] == "word"].sort_values("part")["counts"]]
         ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
         texts = rows["text"].tolist()
         denominator = n_all + PRIOR * (n_distinct + 1)
         distinct = list({w for t in texts for w in words(t)})
         distinct = [distinct[i] for i in word_order(distinct, parts)]
-        count = np.concatenate(counts) if counts else np.zeros(0, np.uint32)
+        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         value = dict(zip(distinct, np.log10((count + PRIOR) / denominator).tolist(), strict=True))
         known = dict(zip(distinct, (count > 0).astype(int).tolist(), strict=True))
         end_value = math.log10((n_ends + PRIOR) / denominator)
@@ -320,6 +336,7 @@ def _score(depth: int, parts: int, n_all: int, n_distinct: int, n_ends: int):
                 base = math.fsum(map(value.__getitem__, ws)) + end_value
                 out.append((i, not is_training(i), len(ws) + 1, sum(map(known.__getitem__, ws)) + (n_ends > 0), n_all, base, s, -s / math.log10(2) / (len(b) + 1)))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        trim()
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
@@ -332,8 +349,8 @@ def lm_scores(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.char_length("text") + 1)).first()[0] or 0
     n_chunks = max(1, math.ceil(size / chunk_chars))
-    parts = max(4, min(n_chunks, MOST_PARTS))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_chunks)).cast("int"))
+    parts = max(4, min(n_chunks, CONTEXTS))  # a part owns whole contexts of two bytes, of which there are so many
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
     sent = chunked.groupBy("chunk").applyInPandas(_send(depth, parts), SENT).checkpoint()
     strings, distinct = sent.filter("kind = 'gram'"), sent.filter("kind = 'word'")
     tops = strings.groupBy("part").applyInPandas(_tops(depth), "node long, zeros double, ones double, below double")

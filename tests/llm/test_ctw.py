@@ -75,16 +75,21 @@ def test_equal_to_plain_tree(spark):
 
 def test_next_byte_probabilities_sum_to_one():
     keys, counts = np.unique(C.grams([b"abracadabra", b"the cat"], 3)[0], return_counts=True)
-    tree = C.levels(keys, counts, 3, 2)
-    import pandas as pd
-
-    two = tree[-1]
-    up = (two.keys & np.uint64(0xFFFF)).astype(np.int64)
-    node, at = np.unique(up, return_inverse=True)
-    top = C.Top(pd.DataFrame({"node": node, "zeros": np.bincount(at, two.zeros), "ones": np.bincount(at, two.ones), "below": np.bincount(at, two.weight)}))
+    top = C.Top(C.top_sums(keys, counts, 3).groupby("node", as_index=False).sum())
     for context in (b"abr", b"zzz", b"xab"):
-        strings = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
-        assert abs((10 ** top.log10(strings, tree, 3)).sum() - 1) < 1e-9
+        # the nearest byte is the highest
+        strings = np.array([int.from_bytes(context[::-1] + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
+        every = np.union1d(keys, strings)
+        seen = np.where(np.isin(every, keys), counts[np.minimum(np.searchsorted(keys, every), len(keys) - 1)], 0)
+        log = top.log10(every, seen, 3)[np.searchsorted(every, strings)]
+        assert abs((10**log).sum() - 1) < 1e-9
+
+
+def test_counts_beyond_32_bits():
+    keys = np.array([5, 7], dtype=np.uint64)
+    counts = np.array([6_000_000_000, 1], dtype=np.int64)
+    assert C.unpack(C.pack(counts), np.int64).tolist() == counts.tolist()
+    assert np.isfinite(C.Top(C.top_sums(keys, counts, 3).groupby("node", as_index=False).sum()).log10(keys, counts, 3)).all()
 
 
 def test_held_out_scores_beat_the_word_model(spark):
