@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.llm.batching import slices
+from sieverank.llm.batching import slices, tidy
 
 #: Fixed masks: word positions that count. Each has weight 5; items shorter than a mask are looked up whole.
 MASKS = ((0, 1, 3, 5, 6), (0, 1, 2, 5, 7), (0, 2, 4, 5, 6))
@@ -204,7 +204,7 @@ def _looker(shared):
                     found.append((ids[part.start + doc], index.items[item][0], n, covered, same, same / n, first, last))
             yield pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return run
+    return tidy(run)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieverank.llm.batching import slices
+from sieverank.llm.batching import slices, tidy
 from sieverank.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 16
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, label: Column, id_col: str = "doc_id", text_col: str =
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"label": language, "bucket": np.r_[at, -1], "n": np.r_[counts[at], 0]})  # -1: the language occurs
 
-    sums = sample.mapInPandas(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    sums = sample.mapInPandas(tidy(count), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toPandas()
     counts = {}
     for language, group in table.groupby("label"):
@@ -168,7 +168,7 @@ def identify(
             yield batch[["doc_id", "host", "suffix", "declared"]].assign(empty=~log.any(axis=1), log=list(log))
 
     k = len(model.classes)
-    scored = rows.mapInPandas(run, "doc_id long, host string, suffix string, declared string, empty boolean, log array<double>")
+    scored = rows.mapInPandas(tidy(run), "doc_id long, host string, suffix string, declared string, empty boolean, log array<double>")
     scored = scored.withColumn("p", softmax(F.col("log"))).checkpoint()
     real = scored.filter("not empty")
     overall = _shares(real, [], k).select(F.array(*[F.coalesce(f"n{i}", F.lit(0.0)) + 1.0 for i in range(k)]).alias("n"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieverank.llm.batching import slices
+from sieverank.llm.batching import slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -159,6 +159,11 @@ def codec(model: str = MODEL, kind: str = "bpe") -> Codec:
     return Codec(model, kind)
 
 
+def _kept(run):
+    """Codecs stay in a worker from task to task, until another operator takes it over."""
+    return tidy(run, "sentencepiece", lambda: codec.cache_clear())
+
+
 def _encoded(batches: Iterable[pd.DataFrame], model: str, kind: str) -> Iterator[tuple[list, list[str], list[bytes], Codec]]:
     own = codec(model, kind)
     for batch in batches:
@@ -178,7 +183,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, kind: str = "bpe", id_
         for ids, _, packed, _ in _encoded(batches, model, kind):
             yield pd.DataFrame({"doc_id": ids, "piece_ids": [np.frombuffer(p, "<i4") for p in packed]})
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, "doc_id long, piece_ids array<int>")
+    return _rows(docs, id_col, text_col).mapInPandas(_kept(run), "doc_id long, piece_ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "piece_ids") -> DataFrame:
@@ -189,7 +194,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": ["" if x is None else own.decode(x) for x in batch["piece_ids"]]})
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("piece_ids")).mapInPandas(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("piece_ids")).mapInPandas(_kept(run), "doc_id long, text string")
 
 
 def encode_and_check(docs: DataFrame, model: str = MODEL, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,4 +215,4 @@ def encode_and_check(docs: DataFrame, model: str = MODEL, kind: str = "bpe", id_
             )
 
     out = "doc_id long, n_chars long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    return _rows(docs, id_col, text_col).mapInPandas(run, out)
+    return _rows(docs, id_col, text_col).mapInPandas(_kept(run), out)
