@@ -16,11 +16,13 @@ the same one). Strings are judged on the input and never cross documents.
 4. The spans found are joined to the texts.
 
 Triggers that occur in more than HOT distinct phrases are not sorted in one task: their strings are dealt out by
-content, and each chunk of documents sends one row for each distinct string.
+content (two hashes of 64 bits), and each chunk of documents sends one row for each distinct string. Phrases are
+compared by their trigger's and their content's hash, 128 bits in all.
 
-Defined results: null texts count as empty; a missing id counts as the smallest; rows with the same id and text are
-one document (each of the rows gets its result), rows with the same id and different texts are ordered by a hash of the
-text; texts shorter than LENGTH lose nothing; other columns are ignored.
+Defined results: null texts count as empty; rows without id come before the others (ids below -2**62 apart), in the
+order of a hash of their texts; rows with the same id and text are one document (each of the rows gets its result), rows
+with the same id and different texts are ordered by a 64-bit hash of the text; texts shorter than LENGTH lose nothing;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +37,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieverank.llm.batching import tidy, trim
+
 LENGTH, GRAM = 100, 24
-SLICE_BYTES, CHUNK_BYTES, HOT, MOST_PARTS = 2_000_000, 8_000_000, 4096, 1021
-NO_ID = -(1 << 63)
+SLICE_BYTES, CHUNK_BYTES, HOT = 2_000_000, 8_000_000, 4096
 ROUTED = "route string, dest int, a binary, b binary, c binary, d binary, e binary"
 U8, U64, I64 = np.uint8, np.uint64, np.int64
 BASE = U64(0x9E3779B97F4A7C15)
 #: Random values of bytes and their use as digits of a polynomial hash modulo 2**64.
 DIGITS = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+#: Other digits, for a second hash.
+MORE_DIGITS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -96,11 +101,11 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 class Hashes:
     """Hashes of any byte range of one array, from running sums of digits."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, digits: np.ndarray = DIGITS):
         powers = np.full(len(data) + 1, BASE, U64)
         powers[0] = U64(1)
         np.cumprod(powers, out=powers)
-        powers[:-1] *= DIGITS[data]
+        powers[:-1] *= digits[data]
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(powers[:-1], out=self.sums[1:])
         powers[:] = INVERSE
@@ -139,17 +144,18 @@ def phrases(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return doc, at - begin[doc], n, grams[own], content
 
 
-def place(start: np.ndarray, n: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """Start (40 bits), number of strings (8) and tie-breaker (16) in one number; sorts by tie-breaker, then start."""
-    return (tie.astype(U64) << U64(48)) | (start.astype(U64) << U64(8)) | n.astype(U64)
+def place(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Start and number of strings (8 bits) in one number; sorts by start."""
+    return (start.astype(U64) << U64(8)) | n.astype(U64)
 
 
 def start_of(p: np.ndarray) -> np.ndarray:
-    return ((p >> U64(8)) & U64((1 << 40) - 1)).astype(I64)
+    return (p >> U64(8)).astype(I64)
 
 
-def chunk_of(doc: np.ndarray, chunks: int) -> np.ndarray:
-    return (doc ^ (doc >> 17)) % chunks
+def chunk_of(doc: np.ndarray, tie: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk that holds a document; neither a frequent id nor a frequent text fills one."""
+    return (doc ^ tie) % chunks
 
 
 def cuts_by_chunk(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray, chunks: int) -> list[tuple]:
@@ -163,12 +169,12 @@ def cuts_by_chunk(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.n
     reach = np.maximum.accumulate(end + group * (1 << 41)) - group * (1 << 41)  # furthest end so far in the document
     first = np.flatnonzero(np.r_[True, ~same | (start[1:] > reach[:-1])])
     doc, tie, start, end = doc[first], tie[first], start[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
-    chunk = chunk_of(doc, chunks)
+    chunk = chunk_of(doc, tie, chunks)
     order = np.argsort(chunk, kind="stable")
     doc, tie, start, end, chunk = (x[order] for x in (doc, tie, start, end, chunk))
     out, edge = [], np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     for a, b in zip(edge, np.r_[edge[1:], len(chunk)], strict=True):
-        out.append(("cut", int(chunk[a]), pack(doc[a:b]), pack(tie[a:b].astype(np.uint16)), pack(start[a:b]), pack(end[a:b]), None))
+        out.append(("cut", int(chunk[a]), pack(doc[a:b]), pack(tie[a:b]), pack(start[a:b]), pack(end[a:b]), None))
     return out
 
 
@@ -176,17 +182,17 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in ROUTED.split(", ")])
 
 
-def repeats(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(keys: list[np.ndarray], doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups of equal keys: order (sorted by keys, then document and place) and whether a row is a repeat there.
 
     A row at the very place of its group's first (a repeated row of the table) is no repeat.
     """
-    order = np.lexsort((at, doc, *reversed(keys)))
-    k = [x[order] for x in keys]
-    head = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in k])] if len(order) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0)) if len(order) else np.zeros(0, I64)
-    d, p = doc[order], at[order]
-    return order, ~((d == d[lead]) & (p == p[lead])) if len(order) else np.zeros(0, bool)
+    order = np.lexsort((at, tie, doc, *reversed(keys)))
+    if not len(order):
+        return order, np.zeros(0, bool)
+    head = np.r_[True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return order, (doc[order] != doc[lead]) | (tie[order] != tie[lead]) | (at[order] != at[lead])
 
 
 def _parse(parts: int, chunks: int):
@@ -216,18 +222,18 @@ def _parse(parts: int, chunks: int):
         return out
 
     def settle(doc, tie, start, n, trigger, content) -> list[tuple]:
-        at = place(start, n, tie)
-        order, again = repeats([trigger, content], doc, at)
+        at = place(start, n)
+        order, again = repeats([trigger, content], doc, tie, at)
         gone = order[again]
         rows = cuts_by_chunk(doc[gone], tie[gone], start[gone], start[gone] + n[gone] + LENGTH - 1, chunks)
         keep = order[~again]
         part = (trigger[keep] % U64(parts)).astype(I64)
-        keep = keep[np.argsort(part, kind="stable")]
-        edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
-        for p in range(parts):
-            own = keep[edges[p] : edges[p + 1]]
-            if len(own):
-                rows.append(("phrase", p, pack(trigger[own]), pack(content[own]), pack(doc[own]), pack(at[own]), None))
+        turn = np.argsort(part, kind="stable")
+        keep, part = keep[turn], part[turn]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, I64)
+        for a, b in zip(edges, np.r_[edges[1:], len(part)], strict=False):
+            own = keep[a:b]
+            rows.append(("phrase", int(part[a]), pack(trigger[own]), pack(content[own]), pack(doc[own]), pack(at[own]), pack(tie[own])))
         return rows
 
     return run
@@ -242,7 +248,7 @@ def pieces(raw: list[bytes], most: int = 4_000_000) -> Iterator[tuple[slice, int
         yield slice(0, 1), at, [raw[0][at : at + most + LENGTH - 1]]
 
 
-def _dictionary(chunks: int):
+def _dictionary(chunks: int, most: int = HOT):
     """Step 2: repeats of whole phrases become cuts; phrases whose trigger has others ask for their bytes."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -252,8 +258,9 @@ def _dictionary(chunks: int):
         content = np.concatenate([unpack(x, U64) for x in rows["b"]])
         doc = np.concatenate([unpack(x, I64) for x in rows["c"]])
         at = np.concatenate([unpack(x, U64) for x in rows["d"]])
-        order, again = repeats([trigger, content], doc, at)
-        start, n, tie = start_of(at), (at & U64(0xFF)).astype(I64), (at >> U64(48)).astype(I64)
+        tie = np.concatenate([unpack(x, I64) for x in rows["e"]])
+        order, again = repeats([trigger, content], doc, tie, at)
+        start, n = start_of(at), (at & U64(0xFF)).astype(I64)
         gone = order[again]
         out = cuts_by_chunk(doc[gone], tie[gone], start[gone], start[gone] + n[gone] + LENGTH - 1, chunks)
         rest = order[~again]
@@ -261,14 +268,14 @@ def _dictionary(chunks: int):
         edge = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, I64)
         size = np.diff(np.r_[edge, len(t)])
         ask = rest[np.repeat(size > 1, size)]
-        hot = np.repeat(size > HOT, size)[np.repeat(size > 1, size)]
-        chunk = chunk_of(doc[ask], chunks)
+        hot = np.repeat(size > most, size)[np.repeat(size > 1, size)]
+        chunk = chunk_of(doc[ask], tie[ask], chunks)
         turn = np.argsort(chunk, kind="stable")
         ask, hot, chunk = ask[turn], hot[turn], chunk[turn]
         edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, I64)
         for a, b in zip(edge, np.r_[edge[1:], len(chunk)].astype(I64)[: len(edge)], strict=True):
             own = ask[a:b]
-            out.append(("ask", int(chunk[a]), pack(trigger[own]), pack(hot[a:b].astype(U8)), pack(doc[own]), pack(at[own]), None))
+            out.append(("ask", int(chunk[a]), pack(trigger[own]), pack(hot[a:b].astype(U8)), pack(doc[own]), pack(at[own]), pack(tie[own])))
         return frame(out)
 
     return run
@@ -302,37 +309,36 @@ def _fetch(parts: int):
         hot = np.concatenate([unpack(x, U8) for x in asked["b"]]).astype(bool)
         doc = np.concatenate([unpack(x, I64) for x in asked["c"]])
         at = np.concatenate([unpack(x, U64) for x in asked["d"]])
-        base = np.array([where[k] for k in zip(doc.tolist(), (at >> U64(48)).tolist(), strict=True)], dtype=I64) + start_of(at)
+        tie = np.concatenate([unpack(x, I64) for x in asked["e"]])
+        base = np.array([where[k] for k in zip(doc.tolist(), tie.tolist(), strict=True)], dtype=I64) + start_of(at)
         n = (at & U64(0xFF)).astype(I64)
         part = (trigger % U64(parts)).astype(I64)
         for p in np.unique(part[~hot]):
             own = np.flatnonzero((part == p) & ~hot)
             size = n[own] + LENGTH - 1
-            out.append(("bytes", int(p), pack(trigger[own]), pack(doc[own]), pack(at[own]), pack(data[spread(base[own], size)]), None))
+            out.append(("bytes", int(p), pack(tie[own]), pack(doc[own]), pack(at[own]), pack(data[spread(base[own], size)]), None))
         if hot.any():
             own = np.flatnonzero(hot)
-            hashes = Hashes(data)
             begin = spread(base[own], n[own])
-            value = hashes.of(begin, begin + LENGTH)
+            value, second = (Hashes(data, digits).of(begin, begin + LENGTH) for digits in (DIGITS, MORE_DIGITS))
             of = np.repeat(own, n[own])
             start = start_of(at[of]) + (begin - base[of])
-            tie = (at[of] >> U64(48)).astype(I64)
-            spot = place(start, np.ones(len(start), I64), tie)
-            order, again = repeats([value], doc[of], spot)
+            spot = place(start, np.ones(len(start), I64))
+            order, again = repeats([value, second], doc[of], tie[of], spot)
             gone = order[again]
-            out += cuts_by_chunk(doc[of][gone], tie[gone], start[gone], start[gone] + LENGTH, key_chunks)
+            out += cuts_by_chunk(doc[of][gone], tie[of][gone], start[gone], start[gone] + LENGTH, key_chunks)
             keep = order[~again]
             dest = (scramble(value[keep]) % U64(parts)).astype(I64)
             for p in np.unique(dest):
                 k = keep[dest == p]
-                out.append(("strings", int(p), pack(value[k]), pack(doc[of][k]), pack(spot[k]), None, None))
+                out.append(("strings", int(p), pack(value[k]), pack(doc[of][k]), pack(spot[k]), pack(tie[of][k]), pack(second[k])))
         return frame(out)
 
     key_chunks = parts
     return run
 
 
-def suffix_order(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strings of LENGTH bytes from `begin` on, sorted by their bytes, then document and place; and which are repeats."""
     padded = np.concatenate([text, np.zeros(8, U8)])
     keys = []
@@ -341,7 +347,7 @@ def suffix_order(text: np.ndarray, begin: np.ndarray, doc: np.ndarray, at: np.nd
         for j in range(8):
             word = (word << U64(8)) | (padded[begin + k + j].astype(U64) if k + j < LENGTH else U64(0))
         keys.append(word)
-    return repeats(keys, doc, at)
+    return repeats(keys, doc, tie, at)
 
 
 def _suffixes(chunks: int):
@@ -354,10 +360,11 @@ def _suffixes(chunks: int):
             value = np.concatenate([unpack(x, U64) for x in rows["a"]])
             doc = np.concatenate([unpack(x, I64) for x in rows["b"]])
             at = np.concatenate([unpack(x, U64) for x in rows["c"]])
-            order, again = repeats([value], doc, at)
+            tie = np.concatenate([unpack(x, I64) for x in rows["d"]])
+            order, again = repeats([value, np.concatenate([unpack(x, U64) for x in rows["e"]])], doc, tie, at)
             gone = order[again]
             start = start_of(at[gone])
-            return frame(cuts_by_chunk(doc[gone], (at[gone] >> U64(48)).astype(I64), start, start + LENGTH, chunks))
+            return frame(cuts_by_chunk(doc[gone], tie[gone], start, start + LENGTH, chunks))
         doc = np.concatenate([unpack(x, I64) for x in rows["b"]])
         at = np.concatenate([unpack(x, U64) for x in rows["c"]])
         text = np.concatenate([unpack(x, U8) for x in rows["d"]])
@@ -366,15 +373,15 @@ def _suffixes(chunks: int):
         begin = spread(np.cumsum(size) - size, n)
         of = np.repeat(np.arange(len(n)), n)
         start = start_of(at)[of] + (begin - (np.cumsum(size) - size)[of])
-        tie = (at[of] >> U64(48)).astype(I64)
+        tie = np.concatenate([unpack(x, I64) for x in rows["a"]])[of]
         # Strings that occur once cannot be repeats; the others are put into suffix order.
         value = Hashes(text).of(begin, begin + LENGTH)
         order = np.argsort(value)
         v = value[order]
         twice = np.r_[False, v[1:] == v[:-1]] | np.r_[v[1:] == v[:-1], False] if len(v) else np.zeros(0, bool)
         pick = np.sort(order[twice])
-        spot = place(start[pick], np.ones(len(pick), I64), tie[pick])
-        ranked, again = suffix_order(text, begin[pick], doc[of][pick], spot)
+        spot = place(start[pick], np.ones(len(pick), I64))
+        ranked, again = suffix_order(text, begin[pick], doc[of][pick], tie[pick], spot)
         gone = pick[ranked[again]]
         return frame(cuts_by_chunk(doc[of][gone], tie[gone], start[gone], start[gone] + LENGTH, chunks))
 
@@ -387,7 +394,7 @@ def spans_of(told: pd.DataFrame) -> dict[tuple[int, int], list[tuple[int, int]]]
     if not len(cut):
         return {}
     doc = np.concatenate([unpack(x, I64) for x in cut["a"]])
-    tie = np.concatenate([unpack(x, np.uint16) for x in cut["b"]]).astype(I64)
+    tie = np.concatenate([unpack(x, I64) for x in cut["b"]])
     start = np.concatenate([unpack(x, I64) for x in cut["c"]])
     end = np.concatenate([unpack(x, I64) for x in cut["d"]])
     order = np.lexsort((start, tie, doc))
@@ -405,7 +412,7 @@ def _cut(_: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     """Step 4: the remaining bytes of each document of a chunk."""
     spans = spans_of(told)
     out = []
-    for i, t, text in zip(rows["id"].tolist(), rows["tie"].tolist(), rows["text"], strict=True):
+    for i, gone, t, text in zip(rows["id"].tolist(), rows["unnamed"].tolist(), rows["tie"].tolist(), rows["text"], strict=True):
         raw, own = text.encode("utf-8", "surrogatepass"), spans.get((i, t), [])
         kept, at = [], 0
         for s, e in own:
@@ -413,22 +420,27 @@ def _cut(_: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             at = e
         kept.append(raw[at:])
         rest = b"".join(kept)
-        out.append((i, len(raw), len(raw) - len(rest), len(own), rest, hashlib.sha256(rest).hexdigest()))
-    return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        out.append((None if gone else i, len(raw), len(raw) - len(rest), len(own), rest, hashlib.sha256(rest).hexdigest()))
+    done = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+    trim()
+    return done.assign(id=pd.array([o[0] for o in out], dtype="Int64"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 for each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tie"), text.alias("text"))
+    tie = F.xxhash64(text)
+    # A row without id is named by its text, at the lower end of the numbers, and by a null beside it.
+    unnamed = F.lit(-(1 << 63)) + F.shiftrightunsigned(tie, 2)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("id"), F.col(id_col).isNull().alias("unnamed"), tie.alias("tie"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = min(MOST_PARTS, 2 * math.ceil(size / CHUNK_BYTES / 2) + 7)
-    parsed = rows.mapInPandas(_parse(chunks, chunks), ROUTED)
-    known = parsed.groupBy("route", "dest").applyInPandas(_dictionary(chunks), ROUTED)
-    chunk = F.pmod(F.col("id").bitwiseXOR(F.shiftright("id", 17)), F.lit(chunks)).cast("int")
+    chunks = 2 * math.ceil(size / CHUNK_BYTES / 2) + 7
+    parsed = rows.select("id", "tie", "text").mapInPandas(tidy(_parse(chunks, chunks)), ROUTED)
+    known = parsed.groupBy("route", "dest").applyInPandas(_dictionary(chunks, hot), ROUTED)
+    chunk = F.pmod(F.col("id").bitwiseXOR(F.col("tie")), F.lit(chunks)).cast("int")
     texts = rows.withColumn("dest", chunk).groupBy("dest")
     fetched = texts.cogroup(known.groupBy("dest")).applyInPandas(_fetch(chunks), ROUTED)
     cuts = fetched.groupBy("route", "dest").applyInPandas(_suffixes(chunks), ROUTED)
     out = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     done = texts.cogroup(cuts.groupBy("dest")).applyInPandas(_cut, out)
-    return done.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
