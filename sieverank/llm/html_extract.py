@@ -29,10 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieverank.llm.batching import tidy
+
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-DROPPED = RAW | frozenset("head select option button canvas object audio video datalist".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+NESTED = frozenset("svg math template canvas object audio video".split())
+CHOICES = frozenset("select option button datalist".split())
+METADATA = frozenset("head meta link base".split())
+DROPPED = RAW | NESTED | CHOICES
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input acronym data ruby rt rp".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -56,14 +61,54 @@ class Node:
         self.linked = self.chars = 0  # characters in links and in all, of the whole subtree once parsed
 
 
-def parse(page: str | None) -> Node:
-    """The tree of a page; unclosed and misnested tags are closed as browsers do for blocks."""
+@lru_cache(maxsize=64)
+def _tag(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?![^\s/>])[^>]*>", re.I)
+
+
+BLOCK_START = re.compile(rf"<(?:/?(?:{'|'.join(sorted(CLOSES_P | {'body', 'html', 'tr', 'td', 'th', 'li', 'dt', 'dd'}))}))(?![^\s/>])", re.I)
+
+
+def after_dropped(page: str, tag: str, at: int, self_closed: bool) -> int:
+    """Where a page goes on after the start tag of an element that shows no text.
+
+    Code goes on to its end tag, or to the end of the page. Elements that nest end at the tag that balances them, others
+    at their first end tag unless another of them opens before. One that is never closed is only its start tag; a choice
+    or button that is never closed ends before the next block.
+    """
+    if self_closed and tag in NESTED:
+        return at
+    if tag in ("script", "style"):
+        over = next((m for m in _tag(tag).finditer(page, at) if m[1]), None)
+        return over.end() if over else len(page)
+    depth, first = 1, None
+    for m in _tag(tag).finditer(page, at):
+        if m[1]:
+            first = first or m
+            depth -= 1
+            if depth == 0:
+                return m.end()
+        elif tag not in NESTED:
+            break
+        elif not m[0].endswith("/>"):
+            depth += 1
+    if first is not None:
+        return first.end()
+    if tag in CHOICES:
+        block = BLOCK_START.search(page, at)
+        return block.start() if block else len(page)
+    return at
+
+
+def parse(page: str | None, labelled: bool = False) -> Node:
+    """The tree of a page; unclosed and misnested tags are closed as browsers do for blocks. Only a labelled page's
+    states are read from it."""
     root = Node("#root", frozenset(), None)
     page = page or ""
     stack = [root]
     open_text: Node | None = None
-    links, dropped, at = 0, None, 0
-    depth, last = 0, page.rfind(">")  # nothing after the last ">" can be a tag
+    links, at = 0, 0
+    last = page.rfind(">")  # nothing after the last ">" can be a tag
 
     def text(raw: str) -> None:
         nonlocal open_text
@@ -87,7 +132,7 @@ def parse(page: str | None) -> Node:
     while at < end:
         found = TOKEN.search(page, at) if at <= last else None
         stop = found.start() if found else end
-        if stop > at and dropped is None:
+        if stop > at:
             text(page[at:stop])
         if not found:
             break
@@ -97,12 +142,6 @@ def parse(page: str | None) -> Node:
             continue
         closing, attributes = found[1] or found[4], found[3] or found[6] or ""
         tag = name.lower()
-        if dropped is not None:  # inside an element whose text is never shown as text
-            if tag == dropped:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    dropped = None
-            continue
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
@@ -115,12 +154,10 @@ def parse(page: str | None) -> Node:
                         links = 0
                         break
             continue
+        if tag in METADATA:  # a head is not always closed; what it holds shows no text
+            continue
         if tag in DROPPED:
-            if tag in RAW:
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = over.end() if over else end
-            elif not attributes.endswith("/"):
-                dropped, depth = tag, 1
+            at = after_dropped(page, tag, at, attributes.endswith("/"))
             continue
         if tag == "a":
             links = 1
@@ -155,7 +192,7 @@ def parse(page: str | None) -> Node:
                 if key in ("class", "id", "role", "itemprop", "aria-label"):
                     spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
                     marks.update(WORD.findall(spaced.lower()))
-                elif key == "data-state":
+                elif labelled and key == "data-state":
                     label = int(value.strip("\"'"))
         node = Node(tag, frozenset(marks), stack[-1], label)
         stack[-1].children.append(node)
@@ -211,7 +248,7 @@ class Model:
         total = [[0.0, 0.0], [0.0, 0.0]]
         edges: dict[str, list[list[float]]] = {}
         for page in pages:
-            nodes = in_order(parse(page))
+            nodes = in_order(parse(page, labelled=True))
             for node in reversed(nodes):  # unlabelled elements hold content if something beneath does; text as its element
                 if node.tag == "#text":
                     up = node.parent
@@ -400,4 +437,4 @@ def main_text(pages: DataFrame, model: Model | None = None, id_col: str = "page_
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInPandas(tidy(run), "page_id long, url string, text string, n_chars long")

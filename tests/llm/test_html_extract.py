@@ -30,7 +30,7 @@ def test_held_out_labelled_pages():
     model = H.default_model()
     right = total = 0
     for page in H.labelled_pages(150, seed=99):
-        root = H.parse(page)
+        root = H.parse(page, labelled=True)
         chance = model.marginals(root)
         for node in H.in_order(root):
             if node.tag == "#text":
@@ -64,3 +64,26 @@ def test_broken_mark_up_and_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, "u", "", "t"), (None, "u", f"<article><p>{long}</p></article>", "t")], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in H.main_text(df).collect()) == [0, 0, len(long)]
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_elements_that_are_not_closed_lose_no_page():
+    model = H.default_model()
+    long = "A sentence that is long enough to be read as a part of the article itself, again and again."
+    body = f"<article><h1>A title of the page</h1><p>{long}</p><p>{long}</p></article>"
+    want = H.extract(f"<html><body>{body}</body></html>", model)
+    assert want.count(long) == 2
+    for broken in (
+        f'<html><head><title>t</title><meta charset="u"><body>{body}',  # a head without an end
+        f'<html><head><title>t</title><link rel="x">{body}',
+        f"<body><div><select><option>one<option>two</div>{body}",
+        f"<body><button>menu<div></div>{body}",
+        f'<body><svg viewBox="0 0 1 1"/>{body}',
+        f"<body><svg><path d='m'>{body}",
+        f'<body><iframe src="x"/>{body}',
+        f'<body><iframe src="x">{body}',
+        f"<body><svg><svg><text>a</text></svg><text>b</text></svg>{body}",
+        f"<body><template><template><p>x</p></template><p>{long}</p></template>{body}",
+    ):
+        assert H.extract(broken, model) == want, broken
+    assert H.extract(f'<div data-state="open"><p data-state="x">{long}</p></div>' + body, model).count(long) >= 2
+    assert H.extract(f"<body><script>var a = '<script>';</script>{body}", model) == want
