@@ -22,10 +22,12 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieverank.llm.graph import components
+from sieverank.llm.batching import tidy
+from sieverank.llm.graph import components, least_ids
 from sieverank.session import ensure_checkpoint_dir
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -46,12 +48,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])], dtype="<u8")
-    if len(hashes) < 200:
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        columns = hashes.view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ BITS for i in range(8)])
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * votes(hashes) > len(hashes), bitorder="little").tobytes(), "little")
 
 
 #: Bits of each byte value, lowest first.
@@ -67,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": values.view(np.int64)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp long")
+    return rows.mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -89,10 +86,14 @@ def postings(fp: Column) -> Column:
 
 
 def near(a: np.ndarray, b: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Count filter, then verification, on arrays of pairs (rows of 64-bit words)."""
+    """Count filter, then verification, on arrays of pairs (rows of 64-bit words): the byte positions that a pair shares
+    are tallied, pairs below the guaranteed number (GUARANTEED for one word and MOST_BITS) go, the rest is verified."""
     x = a ^ b
     shared = (np.ascontiguousarray(x).view(np.uint8) == 0).sum(axis=1)
-    return (shared >= 8 * x.shape[1] - most) & (np.bitwise_count(x).sum(axis=1) <= most)
+    kept = np.flatnonzero(shared >= 8 * x.shape[1] - most)
+    out = np.zeros(len(x), bool)
+    out[kept] = np.bitwise_count(x[kept]).sum(axis=1) <= most
+    return out
 
 
 def forest(fps: np.ndarray, side: np.ndarray | None, most: int = MOST_BITS) -> list[tuple[int, int]]:
@@ -101,7 +102,7 @@ def forest(fps: np.ndarray, side: np.ndarray | None, most: int = MOST_BITS) -> l
     links = []
     for i in range(len(fps) - 1):
         rest = fps[i + 1 :]
-        hit = np.bitwise_count(rest ^ fps[i]).sum(axis=1) <= most
+        hit = near(rest, fps[i], most)
         if side is not None:
             hit &= side[i + 1 :] != side[i]
         at = np.flatnonzero(hit) + i + 1
@@ -164,55 +165,50 @@ def posting_links(batches: Iterable[pd.DataFrame], most: int = MOST_BITS, words:
     return whole_postings(batches, links)
 
 
-def _compared(keyed: DataFrame, nodes: DataFrame, block: int, most: int, words: tuple[str, ...], compare: Callable | None = None) -> DataFrame:
-    """a, b: links among the rows (key, node) that share a key; large postings go to pairs of blocks.
+def _meeting(keyed: DataFrame, counts: DataFrame, nodes: DataFrame, block: int, words: tuple[str, ...], compare: Callable) -> DataFrame:
+    """a, b: what `compare` finds among the rows (key, node) of the keys in counts (key, count).
 
     Most keys occur once and go at the first join; only the others fetch the words of their fingerprint from nodes.
     """
-    if "known" in keyed.columns:  # what is known to be one component needs no comparison
-        counts = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi")
-    else:
-        counts = keyed.groupBy("key").count().filter("count > 1")
-    shared = counts.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = keyed.select("key", "node").join(shared, "key").join(nodes.select("node", *words), "node")
+    return _blocks(keyed.select("key", "node").join(counts.select("key", "count"), "key"), nodes, block, words, compare)
+
+
+def _blocks(shared: DataFrame, nodes: DataFrame, block: int, words: tuple[str, ...], compare: Callable, out: str = "a long, b long") -> DataFrame:
+    """The same for rows (key, node, count); postings of more than `block` rows go to pairs of blocks."""
+    rows = shared.select("key", "node", F.ceil(F.col("count") / block).cast("int").alias("blocks")).join(nodes.select("node", *words), "node")
     mine = F.when(F.col("blocks") > 1, F.pmod(F.hash("node"), F.col("blocks"))).otherwise(F.lit(0))
     rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", *words)
     sorted_rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    return sorted_rows.mapInPandas(compare or (lambda batches: posting_links(batches, most, words)), "a long, b long")
+    return sorted_rows.mapInPandas(tidy(compare), out)
 
 
 def fingerprint_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that give the components of the link graph."""
     nodes = nodes.select(F.col("fp").alias("node"), "fp")
-    return _compared(nodes.select(F.explode(postings(F.col("fp"))).alias("key"), "node"), nodes, block, MOST_BITS, ("fp",))
+    keyed = nodes.select(F.explode(postings(F.col("fp"))).alias("key"), "node")
+    return _meeting(keyed, keyed.groupBy("key").count().filter("count > 1"), nodes, block, ("fp",), posting_links)
 
 
-#: The wide form: two 64-bit words, likeness cos(pi * differing bits / 128) of at least 0.8, and posting keys of three
-#: byte positions after each of ROUNDS fixed permutations of the bits.
-WIDE_BITS, WIDE_SHINGLE, ROUNDS = 26, 5, 32
-#: Keys of the first pass. Large groups hang together after it; later postings within one component are left out.
-FIRST_KEYS = 10
+#: The wide form: two 64-bit words, and posting keys of three byte positions after each of ROUNDS fixed permutations of
+#: the bits. It only joins early what is easily joined.
+WIDE_BITS, WIDE_SHINGLE, ROUNDS = 20, 5, 2
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
-    """128-bit SimHash as two unsigned words, by XXH3-128."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh3_128_digest
-    if len(words) <= shingle:
-        hashes = [digest(joined)]
-    else:
-        starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        hashes = [digest(joined[a : b - 1]) for a, b in zip(starts, starts[shingle:])]
-    columns = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16)
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of their 64 bits set."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 200:
-        ones = np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ BITS for i in range(16)])
-    a, b = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+        return np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(columns[:, i], minlength=256) @ BITS for i in range(8)])
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128-bit SimHash of shingle hashes, repeats included, as two signed words; the second is voted on by their remix."""
+    again = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    again ^= again >> np.uint64(32)
+    bits = np.concatenate([votes(hashes), votes(again)])
+    a, b = np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")
     return int(a), int(b)
 
 
@@ -228,57 +224,13 @@ def wide_postings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def wide_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, component_id by the wide form: likeness of 0.8 or more on shingles of five words.
-
-    A first pass on FIRST_KEYS keys joins what is easily joined; in the second, postings whose members are all of one
-    component (by a hash of its root) are left out, which changes no component. Bits that differ spread over all bytes
-    here, so no number of shared bytes is guaranteed: a pair is found if it shares one of the keys. Of pairs of Jaccard
-    likeness 0.8 or more nearly all do (figures in the README).
-    """
-    ensure_checkpoint_dir(docs.sparkSession)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.array([wide_fingerprint(t) for t in batch["text"]], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "w0": values[:, 0], "w1": values[:, 1]})
-
-    def index(part: slice):
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                a, b = (batch[c].to_numpy() for c in ("w0", "w1"))
-                keys = wide_postings(a.view(np.uint64), b.view(np.uint64))[:, part]
-                of = np.repeat(np.arange(len(batch)), keys.shape[1])
-                yield pd.DataFrame({"key": keys.ravel(), "node": batch["node"].to_numpy()[of], "known": batch["known"].to_numpy()[of]})
-
-        return run
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.mapInPandas(run, "doc_id long, w0 long, w1 long").withColumn("node", F.xxhash64("w0", "w1")).checkpoint()
-    nodes = known.groupBy("node", "w0", "w1").agg(F.min("doc_id").alias("least")).checkpoint()
-    words, out = ("w0", "w1"), "key long, node long, known int"
-    first = nodes.select("node", *words, F.lit(0).alias("known")).mapInPandas(index(slice(0, FIRST_KEYS)), out).drop("known")
-    links = _compared(first, nodes, block, WIDE_BITS, words).checkpoint()
-    early = components(links)
-    told = nodes.join(early, "node", "left").select("node", *words, F.hash(F.coalesce("root", "node")).alias("known"))
-    # A node becomes many keys: tasks that fit its small row would not fit those.
-    told = told.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    rest = told.mapInPandas(index(slice(FIRST_KEYS, None)), out)
-    roots = components(links.unionByName(_compared(rest, nodes, block, WIDE_BITS, words)))
-    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(labelled.select("node", "root").join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for each row: component_id is the smallest doc_id that links reach."""
     ensure_checkpoint_dir(docs.sparkSession)
     known = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     nodes = known.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = components(fingerprint_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(nodes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    ids = least_ids(nodes.withColumnRenamed("fp", "node"), components(fingerprint_links(nodes.select("fp"))))
+    return known.join(ids.withColumnRenamed("node", "fp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -290,13 +242,18 @@ def node_of(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
 
 
-def shingle_set(words: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; texts of fewer words are one shingle, those without any the empty one."""
+def shingle_hashes(words: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; texts of fewer words are one shingle, those without any the empty one."""
     joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
     if len(words) <= shingle:
         return np.array([digest(joined)], dtype=np.uint64)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip(starts, starts[shingle:])], dtype=np.uint64))
+    return np.array([digest(joined[a : b - 1]) for a, b in zip(starts, starts[shingle:])], dtype=np.uint64)
+
+
+def shingle_set(words: list[bytes], shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(words, shingle))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -304,104 +261,166 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+#: Bytes of each shingle hash that are sent for verification; within one pair of texts these do not collide.
+SENT_BYTES = 5
+
+
+def packed_set(shingles: np.ndarray) -> bytes:
+    """A shingle set by the upper SENT_BYTES bytes of its hashes, in order, as compressed planes."""
+    planes = (np.unique(shingles >> np.uint64(64 - 8 * SENT_BYTES))).view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unpacked_set(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(SENT_BYTES, -1).T
+    out = np.zeros((len(planes), 8), np.uint8)
+    out[:, :SENT_BYTES] = planes
+    return out.view(np.uint64).ravel()
+
+
 #: Bits of the filter that keeps texts no candidate names out of the shuffle; false hits cost time only.
 WANTED_BITS = 24
 
 
-def real_links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b: nodes) whose texts are alike; docs has a column text."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _place(key: int) -> int:
+    return (key ^ (key >> 21) ^ (key >> 43)) & ((1 << WANTED_BITS) - 1)
+
+
+def real_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: nodes) whose texts are alike; nodes has node and least, docs doc_id and text.
+
+    Of the copies of a word sequence only the row with the least id sends its shingles (all rows if none has an id).
+    """
+    named_in = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = named_in.join(nodes.select("node", "least"), "node").select(F.coalesce("least", "node").alias("key"))
+    at = ids.select((F.col("key").bitwiseXOR(F.shiftright("key", 21)).bitwiseXOR(F.shiftright("key", 43))).bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("at"))
     bits = np.zeros(1 << WANTED_BITS, bool)
-    bits[nodes.select(F.col("node").bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+    bits[at.distinct().toPandas()["at"].to_numpy(np.int64)] = True
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def sets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def is_wanted(key: int) -> bool:
+            return bool(wanted.value[_place(key) >> 3] >> (7 - (_place(key) & 7)) & 1)
+
         for batch in batches:
             found = []
-            for text in batch["text"]:
-                words = normal_words(text)
-                node = node_of(words)
-                bit = node & ((1 << WANTED_BITS) - 1)
-                if wanted.value[bit >> 3] >> (7 - (bit & 7)) & 1:
-                    found.append((node, shingle_set(words).tobytes()))
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                if pd.isna(doc_id):
+                    words = normal_words(text)
+                    if is_wanted(node := node_of(words)):
+                        found.append((node, packed_set(shingle_hashes(words))))
+                elif is_wanted(int(doc_id)):
+                    words = normal_words(text)
+                    found.append((node_of(words), packed_set(shingle_hashes(words))))
             yield pd.DataFrame(found, columns=["node", "shingles"])
 
     def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"])]
+            ok = [alike(unpacked_set(x), unpacked_set(y)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
-    texts = docs.select("text").mapInPandas(sets, "node long, shingles binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    def told(side: str, name: str) -> DataFrame:
+        return docs.select("doc_id", "text").mapInPandas(tidy(sets), "node long, shingles binary").select(F.col("node").alias(side), F.col("shingles").alias(name))
+
+    both = pairs.join(told("a", "x"), "a").join(told("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInPandas(tidy(check), "a long, b long").distinct()
+
+
+#: Words of a set's parity sketch: bit i tells whether an odd number of its hashes falls on i.
+SKETCH = tuple(f"m{i}" for i in range(4))
+NAMED = "doc_id long, node long, w0 long, w1 long, size long, " + ", ".join(f"{m} long" for m in SKETCH)
 
 
 def named(rows: DataFrame) -> DataFrame:
-    """doc_id, node, w0, w1: the name of each row's word sequence and its 128-bit fingerprint."""
+    """NAMED for each row: the name of its word sequence, 128-bit fingerprint, number of distinct shingles and parity sketch."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = np.array([wide_fingerprint(t) for t in batch["text"]], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": [node_of(normal_words(t)) for t in batch["text"]], "w0": values[:, 0], "w1": values[:, 1]})
+            found = []
+            for text in batch["text"]:
+                words = normal_words(text)
+                hashes = shingle_hashes(words)
+                distinct = np.unique(hashes)
+                found.append((node_of(words), *wide_fingerprint(hashes), len(distinct), *parity(distinct).tolist()))
+            out = pd.DataFrame(found, columns=["node", "w0", "w1", "size", *SKETCH])
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield out
 
-    return rows.mapInPandas(run, "doc_id long, node long, w0 long, w1 long")
+    return rows.mapInPandas(tidy(run), NAMED)
 
 
-def wide_index(nodes: DataFrame, part: slice) -> DataFrame:
-    """key, node: the posting keys `part` of each node (node, w0, w1)."""
+def wide_index(nodes: DataFrame) -> DataFrame:
+    """key, node: the posting keys of each node (node, w0, w1)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = wide_postings(*(batch[c].to_numpy().view(np.uint64) for c in ("w0", "w1")))[:, part]
+            keys = wide_postings(*(batch[c].to_numpy().view(np.uint64) for c in ("w0", "w1")))
             yield pd.DataFrame({"key": keys.ravel(), "node": np.repeat(batch["node"].to_numpy(), keys.shape[1])})
 
-    return nodes.select("node", "w0", "w1").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node").mapInPandas(run, "key long, node long")
+    return nodes.select("node", "w0", "w1").mapInPandas(tidy(run), "key long, node long")
 
 
 #: Documents (about) whose shingles are counted for the order of the prefix index, and how many frequent ones it knows.
-#: Any order gives the same links; a better one gives shorter postings.
-ORDER_ROWS, ORDER_SIZE = 10_000, 200_000
-#: Words of a set's parity sketch: bit i tells whether an odd number of its hashes falls on i.
-SKETCH = tuple(f"m{i}" for i in range(8))
+#: Any order gives the same links; a better one gives shorter postings. A key seen in HOT_SEEN of them has postings that
+#: are counted with partial sums before anything meets.
+ORDER_ROWS, ORDER_SIZE, HOT_SEEN = 10_000, 200_000, 5
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order, and ranks, of the most frequent shingles of a sample of docs (column text)."""
-    share = max(1, docs.count() // ORDER_ROWS)
+def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and counts, of the most frequent shingles of a sample of docs (column text)."""
+    share = max(1, n_docs // ORDER_ROWS)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(normal_words(t)).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, np.int64), *found])})
 
-    counts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInPandas(run, "h long").groupBy("h").count()
+    counts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInPandas(tidy(run), "h long").groupBy("h").count()
     top = counts.filter("count > 1").orderBy(F.desc("count"), "h").limit(ORDER_SIZE).toPandas()
     hashes, ranks = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], ranks[order]
 
 
-def prefix_keys(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles, rare ones first. Two sets that are alike share one of these: each has 0.8 n
-    shingles in common with the other, so the first common one in the order cannot come later."""
+def prefix_length(n):
+    return n - (4 * n + 4) // 5 + 1
+
+
+def guaranteed(n, m):
+    """The least number of keys that the prefixes of two alike sets of n and m shingles share.
+
+    Up to the earlier end of the two prefixes in the order of shingles, all common shingles are in both; what comes later
+    is at most the rest of that set, and 4 (n + m) / 9 are common in all.
+    """
+    rest = np.maximum(n - prefix_length(n), m - prefix_length(m))
+    return np.maximum(-(-(4 * (n + m) - 9 * rest) // 9), 1)
+
+
+def prefix_of(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(0.8 n) + 1 shingles, rare ones first, and which of them are hot. Two sets that are alike share
+    one of these: each has 0.8 n shingles in common with the other, so the first common one in the order cannot come later."""
     hashes, counts = frequent
     rank = np.zeros(len(shingles), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
         rank = np.where(hashes[at] == shingles, counts[at], 0)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, rank))[: n - (4 * n + 4) // 5 + 1]]
+    chosen = np.lexsort((shingles, rank))[: prefix_length(len(shingles))]
+    return shingles[chosen], rank[chosen] >= HOT_SEEN
+
+
+def prefix_keys(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return prefix_of(shingles, frequent)[0]
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """512 bits; two sets differ in at least as many shingles as their sketches in bits."""
-    bits = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    """Bits by which two sketches differ: at most the shingles by which the two sets differ."""
+    bits = np.bincount((shingles & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def prefix_index(docs: DataFrame) -> DataFrame:
-    """node, size, SKETCH..., keys: one row for each distinct word sequence of docs (column text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+def prefix_index(docs: DataFrame, n_docs: int) -> DataFrame:
+    """node, keys, hot_keys: one row for each distinct word sequence of docs (column text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n_docs))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -410,12 +429,11 @@ def prefix_index(docs: DataFrame) -> DataFrame:
                 words = normal_words(text)
                 node = node_of(words)
                 if node not in done:
-                    found = shingle_set(words)
-                    done[node] = (node, len(found), *parity(found).tolist(), prefix_keys(found, shared.value).view(np.int64))
-            yield pd.DataFrame(list(done.values()), columns=["node", "size", *SKETCH, "keys"])
+                    keys, hot = prefix_of(shingle_set(words), shared.value)
+                    done[node] = (node, keys[~hot].view(np.int64), keys[hot].view(np.int64))
+            yield pd.DataFrame(list(done.values()), columns=["node", "keys", "hot_keys"])
 
-    schema = ", ".join(["node long, size long", *(f"{m} long" for m in SKETCH), "keys array<long>"])
-    return docs.select("text").mapInPandas(run, schema).dropDuplicates(["node"])
+    return docs.select("text").mapInPandas(tidy(run), "node long, keys array<long>, hot_keys array<long>").dropDuplicates(["node"])
 
 
 def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
@@ -427,7 +445,8 @@ def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int, rest: np.ndarray)
 
 
 def prefix_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a < b: candidates of different components in the postings of sorted batches (key, lo, hi, block, node, known, size, SKETCH...)."""
+    """a < b, least: pairs of different components in each posting of sorted batches (key, lo, hi, block, node, known, size,
+    SKETCH...), and how many postings such a pair must share."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         key = rows[["key", "lo", "hi"]].to_numpy()
@@ -446,8 +465,8 @@ def prefix_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = rest[ok]
             rest = rest[may_be_alike(size, sketch, i, rest)]
             if len(rest):
-                out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"]).drop_duplicates()
+                out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i]), guaranteed(size[rest], size[i])], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "least"])
 
     return whole_postings(batches, pairs)
 
@@ -455,26 +474,33 @@ def prefix_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-    FIRST_KEYS keys of the wide form join what is easily joined. Then an index on shingle prefixes, which every pair of
-    that likeness shares, gives all candidates between different components; bounds that no such pair breaks thin them.
-    Every link of either pass is verified by its shingles before components are made.
+    The keys of the wide form join what is easily joined. Then an index on shingle prefixes gives all candidates between
+    different components: the postings that a pair shares are tallied, and pairs below the number that alike sets are
+    guaranteed to share are dropped. Every link of either pass is verified by its shingles before components are made.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = named(rows).checkpoint()
-    nodes = known.groupBy("node", "w0", "w1").agg(F.min("doc_id").alias("least")).checkpoint()
-    pairs = _compared(wide_index(nodes, slice(0, FIRST_KEYS)), nodes, block, WIDE_BITS, ("w0", "w1")).distinct().checkpoint()
-    links = real_links(pairs, rows).checkpoint()
-    told = prefix_index(rows).join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root").checkpoint()
-    keyed = told.select("node", "known", F.explode("keys").alias("key"))
-    more = _compared(keyed, told, block, 0, ("known", "size", *SKETCH), prefix_pairs).distinct().checkpoint()
-    return _labelled(known, nodes, components(links.unionByName(real_links(more, rows))))
-
-
-def _labelled(known: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    labelled = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return known.join(labelled.select("node", "root").join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    same = [F.first(c).alias(c) for c in ("w0", "w1", "size", *SKETCH)]  # functions of the node
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *same).checkpoint()
+    n_docs = int(nodes.agg(F.sum("copies")).first()[0] or 0)
+    keyed = wide_index(nodes)
+    pairs = _meeting(keyed, keyed.groupBy("key").count().filter("count > 1"), nodes, block, ("w0", "w1"), lambda batches: posting_links(batches, WIDE_BITS, ("w0", "w1"))).distinct().checkpoint()
+    links = real_links(pairs, nodes, rows).checkpoint()
+    told = prefix_index(rows, n_docs).join(components(links), "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root").checkpoint()
+    words = ("known", "size", *SKETCH)
+    beside = told.select("node", "known").join(nodes.select("node", "size", *SKETCH), "node")
+    # Most keys occur once: they go in the one shuffle that brings rows of a key together. Hot keys are counted first.
+    every = Window.partitionBy("key")
+    rest = told.select(F.explode("keys").alias("key"), "node", "known")
+    rest = rest.select("key", "node", F.min("known").over(every).alias("lo"), F.max("known").over(every).alias("hi"), F.count("*").over(every).alias("count")).filter("lo <> hi")
+    hot = told.select(F.explode("hot_keys").alias("key"), "node", "known")
+    counted = hot.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.count("*").alias("count")).filter("lo <> hi").select("key", "count")
+    shared = rest.select("key", "node", "count").unionByName(hot.select("key", "node").join(counted, "key"))
+    tally = _blocks(shared, beside, block, words, prefix_pairs, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    more = tally.filter("n >= least").select("a", "b").checkpoint()
+    ids = least_ids(nodes.select("node", "least"), components(links.unionByName(real_links(more, nodes, rows))))
+    return known.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sieverank.llm.sentencepiece_codec import MODEL
-from tests.llm.test_simhash import wide_brute
+from tests.llm.test_near_copies import least_ids
 
 FIXTURE = "/root/testdata/sf0.001"
 
@@ -24,9 +24,8 @@ def test_stages_keep_columns_and_decide(spark):
         after[name] = {r.doc_id: r.text for r in docs.collect()}
     assert len(after["language_id"]) >= 0.99 * len(before)
     # of near-duplicates: the smallest id of each component, by brute force over all pairs
-    ids = sorted(after["language_id"])
-    least = wide_brute([before[i] for i in ids])
-    assert set(after["simhash_near_dedup"]) == {ids[i] for i in range(len(ids)) if least[i] == i}
+    least = least_ids(sorted(after["language_id"].items()))
+    assert set(after["simhash_near_dedup"]) == {i for i, root in least.items() if i == root}
     items = [r.text for r in spark.read.parquet(f"{FIXTURE}/benchmark.parquet").collect()]
     gone = set(after["simhash_near_dedup"]) - set(after["benchmark_decontamination"])
     assert gone == {i for i in after["simhash_near_dedup"] if any(t in before[i] for t in items)}

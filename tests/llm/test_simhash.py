@@ -92,43 +92,3 @@ def test_nulls_empty_repeated(spark):
     assert got == [(-1, 9), (3, 3), (3, 3), (5, 3), (9, 9)]
     assert S.near_duplicates(docs.limit(0)).count() == 0
     assert sorted(r.doc_id or -1 for r in S.keep_representatives(docs).collect()) == [-1, 3, 3, 9]
-
-
-def wide_brute(texts):
-    """Components of pairs that share a key and differ in at most WIDE_BITS bits, over all pairs."""
-    words = np.array([S.wide_fingerprint(t) for t in texts], dtype=np.uint64).reshape(-1, 2)
-    keys = S.wide_postings(words[:, 0], words[:, 1])
-    label = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(texts)):
-            near = (np.bitwise_count(words ^ words[i]).sum(axis=1) <= S.WIDE_BITS) & (keys == keys[i]).any(axis=1)
-            low = min(label[j] for j in np.flatnonzero(near))
-            for j in np.flatnonzero(near):
-                if label[j] != low:
-                    label[j], changed = low, True
-    return label
-
-
-def test_wide_form_by_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    want = [rows[i][0] for i in wide_brute([t for _, t in rows])]
-    for block in (4096, 8):
-        got = {r.doc_id: r.component_id for r in S.wide_duplicates(docs, block=block).collect()}
-        assert [got[i] for i, _ in rows] == want
-
-
-def test_wide_form_finds_copies_and_leaves_others():
-    rng = random.Random(8)
-    found = 0
-    for _ in range(40):
-        words = ["w%d" % rng.randrange(3000) for _ in range(300)]
-        copy = list(words)
-        for p in rng.sample(range(300), 5):  # likeness of about 0.92
-            copy[p] = "new"
-        label = wide_brute([" ".join(words), " ".join(copy), " ".join(rng.sample(words, 300))])
-        found += label[1] == 0
-        assert label[2] == 2
-    assert found >= 36
