@@ -38,11 +38,13 @@ def match_pairs(have: DataFrame, wanted: DataFrame, strict: bool = False) -> Dat
     """id, pos, skill, jd_id, jd_pos, jd_skill, kind for every matching pair.
 
     have(id, pos, skill), wanted(jd_id, jd_pos, jd_skill). The names of `have` are matched once for each distinct name:
-    the fuzzy comparison runs on distinct names times the names of the requests, which are a stated query set.
+    the names of the requests, a stated query set, travel as one array, and each distinct name is compared with them.
     """
     names = have.select("skill").distinct().withColumn("n", normalize_skill(F.col("skill"))).withColumn("c", resolve(F.col("n")))
     asked = wanted.select("jd_skill").distinct().withColumn("jn", normalize_skill(F.col("jd_skill"))).withColumn("jc", resolve(F.col("jn")))
-    pairs = names.join(asked, normal_match(F.col("n"), F.col("jn"), F.col("c"), F.col("jc"), strict)).select("skill", "jd_skill")
+    table = asked.agg(F.collect_list(F.struct("jd_skill", "jn", "jc")).alias("asked")).scalar()
+    hits = F.filter("asked", lambda w: normal_match(F.col("n"), w["jn"], F.col("c"), w["jc"], strict))
+    pairs = names.withColumn("asked", table).select("skill", F.explode(hits).alias("w")).select("skill", "w.jd_skill")
     return have.join(pairs, "skill").join(wanted, "jd_skill")
 
 

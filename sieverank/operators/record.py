@@ -27,34 +27,67 @@ def _filled(x: Column) -> Column:
     return F.trim(text_of(x)) != ""
 
 
-def experience_set_score(entries: Column) -> Column:
-    """2 for a role that names one, 2 for a company, 1 for a start, 0.5 for a description, 0.5 for each entry."""
+#: Roles that name none.
+GENERIC_ROLES = ("intern", "trainee", "employee", "worker", "staff")
+
+
+def _set_score(entries: Column, parts) -> Column:
     def one(e: Column) -> Column:
-        parts = (_filled(e["role"]), 2.0), (_filled(e["company"]), 2.0), (_filled(e["start"]), 1.0), (_filled(e["description"]), 0.5)
-        return sum((F.when(c, w).otherwise(0.0) for c, w in parts), F.lit(0.5))
+        return sum((F.when(c, w).otherwise(0.0) for c, w in parts(e)), F.lit(0.5))
 
     return F.aggregate(F.transform(entries, one), F.lit(0.0), lambda a, x: a + x)
 
 
-def arbitrate(first: Column, second: Column) -> Column:
+def experience_set_score(entries: Column) -> Column:
+    """2 for a role that names one, 2 for a company, 1 for a start, 0.5 for a description or achievements, 0.5 for each entry."""
+    def parts(e: Column):
+        told = _filled(e["description"]) | (F.coalesce(F.size(e["achievements"]), F.lit(0)) > 0)
+        return (_filled(e["role"]) & ~F.lower(F.trim(text_of(e["role"]))).isin(*GENERIC_ROLES), 2.0), (_filled(e["company"]), 2.0), (_filled(e["start"]), 1.0), (told, 0.5)
+
+    return _set_score(entries, parts)
+
+
+def education_set_score(entries: Column) -> Column:
+    """2 for a degree, 2 for an institution, 1 for a date, 0.5 for a grade, 0.5 for each entry."""
+    return _set_score(entries, lambda e: ((_filled(e["degree"]), 2.0), (_filled(e["institution"]), 2.0), (_filled(e["start"]) | _filled(e["end"]), 1.0), (_filled(e["grade"]), 0.5)))
+
+
+def arbitrate(first: Column, second: Column, score=experience_set_score) -> Column:
     """The entry set with the higher score; the second on ties."""
-    return F.when(experience_set_score(first) > experience_set_score(second), first).otherwise(second)
+    return F.when(score(first) > score(second), first).otherwise(second)
 
 
-def header_score(line: Column, known: Column, position: Column) -> Column:
-    """0 to 1: in the registry 0.5, capitals 0.15, short 0.15 or 0.05, near the top 0.1, few words 0.1."""
+def header_score(line: Column, known: Column, line_number: Column) -> Column:
+    """0 to 1: in the registry 0.5, capitals 0.15, up to 30 characters 0.15 or 50 0.05, after the first three lines 0.1,
+    one to three words 0.1."""
     n, words = F.length(line), F.size(F.split(F.trim(line), r"\s+"))
-    score = F.when(known, 0.5).otherwise(0.0) + F.when((F.upper(line) == line) & line.rlike("[A-Z]"), 0.15).otherwise(0.0)
-    score = score + F.when(n <= 25, 0.15).when(n <= 40, 0.05).otherwise(0.0) + F.when(position < 0.9, 0.1).otherwise(0.0) + F.when(words <= 4, 0.1).otherwise(0.0)
-    return F.least(score, F.lit(1.0))
+    letters = F.regexp_replace(line, r"[^\p{L}]", "")
+    score = F.when(known, 0.5).otherwise(0.0) + F.when((letters != "") & (F.upper(letters) == letters), 0.15).otherwise(0.0)
+    score = score + F.when(n <= 30, 0.15).when(n <= 50, 0.05).otherwise(0.0) + F.when(line_number >= 3, 0.1).otherwise(0.0)
+    return F.least(score + F.when((F.trim(line) != "") & (words <= 3), 0.1).otherwise(0.0), F.lit(1.0))
 
 
-def role_or_company(role: Column, company: Column) -> Column:
-    """struct<role, company>: swapped where the words of the two say so."""
-    def lean(x: Column) -> Column:
-        return F.regexp_count(text_of(x), F.lit(ROLE_WORDS)) * 0.4 - F.regexp_count(text_of(x), F.lit(COMPANY_WORDS)) * 0.4
+def role_score(x: Column) -> Column:
+    """How much a text looks like a job title."""
+    t = text_of(x)
+    words = F.size(F.split(F.trim(t), r"\s+"))
+    score = F.regexp_count(t, F.lit(ROLE_WORDS)) * 0.4 + F.when(words <= 6, 0.3).when(words > 8, -0.3).otherwise(0.0)
+    score = score + F.when(t.rlike(r"^\p{Lu}"), 0.1).otherwise(0.0) - F.when(t.rlike(COMPANY_WORDS), 0.3).otherwise(0.0)
+    return F.when(t == "", 0.0).otherwise(F.greatest(score, F.lit(0.0)))
+
 
-    swap = lean(company) - lean(role) > 0.2
+def company_score(x: Column) -> Column:
+    """How much a text looks like the name of a company."""
+    t = text_of(x)
+    words = F.size(F.split(F.trim(t), r"\s+"))
+    score = F.regexp_count(t, F.lit(COMPANY_WORDS)) * 0.4 + F.when(words <= 8, 0.2).when(words > 10, -0.2).otherwise(0.0)
+    score = score + F.when(t.rlike(r",\s*[A-Z]"), 0.2).otherwise(0.0) + F.when(t.rlike(r"^\p{Lu}"), 0.1).otherwise(0.0) - F.when(t.rlike(ROLE_WORDS), 0.2).otherwise(0.0)
+    return F.when(t == "", 0.0).otherwise(F.greatest(score, F.lit(0.0)))
+
+
+def role_or_company(role: Column, company: Column) -> Column:
+    """struct<role, company>: swapped where the two scores say so by more than 0.2."""
+    swap = (role_score(company) + company_score(role)) - (role_score(role) + company_score(company)) > 0.2
     return F.struct(F.when(swap, company).otherwise(role).alias("role"), F.when(swap, role).otherwise(company).alias("company"))
 
 

@@ -13,6 +13,7 @@ from sieverank.functions import dates, text
 from sieverank.operators import classify, dedup, evaluate, intervals, matching, relevance, sections, store, views
 from sieverank.plans import fixtures, ranking
 from sieverank.session import load
+from sieverank.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,11 +82,11 @@ def tf_vectors(spark, d):
     return relevance.tf_vectors(load(spark, d, "benchmark"), "item_id", "text").withColumn("tf", text.round_half_up(F.col("tf"), 9))
 
 
-@query(f"""WITH v AS ({_VEC}), q AS (SELECT * FROM v WHERE id < 10), n AS (SELECT id, sqrt(sum(tf * tf)) AS a FROM v GROUP BY id)
+@query(f"""WITH v AS ({_VEC}), q AS (SELECT * FROM v WHERE id % 50 = 0), n AS (SELECT id, sqrt(sum(tf * tf)) AS a FROM v GROUP BY id)
  SELECT v.id, q.id AS other, {half_up('sum(v.tf * q.tf) / (max(n.a) * max(m.a))', 6)} AS sim FROM v JOIN q USING (token) JOIN n ON n.id = v.id JOIN n m ON m.id = q.id GROUP BY v.id, q.id""")
 def tf_cosine_pairs(spark, d):
     v = relevance.tf_vectors(load(spark, d, "benchmark"), "item_id", "text")
-    return relevance.tf_cosine(v, v.filter("id < 10"))
+    return relevance.tf_cosine(v, v.filter("id % 50 = 0"))
 
 
 @query(f"SELECT doc_id, lower(regexp_extract(text, '{text.EMAIL}')) AS email FROM documents WHERE regexp_matches(text, '{text.EMAIL}')")
@@ -161,29 +162,41 @@ def skill_matches(spark, d):
     return matching.matched(have, fixtures.wanted(spark), have)
 
 
-@query(f"WITH {_PAIRS} SELECT id, skill, 0 AS pos FROM have WHERE skill NOT IN (SELECT skill FROM pairs)")
+@query(f"WITH {_HAVE}, {_WANTED}, used AS (SELECT DISTINCT skill FROM (SELECT DISTINCT skill FROM have), wanted WHERE {_MATCH}) SELECT id, skill, 0 AS pos FROM have WHERE skill NOT IN (SELECT skill FROM used)")
 def extra_skills(spark, d):
     return matching.extra_skills(fixtures.have(spark, d), fixtures.wanted(spark)).select("id", "skill", "pos")
 
 
-ALIAS_CASES = (("K8s",), ("React.js",), ("Node JS",), ("Python",), ("C++",), ("Golang",), ("scikit-learn",))
+_ALIAS_NAMES = sorted(R.SKILL_ALIASES)
 _ALIASES = values(sorted(R.SKILL_ALIASES.items()), "alias, canonical")
+_SPELLED = f"upper([{', '.join(repr(a) for a in _ALIAS_NAMES)}][p_partkey % {len(_ALIAS_NAMES)} + 1]) || CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN ' x' ELSE '' END"
 
 
-@query(f"WITH c AS (SELECT skill, {_NORM.format('skill')} AS normal FROM {values(ALIAS_CASES, 'skill')}) SELECT skill, coalesce(canonical, normal) AS canonical FROM c LEFT JOIN {_ALIASES} ON alias = normal")
+@query(f"""WITH c AS (SELECT p_partkey AS id, {_SPELLED} AS skill FROM part), n AS (SELECT *, {_NORM.format('skill')} AS normal FROM c)
+ SELECT id, skill, coalesce(canonical, normal) AS canonical FROM n LEFT JOIN {_ALIASES} ON alias = normal""")
 def alias_resolve(spark, d):
-    df = spark.createDataFrame([*ALIAS_CASES], "skill string")
-    return df.select("skill", matching.resolve(text.normalize_skill(F.col("skill"))).alias("canonical"))
+    key = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(a) for a in _ALIAS_NAMES]), (key % len(_ALIAS_NAMES) + 1).cast("int"))
+    skill = F.concat(F.upper(name), F.when(key % 3 == 0, "-").when(key % 3 == 1, " x").otherwise(""))
+    rows = load(spark, d, "part").select(key.alias("id"), skill.alias("skill"))
+    return rows.select("id", "skill", matching.resolve(text.normalize_skill(F.col("skill"))).alias("canonical"))
 
 
-INFER_HAVE = ((1, 0, "Next.js"), (1, 1, "MySQL"), (2, 0, "Django"), (2, 1, "Kubernetes"), (3, 0, "Kotlin"), (3, 1, "Typescript"), (4, 0, "Photoshop"))
-INFER_WANTED = ((1, 0, "React"), (1, 1, "PostgreSQL"), (1, 2, "Python"), (1, 3, "Docker"), (1, 4, "Java"), (1, 5, "JavaScript"))
-INFER_RESULT = ((1, 1, 0, "React", "Next.js", "inferred", 0.75), (1, 1, 1, "PostgreSQL", "MySQL", "related", 0.5), (2, 1, 2, "Python", "Django", "inferred", 0.75), (2, 1, 3, "Docker", "Kubernetes", "related", 0.5), (3, 1, 4, "Java", "Kotlin", "inferred", 0.75), (3, 1, 5, "JavaScript", "Typescript", "inferred", 0.75))
+INFER_NAMES = ("Django", "MySQL", "Kotlin", "Typescript", "Docker", "Photoshop", "Flask", "PyTorch")
+INFER_WANTED = ((1, 0, "Python"), (1, 1, "PostgreSQL"), (1, 2, "Java"), (1, 3, "Kubernetes"), (1, 4, "JavaScript"), (1, 5, "TensorFlow"))
+_EDGES = values([(a, b, "implies") for a, b in R.IMPLIES] + [x for a, b in R.RELATED for x in ((a, b, "related"), (b, a, "related"))], "src, dst, kind")
 
 
-@query(f"SELECT CAST(id AS INT) AS id, CAST(jd_id AS INT) AS jd_id, CAST(jd_pos AS INT) AS jd_pos, jd_skill, source, match_type, CAST(weight AS DOUBLE) AS weight FROM {values(INFER_RESULT, 'id, jd_id, jd_pos, jd_skill, source, match_type, weight')}")
+@query(f"""WITH have AS (SELECT DISTINCT o_custkey AS id, CAST(o_orderkey % 8 AS INT) AS pos, [{', '.join(repr(n) for n in INFER_NAMES)}][o_orderkey % 8 + 1] AS skill FROM orders),
+ asked AS (SELECT * FROM {values(INFER_WANTED, 'jd_id, jd_pos, jd_skill')}),
+ m AS (SELECT *, 'explicit' AS match_type, 1 AS priority FROM have, asked WHERE contains(lower(skill), lower(jd_skill)) OR contains(lower(jd_skill), lower(skill))
+  UNION ALL SELECT h.*, w.*, CASE kind WHEN 'implies' THEN 'inferred' ELSE 'related' END, CASE kind WHEN 'implies' THEN 3 ELSE 4 END FROM have h JOIN {_EDGES} ON src = lower(skill) JOIN asked w ON dst = lower(jd_skill)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY id, jd_skill ORDER BY priority, pos, skill) AS n FROM m)
+ SELECT id, CAST(jd_id AS INT) AS jd_id, CAST(jd_pos AS INT) AS jd_pos, jd_skill, skill AS source, match_type, CAST(CASE priority WHEN 1 THEN 1.0 WHEN 3 THEN 0.75 ELSE 0.5 END AS DOUBLE) AS weight FROM b WHERE n = 1""")
 def skill_inference(spark, d):
-    have = spark.createDataFrame([*INFER_HAVE], "id int, pos int, skill string")
+    at = F.col("o_orderkey") % 8
+    skill = F.element_at(F.array(*[F.lit(n) for n in INFER_NAMES]), (at + 1).cast("int"))
+    have = load(spark, d, "orders").select(F.col("o_custkey").alias("id"), at.cast("int").alias("pos"), skill.alias("skill")).distinct()
     asked = spark.createDataFrame([*INFER_WANTED], "jd_id int, jd_pos int, jd_skill string")
     return matching.infer(have, asked, R.skill_edges(spark))
 
@@ -240,13 +253,18 @@ def recency(spark, d):
     return rows.select("id", dates.recency_score(F.col("latest_end"), F.col("latest_end").isNotNull(), F.lit(fixtures.AS_OF).cast("date")).alias("recency"))
 
 
-DATE_CASES = (("Present", dt.date(2002, 1, 1)), ("1 June 2020", dt.date(2020, 6, 1)), ("Jan. 2021", dt.date(2021, 1, 1)), ("Jan'20", dt.date(2020, 1, 1)), ("25/12/2019", dt.date(2019, 12, 25)), ("06/2020", dt.date(2020, 6, 1)), ("2020/06", dt.date(2020, 6, 1)), ("2021", dt.date(2021, 6, 1)), ("soon", None))
+_FORMS = ("d MMMM yyyy", "MMM yyyy", "MM/yyyy", "yyyy/MM", "MMM''yy", "yyyy", "dd/MM/yyyy")
 
 
-@query(f"SELECT raw, CAST(parsed AS DATE) AS parsed FROM {values(DATE_CASES, 'raw, parsed')}")
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % 7 AS form FROM orders)
+ SELECT id, CASE form WHEN 0 THEN make_date(year(d), month(d), least(day(d), 28)) WHEN 5 THEN make_date(year(d), 6, 1)
+  WHEN 6 THEN CASE WHEN day(d) > 12 THEN make_date(year(d), month(d), least(day(d), 28)) ELSE make_date(year(d), day(d), least(month(d), 28)) END
+  ELSE make_date(year(d), month(d), 1) END AS parsed FROM o""")
 def parse_dates(spark, d):
-    df = spark.createDataFrame([(r,) for r, _ in DATE_CASES], "raw string")
-    return df.select("raw", dates.parse_date(F.col("raw"), F.lit(fixtures.AS_OF).cast("date")).alias("parsed"))
+    day, form = F.to_date("o_orderdate"), F.col("o_orderkey") % len(_FORMS)
+    raw = F.coalesce(*[F.when(form == i, F.date_format(day, f)) for i, f in enumerate(_FORMS)])
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw"))
+    return rows.select("id", dates.parse_date(F.col("raw"), F.lit(fixtures.AS_OF).cast("date")).alias("parsed"))
 
 
 # -- classification
@@ -273,13 +291,16 @@ def doctype_vote(spark, d):
 
 _PEN = values([(a, b, p) for a, row in zip(R.DOMAINS, R.PENALTIES, strict=True) for b, p in zip(R.DOMAINS, row, strict=True)], "jd_domain, cand_domain, penalty")
 _DOMS = "['" + "','".join((*R.DOMAINS, "education", "unknown")) + "']"
-_DPAIRS = f"dp AS (SELECT n_nationkey AS id, {_DOMS}[n_nationkey % 9 + 1] AS jd_domain, 0.3 + n_nationkey % 4 * 0.1 AS jd_conf, {_DOMS}[(n_nationkey * 5 + n_regionkey) % 9 + 1] AS cand_domain, 0.9 AS cand_conf FROM nation)"
+_DPAIRS = f"dp AS (SELECT c_custkey AS id, {_DOMS}[c_custkey % 9 + 1] AS jd_domain, 0.3 + c_custkey % 4 * 0.1 AS jd_conf, {_DOMS}[(c_custkey * 5 + c_nationkey) % 9 + 1] AS cand_domain, 0.9 AS cand_conf FROM customer)"
 
 
 def _domain_pairs(spark, d):
     names = F.array(*[F.lit(x) for x in (*R.DOMAINS, "education", "unknown")])
-    n = F.col("n_nationkey")
-    return load(spark, d, "nation").select(n.alias("id"), F.element_at(names, n % 9 + 1).alias("jd_domain"), (F.lit(0.3) + n % 4 * 0.1).alias("jd_conf"), F.element_at(names, (n * 5 + F.col("n_regionkey")) % 9 + 1).alias("cand_domain"), F.lit(0.9).alias("cand_conf"))
+    n = F.col("c_custkey")
+    jd, own = (n % 9 + 1).cast("int"), ((n * 5 + F.col("c_nationkey")) % 9 + 1).cast("int")
+    return load(spark, d, "customer").select(
+        n.alias("id"), F.element_at(names, jd).alias("jd_domain"), (F.lit(0.3) + n % 4 * 0.1).alias("jd_conf"), F.element_at(names, own).alias("cand_domain"), F.lit(0.9).alias("cand_conf")
+    )
 
 
 def _free(least: float) -> str:
@@ -296,12 +317,16 @@ def domain_prefilter(spark, d):
     return classify.prefilter(_domain_pairs(spark, d), R.domain_penalties(spark)).select("id")
 
 
-DEGREE_CASES = (("PhD in Physics", 5), ("M.Sc Biology", 4), ("MBA", 4), ("B.Tech CSE", 3), ("Diploma", 2), ("High School", 1), ("10th", 0), ("", 0))
+DEGREE_NAMES = ("PhD", "M.Sc", "MBA", "B.Tech", "Diploma", "High School", "10th", "Bachelor of Arts", "member", "")
+_LEVEL = " ".join(f"WHEN contains(lower(degree), '{k}') THEN {level}" for k, level in R.DEGREES)
 
 
-@query(f"SELECT degree, CAST(level AS INT) AS level FROM {values(DEGREE_CASES, 'degree, level')}")
+@query(f"""WITH c AS (SELECT c_custkey AS id, [{', '.join(repr(n) for n in DEGREE_NAMES)}][c_custkey % 10 + 1] || ' ' || c_mktsegment AS degree FROM customer)
+ SELECT id, CAST(CASE {_LEVEL} ELSE 0 END AS INT) AS level FROM c""")
 def degree_levels(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in DEGREE_CASES], "degree string").select("degree", classify.degree_level(F.col("degree")).alias("level"))
+    name = F.element_at(F.array(*[F.lit(n) for n in DEGREE_NAMES]), (F.col("c_custkey") % 10 + 1).cast("int"))
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(name, F.lit(" "), "c_mktsegment").alias("degree"))
+    return rows.select("id", classify.degree_level(F.col("degree")).alias("level"))
 
 
 # -- ranking
@@ -368,21 +393,29 @@ def neighbour_lines(spark, d):
     return sections.with_neighbours(load(spark, d, "conversations"), ["conv_id"], "turn", "text").select("conv_id", "turn", "next_line", "previous_line")
 
 
-HEADER_CASES = (("WORK EXPERIENCE:", "experience"), ("1. Education", "education"), ("Technical   Skills", "skills"), ("hello world", None), ("Projects 2020", None))
+_HEADERS = [(h, k) for k, hs in R.SECTIONS.items() for h in hs]
+_HLINE = f"CASE o_orderkey % 5 WHEN 0 THEN upper(h) || ':' WHEN 1 THEN '1. ' || h WHEN 2 THEN h || ' 2020' WHEN 3 THEN h || ' of ' || o_orderstatus ELSE '  ' || h || ' - ' END"
 
 
-@query(f"SELECT line, section FROM {values(HEADER_CASES, 'line, section')}")
+@query(f"""WITH l AS (SELECT o_orderkey AS id, {_HLINE} AS line FROM (SELECT *, [{', '.join(repr(h) for h, _ in _HEADERS)}][o_orderkey % {len(_HEADERS)} + 1] AS h FROM orders)),
+ k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '^[^a-z]+', ''), '[:\\-\\s]+$', ''), '\\s+', ' ', 'g')) AS key FROM l)
+ SELECT id, line, CASE WHEN len(string_split(key, ' ')) <= 6 AND NOT regexp_matches(line, '[0-9]{{4}}') THEN section END AS section FROM k LEFT JOIN {values(_HEADERS, 'header, section')} ON header = key""")
 def section_resolve(spark, d):
-    lines = spark.createDataFrame([(x,) for x, _ in HEADER_CASES], "line string")
-    return sections.resolve_headers(lines, R.section_headers(spark)).select("line", "section")
+    key = F.col("o_orderkey")
+    h = F.element_at(F.array(*[F.lit(h) for h, _ in _HEADERS]), (key % len(_HEADERS) + 1).cast("int"))
+    form = key % 5
+    line = F.when(form == 0, F.concat(F.upper(h), F.lit(":"))).when(form == 1, F.concat(F.lit("1. "), h)).when(form == 2, F.concat(h, F.lit(" 2020")))
+    line = line.when(form == 3, F.concat(h, F.lit(" of "), "o_orderstatus")).otherwise(F.concat(F.lit("  "), h, F.lit(" - ")))
+    lines = load(spark, d, "orders").select(key.alias("id"), line.alias("line"))
+    return sections.resolve_headers(lines, R.section_headers(spark)).select("id", "line", "section")
 
 
-SOURCE_CASES = ((1, "skills", 1, "a"), (1, "skills", 0, "bb"), (1, "skills", 0, "ccc"), (1, "summary", 0, "  "), (1, "summary", 1, "plain"), (2, "skills", 1, "x"))
-
-
-@query(f"SELECT CAST(id AS INT) AS id, section, text FROM (SELECT *, row_number() OVER (PARTITION BY id, section ORDER BY priority, length(text) DESC, text) AS n FROM {values(SOURCE_CASES, 'id, section, priority, text')} WHERE trim(text) <> '') WHERE n = 1")
+@query("""WITH s AS (SELECT user_id AS id, event_type AS section, CAST(event_id % 3 AS INT) AS priority, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE props END AS text FROM events)
+ SELECT id, section, text FROM (SELECT *, row_number() OVER (PARTITION BY id, section ORDER BY priority, length(text) DESC, text) AS n FROM s WHERE trim(text) <> '') WHERE n = 1""")
 def section_merge(spark, d):
-    return sections.merge_sources(spark.createDataFrame([*SOURCE_CASES], "id int, section string, priority int, text string"))
+    body = F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.col("props"))
+    rows = load(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("section"), (F.col("event_id") % 3).cast("int").alias("priority"), body.alias("text"))
+    return sections.merge_sources(rows)
 
 
 @query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\\t\\n\\f\\r\\v ]+', ' ', 'g'))) AS sha256, CAST(len(regexp_extract_all(html, 'href=\"([^\"]*)\"')) AS BIGINT) AS n_links FROM pages")
@@ -405,12 +438,11 @@ def field_rates(spark, d):
     return evaluate.field_rates(load(spark, d, "documents"), {"email": text.email(F.col("text")), "text": F.col("text")})
 
 
-CARD = (("extraction", 72.4, 0.25), ("ranking", 86.0, 0.35), ("skills", 100.0, 0.2), ("speed", 80.0, 0.2))
-
-
-@query(f"SELECT {half_up('x', 1)} AS overall, CASE WHEN x >= 85 THEN 'ready' WHEN x >= 70 THEN 'usable' ELSE 'not ready' END AS verdict FROM (SELECT sum(CAST(score AS DOUBLE) * CAST(weight AS DOUBLE)) / sum(CAST(weight AS DOUBLE)) AS x FROM {values(CARD, 'category, score, weight')})")
+@query(f"""WITH x AS (SELECT sum(CAST(o_orderkey % 101 AS DOUBLE) * o_totalprice) / sum(o_totalprice) AS x FROM orders)
+ SELECT {half_up('x', 1)} AS overall, CASE WHEN x >= 85 THEN 'ready' WHEN x >= 70 THEN 'usable' ELSE 'not ready' END AS verdict FROM x""")
 def scorecard(spark, d):
-    return evaluate.scorecard(spark.createDataFrame([*CARD], "category string, score double, weight double"))
+    rows = load(spark, d, "orders").select(F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 101).cast("double").alias("score"), F.col("o_totalprice").alias("weight"))
+    return evaluate.scorecard(rows)
 
 
 # -- tables
@@ -421,33 +453,41 @@ def latest_version(spark, d):
 
 @query("SELECT user_id, event_type AS status, count(*) AS n FROM events GROUP BY ALL")
 def status_counts(spark, d):
-    return load(spark, d, "events").groupBy("user_id", F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return progress.status_counts(load(spark, d, "events").withColumnRenamed("event_type", "status"), ("user_id", "status"))
 
 
-UPLOADS = (("j", "a.pdf", "application/pdf", 10, "h1"), ("j", "b.pdf", "application/pdf", 10, "h1"), ("j", "c.txt", "text/plain", 10, "h2"), ("j", "d.pdf", "application/pdf", 99000000, "h3"), ("j", "e.pdf", "image/png", 5, "h4"), ("k", "f.pdf", "application/pdf", 10, "h1"))
-UPLOAD_REASONS = (("a.pdf", None), ("b.pdf", "duplicate"), ("c.txt", "not a PDF name"), ("d.pdf", "too large"), ("e.pdf", "not a PDF type"), ("f.pdf", None))
+_UP = """SELECT source AS job_id, CAST(doc_id AS VARCHAR) || CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' ELSE '.pdf' END AS name,
+ CASE doc_id % 9 WHEN 0 THEN 'image/png' ELSE 'application/pdf' END AS content_type, n_chars * 1000 AS size, sha256(text) AS content_hash FROM documents"""
 
 
-@query(f"SELECT name, reason FROM {values(UPLOAD_REASONS, 'name, reason')}")
+@query(f"""WITH u AS ({_UP}), r AS (SELECT *, CASE WHEN NOT ends_with(lower(name), '.pdf') THEN 'not a PDF name' WHEN content_type NOT IN ('application/pdf', 'application/octet-stream') THEN 'not a PDF type'
+  WHEN size > {store.MOST_BYTES} THEN 'too large' WHEN size = 0 THEN 'empty' END AS reason FROM u)
+ SELECT name, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY job_id, content_hash ORDER BY reason IS NOT NULL, name) > 1 THEN 'duplicate' END) AS reason FROM r""")
 def upload_gate(spark, d):
-    return store.upload_gate(spark.createDataFrame([*UPLOADS], "job_id string, name string, content_type string, size long, content_hash string")).select("name", "reason")
-
-
-VERSIONS = ((1, 1, "created", 0), (1, 2, "extracting", 3), (2, 1, "created", 0))
-CHANGES = ((1, 2, "extracted", None), (2, 9, "scored", 1))
+    i = F.col("doc_id")
+    name = F.concat(i.cast("string"), F.when(i % 7 == 0, ".txt").when(i % 7 == 1, ".PDF").otherwise(".pdf"))
+    kind = F.when(i % 9 == 0, "image/png").otherwise("application/pdf")
+    files = load(spark, d, "documents").select(
+        F.col("source").alias("job_id"), name.alias("name"), kind.alias("content_type"), (F.col("n_chars") * 1000).alias("size"), text.content_hash(F.col("text")).alias("content_hash")
+    )
+    return store.upload_gate(files).select("name", "reason")
 
 
-@query("SELECT 1 AS job_id, 3 AS version, 'extracted' AS status, 3 AS n")
+@query("""WITH t AS (SELECT user_id, max(event_id) AS version, max_by(event_type, event_id) AS status, max(event_id) % 7 AS n FROM events GROUP BY user_id)
+ SELECT user_id, version + 1 AS version, 'done' AS status, n FROM t WHERE user_id % 3 <> 0""")
 def optimistic_update(spark, d):
-    table = spark.createDataFrame([*VERSIONS], "job_id int, version int, status string, n int")
-    return store.optimistic_update(table, spark.createDataFrame([*CHANGES], "job_id int, expected int, status string, n int"), ["job_id"])
+    table = load(spark, d, "events").select("user_id", F.col("event_id").alias("version"), F.col("event_type").alias("status"), (F.col("event_id") % 7).alias("n"))
+    seen = table.groupBy("user_id").agg(F.max("version").alias("version"))
+    expected = F.when(F.col("user_id") % 3 == 0, F.col("version") - 1).otherwise(F.col("version"))  # a third of them are too late
+    changes = seen.select("user_id", expected.alias("expected"), F.lit("done").alias("status"), F.lit(None).cast("long").alias("n"))
+    return store.optimistic_update(table, changes, ["user_id"])
 
 
-@query("SELECT lower(c_mktsegment) AS segment, min(c_custkey) AS id FROM customer GROUP BY 1")
+@query("SELECT c_nationkey AS nation, min(c_custkey) AS id, upper(c_mktsegment) AS segment FROM customer GROUP BY 1, 3")
 def distinct_ignoring_case(spark, d):
-    rows = load(spark, d, "customer").select(F.lit(1).alias("k"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("id"))
-    best = rows.groupBy(F.lower("segment").alias("segment")).agg(F.min("id").alias("id"))
-    return best
+    spelled = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    rows = load(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), spelled.alias("segment"), F.col("c_custkey").alias("id"))
+    return dedup.distinct_ignoring_case(rows, ["nation"], "segment", "id").withColumn("segment", F.upper("segment"))
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

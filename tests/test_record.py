@@ -11,12 +11,12 @@ def one(spark, **columns):
 
 def test_record(spark):
     lit, empty = F.lit, F.array().cast("array<string>")
-    entry = F.struct(lit("Lead").alias("role"), lit("").alias("company"), lit("2019").alias("start"), lit(None).cast("string").alias("description"))
-    bare = F.struct(lit("").alias("role"), lit("").alias("company"), lit("").alias("start"), lit("x").alias("description"))
+    entry = F.struct(lit("Lead").alias("role"), lit("").alias("company"), lit("2019").alias("start"), lit(None).cast("string").alias("description"), empty.alias("achievements"))
+    bare = F.struct(lit("").alias("role"), lit("").alias("company"), lit("").alias("start"), lit("x").alias("description"), empty.alias("achievements"))
     r = one(
         spark,
         first=R.first_nonempty(empty, F.array(lit("a"))), longer=R.prefer_longer(lit("ab"), lit("abcdefg")), score=R.experience_set_score(F.array(entry)), best=R.arbitrate(F.array(entry), F.array(bare))[0]["role"],
-        header=R.header_score(lit("SKILLS"), lit(True), lit(0.1)), swap=R.role_or_company(lit("Acme Ltd"), lit("Engineer")), conf=F.array(*[R.name_confidence(lit(x)) for x in ("Resume", "Ann", "Ann Lee")]),
+        header=R.header_score(lit("SKILLS"), lit(True), lit(3)), swap=R.role_or_company(lit("Acme Ltd"), lit("Engineer")), conf=F.array(*[R.name_confidence(lit(x)) for x in ("Resume", "Ann", "Ann Lee")]),
         file=R.name_of_file(lit("/x/CV_ann_LEE.pdf")), reason=F.array(R.missing_name_reason(lit(""), lit(0.0), lit(0.0), lit("")), R.missing_name_reason(lit("x" * 60), lit(1.0), lit(1.0), lit("Ann Lee")), R.missing_name_reason(lit("x" * 60), lit(0.4), lit(1.0), lit(""))),
         dob=R.date_of_birth(lit("DOB: 12/03/1990")), langs=R.human_languages(lit("speaks german, English")), place=F.array(R.plausible_location(lit("Oslo"), lit("Ann")), R.plausible_location(lit("Python, Oslo"), lit("Ann"))),
         sections=R.section_report(F.create_map(lit("skills"), lit("x"), lit("summary"), lit(" ")), F.array(lit("skills"), lit("summary"))), fallback=R.fallback_text(F.create_map(lit("a"), lit("[X]t"), lit("b"), lit(""))),
