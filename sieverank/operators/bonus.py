@@ -6,48 +6,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sieverank.functions.text import round_half_up
-from sieverank.registries import PRESTIGE_COMPANIES
-
-#: Words of contests and of prizes in certificates.
-CONTEST_WORDS = ("hackathon", "contest", "competition", "olympiad", "challenge")
-PRIZE_WORDS = ("winner", "won", "first place", "1st", "finalist", "runner up", "gold medal")
-
+from sieverank.operators.scoring import as_word, prepared, same_skill, strings
+from sieverank.registries import CERTIFICATE_FIELDS, CERTIFICATE_ISSUERS, CONTEST_WORDS, PRESTIGE_COMPANIES, PRIZE_WORDS
 
 def project_bonus(projects: Column, wanted: Column) -> Column:
-    """Up to 5: the share of the wanted skills that some project uses (in its technologies or as a word of its text)."""
+    """Up to 5: six times the share of the wanted skills that some project uses, in its technologies (fuzzy match) or as a
+    word of its text."""
     def used(skill: Column) -> Column:
-        low = F.lower(skill)
-        return F.exists(projects, lambda p: F.exists(F.coalesce(p["technologies"], F.array().cast("array<string>")), lambda t: F.lower(t) == low) | F.array_contains(F.regexp_extract_all(F.lower(F.concat_ws(" ", p["name"], p["description"])), F.lit("[a-z0-9+#.]*[a-z0-9+#]"), F.lit(0)), low))
+        asked = F.get(prepared(F.array(skill)), F.lit(0))
+        text = lambda p: F.lower(F.concat_ws(" ", p["name"], p["description"], F.array_join(strings(p["technologies"]), " ")))
+        return F.exists(projects, lambda p: F.exists(prepared(p["technologies"]), lambda t: same_skill(t, asked)) | as_word(text(p), F.lower(skill)))
 
-    share = F.size(F.filter(wanted, used)) / F.size(wanted)
+    share = F.size(F.array_distinct(F.filter(wanted, used))) / F.when(F.size(wanted) > 0, F.size(wanted))
     return F.when(F.size(wanted) == 0, 0.0).otherwise(round_half_up(F.least(share * 6, F.lit(5.0)), 1))
 
 
 def prestige_matches(companies: Column, known: tuple[str, ...] = PRESTIGE_COMPANIES) -> Column:
-    """For each company the longest known name that it contains, then the first by alphabet."""
+    """The known names in the companies (of each the longest, then the first by alphabet), each name once."""
     ordered = F.array(*[F.lit(k) for k in sorted(known, key=lambda k: (-len(k), k)) if len(k) >= 3])
     hits = F.transform(companies, lambda c: F.get(F.filter(ordered, lambda k: F.contains(F.lower(F.coalesce(c, F.lit(""))), k)), F.lit(0)))
-    return F.filter(hits, lambda h: h.isNotNull())
+    return F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
 
 
 def prestige_bonus(companies: Column, known: tuple[str, ...] = PRESTIGE_COMPANIES) -> Column:
-    """2 for each known company, 4 at most."""
+    """2 for each known name, 4 at most."""
     return F.least(F.size(prestige_matches(companies, known)) * 2.0, F.lit(4.0))
 
 
-def cert_bonus(certificates: Column, relevant: Column, issuers: tuple[str, ...] = ("aws", "google", "microsoft", "oracle", "cisco")) -> Column:
-    """Up to 5: .25 for a relevant certificate of a known issuer, .15 for another relevant one; contests 1 if won, else .5."""
-    def has(x: Column, words) -> Column:
-        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))
+def _has(x: Column, words) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))
+
+
+def relevant_words(request_text: Column, skills: Column, keywords: Column, fields: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Words by which a certificate fits a request: all words of each field that the request names, else its own skills
+    and keywords."""
+    low = F.lower(F.concat_ws(" ", request_text, F.array_join(skills, " ")))
+    named = F.concat(*[F.when(_has(low, ws), F.array(*[F.lit(w) for w in ws])).otherwise(F.array().cast("array<string>")) for ws in (CERTIFICATE_FIELDS if fields is None else fields).values()])
+    own = F.transform(F.concat(skills, keywords), lambda w: F.lower(w))
+    return F.when(F.size(named) > 0, F.concat(named, F.transform(skills, lambda w: F.lower(w)))).otherwise(own)
+
 
+def cert_bonus(certificates: Column, relevant: Column, raw_text: Column | None = None) -> Column:
+    """Up to 5: .25 for a relevant certificate of a known issuer, .15 for another relevant one; once 1 for a contest won
+    or .5 for one taken part in, as certificates or the raw text say."""
     def value(c: Column) -> Column:
         low = F.lower(F.concat_ws(" ", c["name"], c["issuer"]))
-        fits = F.exists(relevant, lambda w: F.contains(low, F.lower(w)))
-        contest = F.when(has(low, PRIZE_WORDS), 1.0).otherwise(0.5)
-        return F.when(has(low, CONTEST_WORDS), contest).when(fits & has(low, issuers), 0.25).when(fits, 0.15).otherwise(0.0)
+        fits = (F.coalesce(c["name"], F.lit("")) != "") & F.exists(relevant, lambda w: F.contains(low, w))
+        return F.when(fits & _has(low, CERTIFICATE_ISSUERS), 0.25).when(fits, 0.15).otherwise(0.0)
 
+    names = F.transform(certificates, lambda c: F.lower(F.coalesce(c["name"], F.lit(""))))
+    told = F.concat(names, F.array(F.lower(F.coalesce(raw_text, F.lit(""))) if raw_text is not None else F.lit("")))
+    contest = F.when(F.exists(told, lambda t: _has(t, CONTEST_WORDS) & _has(t, PRIZE_WORDS)), 1.0).when(F.exists(told, lambda t: _has(t, CONTEST_WORDS)), 0.5).otherwise(0.0)
     total = F.aggregate(F.transform(certificates, value), F.lit(0.0), lambda a, x: a + x)
-    return round_half_up(F.least(total, F.lit(5.0)), 1)
+    return round_half_up(F.least(total + contest, F.lit(5.0)), 1)
 
 
 def keyword_found(text: Column, variants: list[str]) -> Column:

@@ -38,3 +38,43 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") % 6).alias("level"), F.col("c_mktsegment").alias("text"))
+
+
+RECORD_JDS = (
+    (1, "Senior Python Backend", "Engineering", "Senior Python backend engineer", ["Python"], ["Docker", "AWS"], 3, 15, "bachelor", "Computer Science", ["backend", "api"], None),
+    (2, "Clinical Nurse", "Healthcare", "patient care in a hospital", ["Nursing"], ["CPR"], 0, 99, "any", "any", [], None),
+    (3, "Brand Manager", "Marketing", "campaign and brand work", [], ["SEO", "Analytics"], 1, 5, "master", "Marketing", ["campaign"], None),
+)
+_ROLES = ("Backend Developer", "Staff Nurse", "Marketing Manager", "Python Developer", "Accountant")
+_SKILLS = ("Python", "Docker", "Nursing", "SEO", "Django", "Java", "MySQL", "CPR", "React.js")
+_DEGREES = ("Bachelor of Computer Science", "Master of Marketing", "Diploma", "", "PhD")
+
+
+def record_jds(spark: SparkSession) -> DataFrame:
+    from sieverank.plans.scoring import JD
+
+    return spark.createDataFrame([*RECORD_JDS], JD)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all customers: what they ordered as work, with text, skills, degrees and certificates by their keys."""
+    def pick(names: tuple[str, ...], at):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (at % len(names) + 1).cast("int"))
+
+    o = load(spark, sf_dir, "orders")
+    job = F.struct(
+        F.date_format("o_orderdate", "MMM yyyy").alias("start"), F.when(F.col("o_orderkey") % 9 == 0, "Present").otherwise(F.date_format(F.add_months("o_orderdate", 7), "MM/yyyy")).alias("end"),
+        pick(_ROLES, F.col("o_custkey")).alias("role"), F.concat(F.lit("Clerk Bank "), F.col("o_orderkey").cast("string")).alias("company"),
+        F.lit("Built api services").alias("description"), F.array(F.lit("kept the backend running")).alias("achievements"),
+    )
+    work = o.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(job)).alias("experience"))
+    c, k = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    empty = F.array().cast(work.schema["experience"].dataType)
+    rows = c.join(work, F.col("id") == k, "left").select(
+        k.alias("id"), F.col("c_name").alias("name"), F.array_distinct(F.array(pick(_SKILLS, k), pick(_SKILLS, k + 3), pick(_SKILLS, k * 2))).alias("skills"), F.lit("").alias("summary"), F.coalesce("experience", empty).alias("experience"),
+        F.array(F.struct(pick(_DEGREES, k).alias("degree"), F.lit("State University").alias("institution"))).alias("education"),
+        F.array(F.struct(F.lit("Shop").alias("name"), F.lit("a web shop").alias("description"), F.array(pick(_SKILLS, k + 1)).alias("technologies"))).alias("projects"),
+        F.array(F.struct(F.when(k % 5 == 0, "AWS Cloud Practitioner").otherwise("First Aid").alias("name"), F.lit(None).cast("string").alias("issuer"))).alias("certifications"),
+        F.create_map(F.lit("full_text"), F.concat(F.col("c_mktsegment"), F.lit(" with "), (k % 9).cast("string"), F.lit(" years of experience"))).alias("raw_text_sections"), ((k % 10) / 10.0).alias("extraction_quality"),
+    )
+    return rows

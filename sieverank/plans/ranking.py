@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieverank.functions.dates import recency_score
@@ -24,15 +24,6 @@ def weighted_final(skills: Column, experience: Column, keywords: Column, educati
     return F.when(knocked_out, 0.0).otherwise(round_half_up(F.least(F.when(has_keywords, full).otherwise(part) + bonus, F.lit(100.0)), 1))
 
 
-def ranked(scores: DataFrame, per: str = "jd_id") -> DataFrame:
-    """`rank` (knocked-out rows last, then by score, then by id) and `percentile` (percent of the request's best score)."""
-    by = Window.partitionBy(per)
-    best = F.max(F.when(~F.col("knocked_out"), F.col("final_score"))).over(by)
-    order = by.orderBy(F.col("knocked_out"), F.col("final_score").desc(), "id")
-    share = F.when(~F.col("knocked_out") & (best > 0), round_half_up(F.col("final_score") / best * 100, 1)).otherwise(0.0)
-    return scores.withColumn("rank", F.row_number().over(order)).withColumn("percentile", share)
-
-
 def anomalies(total_years: Column, max_years: Column, gap_days: Column, quality: Column) -> Column:
     return F.array_compact(
         F.array(
@@ -95,4 +86,6 @@ def rank(jds: DataFrame, people: DataFrame, have: DataFrame, wanted: DataFrame,
     reasons = knockout_reasons(F.col("missing_must"), F.col("total_years"), F.col("entries"), F.col("min_years"), F.col("max_years"), F.col("level"), required, F.lit(None).cast("int"))
     rows = rows.withColumn("reasons", reasons).withColumn("knocked_out", F.size("reasons") > 0)
     final = weighted_final(F.col("skill_score"), F.col("experience_score"), F.col("keyword_score"), F.col("education_score"), has, F.lit(0.0), F.col("knocked_out"))
+    from sieverank.plans.scoring import ranked
+
     return ranked(rows.withColumn("final_score", final))

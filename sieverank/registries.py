@@ -6,13 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Alias -> canonical skill, both in normal form.
 SKILL_ALIASES = {
-    "js": "javascript", "ts": "typescript", "py": "python", "golang": "go", "k8s": "kubernetes", "postgres": "postgresql",
-    "mongo": "mongodb", "node": "nodejs", "react": "reactjs", "vue": "vuejs", "angular": "angularjs", "next": "nextjs",
-    "nest": "nestjs", "express": "expressjs", "ml": "machinelearning", "ai": "artificialintelligence", "dl": "deeplearning",
-    "nlp": "naturallanguageprocessing", "cv": "computervision", "tf": "tensorflow", "sklearn": "scikitlearn",
-    "aws": "amazonwebservices", "gcp": "googlecloudplatform", "cicd": "continuousintegration", "rest": "restapi",
-    "restful": "restapi", "oop": "objectorientedprogramming", "cpp": "c++", "csharp": "c#", "spring": "springboot",
+    "js": "javascript", "ts": "typescript", "py": "python", "c#": "csharp", "c++": "cplusplus", "golang": "go", "objc": "objectivec",
+    "vb": "visualbasic", "vbnet": "visualbasic", "rb": "ruby", "k8s": "kubernetes", "kube": "kubernetes", "kubernates": "kubernetes",
+    "dkr": "docker", "dockerize": "docker", "terrform": "terraform", "ans": "ansible", "jenkin": "jenkins", "ci": "continuousintegration",
+    "cd": "continuousdeployment", "cicd": "cicd", "aws": "aws", "amazonwebservices": "aws", "googlecloud": "gcp",
+    "googlecloudplatform": "gcp", "msazure": "azure", "pg": "postgresql", "postgres": "postgresql", "postgre": "postgresql",
+    "psql": "postgresql", "mongo": "mongodb", "sqlserver": "mssql", "microsoftsqlserver": "mssql", "dynamo": "dynamodb",
+    "react": "reactjs", "node": "nodejs", "nodjs": "nodejs", "next": "nextjs", "vue": "vuejs", "angularjs": "angular",
+    "djnago": "django", "flsk": "flask", "fstapi": "fastapi", "spring": "springboot", "express": "expressjs", "rails": "rubyonrails",
+    "ror": "rubyonrails", "sklearn": "scikitlearn", "ml": "machinelearning", "dl": "deeplearning", "naturallanguageprocessing": "nlp",
+    "artificialintelligence": "ai", "cv": "computervision", "torch": "pytorch", "tf": "tensorflow", "pnds": "pandas", "np": "numpy",
+    "largelanguagemodel": "llm", "chatgpt": "gpt", "rest": "restapi", "restapis": "restapi", "restful": "restapi",
+    "restfulapi": "restapi", "gql": "graphql", "jiira": "jira", "fgma": "figma", "searchengineoptimization": "seo",
+    "searchenginemarketing": "sem", "socialmediamarketing": "smm", "payperclick": "ppc", "customerrelationshipmanagement": "crm",
+    "businessintelligence": "bi", "virtualprivatenetwork": "vpn", "agil": "agile", "scurm": "scrum", "devop": "devops",
+    "objectorientedprogramming": "oop", "testdrivendevelopment": "tdd", "behaviordrivendevelopment": "bdd",
 }
+#: Spellings of a keyword that are looked for in texts.
+KEYWORD_ALIASES = {
+    "microservices": ("microservices", "micro-services", "micro services", "microservice"),
+    "backend": ("backend", "back-end", "back end", "server-side", "server side"),
+    "frontend": ("frontend", "front-end", "front end", "client-side", "client side"),
+    "fullstack": ("fullstack", "full-stack", "full stack"),
+    "deployment": ("deployment", "deploy", "deploying", "deployed", "deployments"),
+    "scalable": ("scalable", "scalability", "scaling", "scale"),
+    "api": ("api", "apis", "rest api", "restful", "web service", "web services", "endpoint"),
+    "database": ("database", "databases", "db", "data store", "datastore", "rdbms"),
+    "agile": ("agile", "scrum", "kanban", "sprint", "sprints"),
+    "cloud": ("cloud", "cloud-based", "cloud computing", "saas", "paas", "iaas"),
+    "testing": ("testing", "test", "unit test", "unit testing", "integration testing", "qa"),
+    "campaign": ("campaign", "campaigns", "ad campaign", "marketing campaign"),
+    "brand": ("brand", "branding", "brand awareness", "brand identity"),
+    "security": ("security", "cybersecurity", "cyber security", "infosec", "information security"),
+    "safety": ("safety", "safe", "safety protocols", "workplace safety"),
+    "compliance": ("compliance", "compliant", "regulatory", "regulations"),
+    "web": ("web", "website", "websites", "web application", "web app", "webapp"),
+}
 #: A skill implies another (source, target), and skills that are related.
 IMPLIES = (
     ("nextjs", "reactjs"), ("nestjs", "nodejs"), ("django", "python"), ("fastapi", "python"), ("flask", "python"),
@@ -38,6 +67,67 @@ DEGREES = (
     ("b.sc", 3), ("b.tech", 3), ("btech", 3), ("bca", 3), ("b.e", 3), ("be", 3), ("associate", 2), ("associates", 2),
     ("diploma", 2), ("class 12", 1), ("12th", 1), ("high school", 1), ("class 10", 0), ("10th", 0), ("any", -1), ("none", 0),
 )
+#: Penalties in percent between branches of engineering; a pair that is missing has DEFAULT_SUB_PENALTY.
+SUBDOMAIN_PENALTIES = {
+    "backend": {"frontend": -20, "fullstack": 0, "devops": -10, "data": -15, "ml": -20, "mobile": -25, "security": -15, "embedded": -25},
+    "frontend": {"backend": -20, "fullstack": 0, "devops": -25, "data": -25, "ml": -30, "mobile": -15, "security": -25, "embedded": -35},
+    "fullstack": {"backend": 0, "frontend": 0, "devops": -10, "data": -15, "ml": -20, "mobile": -10, "security": -15, "embedded": -25},
+    "devops": {"backend": -10, "frontend": -25, "fullstack": -10, "data": -15, "ml": -25, "mobile": -30, "security": -10, "embedded": -15},
+    "data": {"backend": -15, "frontend": -25, "fullstack": -15, "devops": -15, "ml": -5, "mobile": -30, "security": -20, "embedded": -25},
+    "ml": {"backend": -20, "frontend": -30, "fullstack": -20, "devops": -25, "data": -5, "mobile": -30, "security": -25, "embedded": -25, "civil": -70, "electrical": -50, "mechanical": -50},
+    "civil": {"backend": -70, "frontend": -70, "fullstack": -70, "devops": -60, "data": -60, "ml": -70, "electrical": -30, "mechanical": -25, "software": -70, "embedded": -50},
+    "electrical": {"backend": -60, "frontend": -70, "fullstack": -65, "devops": -55, "data": -55, "ml": -50, "civil": -30, "mechanical": -20, "software": -60, "embedded": -10},
+    "mechanical": {"backend": -65, "frontend": -70, "fullstack": -65, "devops": -60, "data": -55, "ml": -50, "civil": -25, "electrical": -20, "software": -65, "embedded": -30},
+    "software": {"civil": -70, "electrical": -60, "mechanical": -65, "embedded": -25, "backend": 0, "frontend": 0, "fullstack": 0, "devops": -10, "data": -15, "ml": -20},
+    "embedded": {"backend": -25, "frontend": -35, "fullstack": -25, "devops": -15, "data": -25, "ml": -25, "civil": -50, "electrical": -10, "mechanical": -30, "software": -25},
+}
+#: The branch that a title or department names, the first that applies.
+TITLE_SUBDOMAINS = (
+    ("civil", "civil"), ("structural", "civil"), ("electrical", "electrical"), ("mechanical", "mechanical"), ("frontend", "frontend"),
+    ("front-end", "frontend"), ("backend", "backend"), ("back-end", "backend"), ("full stack", "fullstack"), ("fullstack", "fullstack"),
+    ("devops", "devops"), ("sre", "devops"), ("data engineer", "data"), ("data scientist", "ml"), ("ml engineer", "ml"),
+    ("machine learning", "ml"), ("embedded", "embedded"), ("firmware", "embedded"),
+)
+#: Keywords of branches of engineering; a small default, any table of this form can be passed.
+SUBDOMAIN_KEYWORDS = {
+    "civil": ("civil", "structural", "construction", "concrete", "surveying", "autocad", "site engineer", "quantity surveyor"),
+    "electrical": ("electrical", "circuit", "voltage", "transformer", "plc", "scada", "switchgear", "wiring"),
+    "mechanical": ("mechanical", "solidworks", "catia", "cnc", "manufacturing", "hydraulic", "hvac", "machining"),
+    "software": ("python", "javascript", "react", "django", "docker", "aws", "api", "git", "java", "software engineer"),
+    "data": ("data engineer", "etl", "spark", "hadoop", "kafka", "airflow", "data warehouse", "sql"),
+    "ml": ("machine learning", "deep learning", "tensorflow", "pytorch", "nlp", "computer vision"),
+    "frontend": ("frontend", "front-end", "react", "angular", "vue", "css", "html"),
+    "backend": ("backend", "back-end", "server-side", "microservices", "database", "rest api", "fastapi", "django", "flask"),
+    "devops": ("devops", "sre", "terraform", "ansible", "jenkins", "kubernetes", "ci/cd", "linux"),
+    "embedded": ("embedded", "firmware", "rtos", "microcontroller", "fpga", "iot", "arduino"),
+}
+#: Domains of skills by graph key; the graph itself is an input.
+SKILL_DOMAINS = {k: "engineering" for k in ("python", "java", "javascript", "reactjs", "nodejs", "docker", "kubernetes", "postgresql", "django", "flask", "fastapi", "mysql")}
+#: Issuers of certificates that count more.
+CERTIFICATE_ISSUERS = (
+    "google", "aws", "amazon", "microsoft", "azure", "meta", "facebook", "ibm", "oracle", "cisco", "salesforce", "adobe", "nvidia",
+    "red hat", "vmware", "hashicorp", "databricks", "snowflake", "coursera", "udacity", "edx", "mit", "stanford", "harvard", "iit",
+    "cambridge", "oxford", "comptia", "pmi", "isaca", "isc2", "(isc)2", "hubspot", "hootsuite", "semrush", "moz", "cfa", "frm",
+    "chartered", "nist", "sans", "ec-council", "six sigma", "lean", "prince2", "itil",
+)
+#: Words of contests, and of their prizes.
+CONTEST_WORDS = (
+    "hackathon", "hack-a-thon", "coding competition", "code competition", "programming contest", "coding challenge",
+    "competitive programming", "kaggle", "topcoder", "codeforces", "leetcode", "hackerrank", "datathon", "ideathon", "makeathon", "buildathon",
+)
+PRIZE_WORDS = (
+    "winner", "won", "first place", "1st place", "champion", "gold", "finalist", "runner-up", "runner up", "second place",
+    "2nd place", "top 3", "top 5", "top 10", "best project", "grand prize",
+)
+#: Keywords by which certificates fit a request, by field; a small default.
+CERTIFICATE_FIELDS = {
+    "it": ("web", "cloud", "devops", "python", "java", "javascript", "react", "docker", "kubernetes", "aws", "azure", "machine learning", "sql", "agile", "scrum"),
+    "marketing": ("digital marketing", "seo", "sem", "social media", "google ads", "analytics", "marketing", "campaign"),
+    "finance": ("cfa", "frm", "cpa", "acca", "financial", "accounting", "investment", "audit", "tax"),
+    "healthcare": ("nursing", "cpr", "first aid", "medical", "clinical", "health", "patient care"),
+    "legal": ("law", "legal", "compliance", "regulatory", "contract", "litigation", "paralegal"),
+    "hr": ("hr", "human resources", "recruitment", "talent", "payroll"),
+}
 #: Section headers in normal form -> canonical section.
 SECTIONS = {
     "experience": ("experience", "work experience", "professional experience", "employment history", "work history", "career history"),
@@ -58,7 +148,15 @@ DOMAIN_KEYWORDS = {
     "marketing": (("seo", 2.0), ("brand", 1.5), ("marketing", 3.0), ("campaign", 1.5)),
     "accounting": (("accountant", 3.0), ("bookkeeping", 2.5), ("audit", 2.0), ("tax", 1.5)),
 }
-PRESTIGE_COMPANIES = ("google", "microsoft", "amazon", "apple", "netflix", "meta", "nvidia", "intel", "ibm", "oracle", "adobe", "salesforce")
+#: Companies whose names in an entry earn a bonus.
+PRESTIGE_COMPANIES = (
+    "google", "alphabet", "meta", "facebook", "apple", "amazon", "microsoft", "netflix", "nvidia", "tesla", "openai", "deepmind",
+    "anthropic", "salesforce", "adobe", "oracle", "ibm", "intel", "cisco", "samsung", "palantir", "snowflake", "databricks", "stripe",
+    "uber", "airbnb", "linkedin", "twitter", "spotify", "shopify", "atlassian", "vmware", "sap", "cloudflare", "datadog", "infosys",
+    "tcs", "wipro", "cognizant", "goldman sachs", "jpmorgan", "morgan stanley", "blackrock", "barclays", "hsbc", "visa", "mastercard",
+    "paypal", "mckinsey", "bcg", "bain", "deloitte", "pwc", "kpmg", "accenture", "capgemini", "pfizer", "novartis", "walmart", "disney",
+    "bmw", "toyota", "boeing", "shell",
+)
 
 
 def skill_aliases(spark: SparkSession) -> DataFrame:
