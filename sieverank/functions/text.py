@@ -104,27 +104,27 @@ def content_hash(x: Column) -> Column:
     return F.sha2(text_of(x).cast("binary"), 256)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def text_quality(x: Column) -> Column:
     """0 to 1: share of letters, mean word length, control characters, font artefacts and runs of signs."""
-    clean = F.regexp_replace(text_of(x), r"\[/?[A-Z_]+\]", "")
-    n = F.char_length(clean).cast("double")
-    letters = F.char_length(F.regexp_replace(clean, r"[^\p{L}]", "")) / n
-    blank = F.regexp_replace(clean, r"\s+", "")
-    words = F.size(F.filter(F.split(clean, r"\s+"), lambda w: w != "")).cast("double")
-    mean = F.char_length(blank) / words
-    control = F.char_length(F.regexp_replace(clean, r"[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")) / n
-    cid = F.least(F.regexp_count(clean, F.lit(r"\(cid:\d+\)")) * 0.1, F.lit(0.5))
-    signs = F.least(F.regexp_count(clean, F.lit(r"[^a-zA-Z\s,.\-:;()]{3,}")) * 0.02, F.lit(0.3))
-    score = (
-        F.lit(1.0)
-        - F.when(letters < 0.4, 0.5).when(letters < 0.6, 0.2).otherwise(0.0)
-        - F.when(mean < 2.0, 0.3).when(mean < 3.0, 0.1).otherwise(0.0)
-        - control * 2
-        - cid
-        - signs
-    )
-    known = (F.char_length(text_of(x)) >= 10) & (blank != "")
-    return F.when(known, round_half_up(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2)).otherwise(0.0)
+    def score(clean: Column) -> Column:
+        n = F.char_length(clean).cast("double")
+        letters = F.regexp_count(clean, F.lit(r"\p{L}")) / n
+        blanks = F.regexp_replace(clean, r"\s+", "")
+        control = F.regexp_count(clean, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")) / n
+        cid = F.least(F.regexp_count(clean, F.lit(r"\(cid:\d+\)")) * 0.1, F.lit(0.5))
+        signs = F.least(F.regexp_count(clean, F.lit(r"[^a-zA-Z\s,.\-:;()]{3,}")) * 0.02, F.lit(0.3))
+        mean = F.char_length(blanks) / F.regexp_count(clean, F.lit(r"\S+")).cast("double")
+        value = F.lit(1.0) - F.when(letters < 0.4, 0.5).when(letters < 0.6, 0.2).otherwise(0.0) - F.when(mean < 2.0, 0.3).when(mean < 3.0, 0.1).otherwise(0.0)
+        value = value - control * 2 - cid - signs
+        return F.when(F.trim(clean).rlike(r"\S"), round_half_up(F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)), 2)).otherwise(0.0)
+
+    scored = let(F.regexp_replace(x, r"\[/?[A-Z_]+\]", ""), score)
+    return F.when(F.char_length(text_of(x)) >= 10, scored).otherwise(0.0)
 
 
 def plausible_word(w: Column) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieverank.operators.sections import resolve_headers
+
 TOLERANCE, LEAST_GAP = 3.5, 20.0
 
 
@@ -37,6 +39,56 @@ def column_split(words: DataFrame, page_width: float, least: float = LEAST_GAP)
     return best.select("doc_id", "page", (F.col("m.gap") / 2 - F.col("m.col2")).alias("split"))
 
 
+def header_band(words: DataFrame, size: float = 14.0, height: float = 120.0) -> DataFrame:
+    """doc_id, page, band: `height` below the first bold word that is larger than `size`; null without one."""
+    large = F.col("bold") & (F.col("size") > size)
+    return words.groupBy("doc_id", "page").agg((F.min(F.when(large, F.col("top"))) + height).alias("band"))
+
+
+def columns_of(words: DataFrame, splits: DataFrame) -> DataFrame:
+    """words with `column`: full where a page has no split, else left or right; the sides change names where the left one
+    has more than three times the words of the right one."""
+    sided = words.join(splits, ["doc_id", "page"], "left").withColumn("left", F.col("x0") < F.col("split"))
+    counts = sided.groupBy("doc_id", "page").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r"))
+    both = sided.join(counts, ["doc_id", "page"])
+    swap = F.col("l") > 3 * F.col("r")
+    name = F.when(F.col("split").isNull(), "full").when(F.col("left") != swap, "left").otherwise("right")
+    return both.withColumn("column", name).drop("left", "l", "r", "split")
+
+
+def bold_size(lines: DataFrame) -> DataFrame:
+    """doc_id, size: the most frequent size of a document's bold lines, the smaller one on ties."""
+    n = lines.filter("bold").groupBy("doc_id", "size").agg(F.count("*").alias("n"))
+    return n.groupBy("doc_id").agg(F.max_by("size", F.struct("n", -F.col("size"))).alias("size"))
+
+
+def layout_class(lines: DataFrame) -> DataFrame:
+    """doc_id, layout: table where more than 0.3 of the lines have a bar, two_column with lines in a left column beside
+    others, else single."""
+    bars = F.avg(F.contains("text", F.lit("|")).cast("double"))
+    rows = lines.groupBy("doc_id").agg(bars.alias("bars"), F.bool_or(F.col("column") == "left").alias("left"), F.bool_or(F.col("column") != "left").alias("other"))
+    return rows.select("doc_id", F.when(F.col("bars") > 0.3, "table").when(F.col("left") & F.col("other"), "two_column").otherwise("single").alias("layout"))
+
+
+def tagged_text(lines: DataFrame) -> DataFrame:
+    """doc_id, column, text: the lines of each column in page order, with their roles as tags; body lines have none."""
+    tag = F.upper("role")
+    text = F.when(F.col("role") == "body", F.col("text")).otherwise(F.concat(F.lit("["), tag, F.lit("]"), F.col("text"), F.lit("[/"), tag, F.lit("]")))
+    rows = lines.withColumn("t", text).groupBy("doc_id", "column").agg(F.array_sort(F.collect_list(F.struct("page", "line", "t"))).alias("l"))
+    return rows.select("doc_id", "column", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+
+
+def section_blocks(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """doc_id, section, first, last, text: what each header rules; a line about references ends the last block."""
+    marked = resolve_headers(lines.withColumnRenamed("text", "raw").withColumn("at", F.col("page") * 100_000 + F.col("line")), headers, "raw")
+    ended = F.lower("raw").rlike(r"references?\s+(?:are\s+)?available")
+    opened = marked.withColumn("block", F.when(F.col("section").isNotNull() | ended, F.struct("at", F.when(~ended, F.col("section")).alias("name"))))
+    ruled = opened.withColumn("block", F.last("block", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    body = ruled.filter("block.name is not null and section is null")
+    rows = body.groupBy("doc_id", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("l"))
+    return rows.select("doc_id", F.col("block.name").alias("section"), "first", "last", F.array_join(F.transform("l", lambda x: x["raw"]), "\n").alias("text"))
+
+
 def line_roles(lines: DataFrame, title_size: float = 14.0) -> DataFrame:
     """lines with `role`: header (bold capitals, at most five words), title (large and bold), bullet, date or body."""
     words = F.size(F.split(F.trim("text"), r"\s+"))

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from sieverank.functions.text import round_half_up, strip_tags, text_of
 
-LANGUAGES = ("english", "french", "german", "spanish", "hindi", "tamil", "telugu", "arabic", "mandarin", "japanese", "italian", "portuguese", "russian", "dutch", "korean", "bengali", "urdu", "marathi")
+#: Names of human languages that are looked for.
+LANGUAGES = tuple(
+    "english french german spanish hindi tamil telugu arabic mandarin japanese italian portuguese russian dutch korean bengali urdu marathi gujarati kannada "
+    "malayalam punjabi cantonese chinese swedish norwegian danish finnish polish turkish greek hebrew thai vietnamese indonesian malay tagalog swahili czech hungarian romanian".split()
+)
 BLACKLISTED_NAMES = ("resume", "curriculum vitae", "cv", "profile", "objective", "summary", "contact", "skills", "education", "experience")
 ROLE_WORDS, COMPANY_WORDS = r"(?i)\b(engineer|developer|manager|analyst|intern|lead|director|consultant|designer|officer)\b", r"(?i)\b(inc|ltd|llc|corp|gmbh|pvt|technologies|solutions|systems|university|bank|group)\b"
 

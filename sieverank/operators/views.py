@@ -28,3 +28,29 @@ def visible(rows: DataFrame, wanted: str = "all", show_knockouts: bool = False,
         low = F.lit(search.lower())
         rows = rows.filter(F.contains(F.lower(F.coalesce("name", F.lit(""))), low) | F.exists("skills", lambda s: F.contains(F.lower(s), low)))
     return rows.orderBy(F.lower("name"), "id") if sort == "name" else rows.orderBy(F.col("score").desc(), "id")
+
+
+def knockout_checks(missing: Column, reasons: Column, total_years: Column, degree: Column) -> Column:
+    """array<struct<label, passed, detail>>: skills, experience and education as the reasons say."""
+    def named(*words: str) -> Column:
+        return F.exists(reasons, lambda r: F.lower(r).rlike("|".join(words)))
+
+    met, short, low = F.size(missing) == 0, named("experience"), named("degree", "education")
+    years = F.concat(total_years.cast("string"), F.lit(" years"))
+    rows = (
+        ("Must-have skills", met, F.when(met, "All required skills matched").otherwise(F.concat(F.lit("Missing: "), F.array_join(missing, ", ")))),
+        ("Minimum experience", ~short, F.when(short, F.concat(years, F.lit(" (insufficient)"))).otherwise(years)),
+        ("Education requirement", ~low, F.coalesce(F.nullif(degree, F.lit("")), F.lit("Not specified"))),
+    )
+    return F.array(*[F.struct(F.lit(label).alias("label"), passed.alias("passed"), detail.alias("detail")) for label, passed, detail in rows])
+
+
+def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """Rows of a view with the latest status and note that a reader gave: notes(id, at, status, note)."""
+    last = notes.groupBy("id").agg(F.max_by(F.struct("status", "note"), "at").alias("n")).select("id", F.col("n.status").alias("status"), F.col("n.note").alias("note"))
+    return rows.join(last, "id", "left")
+
+
+def weights_are_whole(weights: Column) -> Column:
+    """Whether the weights of a request, in percent, add up to 100 within 0.01."""
+    return F.abs(F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, x: a + x) - 100) <= 0.01

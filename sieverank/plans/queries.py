@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sieverank import registries as R
 from sieverank.functions import dates, text
-from sieverank.operators import classify, dedup, evaluate, intervals, matching, relevance, sections, store, views
-from sieverank.plans import fixtures, ranking
+from sieverank.operators import bonus, classify, dedup, evaluate, extract, intervals, layout, matching, record, relevance, sections, store, views
+from sieverank.plans import extraction, fixtures, ranking, scoring
 from sieverank.session import load
 from sieverank.streaming import progress
 
@@ -490,6 +490,87 @@ def distinct_ignoring_case(spark, d):
     return dedup.distinct_ignoring_case(rows, ["nation"], "segment", "id").withColumn("segment", F.upper("segment"))
 
 
+# -- records: plans whose parts are tested one by one
+@query()
+def record_rank(spark, d):
+    out = scoring.rank_records(fixtures.record_jds(spark), fixtures.records(spark, d), F.lit(fixtures.AS_OF).cast("date"))
+    return out.select("jd_id", "id", "knocked_out", "final_score", "domain", "sub_domain", "domain_penalty", "matched_must", "missing_must", "matched_nice", "rank", "percentile")
+
+
+@query()
+def record_prefilter(spark, d):
+    return scoring.prefiltered(fixtures.record_jds(spark), fixtures.records(spark, d), F.lit(fixtures.AS_OF).cast("date"))
+
+
+@query()
+def extract_records(spark, d):
+    return extraction.extract_records(load(spark, d, "documents"), R.section_headers(spark))
+
+
+@query()
+def extraction_audit(spark, d):
+    return extraction.audit(extract_records(spark, d))
+
+
+_LINE = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents"
+
+
+@query(f"""WITH l AS (SELECT doc_id, trim(line) AS s FROM ({_LINE})), k AS (SELECT doc_id, s, len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) AS w FROM l)
+ SELECT doc_id, count_if(regexp_matches(s, '^[a-z]') OR contains(s, '%') OR length(s) > 100 OR regexp_matches(s, '^\\s*[•·▪▸►✓✔*\\-]\\s*') OR w > 12) AS n FROM k GROUP BY doc_id""")
+def description_lines(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return rows.groupBy("doc_id").agg(F.count_if(extract.is_description(F.col("line"))).alias("n"))
+
+
+@query(f"""SELECT doc_id, {half_up("least(6.0, CAST(doc_id % 2 + CASE WHEN regexp_matches(text, '" + text.EMAIL + "') THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 >= 3 THEN 1.0 WHEN doc_id % 5 > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE)) / 6", 2)} AS quality FROM documents""")
+def extraction_quality(spark, d):
+    i = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    score = record.extraction_quality(F.when(i % 2 == 1, "a name"), text.email(F.col("text")), none, i % 5, F.lit(0), F.lit(0))
+    return load(spark, d, "documents").select("doc_id", score.alias("quality"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS id, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'intern' WHEN 1 THEN '' ELSE 'Lead' END AS role, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_clerk END AS company, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '2019' END AS s FROM (SELECT *, 'Clerk' AS o_clerk FROM orders))
+ SELECT id, sum(CAST(0.5 + CASE WHEN role = 'Lead' THEN 2.0 ELSE 0.0 END + CASE WHEN company <> '' THEN 2.0 ELSE 0.0 END + CASE WHEN s <> '' THEN 1.0 ELSE 0.0 END AS DOUBLE)) AS score FROM e GROUP BY id""")
+def experience_set_scores(spark, d):
+    k = F.col("o_orderkey")
+    entry = F.struct(
+        F.when(k % 4 == 0, "intern").when(k % 4 == 1, "").otherwise("Lead").alias("role"), F.when(k % 3 == 0, "").otherwise("Clerk").alias("company"), F.when(k % 5 == 0, "").otherwise("2019").alias("start"),
+        F.lit(None).cast("string").alias("description"), F.array().cast("array<string>").alias("achievements"),
+    )
+    rows = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(entry).alias("e"))
+    return rows.select("id", record.experience_set_score(F.col("e")).alias("score"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, ['Google India', 'Acme', 'Meta Labs', 'Google UK'][c_custkey % 4 + 1] AS a, ['Acme', 'IBM', 'Google', 'Oracle Corp'][c_nationkey % 4 + 1] AS b FROM customer),
+ m AS (SELECT id, list_distinct(list_filter([CASE WHEN contains(a, 'Google') THEN 'google' WHEN contains(a, 'Meta') THEN 'meta' END, CASE b WHEN 'IBM' THEN 'ibm' WHEN 'Google' THEN 'google' WHEN 'Oracle Corp' THEN 'oracle' END], lambda x: x IS NOT NULL)) AS h FROM c)
+ SELECT id, CAST(least(len(h) * 2.0, 4.0) AS DOUBLE) AS bonus FROM m""")
+def prestige_bonuses(spark, d):
+    def pick(names, at):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (at % 4 + 1).cast("int"))
+
+    own = F.array(pick(("Google India", "Acme", "Meta Labs", "Google UK"), F.col("c_custkey")), pick(("Acme", "IBM", "Google", "Oracle Corp"), F.col("c_nationkey")))
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), bonus.prestige_bonus(own).alias("bonus"))
+
+
+@query("""WITH w AS (SELECT event_id, user_id AS doc_id, CAST(event_id % 3 AS INT) AS page, event_id % 9 * 60 AS x0 FROM events WHERE user_id IS NOT NULL),
+ s AS (SELECT DISTINCT doc_id, page, CAST(x0 AS DOUBLE) AS x FROM w WHERE x0 BETWEEN 60 AND 450), g AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, page ORDER BY x) - x AS gap FROM s),
+ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY gap DESC, x) AS n FROM g WHERE gap >= 20)
+ SELECT doc_id, page, x + gap / 2 AS split FROM b WHERE n = 1""")
+def column_splits(spark, d):
+    e = F.col("event_id")
+    words = load(spark, d, "events").filter("user_id is not null").select(F.col("user_id").alias("doc_id"), (e % 3).cast("int").alias("page"), (e % 9 * 60).cast("double").alias("x0"))
+    return layout.column_split(words, 600.0)
+
+
+@query("""SELECT user_id AS job_id, event_id AS document_id, CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY user_id) THEN 'complete' ELSE 'progress' END AS type, CAST(row_number() OVER w AS INT) AS current,
+ count(*) OVER (PARTITION BY user_id) AS total, sum(CASE WHEN value > 5 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS succeeded,
+ row_number() OVER w - sum(CASE WHEN value > 5 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def progress_feed(spark, d):
+    done = load(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("document_id"), F.col("ts").alias("at"), F.coalesce(F.col("value") > 5, F.lit(False)).alias("ok"))
+    return progress.progress_events(done)
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship: persons ranked for every request."""
     return final_rank(spark, sf_dir)

@@ -32,12 +32,16 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; set a local one only where none is set."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; set a local one only where none is set and the
+    session is local, as in tests."""
     ensure_importable(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieverank-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sieverank-checkpoint-"))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 PERSON = T.StructType(
     [
@@ -53,7 +54,11 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """canonical, lower: names of a JSON list, without comment rows; an unreadable or absent file gives no rows."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("names"))
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        raw = spark.createDataFrame([], "value string")
+    text = raw.select(F.from_json("value", "array<string>").alias("names"))
     rows = text.select(F.explode("names").alias("canonical")).filter(~F.col("canonical").startswith("__comment"))
     return rows.withColumn("lower", F.lower("canonical")).dropDuplicates(["lower"])
 
@@ -72,3 +77,29 @@ def write_csv(ranking: DataFrame, path: str) -> None:
     """The ranking as CSV; lists become one field."""
     flat = [F.array_join(F.col(f.name).cast("array<string>"), "; ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in ranking.schema.fields]
     ranking.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_ranking(ranking: DataFrame, path: str, job_id: str) -> None:
+    """A job's ranking as JSON lines, in a folder of its own that a later ranking replaces."""
+    ranking.write.mode("overwrite").json(f"{path}/job_id={job_id}")
+
+
+def read_ranking(spark: SparkSession, path: str, job_id: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/job_id={job_id}")
+
+
+def by_id(table: DataFrame, job_id: str, document_id: str) -> DataFrame:
+    """One row by its keys; the first prunes folders."""
+    return table.filter((F.col("job_id") == job_id) & (F.col("document_id") == document_id))
+
+
+def put_uploads(files: DataFrame, path: str) -> None:
+    """Contents of accepted files beside their hashes, in one folder for each job."""
+    files.select("job_id", "name", "content_hash", "content").write.mode("append").partitionBy("job_id").parquet(path)
+
+
+def ensure_tables(spark: SparkSession, tables: dict[str, str]) -> dict[str, bool]:
+    """Creates the tables (name -> columns as in DDL) that are not there; tells which are there afterwards."""
+    for name, columns in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+    return {name: spark.catalog.tableExists(name) for name in tables}

@@ -27,3 +27,32 @@ def to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "updat
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def isolated(rows: DataFrame, work, schema: str, id_col: str = "document_id"):
+    """id_col, ok, error, record (struct of `schema`): `work` on each row as a dict; a row that fails is marked, others go on."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                try:
+                    out.append((row[id_col], True, None, work(row)))
+                except Exception as failed:  # noqa: BLE001  whatever a document does, the job goes on
+                    out.append((row[id_col], False, f"{type(failed).__name__}: {failed}", None))
+            yield pd.DataFrame(out, columns=[id_col, "ok", "error", "record"])
+
+    return rows.mapInPandas(run, f"{id_col} {dict(rows.dtypes)[id_col]}, ok boolean, error string, record struct<{schema}>")
+
+
+def progress_events(done: DataFrame, key: str = "job_id", at: str = "at") -> DataFrame:
+    """type, current, total, succeeded, failed for each finished document of a job, in the order they finished; the last
+    one of a job is "complete"."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(at, "document_id")
+    total = F.count("*").over(Window.partitionBy(key))
+    current = F.row_number().over(w)
+    good = F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return done.select(key, "document_id", F.when(current == total, "complete").otherwise("progress").alias("type"), current.alias("current"), total.alias("total"), good.alias("succeeded"), (current - good).alias("failed"))
