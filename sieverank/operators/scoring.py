@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sieverank import registries as R
 from sieverank.functions.dates import parse_date
-from sieverank.functions.text import normalize_skill, round_half_up, text_of, tokenize
+from sieverank.functions.text import let, normalize_skill, round_half_up, text_of, tokenize
 from sieverank.operators.classify import degree_level
 from sieverank.operators.matching import WEIGHTS, graph_key, normal_match, resolve
 
@@ -132,7 +132,7 @@ def bm25(results: Column, asked: Column, idf: Column, length: Column, average: C
 # -- experience
 def spans(experience: Column, as_of: Column) -> Column:
     """Start and end of the entries that have both, in order; entries that end before they start are left out."""
-    dated = F.transform(experience, lambda e: F.struct(parse_date(e["start"], as_of).alias("start"), parse_date(e["end"], as_of).alias("end")))
+    dated = F.transform(experience, lambda e: F.struct(let(e["start"], lambda x: parse_date(x, as_of)).alias("start"), let(e["end"], lambda x: parse_date(x, as_of)).alias("end")))
     return F.array_sort(F.filter(dated, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & (s["end"] >= s["start"])))
 
 
@@ -151,16 +151,17 @@ def total_years(dated: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of the word counts of two texts; 0 if one has no word."""
-    x, y = tokenize(a), tokenize(b)
-
     def count(words: Column, w: Column) -> Column:
         return F.size(F.filter(words, lambda v: v == w)).cast("double")
 
     def total(words: Column, of) -> Column:
         return F.aggregate(F.array_distinct(words), F.lit(0.0), lambda acc, w: acc + of(w))
 
-    norms = F.sqrt(total(x, lambda w: count(x, w) * count(x, w)) * total(y, lambda w: count(y, w) * count(y, w)))
-    return F.when(norms > 0, total(x, lambda w: count(x, w) * count(y, w)) / F.when(norms > 0, norms)).otherwise(0.0)
+    def likeness(x: Column, y: Column) -> Column:
+        norms = F.sqrt(total(x, lambda w: count(x, w) * count(x, w)) * total(y, lambda w: count(y, w) * count(y, w)))
+        return F.when(norms > 0, total(x, lambda w: count(x, w) * count(y, w)) / F.when(norms > 0, norms)).otherwise(0.0)
+
+    return let(tokenize(a), lambda x: let(tokenize(b), lambda y: likeness(x, y)))
 
 
 def best_title(experience: Column, title: Column) -> Column:
@@ -210,7 +211,7 @@ def field_score(education: Column, field: Column, text: Column) -> Column:
 def _keyword_hits(texts: list[tuple[Column, float]], keywords: Column) -> Column:
     """array<struct<ord, votes>>; texts of fewer than five characters say nothing."""
     def of(text: Column, factor: float) -> Column:
-        found = F.filter(keywords, lambda k: (F.length(text) >= 5) & F.contains(text, k["keyword"]))
+        found = let(text, lambda t: F.filter(keywords, lambda k: (F.length(t) >= 5) & F.contains(t, k["keyword"])))
         return F.transform(found, lambda k: F.struct(k["ord"].alias("ord"), (k["weight"] * factor).alias("votes")))
 
     return F.concat(*[of(F.lower(text_of(t)), f) for t, f in texts])
@@ -262,9 +263,11 @@ def profile_subdomain(p: dict[str, Column], table: dict[str, tuple[str, ...]] |
     table = R.SUBDOMAIN_KEYWORDS if table is None else table
     told = F.flatten(F.transform(p["experience"], lambda e: F.concat(F.array(e["role"], e["description"]), strings(e["achievements"]))))
     text = F.lower(F.concat_ws(" ", F.array_join(strings(p["skills"]), " "), F.array_join(told, " "), F.array_join(F.transform(p["education"], lambda e: e["degree"]), " ")))
-    hits = F.array(*[F.struct(F.size(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(text, k))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(table.items())])
-    best = F.array_max(F.filter(hits, lambda h: h["n"] >= 2))
-    return F.coalesce(best["name"], F.lit("software"))
+    def best(t: Column) -> Column:
+        hits = [F.struct(F.size(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(t, k))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(table.items())]
+        return F.array_max(F.filter(F.array(*hits), lambda h: h["n"] >= 2))["name"]
+
+    return F.coalesce(let(text, best), F.lit("software"))
 
 
 def request_subdomain(title: Column, department: Column) -> Column:

@@ -77,4 +77,5 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.when(k % 5 == 0, "AWS Cloud Practitioner").otherwise("First Aid").alias("name"), F.lit(None).cast("string").alias("issuer"))).alias("certifications"),
         F.create_map(F.lit("full_text"), F.concat(F.col("c_mktsegment"), F.lit(" with "), (k % 9).cast("string"), F.lit(" years of experience"))).alias("raw_text_sections"), ((k % 10) / 10.0).alias("extraction_quality"),
     )
-    return rows
+    # A record is a small row with much work: by bytes alone, adaptive execution would give a small table to one task.
+    return rows.repartition(spark.sparkContext.defaultParallelism, "id")
