@@ -65,7 +65,7 @@ def extract_records(docs: DataFrame, headers: DataFrame, known: tuple[str, ...]
     rows = rows.withColumns({"personal_info": contacts, "extraction_quality": quality})
     return rows.select(
         "id", F.col("id").cast("string").alias("document_id"), "personal_info", "summary", "skills", "experience", "education", "projects", "certifications", "languages",
-        F.coalesce("sections", F.create_map().cast("map<string,string>")).alias("raw_text_sections"), "extraction_quality",
+        record.fallback_text(F.map_concat(F.coalesce("sections", F.create_map().cast("map<string,string>")), F.create_map(F.lit("full_text"), F.col("text")))).alias("raw_text_sections"), "extraction_quality",
         X.warnings(F.col("name"), mail, F.col("experience"), F.col("skills"), F.col("extraction_quality")).alias("warnings"),
         record.missing_name_reason(F.col("text"), F.col("tq"), F.col("sq"), F.col("name")).alias("missing_name_reason"), record.needs_ocr(F.col("tq"), F.col("sq")).alias("needs_ocr"),
         F.when(F.trim("text") == "", "EXTRACTION_FAILED").otherwise("EXTRACTED").alias("status"),
