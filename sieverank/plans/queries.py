@@ -143,7 +143,7 @@ def profile_fingerprints(spark, d):
 
 @query(None)
 def duplicate_blocks(spark, d):
-    out = dedup.drop_repeated_blocks(load(spark, d, "documents"), least_lines=2)
+    out = dedup.drop_repeated_blocks(load(spark, d, "documents"))
     return out.select("id", text.content_hash(F.col("text")).alias("sha256"))
 
 

@@ -6,7 +6,7 @@ from sieverank import registries as R
 from sieverank.operators import extract as X
 from sieverank.plans import extraction as E
 
-PROFILE = """Jane van Doe | jane@example.com | 555-123-4567
+PROFILE = """Jane van Doe | jane@example.com | (555) 123-4567
 Springfield, IL
 PROFESSIONAL SUMMARY
 Nationality: Norwegian
