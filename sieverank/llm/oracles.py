@@ -32,28 +32,29 @@ def _spans(kind: int, pattern: str, keep: str) -> str:
 
 _TAIL = "CASE WHEN {z} > 0 THEN 0.5e0 * exp(-({z}) * ({z}) / 2) ELSE 1.0e0 END"
 _SIZE = "length(regexp_replace(token, '[^A-Za-z0-9]', '', 'g'))"
-_CLASSES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '[^A-Za-z0-9]', '', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g')"
+_CLASSES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '[^A-Za-z0-9]', '', 'g'), '[A-Z][a-z]', 'aa', 'g'), '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g')"
 _BAND = "CASE " + " ".join(f"WHEN stop - start < {b} THEN {i}" for i, b in enumerate(S.BANDS)) + f" ELSE {len(S.BANDS)} END"
+_RATE = "CASE " + " ".join(f"WHEN k = {k} THEN {rate}e0" for k, rate in S.CHANGE_RATES.items()) + " END"
 _ATANH = "0.5e0 * ln((1 + {x}) / (1 - {x}))"
 
 SECRET_SCAN = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  base AS ({_spans(0, S.ASSIGN, f"length(g) >= {S.ASSIGN_VALUE}")} UNION ALL {_spans(1, S.LONG_ACCESS, "true")} UNION ALL {_spans(2, S.LONG_HEX, "true")}),
- seen AS ({_spans(3, "[A-Za-z0-9+/_-]{20,}={0,2}", "true")}),
+ seen AS ({_spans(3, "[A-Za-z0-9+/_-]{16,}={0,2}", "true")}),
  free AS (SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)),
  a AS (SELECT *, CAST(length(token) AS DOUBLE) AS n, CAST(greatest({_SIZE}, 4) AS DOUBLE) AS size, {_CLASSES} AS cl, {_BAND} AS band,
   CAST(CASE WHEN regexp_matches(token, '^[0-9]+$') THEN 10 WHEN regexp_matches(token, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN 16 WHEN regexp_matches(token, '^(?:[a-z]+|[A-Z]+)$') THEN 26 WHEN regexp_matches(token, '^[A-Z2-7]+=*$') THEN 32
    WHEN regexp_matches(token, '^(?:[a-z0-9]+|[A-Z0-9]+)$') THEN 36 WHEN regexp_matches(token, '^[A-Za-z0-9]+$') THEN 62 ELSE 64 END AS DOUBLE) AS k,
   list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: power(CAST(length(token) - length(replace(token, c, '')) AS DOUBLE), 2))) AS squares FROM free),
- b AS (SELECT *, k * squares / n - n AS chi, (n - 1) * (k * {S.COINCIDENCE}e0 - 1) AS excess, greatest(len(regexp_extract_all(cl, 'a+|A+|0+')) - 1, 0) / (size - 1) AS rate,
+ b AS (SELECT *, k * squares / n - n AS chi, (n - 1) * (k * {S.COINCIDENCE}e0 - 1) AS excess, greatest(len(regexp_extract_all(cl, 'a+|A+|0+')) - 1, 0) / (size - 1) AS rate, {_RATE} AS usual,
   power((size - length(replace(cl, 'a', ''))) / size, 2) + power((size - length(replace(cl, 'A', ''))) / size, 2) + power((size - length(replace(cl, '0', ''))) / size, 2) AS chance FROM a),
  c AS (SELECT *, CASE WHEN excess > 0 THEN {_TAIL.format(z="((k - 1 + excess - chi) / sqrt(2 * (k - 1) + 4 * greatest(excess, 0)))")} ELSE 1.0e0 END AS chi_p,
-  CASE WHEN rate > {S.CHANGE_RATE}e0 THEN exp(-(size - 1) * (rate * ln(greatest(rate, 1e-12) / {S.CHANGE_RATE}e0) + (1 - rate) * ln(greatest(1 - rate, 1e-12) / (1 - {S.CHANGE_RATE}e0)))) ELSE 1.0e0 END AS runs_p,
+  CASE WHEN rate > usual THEN exp(-(size - 1) * (rate * ln(greatest(rate, 1e-12) / usual) + (1 - rate) * ln(greatest(1 - rate, 1e-12) / (1 - usual)))) ELSE 1.0e0 END AS runs_p,
   CASE WHEN chance > 0.999 THEN 0.999e0 ELSE greatest(least((1 - rate - chance) / (1 - chance), 0.999e0), -0.999e0) END AS r FROM b),
- e AS (SELECT *, least(chi_p, runs_p, {_TAIL.format(z=f"(({_ATANH.format(x=f'{S.COMPOSED_CORRELATION}e0')} - {_ATANH.format(x='r')}) * sqrt(size - 3))")}) AS p FROM c),
- f AS (SELECT doc_id, start, stop, band, CAST(least(floor(-log10(greatest(least(3 * p, 1.0e0), 1e-60)) / {S.BIN}e0), {S.MAX_BIN}) AS INT) AS bin FROM e),
- h AS (SELECT band, bin, sum(count(*)) OVER (PARTITION BY band) AS m, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS r FROM f GROUP BY band, bin),
- levels AS (SELECT band, min(bin) AS least_bin FROM h WHERE power(10.0e0, -bin * {S.BIN}e0) <= {S.FDR}e0 * r / m GROUP BY band),
- spans AS (SELECT doc_id, rank, start, stop FROM base UNION ALL SELECT doc_id, 3, start, stop FROM f JOIN levels USING (band) WHERE bin >= least_bin),
+ e AS (SELECT *, least(chi_p, runs_p, {_TAIL.format(z=f"(({_ATANH.format(x=f'{S.COMPOSED_CORRELATION}e0')} - {_ATANH.format(x='r')}) * sqrt(greatest(least(2 * (1 - chance), 1.0e0) * size - 3, 0.0e0)))")}) AS p FROM c),
+ f AS (SELECT doc_id, start, stop, band * 100 + CAST(k AS INT) AS stratum, CAST(least(floor(-log10(greatest(least(3 * p, 1.0e0), 1e-60)) / {S.BIN}e0), {S.MAX_BIN}) AS INT) AS bin FROM e),
+ h AS (SELECT stratum, bin, sum(count(*)) OVER (PARTITION BY stratum) AS m, sum(count(*)) OVER (PARTITION BY stratum ORDER BY bin DESC) AS r FROM f GROUP BY stratum, bin),
+ levels AS (SELECT stratum, min(bin) AS least_bin FROM h WHERE power(10.0e0, -bin * {S.BIN}e0) <= {S.FDR}e0 * r / m GROUP BY stratum),
+ spans AS (SELECT doc_id, rank, start, stop FROM base UNION ALL SELECT doc_id, 3, start, stop FROM f JOIN levels USING (stratum) WHERE bin >= least_bin),
  named AS (SELECT *, ['assign', 'access', 'hex', 'random'][rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s FROM spans)
  SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, sha256(coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
   coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans FROM d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id"""

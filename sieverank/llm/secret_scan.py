@@ -6,15 +6,20 @@ words, numbers and separators":
 
 * chi-squared uniformity over the inferred alphabet: composed tokens repeat letters, so their statistic lies well above
   that of uniform symbols; a low one speaks for a generated key;
-* runs: changes between lower case, upper case and digits are rare in composed tokens (rate CHANGE_RATE) and frequent
-  in generated ones;
+* runs: changes between lower case, upper case and digits are rare in composed tokens (rate CHANGE_RATES of the encoding)
+  and frequent in generated ones. A capital before a small letter begins a word and counts as a small letter, so that
+  camel case is composed;
 * serial correlation of the character class at lag 1: near COMPOSED_CORRELATION in composed tokens, near 0 in
   generated ones.
 
 Each p-value is an upper bound that holds at any length (Chernoff bounds), the three are combined by Bonferroni (they
 depend on each other), and a step-up false-discovery control at level FDR runs over all candidates of the corpus within
-each band of lengths. For that, p-values are put into bins of BIN in -log10, taken at their upper edge; the table of
-(band, bin) counts has at most len(BANDS) * MAX_BIN rows whatever the corpus.
+each stratum, a band of lengths of one encoding: long words, of one case, do not raise the limit for mixed keys. For that,
+p-values are put into bins of BIN in -log10, taken at their upper edge; the table of (stratum, bin) counts has at most
+(len(BANDS) + 1) * len(CHANGE_RATES) * MAX_BIN rows whatever the corpus.
+
+Runs of fewer than 16 characters are not tested: no test tells them from composed ones at these levels. Digits alone and
+letters of one case have no change of class, and are found by their letters only where they are long.
 
 Positions are code points, ends exclusive. Results are row by row: a null text counts as empty, repeated rows give
 repeated results, ids may be null or repeated, further input columns are ignored.
@@ -39,9 +44,11 @@ KINDS = ("assign", "access", "hex", "random")
 LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
 LONG_HEX = r"[0-9a-f]{24,}"
 #: What the battery looks at.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
-CHANGE_RATE, COMPOSED_CORRELATION, COINCIDENCE, FDR = 0.15, 0.6, 0.066, 0.001
-BANDS = (24, 32, 48, 64, 128)
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+COMPOSED_CORRELATION, COINCIDENCE, FDR = 0.6, 0.066, 0.001
+#: Symbols of the encoding -> rate of changes of class in composed tokens of it (digits in words are rare, in hex less so).
+CHANGE_RATES = {10: 0.15, 16: 0.08, 26: 0.15, 32: 0.05, 36: 0.05, 62: 0.05, 64: 0.08}
+BANDS = (20, 24, 32, 48, 64, 128)
 BIN, MAX_BIN = 0.05, 1200
 
 SPAN = "struct<start:long,rank:int,stop:long>"
@@ -118,48 +125,55 @@ def battery(token: Column) -> Column:
     """-log10 of the combined p-value against the null hypothesis of a composed token."""
     n = F.char_length(token).cast("double")
     k = alphabet_size(token).cast("double")
+    composed = F.lit(0.0)
+    for symbols, usual in CHANGE_RATES.items():
+        composed = F.when(k == symbols, F.lit(usual)).otherwise(composed)
     squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
     excess = (n - 1) * (k * COINCIDENCE - 1)
     chi_p = F.when(excess > 0, let(k * squares / n - n, lambda chi: _upper_tail((k - 1 + excess - chi) / F.sqrt(2 * (k - 1) + 4 * excess)))).otherwise(F.lit(1.0))
     plain = F.regexp_replace(token, "[^A-Za-z0-9]", "")  # separators join words and are of no class
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    words = F.regexp_replace(plain, "[A-Z][a-z]", "aa")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(words, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
 
     size = F.greatest(F.char_length(plain), F.lit(4)).cast("double")
 
-    def runs(rate: Column) -> Column:
-        divergence = rate * F.log(F.greatest(rate, F.lit(1e-12)) / CHANGE_RATE) + (1 - rate) * F.log(F.greatest(1 - rate, F.lit(1e-12)) / (1 - CHANGE_RATE))
-        return F.when(rate > CHANGE_RATE, F.exp(-(size - 1) * divergence)).otherwise(F.lit(1.0))
+    def runs(rate: Column, usual: Column) -> Column:
+        divergence = rate * F.log(F.greatest(rate, F.lit(1e-12)) / usual) + (1 - rate) * F.log(F.greatest(1 - rate, F.lit(1e-12)) / (1 - usual))
+        return F.when(rate > usual, F.exp(-(size - 1) * divergence)).otherwise(F.lit(1.0))
 
     def serial(rate: Column, chance: Column) -> Column:
-        """Lag-1 agreement of classes beyond chance; a token of one class agrees fully."""
+        """Lag-1 agreement of classes beyond chance; a token of one class agrees fully. A token counts for as many symbols
+        as its classes are mixed: one digit in a long word says nothing of the order of classes."""
+        mixed = F.greatest(F.least(2 * (1 - chance), F.lit(1.0)) * size - 3, F.lit(0.0))
         r = F.when(chance > 0.999, F.lit(0.999)).otherwise(F.greatest(F.least((1 - rate - chance) / (1 - chance), F.lit(0.999)), F.lit(-0.999)))
         expected = F.lit(COMPOSED_CORRELATION)
-        return let(r, lambda v: _upper_tail((0.5 * F.log((1 + expected) / (1 - expected)) - 0.5 * F.log((1 + v) / (1 - v))) * F.sqrt(size - 3)))
+        return let(r, lambda v: _upper_tail((0.5 * F.log((1 + expected) / (1 - expected)) - 0.5 * F.log((1 + v) / (1 - v))) * F.sqrt(mixed)))
 
     def on_classes(cl: Column) -> Column:
         share = [F.pow((size - F.char_length(F.replace(cl, F.lit(c), F.lit("")))) / size, F.lit(2.0)) for c in "aA0"]
         rate = F.greatest(F.regexp_count(cl, F.lit("a+|A+|0+")) - 1, F.lit(0)) / (size - 1)
-        return let(rate, lambda v: let(share[0] + share[1] + share[2], lambda chance: F.least(runs(v), serial(v, chance))))
+        return let(rate, lambda v: let(share[0] + share[1] + share[2], lambda chance: F.least(let(composed, lambda usual: runs(v, usual)), serial(v, chance))))
 
     best = let(F.least(chi_p, let(classes, on_classes)), lambda p: -F.log10(F.greatest(F.least(3 * p, F.lit(1.0)), F.lit(1e-60))))
     return best
 
 
-def _band(length: Column) -> Column:
-    out = F.lit(len(BANDS))
+def _stratum(token: Column) -> Column:
+    """The band of lengths and the inferred encoding as one number."""
+    band = F.lit(len(BANDS))
     for i, limit in reversed(list(enumerate(BANDS))):
-        out = F.when(length < limit, F.lit(i)).otherwise(out)
-    return out
+        band = F.when(F.char_length(token) < limit, F.lit(i)).otherwise(band)
+    return band * 100 + alphabet_size(token)
 
 
 def thresholds(candidates: DataFrame, fdr: float = FDR) -> DataFrame:
-    """band, least_bin: candidates of a band are findings from this bin on (step-up control over all of them)."""
-    counts = candidates.groupBy("band", "bin").count()
-    total = F.expr("sum(count) over (partition by band)")
-    rank = F.expr("sum(count) over (partition by band order by bin desc)")
-    ranked = counts.select("band", "bin", total.alias("m"), rank.alias("r"))
+    """stratum, least_bin: candidates of a stratum are findings from this bin on (step-up control over all of them)."""
+    counts = candidates.groupBy("stratum", "bin").count()
+    total = F.expr("sum(count) over (partition by stratum)")
+    rank = F.expr("sum(count) over (partition by stratum order by bin desc)")
+    ranked = counts.select("stratum", "bin", total.alias("m"), rank.alias("r"))
     passing = ranked.filter(F.pow(F.lit(10.0), -F.col("bin") * BIN) <= fdr * F.col("r") / F.col("m"))
-    return passing.groupBy("band").agg(F.min("bin").alias("least_bin"))
+    return passing.groupBy("stratum").agg(F.min("bin").alias("least_bin"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,15 +192,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     tried = F.zip_with("seen", "_seen_m", lambda s, m: F.struct(s.alias("span"), m.alias("token")))
     free = let(F.col("base"), lambda base: F.filter(tried, lambda c: ~F.exists(base, lambda b: (b["start"] < c["span"]["stop"]) & (c["span"]["start"] < b["stop"]))))
     df = df.withColumn("_free", F.when(F.size("seen") > 0, free))
-    scored = F.transform("_free", lambda c: F.struct(c["span"].alias("span"), _band(c["span"]["stop"] - c["span"]["start"]).alias("band"), F.least(F.floor(battery(c["token"]) / BIN), F.lit(MAX_BIN)).cast("int").alias("bin")))
+    scored = F.transform("_free", lambda c: F.struct(c["span"].alias("span"), _stratum(c["token"]).alias("stratum"), F.least(F.floor(battery(c["token"]) / BIN), F.lit(MAX_BIN)).cast("int").alias("bin")))
     df = df.withColumn("_scored", F.when(F.size("_free") > 0, scored))
     df = df.select("doc_id", "base", "_scored", "kept")
     if not keep:  # what is known of a document is small beside its text
         df = df.drop("kept").checkpoint()
-    levels = thresholds(df.select(F.explode("_scored").alias("c")).select("c.band", "c.bin"), fdr)
-    table = levels.agg(F.map_from_entries(F.collect_list(F.struct("band", "least_bin"))).alias("levels"))
+    levels = thresholds(df.select(F.explode("_scored").alias("c")).select("c.stratum", "c.bin"), fdr)
+    table = levels.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least_bin"))).alias("levels"))
     df = df.withColumn("_levels", table.scalar())
-    added = F.transform(F.filter("_scored", lambda c: c["bin"] >= F.coalesce(F.try_element_at(F.col("_levels"), c["band"]), F.lit(MAX_BIN + 1))), lambda c: c["span"])
+    added = F.transform(F.filter("_scored", lambda c: c["bin"] >= F.coalesce(F.try_element_at(F.col("_levels"), c["stratum"]), F.lit(MAX_BIN + 1))), lambda c: c["span"])
     spans = F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(f"array<{SPAN}>"))))
     return df.select("doc_id", "base", spans.alias("spans"), *(["kept"] if keep else []))
 
