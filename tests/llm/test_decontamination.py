@@ -101,3 +101,31 @@ def test_passages_of_long_items_and_several_stretches():
     assert hit(item[:40], item[:10] + other[:20] + item[30:40])
     assert not hit(item[:40], item[:10] + other[:30])
     assert D.stretches(np.array([1] * 6 + [0] * 6 + [1] * 8 + [0] * 5 + [1] * 5, bool), 5) == [(12, 20), (25, 30), (0, 6)]
+
+
+def test_recall_over_replaced_words(spark):
+    """Copies on unique words with 0 to 20 % of the words replaced, against the overlay of all positions."""
+    rng = random.Random(11)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(rng.choice([10, 20, 40])))) for i in range(150)]
+    docs, wanted = [], set()
+    for i, item in items:
+        copy = item.split()
+        for p in rng.sample(range(len(copy)), int(len(copy) * (i % 5) * 0.05)):
+            copy[p] = "changed"
+        text = " ".join(["some", "words"] * 5 + copy + ["more"] * 5)
+        docs.append((i, text))
+        if brute(text, item) >= max(min(D.MIN_WORDS, len(copy)), D.COVERAGE * len(copy)):
+            wanted.add((i, i))
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= wanted and len(got) >= 0.95 * len(wanted) and len(wanted) > 130
+
+
+def test_rows_without_id_and_large_ids_are_judged_by_their_text(spark):
+    item = " ".join(f"w{j}" for j in range(20))
+    large = (1 << 60) + 1
+    rows = [(None, item), (None, "clean text"), (None, None), (large, item), (large + 1, "clean"), (large, "also clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(large, item), (None, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(None, large), (None, None), (large, large), (large, None)}
+    assert {tuple(r) for r in D.drop_contaminated(docs, bench).collect()} == {(None, "clean text"), (None, None), (large + 1, "clean"), (large, "also clean")}
