@@ -180,8 +180,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     """doc_id, base and spans: arrays of struct<start, rank, stop> sorted by start, then kind; and `kept`, a struct of the
     columns named in `keep`.
 
-    `spans` holds base findings and those of the battery, which never overlap a base finding. Without `keep`, findings
-    are checkpointed for the corpus-wide control; with it, rows hold texts and are scanned twice instead.
+    `spans` holds base findings and those of the battery, which never overlap a base finding. Findings, with
+    what is kept, are checkpointed for the corpus-wide control, so texts are scanned once.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None)
@@ -194,9 +194,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     df = df.withColumn("_free", F.when(F.size("seen") > 0, free))
     scored = F.transform("_free", lambda c: F.struct(c["span"].alias("span"), _stratum(c["token"]).alias("stratum"), F.least(F.floor(battery(c["token"]) / BIN), F.lit(MAX_BIN)).cast("int").alias("bin")))
     df = df.withColumn("_scored", F.when(F.size("_free") > 0, scored))
-    df = df.select("doc_id", "base", "_scored", "kept")
-    if not keep:  # what is known of a document is small beside its text
-        df = df.drop("kept").checkpoint()
+    df = df.select("doc_id", "base", "_scored", *(["kept"] if keep else [])).checkpoint()
     levels = thresholds(df.select(F.explode("_scored").alias("c")).select("c.stratum", "c.bin"), fdr)
     table = levels.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least_bin"))).alias("levels"))
     df = df.withColumn("_levels", table.scalar())
