@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sieverank.llm import secret_scan as S
+from sieverank.llm import url_filter as U
 
 SUFFIX_DEDUP = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
@@ -59,4 +60,91 @@ SECRET_SCAN = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documen
  SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, sha256(coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
   coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans FROM d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLE_SQL = {"op1_secret_scan": SECRET_SCAN, "op4_suffix_dedup": SUFFIX_DEDUP}
+FILTER_AUDIT = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, part FROM t),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+   (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+   + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+   + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first < f.doc_id, false)::INT AS fails FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+ g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+ c AS (SELECT part, s, sum(n) FILTER (fails & s = 0) AS n, sum(good) FILTER (fails & s = 0) AS good, sum(toxic) FILTER (fails & s = 0) AS toxic
+   FROM g, (SELECT unnest(range(32))::INT AS s) GROUP BY part, s),
+ k AS (SELECT part, s, coalesce(n, 0) AS n, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM c),
+ letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ p AS (SELECT o, step, coalesce(list_sum(list_transform(range(1, step), lambda j: 1 << (ascii(substr(o, j, 1)) - 65))), 0)::INT AS before,
+   1 << (ascii(substr(o, step, 1)) - 65) AS own FROM o, (SELECT unnest(range(1, 6)) AS step)),
+ q AS (SELECT b.part AS part, o AS filter_order, step, own, a.n AS kept, b.n - a.n AS removed, z.n - y.n - (b.n - a.n) AS redundant, x.n - v.n AS unique_fails,
+   b.good - a.good AS good_lost, b.toxic - a.toxic AS toxic_lost
+   FROM p JOIN k b ON b.s = before JOIN k a ON a.part = b.part AND a.s = before | own JOIN k z ON z.part = b.part AND z.s = 0
+   JOIN k y ON y.part = b.part AND y.s = own JOIN k x ON x.part = b.part AND x.s = 31 - own JOIN k v ON v.part = b.part AND v.s = 31)
+ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM q"""
+
+_HOST = "translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_DOTS = r"""CASE WHEN regexp_matches({0}, '/\.\.?(?:/|$)') THEN regexp_replace('/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[],
+   list_transform(string_split({0}, '/')[2:], lambda s: [s])), lambda d, s: CASE WHEN s[1] = '.' THEN d WHEN s[1] = '..' THEN d[:greatest(len(d) - 1, 0)] ELSE d || s END), '/')
+   || CASE WHEN regexp_matches({0}, '/\.\.?$') THEN '/' ELSE '' END, '/+$', '/') WHEN {0} = '' THEN '/' ELSE {0} END"""
+_MARKUP = U.MARKUP.replace("]*+", "]*").replace("]++)*+", "]+)*").replace("'", "''")
+
+
+def _attribute(name: str) -> str:
+    value = rf"""'(?is)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))'"""
+    return "trim(" + " || ".join(f"regexp_extract(tag, {value}, {k})" for k in (1, 2, 3)) + ")"
+
+
+def _ampersands(value: str) -> str:
+    return f"regexp_replace({value}, '(?i)&amp;|&#38;|&#x26;', '&', 'g')"
+
+
+def _address(url: str) -> str:
+    query = rf"regexp_extract({url}, '(?s)^.*?://[^?#]*\?([^#]*)', 1)"
+    kept = f"array_to_string(list_filter(string_split({query}, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{U.TRACKING}')), '&')"
+    host, path = _HOST.format(url), _DOTS.format(_PATH.format(url))
+    return f"CASE WHEN {host} <> '' THEN {host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END END"
+
+
+def _resolved(target: str, base: str) -> str:
+    origin, path = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", _PATH.format(base)
+    return rf"""CASE WHEN {origin} = '' AND NOT regexp_matches({target}, '(?i)^https?://') THEN NULL WHEN {target} = '' OR {target} LIKE '#%' THEN NULL
+   WHEN regexp_matches({target}, '(?i)^https?://') THEN {target} WHEN {target} LIKE '//%' THEN 'http:' || {target} WHEN {target} LIKE '/%' THEN {origin} || {target}
+   WHEN {target} LIKE '?%' THEN {origin} || {path} || {target} WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+   ELSE {origin} || CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END || {target} END"""
+
+
+def _rule(host: str, path: str) -> str:
+    """Number of the longest rule that fits."""
+    return f"(SELECT arg_max(r, length(h) + length(p)) FROM rules WHERE ({host} = h OR ends_with({host}, '.' || h)) AND starts_with({path}, p))"
+
+
+URL_FILTER = rf"""WITH RECURSIVE rules(r, action, h, p) AS (VALUES {", ".join(f"({i}, '{a}', '{h}', '{p}')" for i, (a, h, p) in enumerate(U.RULES))}),
+ u AS (SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, {_address("url")} AS address FROM pages),
+ t AS (SELECT url, list_filter(regexp_extract_all(coalesce(html, ''), '{_MARKUP}'), lambda x: regexp_matches(x, '(?i)^<[lmb]')) AS tags FROM pages),
+ b AS (SELECT url, tags, list_filter(list_transform(list_filter(tags, lambda x: regexp_matches(x, '(?i)^<b')), lambda tag: {_attribute("href")}), lambda x: x <> '')[1] AS b0
+  FROM t WHERE len(list_filter(tags, lambda x: regexp_matches(x, '(?i)canonical|refresh'))) > 0),
+ b1 AS (SELECT url, tags, {_ampersands("b0")} AS b FROM b),
+ x AS (SELECT url, coalesce({_resolved("b", "url")}, url) AS base, unnest(tags) AS tag FROM b1),
+ y0 AS (SELECT url, base, CASE WHEN regexp_matches(tag, '(?i)^<l') AND regexp_matches({_attribute("rel")}, '(?i)(?:^|\s)canonical(?:\s|$)') THEN {_attribute("href")}
+   WHEN regexp_matches(tag, '(?i)^<m') AND lower({_attribute("http-equiv")}) = 'refresh'
+   THEN regexp_extract({_attribute("content")}, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target FROM x),
+ y AS (SELECT url, base, {_ampersands("target")} AS target FROM y0 WHERE target <> ''),
+ yr AS (SELECT url, {_resolved("target", "base")} AS target FROM y),
+ e AS (SELECT DISTINCT {_address("url")} AS a, {_address("target")} AS b FROM yr),
+ e2 AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+ reach(a, b) AS (SELECT a, b FROM e2 UNION SELECT reach.a, e2.b FROM reach JOIN e2 ON reach.b = e2.a),
+ ends AS (SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+ judged AS (SELECT b, {_rule("host", "path")} AS r FROM ends),
+ decided AS (SELECT reach.a AS address, min(action) AS decision FROM reach JOIN judged ON judged.b = reach.b JOIN rules ON rules.r = judged.r GROUP BY reach.a),
+ v AS (SELECT page_id, host, path, address, {_rule("host", "path")} AS r, {_rule("host", _DOTS.format("path"))} AS r2 FROM u)
+ SELECT page_id, host, path, own.h || own.p AS rule, coalesce(own.action, decision, other.action, 'allow') AS verdict,
+  CASE WHEN own.r IS NOT NULL THEN 'rule' WHEN decision IS NOT NULL OR other.r IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+ FROM v LEFT JOIN rules own ON own.r = v.r LEFT JOIN rules other ON other.r = v.r2 LEFT JOIN decided ON decided.address = v.address"""
+
+ORACLE_SQL = {
+    "op1_secret_scan": SECRET_SCAN,
+    "op4_suffix_dedup": SUFFIX_DEDUP,
+    "op11_url_filter": URL_FILTER,
+    "op13_filter_audit": FILTER_AUDIT,
+}

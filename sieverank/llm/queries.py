@@ -93,4 +93,43 @@ def op10_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_fingerprints, op4_suffix_dedup, op5_decontamination, op6_simhash, op7_sentencepiece, op8_lm_scores, op9_html_extract, op10_language_id, op10_language_id_pages)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page, with verdicts carried over canonical links and refreshes."""
+    from sieverank.llm.url_filter import filter_urls, rule_table
+
+    return filter_urls(load(spark, sf_dir, "pages"), rule_table(spark)).drop("url")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, one in ten of them made periodic by its id, and what collapsing the runs leaves."""
+    from sieverank.llm.periodic_runs import periodic_runs, run_digest, with_planted_periods
+
+    return run_digest(periodic_runs(with_planted_periods(load(spark, sf_dir, "documents"))))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and lose at each step of all their orders, by source."""
+    from sieverank.llm.filter_audit import audit
+
+    return audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_token_counts,
+        op3_fingerprints,
+        op4_suffix_dedup,
+        op5_decontamination,
+        op6_simhash,
+        op7_sentencepiece,
+        op8_lm_scores,
+        op9_html_extract,
+        op10_language_id,
+        op10_language_id_pages,
+        op11_url_filter,
+        op12_periodic_runs,
+        op13_filter_audit,
+    )
+}
