@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equal(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     theirs = con.execute(ORACLE_SQL[name])
     names = [x[0] for x in theirs.description]
     ours = QUERIES[name](spark, DATA)
