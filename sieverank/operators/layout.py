@@ -3,14 +3,58 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieverank.functions.text import text_of, trim_blank
 from sieverank.operators.sections import resolve_headers
 
 TOLERANCE, LEAST_GAP = 3.5, 20.0
 
 
+def span_text(text: Column) -> Column:
+    """The text of a span without marks of unknown glyphs; letters spaced out as in "W O R K  D A Y S" are put together,
+    where every letter of the span is: two blanks part words."""
+    clean = F.regexp_replace(text_of(text), r"\(cid:\d+\)", "")
+    parts = F.transform(F.split(trim_blank(clean), "  "), lambda p: F.replace(p, F.lit(" "), F.lit("")))
+    spaced = trim_blank(clean).rlike(r"^\S(?: \S)+(?:  \S(?: \S)+)*$")
+    return F.when(spaced, F.array_join(parts, " ")).otherwise(clean)
+
+
+def words_of_spans(spans: DataFrame) -> DataFrame:
+    """doc_id, page, seq, text, x0, x1, top, bottom, bold, size: the words of spans(doc_id, page, seq, text, x0, y0, x1,
+    y1, font, size), with the span's width dealt out by characters, blanks included, so that words keep their gaps.
+
+    A span without words gives none; a single word has the whole span. Null coordinates stay null. Each row stands for
+    itself: repeated spans repeat their words, nothing is shuffled.
+    """
+    rows = spans.withColumn("_text", span_text(F.col("text")))
+    found = F.regexp_extract_all("_text", F.lit(r"(\S+)"), F.lit(1))
+    rows = rows.withColumn("_words", found).withColumn("_gaps", F.transform(F.split("_text", r"\S+"), F.length)).filter(F.size("_words") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, i: F.struct(
+        (s["at"] + F.get("_gaps", i) + F.length(F.get("_words", i))).alias("at"),
+        F.concat(s["starts"], F.array(s["at"] + F.get("_gaps", i))).alias("starts"),
+    )
+    rows = rows.withColumn("_starts", F.aggregate(F.sequence(F.lit(0), F.size("_words") - 1), start, step, lambda s: s["starts"]))
+    one = F.size("_words") == 1
+    width = (F.col("x1") - F.col("x0")) / F.length("_text")
+    words = rows.select("*", width.alias("_width"), one.alias("_one"), F.explode(F.arrays_zip("_words", "_starts")).alias("w"))
+    first, last = F.col("w._starts"), F.col("w._starts") + F.length("w._words")
+    return words.select(
+        "doc_id",
+        "page",
+        "seq",
+        F.col("w._words").alias("text"),
+        F.when(F.col("_one"), F.col("x0")).otherwise(F.col("x0") + first * F.col("_width")).alias("x0"),
+        F.when(F.col("_one"), F.col("x1")).otherwise(F.col("x0") + last * F.col("_width")).alias("x1"),
+        F.col("y0").alias("top"),
+        F.col("y1").alias("bottom"),
+        F.contains(F.lower(F.coalesce("font", F.lit(""))), F.lit("bold")).alias("bold"),
+        F.coalesce("size", F.lit(0.0)).cast("double").alias("size"),
+    )
+
+
 def page_lines(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, page, line, text, top, x0, bold, size: a word within `tolerance` of its line's first word joins it.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sieverank import registries as R
 from sieverank.functions import dates, text
 from sieverank.operators import bonus, classify, dedup, evaluate, extract, intervals, layout, matching, record, relevance, sections, store, views
-from sieverank.plans import extraction, fixtures, ranking, scoring
+from sieverank.plans import extraction, fixtures, profiles, ranking, scoring
 from sieverank.session import load
 from sieverank.streaming import progress
 
@@ -574,3 +574,11 @@ def progress_feed(spark, d):
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship: persons ranked for every request."""
     return final_rank(spark, sf_dir)
+
+
+def _add(module) -> None:
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
+
+
+_add(profiles)

@@ -128,15 +128,56 @@ CERTIFICATE_FIELDS = {
     "legal": ("law", "legal", "compliance", "regulatory", "contract", "litigation", "paralegal"),
     "hr": ("hr", "human resources", "recruitment", "talent", "payroll"),
 }
-#: Section headers in normal form -> canonical section.
+#: Section headers in lower case, by section.
 SECTIONS = {
-    "experience": ("experience", "work experience", "professional experience", "employment history", "work history", "career history"),
-    "education": ("education", "academic background", "qualifications", "academics", "educational background"),
-    "skills": ("skills", "technical skills", "core competencies", "key skills", "technologies"),
-    "projects": ("projects", "personal projects", "academic projects", "key projects"),
-    "certifications": ("certifications", "certificates", "licenses", "courses"),
-    "summary": ("summary", "profile", "objective", "about me", "professional summary", "career objective"),
-    "languages": ("languages", "language skills"),
+    "summary": (
+        "summary", "profile", "about", "about me", "objective", "overview", "professional summary", "career objective",
+        "personal statement", "executive summary", "professional profile", "career summary",
+    ),
+    "experience": (
+        "experience", "employment history", "work experience", "professional experience", "career history", "work history",
+        "job history", "relevant experience", "relevant work experience", "employment", "clinical experience",
+        "patient care experience", "teaching experience", "legal experience", "practice areas", "deal experience",
+        "key accounts", "consulting experience", "military service", "service history", "case management", "internship",
+        "internships", "internship and training", "internship & training", "professional training", "industrial training",
+        "practical training", "vocational training", "apprenticeship", "apprenticeships",
+    ),
+    "education": (
+        "education", "academic background", "qualifications", "academic history", "educational background", "academics",
+        "academic qualifications",
+    ),
+    "projects": (
+        "projects", "personal projects", "open source", "open-source", "project experience", "key projects", "notable projects",
+        "portfolio", "side projects", "technical projects", "academic projects", "projects / open-source",
+        "projects / open source", "projects/open-source", "projects/open source", "cases", "case studies", "engagements",
+        "research work", "research projects", "initiatives", "campaigns", "consulting engagements", "client projects",
+    ),
+    "skills": (
+        "skills", "technical skills", "core competencies", "competencies", "expertise", "technologies", "tools",
+        "tools & technologies", "technical expertise", "programming languages", "professional skills", "areas of expertise",
+        "specializations", "technical proficiencies", "clinical skills", "therapeutic modalities", "key strengths",
+    ),
+    "certifications": (
+        "certifications", "certificates", "courses", "training", "licenses", "credentials", "professional development",
+        "certification", "professional licenses", "bar admissions", "board certifications", "accreditations",
+        "continuing education",
+    ),
+    "languages": ("languages", "language skills", "spoken languages"),
+    "awards": ("awards", "honors", "recognitions", "distinctions"),
+    "achievements": ("accomplishments", "achievements", "key achievements", "key accomplishments"),
+    "publications": ("publications", "research papers", "journal articles", "conference papers", "presentations", "authored works"),
+    "references": ("references",),
+}
+#: The headers in upper case, and the section of each.
+SECTION_NAMES = tuple(h.upper() for headers in SECTIONS.values() for h in headers)
+SECTION_OF = tuple(s for s, headers in SECTIONS.items() for _ in headers)
+#: The part of a record that a section of tagged text goes to, where it has another name.
+RECORD_PARTS = {
+    "experience": "employment",
+    "summary": "profile",
+    "certifications": "courses",
+    "achievements": "accomplishments",
+    "awards": "accomplishments",
 }
 #: Keywords by domain with weights, for the weighted vote.
 DOMAIN_KEYWORDS = {
