@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieverank.functions import literals
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def _month(word: Column) -> Column:
     """1 to 12 by the first three letters, else null."""
-    at = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(word), 1, 3))
+    at = F.array_position(literals.array(MONTHS), F.substring(F.lower(word), 1, 3))
     return F.nullif(at.cast("int"), F.lit(0))
 
 

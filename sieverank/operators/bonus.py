@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sieverank.functions import literals
 from sieverank.functions.text import round_half_up
 from sieverank.operators.scoring import as_word, prepared, same_skill, strings
 from sieverank.registries import CERTIFICATE_FIELDS, CERTIFICATE_ISSUERS, CONTEST_WORDS, PRESTIGE_COMPANIES, PRIZE_WORDS
 
-def project_bonus(projects: Column, wanted: Column) -> Column:
+def project_bonus(projects: Column, wanted: Column, asked: Column | None = None) -> Column:
     """Up to 5: six times the share of the wanted skills that some project uses, in its technologies (fuzzy match) or as a
-    word of its text."""
-    def used(skill: Column) -> Column:
-        asked = F.get(prepared(F.array(skill)), F.lit(0))
-        text = lambda p: F.lower(F.concat_ws(" ", p["name"], p["description"], F.array_join(strings(p["technologies"]), " ")))
-        return F.exists(projects, lambda p: F.exists(prepared(p["technologies"]), lambda t: same_skill(t, asked)) | as_word(text(p), F.lower(skill)))
+    word of its text. `asked`: the wanted skills, prepared, where they are at hand."""
+    told = lambda p: F.lower(F.concat_ws(" ", p["name"], p["description"], F.array_join(strings(p["technologies"]), " ")))
+    made = F.transform(projects, lambda p: F.struct(prepared(p["technologies"]).alias("skills"), told(p).alias("text")))
 
-    share = F.size(F.array_distinct(F.filter(wanted, used))) / F.when(F.size(wanted) > 0, F.size(wanted))
+    def used(made: Column) -> Column:
+        uses = lambda a: F.exists(made, lambda p: F.exists(p["skills"], lambda t: same_skill(t, a)) | as_word(p["text"], F.lower(a["s"])))
+        return F.size(F.array_distinct(F.transform(F.filter(prepared(wanted) if asked is None else asked, uses), lambda a: a["s"])))
+
+    share = F.element_at(F.transform(F.array(made), used), 1) / F.when(F.size(wanted) > 0, F.size(wanted))
     return F.when(F.size(wanted) == 0, 0.0).otherwise(round_half_up(F.least(share * 6, F.lit(5.0)), 1))
 
 
 def prestige_matches(companies: Column, known: tuple[str, ...] = PRESTIGE_COMPANIES) -> Column:
     """The known names in the companies (of each the longest, then the first by alphabet), each name once."""
-    ordered = F.array(*[F.lit(k) for k in sorted(known, key=lambda k: (-len(k), k)) if len(k) >= 3])
+    ordered = literals.array(k for k in sorted(known, key=lambda k: (-len(k), k)) if len(k) >= 3)
     hits = F.transform(companies, lambda c: F.get(F.filter(ordered, lambda k: F.contains(F.lower(F.coalesce(c, F.lit(""))), k)), F.lit(0)))
     return F.array_distinct(F.filter(hits, lambda h: h.isNotNull()))
 
@@ -34,14 +37,14 @@ def prestige_bonus(companies: Column, known: tuple[str, ...] = PRESTIGE_COMPANIE
 
 
 def _has(x: Column, words) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))
+    return F.exists(literals.array(words), lambda w: F.contains(x, w))
 
 
 def relevant_words(request_text: Column, skills: Column, keywords: Column, fields: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Words by which a certificate fits a request: all words of each field that the request names, else its own skills
     and keywords."""
     low = F.lower(F.concat_ws(" ", request_text, F.array_join(skills, " ")))
-    named = F.concat(*[F.when(_has(low, ws), F.array(*[F.lit(w) for w in ws])).otherwise(F.array().cast("array<string>")) for ws in (CERTIFICATE_FIELDS if fields is None else fields).values()])
+    named = F.concat(*[F.when(_has(low, ws), literals.array(ws)).otherwise(F.array().cast("array<string>")) for ws in (CERTIFICATE_FIELDS if fields is None else fields).values()])
     own = F.transform(F.concat(skills, keywords), lambda w: F.lower(w))
     return F.when(F.size(named) > 0, F.concat(named, F.transform(skills, lambda w: F.lower(w)))).otherwise(own)
 

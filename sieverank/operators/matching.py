@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieverank.functions import literals
 from sieverank.functions.text import normalize_graph_key, normalize_skill
 from sieverank.registries import SKILL_ALIASES
 
@@ -13,8 +14,7 @@ MUST_WEIGHT = 0.75
 
 
 def alias_map(aliases: dict[str, str] | None = None) -> Column:
-    pairs = sorted((SKILL_ALIASES if aliases is None else aliases).items())
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return literals.mapping(SKILL_ALIASES if aliases is None else aliases)
 
 
 def resolve(normal: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieverank import registries as R
 from sieverank.functions.dates import parse_date
+from sieverank.functions import literals
 from sieverank.functions.text import let, normalize_skill, round_half_up, text_of, tokenize
 from sieverank.operators.classify import degree_level
 from sieverank.operators.matching import WEIGHTS, graph_key, normal_match, resolve
@@ -25,7 +26,7 @@ def strings(x: Column) -> Column:
 
 
 def literal_map(table: dict[str, tuple[str, ...]]) -> Column:
-    return F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(v) for v in x]) for pair in sorted(table.items()) for x in pair])
+    return literals.mapping(table)
 
 
 # -- skills
@@ -54,9 +55,14 @@ def search_variants(term: Column) -> Column:
     return F.array_distinct(F.concat(F.array(low), keyword, F.coalesce(F.try_element_at(by_alias, normal), none), F.coalesce(dotted, plain, none)))
 
 
+def with_variants(asked: Column) -> Column:
+    """Prepared skills with `v`, the spellings to look for: worked out once for a request, not for each record."""
+    return F.transform(asked, lambda a: a.withField("v", search_variants(a["s"])))
+
+
 def as_word(text: Column, word: Column) -> Column:
     """Whether the text holds the word between word boundaries."""
-    return F.regexp_like(text, F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b")))
+    return F.contains(text, word) & F.regexp_like(text, F.concat(F.lit(r"\b\Q"), word, F.lit(r"\E\b")))
 
 
 def named_in(text: Column, variants: Column) -> Column:
@@ -73,12 +79,13 @@ def skill_text(p: dict[str, Column]) -> Column:
 
 
 def augmented(own: Column, asked: Column, text: Column) -> Column:
-    """Prepared skills, and each asked skill that none of them matches but the text names; what is added counts at once."""
+    """Prepared skills, and each asked skill (with variants) that none of them matches but the text names; what is added
+    counts at once."""
     def step(acc: Column, a: Column) -> Column:
         known = F.exists(acc, lambda s: same_skill(s, a))
-        return F.when(~known & named_in(text, search_variants(a["s"])), F.concat(acc, F.array(a))).otherwise(acc)
+        return F.when(~known, F.concat(acc, F.array(a.dropFields("v")))).otherwise(acc)
 
-    return F.aggregate(asked, own, step)
+    return F.aggregate(F.filter(asked, lambda a: named_in(text, a["v"])), own, step)
 
 
 def _targets(edges: tuple[tuple[str, str], ...]) -> Column:
@@ -177,14 +184,14 @@ def title_score(sim: Column) -> Column:
 
 # -- keywords, education
 def matched_keywords(text: Column, own: Column, keywords: Column) -> Column:
-    """The keywords that occur in a spelling (single words as words, others anywhere) or that match a skill."""
+    """The keywords (prepared, with variants) that occur in a spelling, single words as words, others anywhere, or that
+    match a skill."""
     def found(k: Column) -> Column:
         loose = lambda v: F.contains(v, F.lit(" ")) | F.contains(v, F.lit("-"))
-        said = F.exists(search_variants(k), lambda v: F.when(loose(v), F.contains(text, v)).otherwise(as_word(text, v)))
-        asked = F.get(prepared(F.array(k)), F.lit(0))
-        return said | F.exists(own, lambda s: same_skill(s, asked))
+        said = F.exists(k["v"], lambda v: F.contains(text, v) & (loose(v) | as_word(text, v)))
+        return said | F.exists(own, lambda s: same_skill(s, k))
 
-    return F.filter(keywords, found)
+    return F.transform(F.filter(keywords, found), lambda k: k["s"])
 
 
 def best_degree(education: Column) -> Column:
@@ -219,7 +226,7 @@ def _keyword_hits(texts: list[tuple[Column, float]], keywords: Column) -> Column
 
 def keyword_table(table: dict[str, tuple] | None = None) -> Column:
     found = R.DOMAIN_KEYWORDS if table is None else table
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for i, ks in enumerate(found.values()) for k, w in ks])
+    return literals.structs(((i, k, w) for i, ks in enumerate(found.values()) for k, w in ks), ("ord", "keyword", "weight"))
 
 
 def domain_of(hits: Column, names: tuple[str, ...] = tuple(R.DOMAIN_KEYWORDS)) -> Column:
@@ -228,7 +235,7 @@ def domain_of(hits: Column, names: tuple[str, ...] = tuple(R.DOMAIN_KEYWORDS)) -
 
     def judged(v: Column) -> Column:
         total, best = F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.array_max(v)
-        name = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(v, best).cast("int"))
+        name = F.element_at(literals.array(names), F.array_position(v, best).cast("int"))
         share = round_half_up(best / F.when(total > 0, total), 3)
         return F.struct(F.when(total > 0, name).otherwise("unknown").alias("domain"), F.when(total > 0, share).otherwise(0.0).alias("confidence"))
 
@@ -237,7 +244,7 @@ def domain_of(hits: Column, names: tuple[str, ...] = tuple(R.DOMAIN_KEYWORDS)) -
 
 def _skill_hits(own: Column, weight: float, domains: dict[str, str]) -> Column:
     names = list(R.DOMAIN_KEYWORDS)
-    at = F.create_map(*[x for k, d in sorted(domains.items()) for x in (F.lit(k), F.lit(names.index(d)))])
+    at = literals.mapping({k: names.index(d) for k, d in domains.items()})
     known = F.filter(F.transform(own, lambda s: F.try_element_at(at, s["key"])), lambda i: i.isNotNull())
     return F.transform(known, lambda i: F.struct(i.alias("ord"), F.lit(weight).alias("votes")))
 
@@ -264,7 +271,7 @@ def profile_subdomain(p: dict[str, Column], table: dict[str, tuple[str, ...]] |
     told = F.flatten(F.transform(p["experience"], lambda e: F.concat(F.array(e["role"], e["description"]), strings(e["achievements"]))))
     text = F.lower(F.concat_ws(" ", F.array_join(strings(p["skills"]), " "), F.array_join(told, " "), F.array_join(F.transform(p["education"], lambda e: e["degree"]), " ")))
     def best(t: Column) -> Column:
-        hits = [F.struct(F.size(F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(t, k))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(table.items())]
+        hits = [F.struct(F.size(F.filter(literals.array(ks), lambda k: F.contains(t, k))).alias("n"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(table.items())]
         return F.array_max(F.filter(F.array(*hits), lambda h: h["n"] >= 2))["name"]
 
     return F.coalesce(let(text, best), F.lit("software"))
@@ -278,18 +285,18 @@ def request_subdomain(title: Column, department: Column) -> Column:
 
 def domain_penalty(jd: Column, own: Column, jd_sub: Column, own_sub: Column) -> Column:
     """Percent (0 or less): between sure, known, different domains by the table; within engineering by branches."""
-    table = F.create_map(*[x for a, row in zip(R.DOMAINS, R.PENALTIES, strict=True) for b, v in zip(R.DOMAINS, row, strict=True) for x in (F.lit(f"{a}>{b}"), F.lit(v))])
+    table = literals.mapping({f"{a}>{b}": v for a, row in zip(R.DOMAINS, R.PENALTIES, strict=True) for b, v in zip(R.DOMAINS, row, strict=True)})
     between = F.coalesce(F.try_element_at(table, F.concat(jd["domain"], F.lit(">"), own["domain"])), F.lit(R.DEFAULT_PENALTY))
     free = (jd["confidence"] < 0.4) | (own["confidence"] < 0.4) | (jd["domain"] == own["domain"]) | (jd["domain"] == "unknown") | (own["domain"] == "unknown")
     first = F.when(free, 0).otherwise(between)
-    subs = F.create_map(*[x for a, row in R.SUBDOMAIN_PENALTIES.items() for b, v in row.items() for x in (F.lit(f"{a}>{b}"), F.lit(v))])
+    subs = literals.mapping({f"{a}>{b}": v for a, row in R.SUBDOMAIN_PENALTIES.items() for b, v in row.items()})
     within = F.when(jd_sub == own_sub, 0).otherwise(F.coalesce(F.try_element_at(subs, F.concat(jd_sub, F.lit(">"), own_sub)), F.lit(R.DEFAULT_SUB_PENALTY)))
     return F.when((jd["domain"] == "engineering") & (own["domain"] == "engineering") & (first == 0), F.least(within, F.lit(0))).otherwise(first)
 
 
 def far_apart(jd: Column, own: Column, least: float = 0.35, limit: int = -60) -> Column:
     """Whether the pre-filter drops the pair: both sure and known, not construction beside engineering, at -60 or less."""
-    table = F.create_map(*[x for a, row in zip(R.DOMAINS, R.PENALTIES, strict=True) for b, v in zip(R.DOMAINS, row, strict=True) for x in (F.lit(f"{a}>{b}"), F.lit(v))])
+    table = literals.mapping({f"{a}>{b}": v for a, row in zip(R.DOMAINS, R.PENALTIES, strict=True) for b, v in zip(R.DOMAINS, row, strict=True)})
     pair = F.concat(jd["domain"], F.lit(">"), own["domain"])
     sure = (jd["confidence"] >= least) & (own["confidence"] >= least) & (jd["domain"] != own["domain"]) & (jd["domain"] != "unknown") & (own["domain"] != "unknown")
     related = pair.isin("engineering>construction", "construction>engineering")
@@ -298,7 +305,7 @@ def far_apart(jd: Column, own: Column, least: float = 0.35, limit: int = -60) ->
 
 # -- reasons and flags
 def knockout(missing: Column, years: Column, entries: Column, stated: Column, level: Column, jd: dict[str, Column]) -> Column:
-    required = degree_level(jd["required_degree"])
+    required = jd["required"]
     low = F.lower(text_of(jd["required_degree"]))
     short = (jd["min_years"] > 0) & (years < jd["min_years"]) & (entries < 2) & (F.coalesce(stated, F.lit(0)) < jd["min_years"]) & (years < jd["min_years"] * 0.5)
     return F.array_compact(

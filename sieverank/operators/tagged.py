@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieverank import registries as R
-from sieverank.functions.text import strip_tags, text_of, trim_blank
+from sieverank.functions import literals
+from sieverank.functions.text import let, strip_tags, text_of, trim_blank
 
 _MONTH_YEAR = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{4}"
 #: Ranges of months, words of a degree, marks of a bullet.
@@ -33,15 +34,10 @@ COUNTRIES = ("United States", "United Kingdom", "Canada", "India")
 PREAMBLE = "__PREAMBLE__"
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def segments(items: Column, opens: Callable[[Column, Column], Column]) -> Column:
     """The pieces of an array that begin where opens(item, index) holds; items before the first opener belong to none."""
     starts = F.filter(F.transform(items, lambda x, i: F.when(opens(x, i), i)), lambda i: i.isNotNull())
-    return bound(
+    return let(
         starts,
         lambda at: F.transform(at, lambda s, k: F.slice(items, s + 1, F.coalesce(F.get(at, k + 1), F.size(items)) - s)),
     )
@@ -89,7 +85,7 @@ def token(line: Column) -> Column:
 
     span = (F.regexp_extract(plain, SPAN, k) for k in (1, 2))
     named = dict(line=line, section=section, tag=tag, plain=plain, location=location) | dict(zip(("start", "end"), span, strict=True))
-    return bound(F.struct(*(v.alias(k) for k, v in named.items())), build)
+    return let(F.struct(*(v.alias(k) for k, v in named.items())), build)
 
 
 def tokens(lines: Column) -> Column:
@@ -132,7 +128,7 @@ def employment(toks: Column) -> Column:
                 F.filter(bullets, lambda b: b != "").alias("achievements"),
             )
 
-        return bound(body, filled)
+        return let(body, filled)
 
     jobs = F.transform(segments(toks, _is("JOB_TITLE")), entry)
     return F.filter(jobs, lambda j: (F.coalesce(j["role"], F.lit("")) != "") | (F.coalesce(j["company"], F.lit("")) != ""))
@@ -157,7 +153,7 @@ def degree_line(text: Column) -> Column:
         )
 
     parts = F.struct(prefix.alias("prefix"), after.alias("after"), F.regexp_extract(after, r"^of\s+\w+", 0).alias("of"), last.alias("last"))
-    return bound(parts, build)
+    return let(parts, build)
 
 
 def education(toks: Column) -> Column:
@@ -185,7 +181,7 @@ def education(toks: Column) -> Column:
                 _date(date, "end"),
             )
 
-        return bound(F.struct(degree_line(head["raw"]).alias("line"), more.alias("more")), build)
+        return let(F.struct(degree_line(head["raw"]).alias("line"), more.alias("more")), build)
 
     return F.transform(segments(toks, lambda t, i: (t["kind"] == "EDU_LINE") | ((t["kind"] == "JOB_TITLE") & taught(t))), entry)
 
@@ -227,7 +223,7 @@ def sections_of_tagged(text: Column, headers: tuple[str, ...] = R.SECTION_NAMES)
     A header is [NAME], or a job title that is the name of a section. [NAME] starts its section anew, a title goes on
     with it.
     """
-    known = F.array(*(F.lit(h) for h in headers))
+    known = literals.array(headers)
     title = r"^\[JOB_TITLE\](.*?)\[/JOB_TITLE\]$"
 
     def mark(line: Column) -> Column:
@@ -249,7 +245,7 @@ def sections_of_tagged(text: Column, headers: tuple[str, ...] = R.SECTION_NAMES)
 
         return F.filter(F.transform(names, section), lambda s: F.size(s["lines"]) > 0)
 
-    return bound(bound(marked, lambda m: segments(m, lambda x, i: x["name"].isNotNull())), deal)
+    return let(let(marked, lambda m: segments(m, lambda x, i: x["name"].isNotNull())), deal)
 
 
 def lines_under(sections: Column, names: tuple[str, ...]) -> Column:
@@ -276,7 +272,7 @@ def merged_skills(lines: Column) -> Column:
         last = F.array_join(F.concat(F.slice(own, F.size(own), 1), more), " ")
         return F.concat(F.slice(own, 1, F.size(own) - 1), F.array(last))
 
-    return bound(kept, lambda k: F.flatten(F.transform(segments(k, opens), join)))
+    return let(kept, lambda k: F.flatten(F.transform(segments(k, opens), join)))
 
 
 def listed(lines: Column) -> Column:
@@ -294,7 +290,7 @@ def sidebar(sections: Column) -> Column:
     own = lines_under(sections, ("ADDRESS",))
     looks = F.filter(every, lambda s: s.rlike(r"^\d{3,5}\s+\w") | s.rlike(r"\b[A-Z]{2}\s+\d{5}\b") | s.isin(*COUNTRIES))
     links = F.filter(F.flatten(F.array(*(lines_under(sections, (n,)) for n in LINK_LABELS))), lambda s: ~F.lower(s).isin(*TEMPLATE_LINKS))
-    distinct = bound(links, lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, F.lower), F.lower(x)) == i + 1))
+    distinct = let(links, lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, F.lower), F.lower(x)) == i + 1))
     value = lambda name: _empty_to_null(F.array_join(lines_under(sections, (name,)), " "))
     return F.struct(
         _empty_to_null(F.array_join(F.when(F.size(own) > 0, own).otherwise(looks), ", ")).alias("address"),
@@ -353,7 +349,7 @@ def assemble(pages: DataFrame, id_col: str = "doc_id", header: str = "header_tex
 
 def resolved(line: Column) -> Column:
     """The section that a line names, in any case, itself or without what follows its last sign; null for other lines."""
-    names, sections = F.array(*map(F.lit, R.SECTION_NAMES)), F.array(*map(F.lit, R.SECTION_OF))
+    names, sections = literals.array(R.SECTION_NAMES), literals.array(R.SECTION_OF)
     plain = F.upper(trim_blank(line))
     shorter = trim_blank(F.regexp_replace(plain, r"[/\-|&]+\s*\S*$", ""))
     at = lambda x: F.get(sections, F.nullif(F.array_position(names, x), F.lit(0)).cast("int") - 1)
@@ -383,7 +379,7 @@ def split_by_sidebar(side: Column, main: Column, full: Column) -> Column:
             own = lambda n: F.array_join(F.transform(F.filter(pieces, lambda p: p["section"] == n), lambda p: p["text"]), "\n")
             return F.transform(names, lambda n: F.struct(n.alias("section"), own(n).alias("text")))
 
-        return bound(F.filter(pieces, lambda p: p["text"] != ""), joined)
+        return let(F.filter(pieces, lambda p: p["text"] != ""), joined)
 
     def by_shares(rows: Column, names: Column) -> Column:
         noise = r"(?i)@|phone|license|driving|nationality|\d{4,}|make this resume|resume templates|build this"
@@ -394,7 +390,7 @@ def split_by_sidebar(side: Column, main: Column, full: Column) -> Column:
             size = lambda i: F.when(i == F.size(names) - 1, F.size(left)).otherwise(share)
             return F.transform(names, lambda n, i: F.struct(n.alias("section"), texts(F.slice(left, i * share + 1, size(i))).alias("text")))
 
-        return F.filter(bound(F.slice(rows, skipped + 1, F.size(rows)), dealt), lambda p: p["text"] != "")
+        return F.filter(let(F.slice(rows, skipped + 1, F.size(rows)), dealt), lambda p: p["text"] != "")
 
     none = F.array().cast("array<struct<section: string, text: string>>")
 
@@ -402,7 +398,7 @@ def split_by_sidebar(side: Column, main: Column, full: Column) -> Column:
         headers = F.size(F.filter(x["rows"], lambda r: r["section"].isNotNull()))
         return F.when(F.size(x["names"]) < 2, none).when(headers >= 2, by_markers(x["rows"])).otherwise(by_shares(x["rows"], x["names"]))
 
-    return bound(F.struct(ordered.alias("names"), marked.alias("rows")), split)
+    return let(F.struct(ordered.alias("names"), marked.alias("rows")), split)
 
 
 # -- education in a sidebar
@@ -455,7 +451,7 @@ def sidebar_education(text: Column) -> Column:
                     (at + F.when(grade(at) != "", 1).otherwise(0)).alias("used"),
                 )
 
-            school = bound(F.struct(year.alias("year"), F.when(taken, below).otherwise(rest).alias("school"), used.alias("used")), schooled)
+            school = let(F.struct(year.alias("year"), F.when(taken, below).otherwise(rest).alias("school"), used.alias("used")), schooled)
             return F.when(degree != "", studied).when(line.rlike(_SCHOOL), school)
 
         def pick(read_lines: Column) -> Column:
@@ -466,7 +462,7 @@ def sidebar_education(text: Column) -> Column:
             )
             return F.transform(F.aggregate(at, start, step, lambda s: s["picked"]), lambda i: F.get(read_lines, i).dropFields("used"))
 
-        return bound(F.transform(lines, read), pick)
+        return let(F.transform(lines, read), pick)
 
     none = F.array().cast("array<struct<degree: string, institution: string, end: string, grade: string>>")
-    return bound(nonblank_lines(part), lambda x: F.when(F.size(x) > 0, entries(x)).otherwise(none))
+    return let(nonblank_lines(part), lambda x: F.when(F.size(x) > 0, entries(x)).otherwise(none))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieverank import registries as R
+from sieverank.functions import literals
 from sieverank.functions.text import email, github, linkedin, phone, semantic_quality, text_of, text_quality
 from sieverank.operators import extract as X
 from sieverank.operators import record
@@ -39,7 +40,7 @@ def extract_records(docs: DataFrame, headers: DataFrame, known: tuple[str, ...]
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text")).filter("id is not null")
     rows = rows.join(sections_of(docs, headers, id_col, text_col), "id", "left")
-    dictionary = F.array(*[F.lit(k) for k in known])
+    dictionary = literals.array(known)
     part = lambda name: text_of(F.try_element_at("sections", F.lit(name)))
     top = F.slice(X.lines("text"), 1, 5)
     named = F.get(F.filter(F.transform(top, X.name_of_contact_line), X.is_name_line), F.lit(0))

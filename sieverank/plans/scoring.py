@@ -37,14 +37,15 @@ def most_overlap(pairs: DataFrame, overlap: str, most: int = 500) -> DataFrame:
 def prepare_requests(jds: DataFrame) -> DataFrame:
     """JD with what every record needs of a request: prepared skills, domain and branch, words for certificates."""
     must, nice = S.strings(F.col("must")), S.strings(F.col("nice"))
-    asked = S.prepared(F.concat(must, nice))
+    asked, keywords = S.prepared(F.concat(must, nice)), S.strings(F.col("keywords"))
     about = F.concat_ws(" ", "title", "department", "description")
     return jds.select(
         *[c for c in jds.columns if c not in ("must", "nice", "keywords")],
-        must.alias("must"), nice.alias("nice"), S.strings(F.col("keywords")).alias("keywords"), asked.alias("asked"),
+        must.alias("must"), nice.alias("nice"), keywords.alias("keywords"), S.with_variants(asked).alias("asked"),
+        S.with_variants(S.prepared(must)).alias("asked_must"), S.with_variants(S.prepared(keywords)).alias("asked_keywords"),
         S.request_domain(F.col("title"), F.col("department"), F.col("description"), asked).alias("jd_domain"),
         S.request_subdomain(F.col("title"), F.col("department")).alias("jd_sub"),
-        bonus.relevant_words(about, F.concat(must, nice), S.strings(F.col("keywords"))).alias("relevant"),
+        bonus.relevant_words(about, F.concat(must, nice), keywords).alias("relevant"),
     )
 
 
@@ -59,11 +60,13 @@ def prepare_records(people: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumn("all_text", said)
 
 
-def paired(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
-    """Every (request, record) with `prefiltered`: domains that are sure and too far apart."""
+def paired(jds: DataFrame, people: DataFrame, as_of: Column, apart: bool = False) -> DataFrame:
+    """Every (request, record) that the pre-filter leaves, or with `apart` those that it drops: domains that are sure and
+    too far apart. Requests are sorted out in their array, before a record is repeated for them."""
     asked = prepare_requests(jds).agg(F.collect_list(F.struct("*")).alias("j")).scalar()
-    rows = prepare_records(people, as_of).withColumn("j", asked).select("*", F.explode("j").alias("jd")).drop("j")
-    return rows.withColumn("prefiltered", S.far_apart(F.col("jd.jd_domain"), F.col("domain")))
+    far = lambda jd: S.far_apart(jd["jd_domain"], F.col("domain"))
+    rows = prepare_records(people, as_of).withColumn("j", asked)
+    return rows.select("*", F.explode(F.filter("j", lambda jd: far(jd) if apart else ~far(jd))).alias("jd")).drop("j")
 
 
 def skill_statistics(pairs: DataFrame) -> DataFrame:
@@ -83,6 +86,7 @@ def ranked(scores: DataFrame, per: str = "jd_id") -> DataFrame:
     before, so no request is sorted in one task.
     """
     ensure_checkpoint_dir(scores.sparkSession)
+    scores = scores.checkpoint()  # read for the best scores, the bounds of the ranges and their rows
     best = scores.groupBy(per).agg(F.max(F.when(~F.col("knocked_out"), F.col("final_score"))).alias("_best"))
     order = [F.col("knocked_out"), F.col("final_score").desc(), F.col("id")]
     dealt = scores.repartitionByRange(F.col(per), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
@@ -96,7 +100,7 @@ def ranked(scores: DataFrame, per: str = "jd_id") -> DataFrame:
 
 def score(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
     """All scores of every (request, record) that the pre-filter leaves; knocked-out records keep their partial scores."""
-    rows = paired(jds, people, as_of).filter("not prefiltered")
+    rows = paired(jds, people, as_of)
     stats = skill_statistics(rows)
     rows = rows.select("*", "jd.*").drop("jd").join(stats, "jd_id")
     rows = rows.withColumn("wider", S.augmented(F.col("own"), F.col("asked"), F.col("skill_text")))
@@ -105,8 +109,8 @@ def score(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
     every = F.concat("must", "nice")
     raw_skill = S.bm25(F.col("skill_matches"), F.col("asked"), F.coalesce("idf", F.create_map().cast("map<string,double>")), F.size("wider"), F.col("average"))
     penalty = S.domain_penalty(F.col("jd_domain"), F.col("domain"), F.col("jd_sub"), F.when(F.col("domain.domain") == "engineering", F.col("sub_domain")).otherwise(F.col("domain.domain")))
-    unmatched = F.filter(S.prepared(F.col("must")), lambda a: ~F.exists("own", lambda s: S.same_skill(s, a)))
-    unmet = F.filter(unmatched, lambda a: (weight(a["s"]) < 0.75) & ~((F.length(F.trim(a["s"])) >= 4) & S.named_in(F.col("skill_text"), S.search_variants(a["s"]))))
+    unmatched = F.filter("asked_must", lambda a: ~F.exists("own", lambda s: S.same_skill(s, a)))
+    unmet = F.filter(unmatched, lambda a: (weight(a["s"]) < 0.75) & ~((F.length(F.trim(a["s"])) >= 4) & S.named_in(F.col("skill_text"), a["v"])))
     rows = rows.withColumns(
         {
             "domain_penalty": penalty,
@@ -119,20 +123,22 @@ def score(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
             "matched_related": F.transform(F.filter("skill_matches", lambda m: m["match_type"] == "related"), lambda m: m["skill"]),
             "extra_skills": F.transform(F.filter("own", lambda s: ~F.exists("asked", lambda a: (F.lower(a["s"]) == F.lower(s["s"])) | S.same_skill(s, a))), lambda s: s["s"]),
             "title": S.best_title(F.col("experience"), F.col("title")),
-            "matched_keywords": S.matched_keywords(F.col("all_text"), F.col("own"), F.col("keywords")),
-            "project_bonus": bonus.project_bonus(F.col("projects"), every),
+            "matched_keywords": S.matched_keywords(F.col("all_text"), F.col("own"), F.col("asked_keywords")),
+            "project_bonus": bonus.project_bonus(F.col("projects"), every, F.col("asked")),
             "prestige_bonus": bonus.prestige_bonus(F.transform("experience", lambda e: e["company"])),
             "cert_bonus": bonus.cert_bonus(F.col("certifications"), F.col("relevant"), F.col("full_text")),
         }
     )
     last = F.array_max(F.transform("dated", lambda s: s["end"]))
-    required = degree_level(F.col("required_degree"))
+    rows = rows.withColumn("required", degree_level(F.col("required_degree")))
+    required = F.col("required")
+    rows = rows.withColumn("level", F.greatest(F.col("degree.level"), S.stated_level(F.col("full_text"), required)))
+    rows = rows.withColumn("stated", years_stated(F.col("full_text")))
     entries = F.size("experience")
     years = years_score(F.col("total_years"), F.col("min_years"), F.col("max_years"))
     recent = recency_score(last, entries > 0, as_of)
     has = F.size("keywords") > 0
-    level = F.greatest(F.col("degree.level"), S.stated_level(F.col("full_text"), required))
-    jd = {c: F.col(c) for c in ("min_years", "max_years", "required_degree")}
+    jd = {c: F.col(c) for c in ("min_years", "max_years", "required_degree", "required")}
     rows = rows.withColumns(
         {
             "skill_score": F.greatest(F.col("raw_skill") * (1 + F.col("domain_penalty") / 100.0), F.lit(0.0)),
@@ -140,7 +146,7 @@ def score(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
             "keyword_score": F.when(has, F.size("matched_keywords") / F.when(has, F.size("keywords")) * 100.0).otherwise(0.0),
             "education_score": degree_score(F.col("degree.level"), required) * 0.6 + S.field_score(F.col("education"), F.col("preferred_field"), F.col("full_text")) * 0.4,
             "missing_keywords": F.array_except("keywords", "matched_keywords"),
-            "reasons": S.knockout(F.col("unmet"), F.col("total_years"), entries, years_stated(F.col("full_text")), level, jd),
+            "reasons": S.knockout(F.col("unmet"), F.col("total_years"), entries, F.col("stated"), F.col("level"), jd),
             "anomalies": anomalies(F.col("total_years"), F.col("max_years"), S.first_gap(F.col("dated")), F.col("extraction_quality")),
         }
     )
@@ -163,4 +169,4 @@ def rank_records(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
 
 def prefiltered(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
     """jd_id, id, domain of the records that the pre-filter drops."""
-    return paired(jds, people, as_of).filter("prefiltered").select("jd.jd_id", "id", F.col("domain.domain").alias("domain"))
+    return paired(jds, people, as_of, apart=True).select("jd.jd_id", "id", F.col("domain.domain").alias("domain"))
