@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sieverank import registries as R
 from sieverank.functions import dates, text
 from sieverank.operators import bonus, classify, dedup, evaluate, extract, intervals, layout, matching, record, relevance, sections, store, views
-from sieverank.plans import extraction, fixtures, profiles, ranking, scoring
+from sieverank.plans import audits, extraction, fixtures, profiles, ranking, scoring
 from sieverank.session import load
 from sieverank.streaming import progress
 
@@ -582,3 +582,4 @@ def _add(module) -> None:
 
 
 _add(profiles)
+_add(audits)
