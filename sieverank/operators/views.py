@@ -18,16 +18,42 @@ def flag_level(flag: Column) -> Column:
     return F.when(flag.contains("LOW_QUALITY") | flag.contains("GAP"), "warning").otherwise("info")
 
 
-def visible(rows: DataFrame, wanted: str = "all", show_knockouts: bool = False, search: str = "", sort: str = "score") -> DataFrame:
-    """Rows of a list view (columns signal, name, skills, score), filtered and sorted; knockouts hidden unless shown."""
+#: Order of names as people expect it: letters first, then accents, then case.
+LOCALE = "UNICODE"
+
+
+def visible(rows: DataFrame, wanted: str = "all", show_knockouts: bool = False, search: str = "", sort: str = "score", locale: str = LOCALE) -> DataFrame:
+    """Rows of a list view (columns signal, name, skills, score; `matched` if there), filtered and sorted; knockouts hidden
+    unless shown. A search that is not blank keeps rows whose name or one of whose skills holds it, whatever the case."""
     if not show_knockouts:
         rows = rows.filter(F.col("signal") != "knockout")
     if wanted != "all":
         rows = rows.filter(F.col("signal") == wanted)
-    if search:
+    if search.strip():
         low = F.lit(search.lower())
-        rows = rows.filter(F.contains(F.lower(F.coalesce("name", F.lit(""))), low) | F.exists("skills", lambda s: F.contains(F.lower(s), low)))
-    return rows.orderBy(F.lower("name"), "id") if sort == "name" else rows.orderBy(F.col("score").desc(), "id")
+        holds = lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), low)
+        lists = [c for c in ("skills", "matched") if c in rows.columns]
+        kept = holds(F.col("name"))
+        for c in lists:
+            kept = kept | F.coalesce(F.exists(c, holds), F.lit(False))
+        rows = rows.filter(kept)
+    return rows.orderBy(*by_name(locale), "id") if sort == "name" else rows.orderBy(F.col("score").desc(), "id")
+
+
+def by_name(locale: str = LOCALE, name: str = "name") -> list[Column]:
+    """Sort keys of a name in a locale's order; names that are equal there come by code points, nulls first."""
+    return [F.collate(F.col(name), locale), F.col(name)]
+
+
+def search_names(rows: DataFrame, text: str, locale: str = "UNICODE_CI_AI", name: str = "name") -> DataFrame:
+    """Rows whose name holds the text under a collation: by default whatever the case and the accents."""
+    return rows.filter(F.contains(F.collate(F.col(name), locale), F.collate(F.lit(text), locale)))
+
+
+def distinct_names(rows: DataFrame, locale: str = "UNICODE_CI_AI", name: str = "name") -> DataFrame:
+    """name, n: names that are equal under a collation as one, in the spelling that comes first by code points."""
+    groups = rows.groupBy(F.collate(F.col(name), locale).alias("_key")).agg(F.min(F.collate(F.col(name), "UTF8_BINARY")).alias(name), F.count("*").alias("n"))
+    return groups.select(name, "n")
 
 
 def knockout_checks(missing: Column, reasons: Column, total_years: Column, degree: Column) -> Column:

@@ -92,3 +92,33 @@ _ASKED = "(VALUES " + ", ".join(f"({i}, '{DEPARTMENTS[i].lower()}', '{s.lower()}
  SELECT jd_id::INT AS jd_id, id, overlap, (SELECT count(*) FROM {_ASKED} WHERE a.jd_id = k.jd_id)::INT AS asked FROM k JOIN c USING (jd_id) WHERE before < 50""")
 def missed_hits(spark, d):
     return evaluate.missed_hits(_ranked(spark, d), _persons(spark, d), _requests(spark), in_all=50)
+
+
+# -- names in the order of a locale
+NAMES = ("Émile", "emile", "Emile", "Zoë", "zoe", "Ängström", "angstrom", "Oz", "öz", "Åsa", "asa", "Élan", "elan", "Zoé", "Ñandú", "nandu")
+_ACCENTED = f"SELECT c_custkey AS id, c_nationkey AS nation, {_list(NAMES)}[c_custkey * 7 % {len(NAMES)} + 1] AS name FROM customer"
+#: The order of the names above in the root locale: letters, then accents, then case.
+_BASE = "translate(lower({0}), 'éëäöåñú', 'eeaoanu')"
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return load(spark, d, "customer").select(c.alias("id"), F.col("c_nationkey").alias("nation"), F.get(literals.array(NAMES), (c * 7 % len(NAMES)).cast("int")).alias("name"))
+
+
+@query(f"""SELECT id, name, CAST(row_number() OVER (PARTITION BY nation ORDER BY {_BASE.format('name')}, strip_accents(name) <> name, translate(lower(name), 'éëäöåñú', '12a3b4u'), name = lower(name) DESC, id) AS INT) AS place FROM ({_ACCENTED})""")
+def names_by_locale(spark, d):
+    from pyspark.sql import Window
+
+    return _named(spark, d).select("id", "name", F.row_number().over(Window.partitionBy("nation").orderBy(*views.by_name(), "id")).alias("place"))
+
+
+@query(f"SELECT id, name FROM ({_ACCENTED}) WHERE contains(lower(strip_accents(name)), 'an') OR contains(lower(strip_accents(name)), 'zoe')")
+def names_searched(spark, d):
+    rows = _named(spark, d)
+    return views.search_names(rows, "ÁN").select("id", "name").unionByName(views.search_names(rows, "Zoê").select("id", "name"))
+
+
+@query(f"SELECT min(name) AS name, count(*) AS n FROM ({_ACCENTED}) GROUP BY name COLLATE NOCASE.NOACCENT")
+def names_distinct(spark, d):
+    return views.distinct_names(_named(spark, d))

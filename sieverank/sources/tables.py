@@ -93,6 +93,22 @@ def by_id(table: DataFrame, job_id: str, document_id: str) -> DataFrame:
     return table.filter((F.col("job_id") == job_id) & (F.col("document_id") == document_id))
 
 
+def delete_job(spark: SparkSession, job_id: str, tables: list[str]) -> list[str]:
+    """Deletes a job from tables that have a folder for each job_id, in the given order: children first, the job last, so
+    that a run that fails half way can be run again. Returns the tables that held it; an unknown job changes nothing.
+
+    A folder goes as a whole and other jobs are not read. Null ids lie in no folder of their own and are not deleted.
+    """
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(job_id)
+    gone = []
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table, f"job_id={name}")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path) and files.delete(path, True):
+            gone.append(table)
+    return gone
+
+
 def put_uploads(files: DataFrame, path: str) -> None:
     """Contents of accepted files beside their hashes, in one folder for each job."""
     files.select("job_id", "name", "content_hash", "content").write.mode("append").partitionBy("job_id").parquet(path)
