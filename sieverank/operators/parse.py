@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieverank.functions.text import let
+
 MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 MOMENT = rf"(?:{MONTH}\s*'?\d{{2,4}}|\d{{1,2}}[/.-]\d{{4}}|(?:19|20)\d{{2}})"
 DATE_RANGE = rf"(?i)({MOMENT})\s*(?:-|–|—|to|until)\s*({MOMENT}|present|current|now|ongoing|till date|to date)"
@@ -121,21 +123,62 @@ def _run(n: int):
     return lambda i: F.array_join(F.slice("w", i, n), " ")
 
 
+#: Lower-case letters, rare ones first; signs and digits count as rarer still.
+RARE_FIRST = "zqjxkvbpygfwmucldrhsinoate"
+#: Names whose lengths differ by more are not compared.
+LENGTH_GAP = 3
+
+
+def scan_text(text: Column, dictionary: Column) -> Column:
+    """The names of an array that a text holds, whatever the case, with no letter, digit, hyphen or underscore beside."""
+    whole = lambda low, k: F.regexp_like(low, F.concat(F.lit(r"(?<![a-z0-9\-_])\Q"), F.lower(k), F.lit(r"\E(?![a-z0-9\-_])")))
+    found = lambda low: F.filter(dictionary, lambda k: F.contains(low, F.lower(k)) & whole(low, k))
+    return let(F.lower(F.coalesce(text, F.lit(""))), found)
+
+
+def _letters(x: Column) -> Column:
+    """The letters of a string, each with its count so far, in one order for all strings: high counts, then rare letters."""
+    at = F.sequence(F.lit(1), F.length(x))
+    letter = lambda i: F.substr(x, i, F.lit(1))
+    count = lambda i: F.length(F.substr(x, F.lit(1), i)) - F.length(F.replace(F.substr(x, F.lit(1), i), letter(i), F.lit("")))
+    keyed = F.transform(at, lambda i: F.struct((-count(i)).alias("k"), F.instr(F.lit(RARE_FIRST), letter(i)).alias("r"), letter(i).alias("c")))
+    return F.transform(F.array_sort(keyed), lambda t: F.concat(t["c"], (-t["k"]).cast("string")))
+
+
+def _prefix(letters: Column, ratio: Column) -> Column:
+    """What a string must share a letter of with any string of at least this ratio: all but the letters that it must have
+    in common, and one more."""
+    n = F.size(letters)
+    common = F.ceil(ratio * (2 * n - LENGTH_GAP) / 2 - 1e-9).cast("int")
+    return F.slice(letters, 1, F.least(n, F.greatest(n - common + 1, F.lit(1))))
+
+
 def fuzzy_names(found: DataFrame, names: DataFrame, least: float = 0.65, least_short: float = 0.85) -> DataFrame:
     """raw, canonical, ratio: the most similar dictionary name (Ratcliff-Obershelp ratio), at least `least`, or
-    `least_short` below ten characters. Only names of like length (3) and word count (1) are compared."""
-    blocks = F.sequence(F.length("lower") - 3, F.length("lower") + 3)
-    a = found.select("raw", F.lower("raw").alias("low")).distinct().withColumn("size", F.length("low")).withColumn("n", F.size(F.split("low", " ")))
-    b = names.withColumn("size", F.explode(blocks)).withColumn("m", F.size(F.split("lower", " ")))
-    pairs = a.join(b, "size").filter("abs(n - m) <= 1").select("raw", "low", "canonical", "lower")
+    `least_short` below ten characters; of equal ones the last by alphabet. Names of fewer than three characters, and of
+    lengths or word counts that differ by more than three or one, are not compared.
+
+    The ratio is at most the share of letters, counted, that two names have in common. So two names of a high ratio share
+    one of their first letters in an order by rarity (an equality join that loses no pair), and enough of all letters;
+    only pairs that do are compared.
+    """
+    size = lambda rows, col: rows.withColumn("size", F.length(col)).withColumn("words", F.size(F.split(col, " "))).withColumn("letters", _letters(F.col(col)))
+    a = found.select("raw", F.lower("raw").alias("low")).filter(F.length("raw") >= 3).distinct()
+    a = size(a, "low").withColumn("limit", F.when(F.length("raw") < 10, least_short).otherwise(least))
+    b = size(names.select("canonical", "lower").filter(F.length("lower") > 0).distinct(), "lower").withColumn("limit", F.when(F.length("lower") + LENGTH_GAP < 10, least_short).otherwise(least))
+    b = b.select("canonical", "lower", F.col("size").alias("size_b"), F.col("words").alias("words_b"), F.col("letters").alias("letters_b"), F.explode(_prefix(F.col("letters"), F.col("limit"))).alias("letter"))
+    met = a.withColumn("letter", F.explode(_prefix(F.col("letters"), F.col("limit")))).join(b, "letter")
+    near = met.filter((F.abs(F.col("size") - F.col("size_b")) <= LENGTH_GAP) & (F.abs(F.col("words") - F.col("words_b")) <= 1))
+    near = near.filter(2 * F.size(F.array_intersect("letters", "letters_b")) >= F.col("limit") * (F.col("size") + F.col("size_b")) - 1e-9)
+    pairs = near.select("raw", "low", "canonical", "lower", "limit").distinct()
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
 
         for p in batches:
-            yield pd.DataFrame({"raw": p["raw"], "canonical": p["canonical"], "ratio": [SequenceMatcher(None, x, y).ratio() for x, y in zip(p["low"], p["lower"], strict=True)]})
+            ratio = [SequenceMatcher(None, x, y).ratio() for x, y in zip(p["low"], p["lower"], strict=True)]
+            yield pd.DataFrame({"raw": p["raw"], "canonical": p["canonical"], "ratio": ratio, "limit": p["limit"]})
 
-    scored = pairs.mapInPandas(compare, "raw string, canonical string, ratio double")
-    limit = F.when(F.length("raw") < 10, least_short).otherwise(least)
-    best = scored.filter(F.col("ratio") >= limit).groupBy("raw").agg(F.max(F.struct("ratio", "canonical")).alias("m"))
+    scored = pairs.mapInPandas(compare, "raw string, canonical string, ratio double, limit double")
+    best = scored.filter("ratio >= limit").groupBy("raw").agg(F.max(F.struct("ratio", "canonical")).alias("m"))
     return best.select("raw", F.col("m.canonical").alias("canonical"), F.col("m.ratio").alias("ratio"))

@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from sieverank import registries as R
 from sieverank.functions import literals
-from sieverank.functions.text import email, github, linkedin, phone, semantic_quality, text_of, text_quality
+from sieverank.functions.text import email, github, let, linkedin, phone, semantic_quality, text_of, text_quality
 from sieverank.operators import extract as X
 from sieverank.operators import record
-from sieverank.operators.parse import lines_of
+from sieverank.operators.parse import fuzzy_names, lines_of, scan_text
 from sieverank.operators.sections import assign, resolve_headers
 
 #: Names that count as known skills where no dictionary is given.
 KNOWN = tuple(sorted({*R.SKILL_ALIASES, *R.SKILL_ALIASES.values(), *X.TECHNICAL, *(k for ks in R.SUBDOMAIN_KEYWORDS.values() for k in ks)}))
 
+#: Names that are looked for in texts where no dictionary is given: the technical ones that are not parts of names only.
+NAMES = tuple(k for k in X.TECHNICAL if k not in ("rest", "api"))
+
 
 def sections_of(docs: DataFrame, headers: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sections: map of section to its lines; what stands before the first header is "header"; chunks of one section
@@ -33,14 +36,39 @@ def sections_of(docs: DataFrame, headers: DataFrame, id_col: str = "doc_id", tex
     return joined.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "t"))).alias("sections"))
 
 
-def extract_records(docs: DataFrame, headers: DataFrame, known: tuple[str, ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def garbled_skills(rows: DataFrame, known: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """id, meant: map of names in a record's skills section that are no known name to the known name that they are most
+    like. Each spelling is looked up once, however many records have it; records without such a name have no row."""
+    section = text_of(F.try_element_at("sections", F.lit("skills")))
+    unknown = F.filter(X.raw_skills(section), lambda s: ~F.array_contains(literals.array(known), F.lower(F.trim(s))))
+    raw = rows.select("id", F.explode(F.array_distinct(unknown)).alias("raw"))
+    dictionary = rows.sparkSession.range(1).select(F.explode(literals.array(names)).alias("canonical"))
+    meant = fuzzy_names(raw.select("raw"), dictionary.withColumn("lower", F.lower("canonical"))).select("raw", "canonical")
+    return raw.distinct().join(meant, "raw").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("raw", "canonical"))).alias("meant"))
+
+
+def _named_skills(section: Column, dictionary: Column) -> Column:
+    """The names of a skills section, garbled ones as what they mean, and known names that section or text hold; a known
+    name that the section spells in its own way keeps that spelling."""
+    meant = F.coalesce("meant", F.create_map().cast("map<string,string>"))
+    own = F.transform(X.raw_skills(section), lambda s: F.coalesce(F.try_element_at(meant, s), s))
+    told = F.array_union(scan_text(section, dictionary), scan_text(F.col("text"), dictionary))
+    more = lambda own: F.concat(own, F.filter(told, lambda k: ~F.exists(own, lambda s: F.lower(s) == F.lower(k))))
+    return let(own, more)
+
+
+def extract_records(docs: DataFrame, headers: DataFrame, known: tuple[str, ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = NAMES) -> DataFrame:
     """A record for each row with an id: contacts, sections, skills, work, education, projects, certificates, languages, scores, warnings.
 
+    `known`: names that are valid as they stand, in lower case; `names`: the dictionary of skills, which garbled names
+    stand for and which are looked for in the whole text.
+
     Rows that share an id share their sections; rows without an id have none of their own and are left out.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("text")).filter("id is not null")
     rows = rows.join(sections_of(docs, headers, id_col, text_col), "id", "left")
     dictionary = literals.array(known)
+    rows = rows.join(garbled_skills(rows, known, names), "id", "left")
     part = lambda name: text_of(F.try_element_at("sections", F.lit(name)))
     top = F.slice(X.lines("text"), 1, 5)
     named = F.get(F.filter(F.transform(top, X.name_of_contact_line), X.is_name_line), F.lit(0))
@@ -49,7 +77,7 @@ def extract_records(docs: DataFrame, headers: DataFrame, known: tuple[str, ...]
     taught = record.first_nonempty(X.education_entries(part("education")), X.education_entries(part("header")))
     rows = rows.withColumns(
         {
-            "skills": X.split_bundles(X.clean_skills(X.raw_skills(part("skills")), dictionary), dictionary),
+            "skills": X.split_bundles(X.clean_skills(_named_skills(part("skills"), literals.array(names)), dictionary), dictionary),
             "experience": X.repaired_experience(work),
             "education": taught,
             "certifications": X.certifications(part("certifications")),

@@ -49,3 +49,48 @@ def test_layout(spark):
     assert [(r.text, r.role) for r in lines] == [("WORK HISTORY", "header"), ("• right", "bullet")]
     (split,) = layout.column_split(df, 500.0).collect()
     assert split.split == 95 + (300 - 95) / 2
+
+
+def test_fuzzy_names_equal_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    names = sorted({"".join(rng.choice("abcdeinorst .+#") for _ in range(rng.randrange(1, 22))).strip() for _ in range(300)} | {"machine learning", "kubernetes", "go", "c++", "aaaaaaaaaaaa"} - {""})
+    typed = {"", "ab", "Machine Lerning", "aaaaaaaaaabb"}
+    for n in rng.sample(names, 120):
+        letters = list(n)
+        for _ in range(rng.randrange(4)):
+            letters[rng.randrange(len(letters))] = rng.choice("abcxyz ")
+        typed.add("".join(letters).title() if rng.random() < 0.5 else "".join(letters))
+    want = {}
+    for raw in typed:
+        best = None
+        for n in names:
+            if len(raw) >= 3 and abs(len(raw) - len(n)) <= 3 and abs(len(raw.split(" ")) - len(n.split(" "))) <= 1:
+                ratio = SequenceMatcher(None, raw.lower(), n).ratio()
+                if ratio >= (0.85 if len(raw) < 10 else 0.65):
+                    best = max(best or (0, ""), (ratio, n))
+        if best:
+            want[raw] = (best[1], round(best[0], 9))
+    found = parse.fuzzy_names(spark.createDataFrame([(t,) for t in typed] + [(None,)], "raw string"), spark.createDataFrame([(n, n) for n in names], "canonical string, lower string"))
+    assert {r.raw: (r.canonical, round(r.ratio, 9)) for r in found.collect()} == want
+    assert len(want) > 60
+
+
+def test_scan_text(spark):
+    from pyspark.sql import functions as F
+
+    names = F.array(*[F.lit(x) for x in ("C++", "go", "machine learning", "node.js", ".net", "R")])
+    df = spark.createDataFrame([("c++11 and C++, GO-lang, Go. machine  learning",), ("machine learning; node.js .NET r",), ("mango ago_go",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(parse.scan_text(F.col("t"), names)).collect()] == [["C++", "go"], ["machine learning", "node.js", ".net", "R"], [], [], []]
+
+
+def test_records_take_garbled_and_named_skills(spark):
+    from sieverank import registries as R
+    from sieverank.plans import extraction
+
+    docs = spark.createDataFrame([(1, "Ada Byron\nSKILLS\nPythom Djnagoo, kubernetez, Docker\nEXPERIENCE\nwrote typescript, not a gopher"), (2, None)], "doc_id long, text string")
+    found = {r.id: r.skills for r in extraction.extract_records(docs, R.section_headers(spark), names=("python", "kubernetes", "docker", "typescript", "go")).collect()}
+    assert "kubernetes" in found[1] and "Docker" in found[1] and "typescript" in found[1] and "go" not in found[1] and "kubernetez" not in found[1]
+    assert found[2] == []
