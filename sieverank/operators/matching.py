@@ -69,15 +69,39 @@ def graph_key(skill: Column) -> Column:
     return F.coalesce(F.try_element_at(table, normalize_skill(skill)), F.try_element_at(table, F.replace(g, F.lit("_"), F.lit(""))), g)
 
 
-def infer(have: DataFrame, wanted: DataFrame, edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def alias_index(nodes: DataFrame) -> DataFrame:
+    """alias, key of a graph's nodes(at, key, aliases): the normal forms of each node's aliases, and its key. Of equal
+    forms the later node counts, within a node the key itself."""
+    forms = F.concat(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normalize_skill), F.array("key"))
+    rows = nodes.select("key", "at", F.posexplode(forms).alias("n", "alias")).filter("alias is not null")
+    return rows.groupBy("alias").agg(F.max_by("key", F.struct("at", "n")).alias("key"))
+
+
+def graph_keys(skills: DataFrame, nodes: DataFrame) -> DataFrame:
+    """skill, key for the distinct names of `skills` that the graph knows: by the alias of their normal form, else as a
+    key in graph form, else by the alias of that form. Each way is a join by equality, whatever the size of the graph."""
+    index, own = alias_index(nodes), nodes.select("key").distinct()
+    names = skills.select("skill").filter("skill is not null").distinct().withColumn("n", normalize_skill(F.col("skill"))).withColumn("g", normalize_graph_key(F.col("skill")))
+    by_form = names.join(index.select(F.col("alias").alias("n"), F.col("key").alias("k1")), "n", "left")
+    by_key = by_form.join(own.select(F.col("key").alias("g"), F.col("key").alias("k2")), "g", "left")
+    by_both = by_key.join(index.select(F.col("alias").alias("g"), F.col("key").alias("k3")), "g", "left")
+    return by_both.select("skill", F.coalesce("k1", "k2", "k3").alias("key")).filter("key is not null")
+
+
+def infer(have: DataFrame, wanted: DataFrame, edges: DataFrame, pairs: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Best match of every requested skill for every id that has one: id, jd_id, jd_skill, source, match_type, weight.
 
     Order: fuzzy match, same graph key, a skill that implies it, a related one; then the position in the id's list.
     Each kind is an equi-join on graph keys; the union is ranked once. `pairs`: match_pairs of the two, if at hand.
+    `nodes`: the nodes of a graph (at, key, aliases); names that it does not know have no key then. Without it, keys come
+    from the aliases of the registry.
     """
     direct = (match_pairs(have, wanted) if pairs is None else pairs).select("id", "pos", "skill", "jd_id", "jd_pos", "jd_skill", F.lit("explicit").alias("match_type"), F.lit(1).alias("priority"))
-    h = have.withColumn("key", graph_key(F.col("skill")))
-    w = wanted.withColumn("jd_key", graph_key(F.col("jd_skill")))
+    if nodes is None:
+        h, w = have.withColumn("key", graph_key(F.col("skill"))), wanted.withColumn("jd_key", graph_key(F.col("jd_skill")))
+    else:
+        h = have.join(graph_keys(have, nodes), "skill")
+        w = wanted.join(graph_keys(wanted.select(F.col("jd_skill").alias("skill")), nodes).withColumnsRenamed({"skill": "jd_skill", "key": "jd_key"}), "jd_skill")
     columns = ["id", "pos", "skill", "jd_id", "jd_pos", "jd_skill"]
     same = h.join(w, F.col("key") == F.col("jd_key")).select(*columns, F.lit("alias").alias("match_type"), F.lit(2).alias("priority"))
     hop = h.join(edges, F.col("key") == F.col("src")).join(w, F.col("dst") == F.col("jd_key"))

@@ -122,3 +122,61 @@ def names_searched(spark, d):
 @query(f"SELECT min(name) AS name, count(*) AS n FROM ({_ACCENTED}) GROUP BY name COLLATE NOCASE.NOACCENT")
 def names_distinct(spark, d):
     return views.distinct_names(_named(spark, d))
+
+
+# -- a skill graph with a node for each part, in three spellings
+_SPELLED = "CASE l_partkey % 4 WHEN 0 THEN 'Part-' || l_partkey WHEN 1 THEN 'Old.Name ' || l_partkey WHEN 2 THEN 'PART ' || l_partkey ELSE 'Unheard ' || l_partkey END"
+_OWNED = f"SELECT DISTINCT o_custkey AS id, l_partkey AS k, {_SPELLED} AS skill FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_NODES = "SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 2 THEN 'part_' || p_partkey ELSE 'node' || p_partkey END AS key FROM part"
+_WANTED_PARTS = "SELECT k, 'Part/' || k AS jd_skill FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 4 < 2 AND p_partkey % 50 < 2)"
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    key = F.when(k % 4 == 2, text("part_", k)).otherwise(text("node", k))
+    aliases = F.when(k % 4 < 2, F.array(text("part", k), text("old name ", k))).otherwise(F.array().cast("array<string>"))
+    return load(spark, d, "part").select(k.alias("at"), key.alias("key"), aliases.alias("aliases"))
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A part implies the next one, every third; it is related to the one after, every fifth, both ways."""
+    nodes = graph_nodes(spark, d).select("at", "key")
+    ahead = lambda n, every, kind: nodes.filter(F.col("at") % every == 0).join(nodes.select((F.col("at") - n).alias("at"), F.col("key").alias("dst")), "at").select(F.col("key").alias("src"), "dst", F.lit(kind).alias("kind"))
+    related = ahead(2, 5, "related")
+    return ahead(1, 3, "implies").unionByName(related).unionByName(related.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
+
+
+@query(f"""WITH h AS ({_OWNED}), w AS ({_WANTED_PARTS}), known AS (SELECT h.* FROM h JOIN part ON p_partkey = k WHERE k % 4 < 3),
+ m AS (SELECT h.id, w.jd_skill, h.skill, CASE WHEN h.k = w.k AND h.k % 4 = 0 THEN 1 WHEN h.k = w.k THEN 2 WHEN w.k = h.k + 1 AND h.k % 3 = 0 THEN 3
+   WHEN (w.k = h.k + 2 AND h.k % 5 = 0) OR (w.k = h.k - 2 AND w.k % 5 = 0) THEN 4 END AS p FROM known h JOIN w ON w.k BETWEEN h.k - 2 AND h.k + 2),
+ n AS (SELECT h.id, w.jd_skill, h.skill, 1 AS p FROM (SELECT *, translate(regexp_replace(lower(skill), '[ ./-]', '', 'g'), '', '') AS f FROM h) h JOIN (SELECT *, 'part' || k AS f FROM w) w ON contains(h.f, w.f) OR contains(w.f, h.f)),
+ a AS (SELECT *, row_number() OVER (PARTITION BY id, jd_skill ORDER BY p, skill) AS r FROM (SELECT * FROM m WHERE p IS NOT NULL UNION ALL SELECT * FROM n))
+ SELECT id, jd_skill, skill AS source, ['explicit', 'alias', 'inferred', 'related'][p] AS match_type FROM a WHERE r = 1""")
+def graph_inference(spark, d):
+    """Parts that customers ordered against requested ones, through a graph with a node for each part."""
+    lines, orders = load(spark, d, "lineitem"), load(spark, d, "orders")
+    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("id"), F.expr(_SPELLED).alias("skill")).distinct().withColumn("pos", F.lit(0))
+    k = F.col("p_partkey")
+    wanted = load(spark, d, "part").filter((k % 4 < 2) & (k % 50 < 2)).select(F.lit(1).alias("jd_id"), F.lit(0).alias("jd_pos"), F.concat(F.lit("Part/"), k.cast("string")).alias("jd_skill"))
+    found = matching.infer(owned, wanted, graph_edges(spark, d), nodes=graph_nodes(spark, d))
+    return found.select("id", "jd_skill", "source", "match_type")
+
+
+@query("""SELECT skill, CASE p_partkey % 4 WHEN 2 THEN 'part_' ELSE 'node' END || p_partkey AS key FROM part, (SELECT unnest(['Part-', 'OLD NAME ', 'old/name.', 'part ', 'Part_']) AS form), LATERAL (SELECT form || p_partkey AS skill)
+  WHERE p_partkey % 4 < 2 AND form <> 'Part_' OR p_partkey % 4 = 2 AND form IN ('part ', 'Part_')""")
+def graph_key_lookup(spark, d):
+    """The node of a graph that a spelling stands for, for five spellings of each part."""
+    forms = F.explode(literals.array(("Part-", "OLD NAME ", "old/name.", "part ", "Part_"))).alias("form")
+    skills = load(spark, d, "part").select("p_partkey", forms).select(F.concat("form", F.col("p_partkey").cast("string")).alias("skill"))
+    return matching.graph_keys(skills, graph_nodes(spark, d))
+
+
+# -- garbled names
+@query()
+def fuzzy_dictionary(spark, d):
+    """Garbled names of parts, and the name that each is most like (no SQL: tests hold it against all pairs)."""
+    part, k, name = load(spark, d, "part"), F.col("p_partkey"), F.col("p_name")
+    typed = F.when(k % 3 == 0, F.replace(name, F.lit("e"), F.lit("o"))).when(k % 3 == 1, F.concat(name, F.lit("s"))).otherwise(F.substr(name, F.lit(1), F.length(name) - 2))
+    names = part.select(F.col("p_name").alias("canonical"), F.lower("p_name").alias("lower")).distinct()
+    return parse.fuzzy_names(part.select(typed.alias("raw")), names).withColumn("ratio", F.round("ratio", 6))

@@ -73,6 +73,14 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return implies.unionByName(related).unionByName(related.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")).distinct()
 
 
+def read_graph_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """at, key, aliases of the nodes of a skill graph {key: {aliases: [...]}}, in the order of the file; keys that start
+    with ___ are comments."""
+    parsed = F.from_json("value", "map<string,struct<aliases:array<string>>>")
+    nodes = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(parsed)).alias("at", "e"))
+    return nodes.select("at", "e.key", F.coalesce("e.value.aliases", F.array().cast("array<string>")).alias("aliases")).filter(~F.col("key").startswith("___"))
+
+
 def write_csv(ranking: DataFrame, path: str) -> None:
     """The ranking as CSV; lists become one field."""
     flat = [F.array_join(F.col(f.name).cast("array<string>"), "; ").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in ranking.schema.fields]
