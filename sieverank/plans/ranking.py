@@ -10,6 +10,7 @@ from sieverank.functions.text import round_half_up
 from sieverank.operators.intervals import latest_end, union_years, years_score
 from sieverank.operators.matching import MUST_WEIGHT, infer, match_pairs
 from sieverank.operators.relevance import bm25_skills
+from sieverank.session import ensure_checkpoint_dir
 
 WEIGHTS = {"skills": 0.4, "experience": 0.25, "keywords": 0.2, "education": 0.15}
 
@@ -52,8 +53,9 @@ def skill_scores(have: DataFrame, wanted: DataFrame, edges: DataFrame) -> DataFr
 
     wanted(jd_id, jd_pos, jd_skill, must). Ids with no match at all have no row: the caller fills in.
     """
-    have = have.persist()  # read by idf, lengths and the graph joins
-    pairs = match_pairs(have, wanted).persist()
+    ensure_checkpoint_dir(have.sparkSession)
+    have = have.checkpoint()  # read by idf, lengths and the graph joins
+    pairs = match_pairs(have, wanted).checkpoint()
     bm25 = bm25_skills(have, pairs, wanted)
     found = infer(have, wanted, edges, pairs).filter(F.col("weight") >= MUST_WEIGHT).join(wanted.filter("must").select("jd_id", "jd_skill"), ["jd_id", "jd_skill"])
     met = found.groupBy("jd_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("jd_pos", "jd_skill"))), lambda x: x["jd_skill"]).alias("matched_must"))

@@ -4,23 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Alias -> canonical skill, both in normal form.
+#: Spelling -> canonical skill; canonical names stand for themselves.
 SKILL_ALIASES = {
-    "js": "javascript", "ts": "typescript", "py": "python", "c#": "csharp", "c++": "cplusplus", "golang": "go", "objc": "objectivec",
-    "vb": "visualbasic", "vbnet": "visualbasic", "rb": "ruby", "k8s": "kubernetes", "kube": "kubernetes", "kubernates": "kubernetes",
-    "dkr": "docker", "dockerize": "docker", "terrform": "terraform", "ans": "ansible", "jenkin": "jenkins", "ci": "continuousintegration",
-    "cd": "continuousdeployment", "cicd": "cicd", "aws": "aws", "amazonwebservices": "aws", "googlecloud": "gcp",
-    "googlecloudplatform": "gcp", "msazure": "azure", "pg": "postgresql", "postgres": "postgresql", "postgre": "postgresql",
-    "psql": "postgresql", "mongo": "mongodb", "sqlserver": "mssql", "microsoftsqlserver": "mssql", "dynamo": "dynamodb",
-    "react": "reactjs", "node": "nodejs", "nodjs": "nodejs", "next": "nextjs", "vue": "vuejs", "angularjs": "angular",
-    "djnago": "django", "flsk": "flask", "fstapi": "fastapi", "spring": "springboot", "express": "expressjs", "rails": "rubyonrails",
-    "ror": "rubyonrails", "sklearn": "scikitlearn", "ml": "machinelearning", "dl": "deeplearning", "naturallanguageprocessing": "nlp",
-    "artificialintelligence": "ai", "cv": "computervision", "torch": "pytorch", "tf": "tensorflow", "pnds": "pandas", "np": "numpy",
-    "largelanguagemodel": "llm", "chatgpt": "gpt", "rest": "restapi", "restapis": "restapi", "restful": "restapi",
-    "restfulapi": "restapi", "gql": "graphql", "jiira": "jira", "fgma": "figma", "searchengineoptimization": "seo",
-    "searchenginemarketing": "sem", "socialmediamarketing": "smm", "payperclick": "ppc", "customerrelationshipmanagement": "crm",
-    "businessintelligence": "bi", "virtualprivatenetwork": "vpn", "agil": "agile", "scurm": "scrum", "devop": "devops",
-    "objectorientedprogramming": "oop", "testdrivendevelopment": "tdd", "behaviordrivendevelopment": "bdd",
+    # languages
+    "js": "javascript", "ts": "typescript", "py": "python", "javascript": "javascript", "typescript": "typescript", "python": "python",
+    "c#": "csharp", "c++": "cplusplus", "golang": "go", "go": "go", "objc": "objectivec", "objectivec": "objectivec",
+    "vb": "visualbasic", "vbnet": "visualbasic", "ruby": "ruby", "rb": "ruby", "java": "java", "scala": "scala", "kotlin": "kotlin",
+    "rust": "rust", "swift": "swift", "dart": "dart", "php": "php", "perl": "perl", "lua": "lua",
+    # infrastructure
+    "k8s": "kubernetes", "kube": "kubernetes", "kubernetes": "kubernetes", "kubernates": "kubernetes", "kubernatis": "kubernetes",
+    "kubernetis": "kubernetes", "dkr": "docker", "docker": "docker", "dockerize": "docker", "terraform": "terraform",
+    "terrform": "terraform", "ans": "ansible", "ansible": "ansible", "anisble": "ansible", "jenkin": "jenkins", "jenkins": "jenkins",
+    "jenkns": "jenkins", "ci": "continuousintegration", "cd": "continuousdeployment", "cicd": "cicd", "ci/cd": "cicd",
+    # clouds
+    "aws": "aws", "amazonwebservices": "aws", "gcp": "gcp", "googlecloud": "gcp", "googlecloudplatform": "gcp", "azure": "azure", "msazure": "azure",
+    # databases
+    "pg": "postgresql", "postgres": "postgresql", "postgre": "postgresql", "postgresql": "postgresql", "postgressql": "postgresql",
+    "psql": "postgresql", "mongo": "mongodb", "mongodb": "mongodb", "mongdb": "mongodb", "mysql": "mysql", "sql": "sql",
+    "mssql": "mssql", "sqlserver": "mssql", "microsoftsqlserver": "mssql", "dynamodb": "dynamodb", "dynamo": "dynamodb",
+    "redis": "redis", "memcached": "memcached", "cassandra": "cassandra", "elasticsearch": "elasticsearch",
+    # frameworks
+    "react": "reactjs", "reactjs": "reactjs", "react.js": "reactjs", "reactnative": "reactnative", "react native": "reactnative",
+    "node": "nodejs", "nodejs": "nodejs", "node.js": "nodejs", "nodjs": "nodejs", "nextjs": "nextjs", "next": "nextjs", "next.js": "nextjs",
+    "vue": "vuejs", "vuejs": "vuejs", "vue.js": "vuejs", "angular": "angular", "angularjs": "angular", "django": "django", "djnago": "django",
+    "flask": "flask", "flsk": "flask", "fastapi": "fastapi", "fstapi": "fastapi", "springboot": "springboot", "spring": "springboot",
+    "spring boot": "springboot", "express": "expressjs", "expressjs": "expressjs", "express.js": "expressjs", "rails": "rubyonrails",
+    "ror": "rubyonrails", "rubyonrails": "rubyonrails", "aspnet": "aspnet", "asp.net": "aspnet", "dotnet": "dotnet", ".net": "dotnet",
+    # data and learning
+    "sklearn": "scikitlearn", "scikitlearn": "scikitlearn", "scikit-learn": "scikitlearn", "ml": "machinelearning",
+    "machinelearning": "machinelearning", "dl": "deeplearning", "deeplearning": "deeplearning", "nlp": "nlp",
+    "naturallanguageprocessing": "nlp", "ai": "ai", "artificialintelligence": "ai", "cv": "computervision",
+    "computervision": "computervision", "pytorch": "pytorch", "torch": "pytorch", "tensorflow": "tensorflow", "tensrflow": "tensorflow",
+    "tf": "tensorflow", "pandas": "pandas", "pnds": "pandas", "numpy": "numpy", "np": "numpy", "scipy": "scipy", "keras": "keras",
+    "llm": "llm", "largelanguagemodel": "llm", "rag": "rag", "gpt": "gpt", "chatgpt": "gpt",
+    # interfaces and tools
+    "restapi": "restapi", "rest": "restapi", "restapis": "restapi", "restful": "restapi", "restfulapi": "restapi", "graphql": "graphql",
+    "gql": "graphql", "grpc": "grpc", "git": "git", "github": "github", "gitlab": "gitlab", "jira": "jira", "jiira": "jira",
+    "figma": "figma", "fgma": "figma", "webpack": "webpack", "vite": "vite", "npm": "npm", "yarn": "yarn", "pnpm": "pnpm",
+    # business
+    "seo": "seo", "searchengineoptimization": "seo", "sem": "sem", "searchenginemarketing": "sem", "smm": "smm",
+    "socialmediamarketing": "smm", "ppc": "ppc", "payperclick": "ppc", "crm": "crm", "customerrelationshipmanagement": "crm",
+    "erp": "erp", "enterpriseresourceplanning": "erp", "bi": "bi", "businessintelligence": "bi",
+    # security
+    "ids": "ids", "intrusiondetectionsystem": "ids", "ips": "ips", "intrusionpreventionsystem": "ips", "siem": "siem",
+    "securityinformationeventmanagement": "siem", "vpn": "vpn", "virtualprivatenetwork": "vpn",
+    # others
+    "agile": "agile", "agil": "agile", "scrum": "scrum", "scurm": "scrum", "devops": "devops", "devop": "devops", "oop": "oop",
+    "objectorientedprogramming": "oop", "tdd": "tdd", "testdrivendevelopment": "tdd", "bdd": "bdd", "behaviordrivendevelopment": "bdd",
+    "mvc": "mvc", "mvvm": "mvvm",
 }
 #: Spellings of a keyword that are looked for in texts.
 KEYWORD_ALIASES = {
@@ -33,14 +64,30 @@ KEYWORD_ALIASES = {
     "api": ("api", "apis", "rest api", "restful", "web service", "web services", "endpoint"),
     "database": ("database", "databases", "db", "data store", "datastore", "rdbms"),
     "agile": ("agile", "scrum", "kanban", "sprint", "sprints"),
+    "server": ("server", "servers", "server-side"),
     "cloud": ("cloud", "cloud-based", "cloud computing", "saas", "paas", "iaas"),
+    "devops": ("devops", "dev-ops", "dev ops", "ci/cd", "cicd"),
     "testing": ("testing", "test", "unit test", "unit testing", "integration testing", "qa"),
+    "containerization": ("containerization", "containers", "container", "docker", "kubernetes"),
+    "monitoring": ("monitoring", "observability", "logging", "alerting"),
     "campaign": ("campaign", "campaigns", "ad campaign", "marketing campaign"),
     "brand": ("brand", "branding", "brand awareness", "brand identity"),
+    "content": ("content", "content creation", "content strategy", "content marketing"),
+    "traffic": ("traffic", "web traffic", "site traffic", "organic traffic"),
+    "conversion": ("conversion", "conversions", "conversion rate", "cro"),
+    "strategy": ("strategy", "strategic", "strategies", "strategic planning"),
+    "audience": ("audience", "target audience", "demographics", "segmentation"),
+    "engagement": ("engagement", "user engagement", "customer engagement"),
     "security": ("security", "cybersecurity", "cyber security", "infosec", "information security"),
+    "patrol": ("patrol", "patrolling", "patrols"),
+    "monitor": ("monitor", "monitoring", "surveillance", "supervise"),
     "safety": ("safety", "safe", "safety protocols", "workplace safety"),
+    "guard": ("guard", "guarding", "security guard", "security officer"),
+    "investigation": ("investigation", "investigate", "investigations", "investigative"),
     "compliance": ("compliance", "compliant", "regulatory", "regulations"),
     "web": ("web", "website", "websites", "web application", "web app", "webapp"),
+    "responsive": ("responsive", "responsive design", "mobile-friendly", "mobile friendly"),
+    "github": ("github", "git", "version control", "source control"),
 }
 #: A skill implies another (source, target), and skills that are related.
 IMPLIES = (
@@ -193,10 +240,16 @@ DOMAIN_KEYWORDS = {
 PRESTIGE_COMPANIES = (
     "google", "alphabet", "meta", "facebook", "apple", "amazon", "microsoft", "netflix", "nvidia", "tesla", "openai", "deepmind",
     "anthropic", "salesforce", "adobe", "oracle", "ibm", "intel", "cisco", "samsung", "palantir", "snowflake", "databricks", "stripe",
-    "uber", "airbnb", "linkedin", "twitter", "spotify", "shopify", "atlassian", "vmware", "sap", "cloudflare", "datadog", "infosys",
-    "tcs", "wipro", "cognizant", "goldman sachs", "jpmorgan", "morgan stanley", "blackrock", "barclays", "hsbc", "visa", "mastercard",
-    "paypal", "mckinsey", "bcg", "bain", "deloitte", "pwc", "kpmg", "accenture", "capgemini", "pfizer", "novartis", "walmart", "disney",
-    "bmw", "toyota", "boeing", "shell",
+    "uber", "airbnb", "linkedin", "twitter", "x corp", "spotify", "shopify", "atlassian", "vmware", "sap", "twilio", "cloudflare",
+    "crowdstrike", "datadog", "square", "block", "coinbase", "robinhood", "instacart", "doordash", "lyft", "pinterest", "snap",
+    "tiktok", "bytedance", "zoom", "infosys", "tcs", "wipro", "cognizant", "hcl", "tech mahindra", "goldman sachs", "jpmorgan",
+    "jp morgan", "morgan stanley", "blackrock", "citadel", "two sigma", "jane street", "bridgewater", "barclays", "deutsche bank",
+    "ubs", "credit suisse", "hsbc", "visa", "mastercard", "paypal", "american express", "fidelity", "mckinsey", "bcg", "bain",
+    "deloitte", "pwc", "kpmg", "ey", "ernst & young", "accenture", "capgemini", "pfizer", "johnson & johnson", "roche", "novartis",
+    "merck", "abbvie", "eli lilly", "astrazeneca", "moderna", "gsk", "walmart", "target", "costco", "nike", "adidas", "macy's",
+    "macys", "nordstrom", "best buy", "home depot", "coca-cola", "pepsico", "procter & gamble", "unilever", "l'oreal", "disney",
+    "warner bros", "paramount", "sony", "nbc", "cnn", "bbc", "bmw", "mercedes", "toyota", "ford", "general motors", "spacex",
+    "boeing", "lockheed martin", "raytheon", "shell", "bp", "chevron", "exxonmobil",
 )
 
 
