@@ -1,8 +1,9 @@
 """Edits must leave the same counts as encoding the edited text from scratch."""
 
+import hashlib
 import random
 
-from sieverank.llm.token_counts import PretokenTree, counter, sample_edits
+from sieverank.llm.token_counts import PretokenTree, counter, sample_edits, token_counts
 
 
 def test_edits_equal_full_recount():
@@ -39,3 +40,25 @@ def test_sample_edits_of_short_texts():
             a, b = min(a, len(now)), min(b, len(now))
             now = now[:a] + new + now[b:]
         assert tree.text() == now
+
+
+def edited(text):
+    for a, b, new in sample_edits(text):
+        text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
+    return text
+
+
+def test_rows_equal_full_recounts(spark):
+    rng = random.Random(6)
+    texts = ["", None, " ", "a", "word " * 4000, "\u65e5\u672c\u8a9e " * 50] + ["".join(rng.choice(["ab", " ", "\n", "'s", "1", "."]) for _ in range(rng.randrange(200))) for _ in range(40)]
+    rows = [(i if i % 7 else None, t, "clash") for i, t in enumerate(texts)] + [(3, "a", "x"), (3, "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(5)
+    encoding = counter().encoding
+    want = []
+    for i, t, _ in rows:
+        t = t or ""
+        e = edited(t)
+        want.append((i, len(t), len(encoding.encode_ordinary(t)), len(encoding.encode_ordinary(e)), hashlib.sha256(e.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.n_tokens, r.edited_tokens, r.edited_sha256) for r in token_counts(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert token_counts(docs.limit(0)).count() == 0
