@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from sieverank import registries as R
 from sieverank.functions import literals
-from sieverank.functions.text import email, github, let, linkedin, phone, semantic_quality, text_of, text_quality
+from sieverank.functions.text import email, github, let, linkedin, phone, semantic_quality, strip_tags, text_of, text_quality
 from sieverank.operators import extract as X
-from sieverank.operators import record
+from sieverank.operators import record, tagged
 from sieverank.operators.parse import fuzzy_names, lines_of, scan_text
 from sieverank.operators.sections import assign, resolve_headers
 
@@ -118,3 +118,75 @@ ISSUES = {
 def audit(records: DataFrame) -> DataFrame:
     """issue, n for the nine kinds of issues."""
     return record.audit(records, {k: F.expr(v) for k, v in ISSUES.items()})
+
+
+def extract_tagged(pages: DataFrame, headers: DataFrame, known: tuple[str, ...] = KNOWN, names: tuple[str, ...] = NAMES, id_col: str = "doc_id") -> DataFrame:
+    """A record for each row of pages(id, header_text, sidebar_text, main_text) whose lines a layout step has tagged.
+
+    What the tags say comes first: name, contacts of the sidebar, jobs, schools, courses. What they leave empty comes from
+    the same page as plain text, read by `extract_records`; schools also from the lines of the sidebar, and the summary
+    from the sections that the sidebar lists. Skills are united, those of the sidebar first, each once whatever the case.
+    `sources` names the way that gave jobs, schools and the summary. Rows without an id are left out; rows that share an
+    id share what plain text and sidebar give.
+    """
+    parts = ("header_text", "sidebar_text", "main_text")
+    rows = pages.select(F.col(id_col).alias("doc_id"), *parts).filter("doc_id is not null")
+    plain = F.concat_ws("\n", *(strip_tags(text_of(F.col(c))) for c in parts))
+    read = extract_records(rows.select("doc_id", plain.alias("text")), headers, known, names=names).dropDuplicates(["id"])
+    others = rows.select(
+        F.col("doc_id").alias("id"),
+        tagged.sidebar_education(F.col("sidebar_text")).alias("schools"),
+        tagged.split_by_sidebar(F.col("sidebar_text"), F.col("main_text"), F.col("header_text")).alias("listed"),
+    ).dropDuplicates(["id"])
+    own = tagged.assemble(rows)
+    own = own.select("id", F.struct(*[c for c in own.columns if c != "id"]).alias("t"))
+    both = own.join(read, "id").join(others, "id")
+    none = lambda c: F.array().cast(dict(read.dtypes)[c])
+    jobs = F.transform("t.employment", lambda e: F.struct(e["role"], e["company"], e["start"], e["end"], e["location"], e["description"], e["achievements"]))
+    degree = lambda e: F.nullif(F.concat_ws(" in ", e["degree"], e["field"]), F.lit(""))
+    taught = F.transform("t.education", lambda e: F.struct(degree(e).alias("degree"), e["institution"], e["start"], e["end"], F.lit(None).cast("string").alias("grade")))
+    schools = F.transform("schools", lambda e: F.struct(e["degree"], e["institution"], F.lit(None).cast("string").alias("start"), e["end"], e["grade"]))
+    courses = F.transform("t.courses", lambda c: F.struct(c["name"], c["issuer"], c["start"].alias("date")))
+    listed = F.get(F.filter("listed", lambda x: x["section"] == "summary"), F.lit(0))["text"]
+    ways = {
+        "experience": {"tags": jobs, "text": F.col("experience")},
+        "education": {"tags": taught, "sidebar": schools, "text": F.col("education")},
+        "summary": {"tags": F.col("t.profile"), "sections": listed, "text": F.col("summary")},
+    }
+    filled = lambda x, c: F.coalesce(x, F.lit("")) != "" if c == "summary" else F.coalesce(F.size(x), F.lit(0)) > 0
+
+    def chosen(c: str, value) -> Column:
+        cases = [F.when(filled(x, c), value(way, x)) for way, x in ways[c].items()]
+        return F.coalesce(*cases)
+
+    skills = F.concat(F.col("t.skills_raw"), F.col("skills"))
+    low = F.transform(skills, F.lower)
+    info = F.struct(
+        F.coalesce("t.personal_info.name", "personal_info.name").alias("name"),
+        F.coalesce("t.personal_info.email", "personal_info.email").alias("email"),
+        F.coalesce("t.personal_info.phone", "personal_info.phone").alias("phone"),
+        "personal_info.linkedin",
+        "personal_info.github",
+        F.coalesce("t.personal_info.address", "personal_info.location").alias("location"),
+        "personal_info.dob",
+    )
+    out = both.select(
+        "id",
+        "document_id",
+        info.alias("personal_info"),
+        chosen("summary", lambda way, x: x).alias("summary"),
+        let(low, lambda low: F.filter(skills, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)).alias("skills"),
+        *[F.coalesce(chosen(c, lambda way, x: x.cast(dict(read.dtypes)[c])), none(c)).alias(c) for c in ("experience", "education")],
+        "projects",
+        F.when(filled(courses, "certifications"), courses.cast(dict(read.dtypes)["certifications"])).otherwise(F.col("certifications")).alias("certifications"),
+        F.when(F.size("t.languages") > 0, F.col("t.languages")).otherwise(F.col("languages")).alias("languages"),
+        F.coalesce("t.accomplishments", F.array().cast("array<string>")).alias("accomplishments"),
+        "raw_text_sections",
+        F.struct(*[chosen(c, lambda way, x: F.lit(way)).alias(c) for c in ways]).alias("sources"),
+        "needs_ocr",
+        "status",
+    )
+    found = {c: F.col(f"personal_info.{c}") for c in ("name", "email", "phone")}
+    quality = record.extraction_quality(found["name"], found["email"], found["phone"], F.size("skills"), F.size("experience"), F.size("education"))
+    out = out.withColumn("extraction_quality", quality)
+    return out.withColumn("warnings", X.warnings(found["name"], found["email"], F.col("experience"), F.col("skills"), F.col("extraction_quality")))

@@ -255,3 +255,18 @@ def span_words(spark, d):
 def span_lines(spark, d):
     """Lines of pages, put together again from the words of their spans."""
     return layout.page_lines(layout.words_of_spans(page_spans(spark, d))).select("doc_id", "page", "line", "text", "top", "bold")
+
+
+# -- whole records of tagged profiles
+@query(f"""WITH jobs AS (SELECT id, count(*) AS n, max(role) AS last FROM ({TAGGED_EMPLOYMENT}) GROUP BY id), schools AS (SELECT id, count(*) AS n, min(institution) AS first FROM ({TAGGED_EDUCATION}) GROUP BY id)
+ SELECT p.id, 'mail' || p.id || '@example.org' AS email, p.id || ' Main Street, ' || p.n AS location, 'Works in ' || s AS summary, coalesce(jobs.n, 0)::INT AS n_jobs, jobs.last AS last_role, schools.n::INT AS n_schools, schools.first AS first_school,
+  'Selling in ' || p.n || ' and buying' AS first_skill, 'tags' AS jobs_from FROM ({_PEOPLE}) p LEFT JOIN jobs USING (id) LEFT JOIN schools USING (id) WHERE jobs.n > 0""")
+def tagged_records(spark, d):
+    """Whole records of tagged profiles: tags first, plain text for what they leave empty."""
+    from sieverank.plans import extraction
+
+    found = extraction.extract_tagged(tagged_profiles(spark, d), R.section_headers(spark)).filter("sources.experience = 'tags'")
+    return found.select(
+        "id", "personal_info.email", "personal_info.location", "summary", F.size("experience").alias("n_jobs"), F.array_max(F.transform("experience", lambda e: e["role"])).alias("last_role"),
+        F.size("education").alias("n_schools"), F.array_min(F.transform("education", lambda e: e["institution"])).alias("first_school"), F.get("skills", F.lit(0)).alias("first_skill"), F.col("sources.experience").alias("jobs_from"),
+    )

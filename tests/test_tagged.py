@@ -125,3 +125,26 @@ def test_words_of_spans(spark):
     spans = spark.createDataFrame(rows, "doc_id long, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font string, size double")
     got = [(r.seq, r.text, r.x0, r.x1, r.bold, r.size) for r in layout.words_of_spans(spans).collect()]
     assert got == [(0, "ab", 20.0, 40.0, True, 9.0), (0, "c", 60.0, 70.0, True, 9.0), (1, "PRO", 0.0, 30.0, False, 0.0), (1, "FIL", 40.0, 70.0, False, 0.0), (4, "one", 1.0, None, False, 1.0)]
+
+
+def test_records_of_tagged_pages(spark):
+    from sieverank import registries as R
+    from sieverank.plans import extraction
+
+    rows = [
+        (1, "[NAME]Ann Lee[/NAME]", SIDE, MAIN),
+        (2, "Bob Ray\nbob@example.com", "[EDUCATION]\nMBA: Oslo (PURSUING)\n[SKILLS]\nPython", "EXPERIENCE\nLead, Acme\nMar 2018 - Apr 2020"),
+        (3, None, None, None),
+        (None, "x", "y", "z"),
+    ]
+    pages = spark.createDataFrame(rows, "doc_id long, header_text string, sidebar_text string, main_text string")
+    got = {r.id: r for r in extraction.extract_tagged(pages, R.section_headers(spark)).collect()}
+    assert set(got) == {1, 2, 3}
+    one, two, three = got[1], got[2], got[3]
+    assert (one.personal_info.name, one.personal_info.email, one.personal_info.location) == ("Ann Lee", "hello@x.org", "12 Main St, Paris")
+    assert tuple(one.sources) == ("tags", "tags", "tags") and one.experience[0].company == "WIC" and one.education[0].degree == "Master of Science in Dietary Education"
+    assert one.skills[:3] == ["Kitchen equipment operation", "Cooking", "Baking"] and one.certifications[0].date == "Jul 2021" and one.languages == ["English", "French", "German"]
+    assert two.sources.experience == "text" and two.sources.education == "sidebar" and [(e.degree, e.end) for e in two.education] == [("MBA (Pursuing)", "Present")]
+    assert two.experience[0].role == "Lead" and two.personal_info.email == "bob@example.com" and "Python" in two.skills
+    assert three.experience == [] and three.education == [] and three.summary is None and tuple(three.sources) == (None, None, None)
+    assert extraction.extract_tagged(pages.limit(0), R.section_headers(spark)).count() == 0
