@@ -61,16 +61,11 @@ def token(line: Column) -> Column:
     kind is SECTION, JOB_TITLE, EDU_LINE, DATE, BULLET or BODY. A date tag without a range of months is BODY, as are
     unknown tags. A job title is cut at its first comma; its company ends at two blanks.
     """
-    tag, content = F.regexp_extract(line, TAGGED_LINE, 1), trim_blank(F.regexp_extract(line, TAGGED_LINE, 2))
-    pieces = F.split(content, r"\|\|LOC:", 2)
-    plain = F.when(F.size(pieces) == 2, trim_blank(F.regexp_replace(trim_blank(F.get(pieces, F.lit(0))), ",+$", ""))).otherwise(content)
-    location = trim_blank(F.get(pieces, F.lit(1)))
-    section = trim_blank(F.regexp_extract(line, SECTION_LINE, 1))
 
     def build(parts: Column) -> Column:
-        plain, tag = parts["plain"], parts["tag"]
+        plain, tag, start = parts["plain"], parts["tag"], parts["start"]
         named = F.split(plain, r"\s*,\s*", 2)
-        job, dated = tag == "JOB_TITLE", (tag == "DATE") & (parts["start"] != "")
+        job, dated = tag == "JOB_TITLE", F.coalesce(start != "", F.lit(False))
         kind = F.when(parts["section"] != "", "SECTION").when(tag.isin("JOB_TITLE", "EDU_LINE", "BULLET"), tag).when(dated, "DATE").when(~tag.isin("NAME", "TITLE"), "BODY")
         raw = F.when(parts["section"] != "", parts["section"]).when(tag == "BULLET", trim_blank(F.regexp_replace(plain, MARK, ""))).when(tag != "", plain)
         return F.struct(
@@ -79,13 +74,29 @@ def token(line: Column) -> Column:
             F.when(tag.isin("JOB_TITLE", "EDU_LINE"), parts["location"]).alias("location"),
             F.when(job, trim_blank(F.get(named, F.lit(0)))).alias("role"),
             F.when(job, trim_blank(F.get(F.split(F.get(named, F.lit(1)), r"\s{2,}"), F.lit(0)))).alias("company"),
-            F.when(dated, parts["start"]).alias("start"),
-            F.when(dated, parts["end"]).alias("end"),
+            F.when(dated, start).alias("start"),
+            F.when(dated, F.regexp_extract(plain, SPAN, 2)).alias("end"),
         )
 
-    span = (F.regexp_extract(plain, SPAN, k) for k in (1, 2))
-    named = dict(line=line, section=section, tag=tag, plain=plain, location=location) | dict(zip(("start", "end"), span, strict=True))
-    return let(F.struct(*(v.alias(k) for k, v in named.items())), build)
+    def placed(parts: Column) -> Column:
+        pieces, located = F.split(parts["content"], r"\|\|LOC:", 2), F.contains(parts["content"], F.lit("||LOC:"))
+        plain = F.when(located, trim_blank(F.regexp_replace(trim_blank(F.get(pieces, F.lit(0))), ",+$", ""))).otherwise(parts["content"])
+        place = F.when(located, trim_blank(F.get(pieces, F.lit(1))))
+        whole = F.struct(parts["line"].alias("line"), parts["section"].alias("section"), parts["tag"].alias("tag"), plain.alias("plain"), place.alias("location"))
+        return let(whole, dated)
+
+    def dated(parts: Column) -> Column:
+        start = F.when(parts["tag"] == "DATE", F.regexp_extract(parts["plain"], SPAN, 1))
+        return let(parts.withField("start", start), build)
+
+    marked = F.startswith(line, F.lit("["))
+    found = F.struct(
+        line.alias("line"),
+        F.when(marked, trim_blank(F.regexp_extract(line, SECTION_LINE, 1))).otherwise("").alias("section"),
+        F.when(marked, F.regexp_extract(line, TAGGED_LINE, 1)).otherwise("").alias("tag"),
+        F.when(marked, trim_blank(F.regexp_extract(line, TAGGED_LINE, 2))).otherwise("").alias("content"),
+    )
+    return let(found, placed)
 
 
 def tokens(lines: Column) -> Column:

@@ -70,6 +70,8 @@ def tagged_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     main = F.concat(F.array(F.lit("[PROFILE]"), _text("Works in [DATE]x[/DATE]", segment), F.lit("[EMPLOYMENT HISTORY]")), jobs, school, extra)
     side = F.array(_text("mail", c, "@example.org"), F.lit("[ADDRESS]"), _text(c, " Main Street"), name, F.lit("[PHONE]"), _text("555", F.lpad(c.cast("string"), 7, "0")), F.lit("[SKILLS]"), _text("Selling in ", name), F.lit("and buying"), F.lit("Counting, Packing"), F.lit("[LINKS]"), F.lit("Shop"), F.lit("shop"), F.lit("Pinterest"))
     rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(work, c == F.col("who"), "left")
+    # A text is a small row with much work: by bytes alone, adaptive execution would give a small table to one task.
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, c)
     return rows.select(c.alias("doc_id"), _text("[NAME]", F.col("c_name"), "[/NAME]\n[TITLE]Clerk[/TITLE]").alias("header_text"), F.array_join(side, "\n").alias("sidebar_text"), F.array_join(main, "\n").alias("main_text"))
 
 
@@ -97,8 +99,8 @@ def _tokens(lines: str) -> str:
 
 
 TAGGED_EMPLOYMENT = f"""WITH t AS ({_tokens(_JOB_LINES)}),
- e AS (SELECT *, sum((kind = 'JOB_TITLE')::INT) OVER w AS entry, lag(kind) OVER w AS before FROM t WINDOW w AS (PARTITION BY id ORDER BY k, n)),
- b AS (SELECT *, sum((kind = 'BULLET')::INT) OVER (PARTITION BY id, entry ORDER BY k, n) AS bullet FROM e),
+ e AS (SELECT *, sum((kind = 'JOB_TITLE')::INT) OVER w AS entry, lag(kind) OVER w AS before FROM t WINDOW w AS (PARTITION BY id ORDER BY k, n ROWS UNBOUNDED PRECEDING)),
+ b AS (SELECT *, sum((kind = 'BULLET')::INT) OVER (PARTITION BY id, entry ORDER BY k, n ROWS UNBOUNDED PRECEDING) AS bullet FROM e),
  texts AS (SELECT id, entry, bullet, trim(string_agg(raw, ' ' ORDER BY k, n)) AS text FROM b WHERE kind IN ('BULLET', 'BODY') GROUP BY id, entry, bullet),
  told AS (SELECT id, entry, max(text) FILTER (bullet = 0) AS description, string_agg(text, ' | ' ORDER BY bullet) FILTER (bullet > 0) AS achievements FROM texts GROUP BY id, entry),
  heads AS (SELECT id, entry, max(role) AS role, max(company) AS company, max(location) AS location, max(first) FILTER (kind = 'DATE' AND before = 'JOB_TITLE') AS first,
