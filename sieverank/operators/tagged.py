@@ -330,10 +330,10 @@ def assemble(pages: DataFrame, id_col: str = "doc_id", header: str = "header_tex
     Rows are independent: repeated or null ids give a row each, other columns are not looked at.
     """
     rows = pages.select(F.col(id_col).alias("id"), text_of(F.col(header)).alias("top"), sections_of_tagged(F.col(side)).alias("aside"), sections_of_tagged(F.col(main)).alias("body"))
-    parts = ("employment", "education", "courses", "accomplishments", "projects", "skills", "languages")
     routes = {name: R.RECORD_PARTS.get(section, section) for name, section in zip(R.SECTION_NAMES, R.SECTION_OF, strict=True)}
-    rows = rows.withColumns({f"_{p}": tokens(_routed(F.col("body"), p, routes)) for p in parts})
-    some = lambda p, value: F.when(F.size(f"_{p}") > 0, value)
+    # Bound in the expression itself: a filter on the result, pushed below, then works tokens out once and not for each use.
+    read = lambda p, value: let(tokens(_routed(F.col("body"), p, routes)), value).alias(p)
+    entries = lambda p, value: read(p, lambda t: F.when(F.size(t) > 0, value(t)))
     told = ("JOB_TITLE", "BODY", "BULLET")
     rows = rows.withColumn("side", sidebar(F.col("aside")))
     named = [_empty_to_null(trim_blank(F.regexp_extract("top", rf"(?s)\[{t}\](.*?)\[/{t}\]", 1))).alias(t.lower()) for t in ("NAME", "TITLE")]
@@ -343,15 +343,15 @@ def assemble(pages: DataFrame, id_col: str = "doc_id", header: str = "header_tex
         F.struct(*named, *info).alias("personal_info"),
         profile_text(F.col("body")).alias("profile"),
         F.col("side.skills").alias("skills_raw"),
-        raw_text(F.col("_skills"), told).alias("skills_section_text"),
+        read("skills", lambda t: raw_text(t, told)).alias("skills_section_text"),
         "side.hobbies",
         "side.languages",
-        _texts(F.col("_languages"), "\n").alias("languages_section"),
-        some("employment", employment(F.col("_employment"))).alias("employment"),
-        some("education", education(F.col("_education"))).alias("education"),
-        some("courses", courses(F.col("_courses"))).alias("courses"),
-        some("accomplishments", accomplishments(F.col("_accomplishments"))).alias("accomplishments"),
-        raw_text(F.col("_projects"), (*told, "DATE")).alias("projects_raw_text"),
+        read("languages", lambda t: _texts(t, "\n")).alias("languages_section"),
+        entries("employment", employment),
+        entries("education", education),
+        entries("courses", courses),
+        entries("accomplishments", accomplishments),
+        read("projects", lambda t: raw_text(t, (*told, "DATE"))).alias("projects_raw_text"),
     )
 
 
