@@ -94,3 +94,19 @@ def test_records_take_garbled_and_named_skills(spark):
     found = {r.id: r.skills for r in extraction.extract_records(docs, R.section_headers(spark), names=("python", "kubernetes", "docker", "typescript", "go")).collect()}
     assert "kubernetes" in found[1] and "Docker" in found[1] and "typescript" in found[1] and "go" not in found[1] and "kubernetez" not in found[1]
     assert found[2] == []
+
+
+def test_nodes_of_a_graph(spark, tmp_path):
+    import json
+
+    from sieverank.operators import matching
+    from sieverank.sources import tables
+
+    graph = {"___note": {}, "reactjs": {"aliases": ["React.js", "React"]}, "risk": {"aliases": ["React", None]}, "deal_flow": {}}
+    (tmp_path / "g.json").write_text(json.dumps(graph))
+    nodes = tables.read_graph_nodes(spark, str(tmp_path / "g.json"))
+    assert [(r.key, r.aliases) for r in nodes.orderBy("at").collect()] == [("reactjs", ["React.js", "React"]), ("risk", ["React", None]), ("deal_flow", [])]
+    names = spark.createDataFrame([("react",), ("React.JS",), ("Deal Flow",), ("deal-flow",), ("none",), (None,), ("react",)], "skill string")
+    got = {r.skill: r.key for r in matching.graph_keys(names, nodes).collect()}
+    assert got == {"react": "risk", "React.JS": "reactjs", "Deal Flow": "deal_flow"}  # the later node has the alias
+    assert matching.graph_keys(names, nodes.limit(0)).count() == 0
