@@ -164,7 +164,7 @@ def with_planted_periods(docs: DataFrame, id_col: str = "doc_id", text_col: str
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     chosen = F.col("h") % 10 == 0
     rows = rows.withColumn("words", F.when(chosen, words)).withColumn("n", F.size("words").cast("long"))
-    rows = rows.withColumn("a", F.expr("(h div 10) % n")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    rows = rows.withColumn("a", F.expr("(h div 10) % nullif(n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
     periodic = F.expr("concat_ws(' ', transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])))")
     return rows.select("doc_id", F.when(chosen & (F.col("n") > 0), periodic).otherwise(F.col("text")).alias("text"))
 

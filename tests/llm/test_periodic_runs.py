@@ -106,3 +106,10 @@ def test_a_very_long_text(spark):
     row = P.periodic_runs(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
     assert [tuple(r) for r in row.runs] == [(0, 100_000, 5000), (100_000, 100_000, 11)]
     assert row.collapsed.split() == words[:5000] + words[100_000:100_011]
+
+
+def test_chosen_documents_without_words(spark):
+    chosen = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(chosen[0], ""), (chosen[1], " \n"), (chosen[2], None), (chosen[3], "a")]
+    found = P.run_digest(P.periodic_runs(P.with_planted_periods(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    assert {(r.doc_id, r.n_runs, r.start, r.collapsed_sha256) for r in found} == {(i, 0, None, hashlib.sha256((t or "").strip().encode()).hexdigest()) for i, t in rows}
