@@ -127,6 +127,15 @@ def test_words_of_spans(spark):
     assert got == [(0, "ab", 20.0, 40.0, True, 9.0), (0, "c", 60.0, 70.0, True, 9.0), (1, "PRO", 0.0, 30.0, False, 0.0), (1, "FIL", 40.0, 70.0, False, 0.0), (4, "one", 1.0, None, False, 1.0)]
 
 
+def test_spaced_letters_only_in_spans_that_may_hold_them(spark, tmp_path):
+    from sieverank.plans import profiles
+
+    spark.createDataFrame([(1, "Ü ä. one two. a  b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = profiles.span_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.line, r.text) for r in lines) == [(1, 0, "Ü ä"), (1, 1, "one two"), (1, 2, "a b")]
+    assert [(r.n_words, r.width) for r in profiles.span_words(spark, str(tmp_path)).collect()] == [(6, 80.0)]
+
+
 def test_records_of_tagged_pages(spark):
     from sieverank import registries as R
     from sieverank.plans import extraction
