@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieverank.functions import dates, text
@@ -45,3 +46,16 @@ def test_quality(spark):
 def test_cleaning(spark):
     assert column(spark, ["[TITLE]Lead[/TITLE] ||LOC: Oslo", "D E T A I L S"], lambda x: text.collapse_spaced_letters(text.strip_tags(x))) == ["Lead", "DETAILS"]
     assert column(spark, ["a (cid:9) é   b\n\n\n\nc [X]"], text.clean_for_ranking) == ["a b\n\nc"]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_matched_names_are_those_of_all_pairs(spark, strict):
+    from sieverank.operators import matching
+
+    names = ["Python", "py", "Java", "JavaScript", "js", "React.js", "reactjs", "C", "c++", "", "Ü ä ö", "äö", "k8s", "Kubernetes", "SQL", "MySQL", "postgres", "PostgreSQL", "ab", "abc", "abcabc", None]
+    have = spark.createDataFrame([*enumerate(names)], "id int, skill string").coalesce(1).withColumn("pos", F.lit(0))
+    wanted = have.select(F.lit(1).alias("jd_id"), F.col("id").alias("jd_pos"), F.col("skill").alias("jd_skill"))
+    got = sorted((r.id, r.jd_pos) for r in matching.match_pairs(have, wanted, strict).collect())
+    every = have.crossJoin(wanted).filter(matching.skills_match(F.col("skill"), F.col("jd_skill"), strict))
+    assert got == sorted((r.id, r.jd_pos) for r in every.collect())
+    assert matching.match_pairs(have, wanted.limit(0), strict).count() == 0
