@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieverank.session import load
+from sieverank.session import load, parts_for
 
 #: The last day that the ranking knows.
 AS_OF = "2002-01-01"
@@ -24,10 +24,13 @@ def jds(spark: SparkSession) -> DataFrame:
 def have(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, pos, skill: names, brands and types of the parts that a customer ordered."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = load(spark, sf_dir, "part").select("p_partkey", F.explode(F.array("p_name", "p_brand", "p_type")).alias("skill"))
-    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
-    rows = owned.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_custkey").alias("id"), "skill").distinct()
+    n = parts_for(lines)
+    lines = lines.repartition(n, "l_orderkey")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").repartition(n, "p_partkey")
+    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").repartition(n, "l_partkey").distinct()
+    named = owned.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("o_custkey").alias("id"), F.explode(F.array("p_name", "p_brand", "p_type")).alias("skill"))
+    rows = named.repartition(n, "id").distinct()
     return rows.withColumn("pos", F.lit(0))
 
 
