@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sieverank.plans import fixtures
+from sieverank.plans import audits, fixtures
 from sieverank.session import parts_for
 
 DATA = "/root/testdata/sf0.01"
@@ -22,3 +22,11 @@ def test_owned_skills_keep_their_partitions(spark, monkeypatch):
     assert used.select("p").distinct().count() == 23
     assert used.groupBy("id").agg(F.countDistinct("p").alias("n")).filter("n > 1").count() == 0
     assert have.count() == have.distinct().count()
+
+
+def test_ranked_persons_are_dealt_out(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(audits, "parts_for", lambda rows, most: asked.append((rows.count(), most)) or 23)
+    plan = audits._ranked(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert asked == [(spark.read.parquet(f"{DATA}/customer.parquet").count(), 500_000 // len(audits.KINDS))]
+    assert "RepartitionByExpression [id" in plan and ", 23" in plan
