@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sieverank.operators import matching
 from sieverank.plans import audits, fixtures
 from sieverank.session import parts_for
 
@@ -30,3 +31,12 @@ def test_ranked_persons_are_dealt_out(spark, monkeypatch):
     plan = audits._ranked(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert asked == [(spark.read.parquet(f"{DATA}/customer.parquet").count(), 500_000 // len(audits.KINDS))]
     assert "RepartitionByExpression [id" in plan and ", 23" in plan
+
+
+def test_graph_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(matching, "parts_for", lambda rows, most: 23)
+    nodes = spark.createDataFrame([(0, "a_b", ["x"]), (1, "c", None)], "at int, key string, aliases array<string>")
+    skills = spark.createDataFrame([("X",), ("a b",), ("C",), ("none",), (None,), ("X",)], "skill string")
+    out = matching.graph_keys(skills, nodes)
+    assert ", 23" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["skill"]: r["key"] for r in out.collect()} == {"X": "a_b", "a b": "a_b", "C": "c"}
