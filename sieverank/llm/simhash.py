@@ -286,12 +286,12 @@ def _place(key: int) -> int:
     return (key ^ (key >> 21) ^ (key >> 43)) & ((1 << WANTED_BITS) - 1)
 
 
-def real_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b: nodes) whose texts are alike; nodes has node and least, docs doc_id and text.
+def shingle_sets(named_in: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, shingles (packed) of the nodes in named_in (node), and of some others; nodes has node and least, docs doc_id and text.
 
-    Of the copies of a word sequence only the row with the least id sends its shingles (all rows if none has an id).
+    Of the copies of a word sequence only the row with the least id sends its shingles (all rows if none has an id, and
+    seldom another one).
     """
-    named_in = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = named_in.join(nodes.select("node", "least"), "node").select(F.coalesce("least", "node").alias("key"))
     at = ids.select((F.col("key").bitwiseXOR(F.shiftright("key", 21)).bitwiseXOR(F.shiftright("key", 43))).bitwiseAND(F.lit((1 << WANTED_BITS) - 1)).alias("at"))
     bits = np.zeros(1 << WANTED_BITS, bool)
@@ -314,13 +314,21 @@ def real_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
                     found.append((node_of(words), packed_set(shingle_hashes(words))))
             yield pd.DataFrame(found, columns=["node", "shingles"])
 
+    return docs.select("doc_id", "text").mapInPandas(tidy(sets), "node long, shingles binary")
+
+
+def real_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: nodes) whose texts are alike; nodes and docs as in shingle_sets()."""
+
     def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [alike(unpacked_set(x), unpacked_set(y)) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs)
+
     def told(side: str, name: str) -> DataFrame:
-        return docs.select("doc_id", "text").mapInPandas(tidy(sets), "node long, shingles binary").select(F.col("node").alias(side), F.col("shingles").alias(name))
+        return sets.select(F.col("node").alias(side), F.col("shingles").alias(name))
 
     both = pairs.join(told("a", "x"), "a").join(told("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInPandas(tidy(check), "a long, b long").distinct()
@@ -436,7 +444,7 @@ def prefix_index(docs: DataFrame, n_docs: int) -> DataFrame:
     return docs.select("text").mapInPandas(tidy(run), "node long, keys array<long>, hot_keys array<long>").dropDuplicates(["node"])
 
 
-def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int | np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Which of the sets `rest` can be alike to set i, by bounds that no alike pair breaks: each has 0.8 of the other's
     size, and they differ in at most a ninth of their sizes' sum."""
     n = size[rest]
@@ -444,39 +452,143 @@ def may_be_alike(size: np.ndarray, sketch: np.ndarray, i: int, rest: np.ndarray)
     return fits & (9 * np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= n + size[i])
 
 
-def prefix_pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """a < b, least: pairs of different components in each posting of sorted batches (key, lo, hi, block, node, known, size,
-    SKETCH...), and how many postings such a pair must share."""
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links a, b that join what the links before have not joined."""
+    up: dict[int, int] = {}
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows[["key", "lo", "hi"]].to_numpy()
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def groups_of(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the groups (key, lo, hi) of sorted rows start, their sizes, and whether only pairs across blocks are theirs."""
+    key = rows[["key", "lo", "hi"]].to_numpy()
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    return first, np.diff(np.r_[first, len(rows)]), key[first, 1] != key[first, 2]
+
+
+def possible_links(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b: links that join what may be alike and is of different components in a posting, of sorted batches (key, lo, hi,
+    block, node, known, size, SKETCH...). Less than one for each row comes out, however large the postings are."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        first, count, across = groups_of(rows)
         node, known, block, size = (rows[c].to_numpy() for c in ("node", "known", "block", "size"))
         sketch = rows[list(SKETCH)].to_numpy().view(np.uint64)
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        last = np.repeat(np.r_[first[1:], len(rows)], np.diff(np.r_[first, len(rows)]))
-        out = []
-        for i in range(len(rows)):
-            rest = np.arange(i + 1, last[i])
-            if not len(rest):
-                continue
-            ok = known[rest] != known[i]
-            if key[i, 1] != key[i, 2]:
-                ok &= block[rest] != block[i]
-            rest = rest[ok]
-            rest = rest[may_be_alike(size, sketch, i, rest)]
-            if len(rest):
-                out.append(np.stack([np.minimum(node[rest], node[i]), np.maximum(node[rest], node[i]), guaranteed(size[rest], size[i])], axis=1))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 3), np.int64), columns=["a", "b", "least"])
-
-    return whole_postings(batches, pairs)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(i: int | np.ndarray, rest: np.ndarray, across: bool | np.ndarray) -> np.ndarray:
+            ok = (known[rest] != known[i]) & (~np.asarray(across) | (block[rest] != block[i]))
+            ok[ok] = may_be_alike(size, sketch, i if np.isscalar(i) else i[ok], rest[ok])
+            return ok
+
+        small = count <= 32
+        at = np.flatnonzero(np.repeat(small, count))
+        g = np.repeat(np.arange(len(first)), count)[at]
+        d = 1
+        while d < len(at) and (count[small] > d).any():  # d-th neighbours in all small postings at once
+            same = np.flatnonzero(g[d:] == g[:-d])
+            i, rest = at[same], at[same + d]
+            ok = add(i, rest, across[g[same]])
+            out.append((node[i[ok]], node[rest[ok]]))
+            d += 1
+        for k in np.flatnonzero(~small):
+            start, end = first[k], first[k] + count[k]
+            label = np.arange(end - start)
+            for i in range(start, end - 1):
+                rest = np.arange(i + 1, end)
+                rest = rest[label[rest - start] != label[i - start]]
+                rest = rest[add(int(i), rest, across[k])]
+                _, one = np.unique(label[rest - start], return_index=True)
+                out.append((np.full(len(one), node[i]), node[rest[one]]))
+                label[np.isin(label, label[rest - start])] = label[i - start]
+        a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+        a, b = spanning(a, b)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return whole_postings(batches, links)
+
+
+def alike_links(rows: pd.DataFrame, across: bool) -> list[tuple[int, int]]:
+    """A spanning forest, with what `known` says, of the alike pairs among rows (node, known, block, size, SKETCH..., keys,
+    shingles); with `across` of those between different blocks. The postings that a pair shares are tallied, and pairs
+    below the number that alike sets are guaranteed to share are not compared. Without shingles the tally alone decides."""
+    rows = rows.drop_duplicates("node")
+    node, block, size = (rows[c].to_numpy() for c in ("node", "block", "size"))
+    known = np.unique(rows["known"].to_numpy(), return_inverse=True)[1]
+    sketch = rows[list(SKETCH)].to_numpy().view(np.uint64)
+    lengths = rows["keys"].map(len).to_numpy()
+    _, code = np.unique(np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]]), return_inverse=True)
+    ends = np.r_[0, np.cumsum(lengths)]
+    owner = np.repeat(np.arange(len(rows)), lengths)[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    start = np.cumsum(count) - count
+    blobs = rows["shingles"].tolist() if "shingles" in rows else None
+    # Links by tally alone say nothing of other nodes of the same components: there each node has its own label.
+    label = np.arange(len(rows)) if blobs is None else known.copy()
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = unpacked_set(blobs[i])
+        return sets[i]
+
+    links = []
+    for i in range(len(rows) - 1):
+        mine = code[ends[i] : ends[i + 1]]
+        n = count[mine]
+        met = owner[np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        met = met[(met > i) & (known[met] != known[i]) & (label[met] != label[i])]
+        if across:
+            met = met[block[met] != block[i]]
+        rest, tally = np.unique(met, return_counts=True)
+        ok = tally >= guaranteed(size[rest], size[i])
+        ok[ok] = may_be_alike(size, sketch, i, rest[ok])
+        rest = rest[ok][np.argsort(-tally[ok], kind="stable")]
+        while len(rest):
+            j, rest = int(rest[0]), rest[1:]
+            if blobs is None or alike(set_of(i), set_of(j)):
+                links.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+                rest = rest[label[rest] != label[i]]
+    return links
+
+
+def family_links(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b: alike_links() of each family, or pair of its blocks, in sorted batches (key, lo, hi, block, node, ...)."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        first, count, across = groups_of(rows)
+        found = [pair for k in np.flatnonzero(count > 1) for pair in alike_links(rows.iloc[first[k] : first[k] + count[k]], across[k])]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return whole_postings(batches, links)
+
+
+#: Shingles of one family's texts that are compared in one piece; larger families are cut into more blocks. Where only
+#: prefixes are sent, a piece takes more.
+FAMILY_SHINGLES, FAMILY_KEYS = 4_000_000, 16_000_000
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, component_id: components of the pairs whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
     The keys of the wide form join what is easily joined. Then an index on shingle prefixes gives all candidates between
-    different components: the postings that a pair shares are tallied, and pairs below the number that alike sets are
-    guaranteed to share are dropped. Every link of either pass is verified by its shingles before components are made.
+    different components. Pairs are not written out, as they grow with the square of a group of near copies: postings tell
+    which nodes may be alike as links that join them, these give families, and each family is compared in one place (or in
+    pairs of blocks): first the postings that a pair shares are tallied, which gives smaller families, then the sets of
+    those are compared. Only links that join components come out of each step.
+    Every link of either pass is verified by its shingles before components are made.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -497,9 +609,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = told.select(F.explode("hot_keys").alias("key"), "node", "known")
     counted = hot.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.count("*").alias("count")).filter("lo <> hi").select("key", "count")
     shared = rest.select("key", "node", "count").unionByName(hot.select("key", "node").join(counted, "key"))
-    tally = _blocks(shared, beside, block, words, prefix_pairs, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least"))
-    more = tally.filter("n >= least").select("a", "b").checkpoint()
-    ids = least_ids(nodes.select("node", "least"), components(links.unionByName(real_links(more, nodes, rows))))
+    shared = shared.checkpoint()
+    shared_keys = shared.groupBy("node").agg(F.collect_list("key").alias("keys"))
+
+    def within(families: DataFrame, full: DataFrame, most: int, *more: str) -> DataFrame:
+        """Links inside each family (node, root): blocks of at most about `block` nodes and `most` shingles."""
+        weight = F.greatest(F.count("*"), F.ceil(F.sum("size") * (block / most)))
+        counted = families.join(beside.select("node", "size"), "node").groupBy("root").agg(weight.alias("count"))
+        members = families.join(counted, "root").select(F.col("root").alias("key"), "node", "count")
+        return _blocks(members, full, block, (*words, "keys", *more), family_links)
+
+    # Families by bounds alone can be wide, so the tally splits them by their keys before any set is sent.
+    loose = components(_blocks(shared, beside, block, words, possible_links))
+    inside = loose.select("node").join(beside, "node").join(shared_keys, "node").checkpoint()
+    tight = components(within(loose, inside, FAMILY_KEYS))
+    full = tight.select("node").join(inside, "node").join(shingle_sets(tight.select("node"), nodes, rows), "node")
+    more = within(tight, full, FAMILY_SHINGLES, "shingles").checkpoint()
+    ids = least_ids(nodes.select("node", "least"), components(links.unionByName(more)))
     return known.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
 
 

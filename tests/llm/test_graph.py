@@ -33,3 +33,11 @@ def test_components(spark):
     ids = {r.node: r.component_id for r in G.least_ids(nodes, G.components(df)).collect()}
     assert ids == {n: r + 1 for n, r in want.items()} | {9999: 10000}
     assert G.components(df.limit(0)).count() == 0
+
+
+def test_guessed_sizes_do_not_multiply(spark):
+    """The size that the optimizer guesses for the result stays small after some rounds (a path in bit-reversed order)."""
+    order = [int(f"{i:06b}"[::-1], 2) for i in range(64)]
+    found = G.components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long"))
+    assert len({r.root for r in found.collect()}) == 1 and found.count() == 64
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**9

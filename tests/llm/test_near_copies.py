@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 
 from sieverank.llm import simhash as S
 
@@ -106,3 +107,34 @@ def test_nulls_and_copies_without_ids(spark):
     assert got == [(-1, 7), (-1, 7), (-1, 7), (3, 3), (4, 3), (7, 7), (9, 9)]
     assert S.near_copies(docs.limit(0)).count() == 0
     assert S.unpacked_set(S.packed_set(np.array([2**63, 5 << 30, 5 << 30], np.uint64))).tolist() == [5 << 6, 2**39]
+
+
+def test_rows_of_a_large_posting_stay_below_its_rows():
+    """Pairs of a posting are not written out: 400 sets that may all be alike are joined by 399 links, not by 79,800."""
+    n = 400
+    rows = pd.DataFrame({"key": 1, "lo": 0, "hi": 0, "block": 0, "node": np.arange(n), "known": np.arange(n), "size": 100, **{m: 0 for m in S.SKETCH}})
+    other = rows[:20].assign(key=2, node=np.arange(20) + n, known=np.arange(20) + n)
+    out = pd.concat(S.possible_links(iter([rows[:150], rows[150:], other])))
+    assert len(out) == n - 1 + 19
+    assert len(pd.concat(S.possible_links(iter([rows.assign(known=7)])))) == 0
+
+
+def test_alike_sets_of_a_family_across_blocks():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.sort(np.r_[base[k:], rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (0, 0, 3, 3, 60, 90)]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = [(i, i, i % 2, len(s), *S.parity(s).tolist(), S.prefix_keys(s, none).view(np.int64), S.packed_set(s)) for i, s in enumerate(sets)]
+    rows = pd.DataFrame(found, columns=["node", "known", "block", "size", *S.SKETCH, "keys", "shingles"])
+    label = {}
+    for a, b in S.alike_links(rows, False):
+        label[a] = label[b] = 1
+    want = {i for i in range(6) for j in range(6) if i != j and S.alike(sets[i], sets[j])}
+    assert set(label) == want and len(S.alike_links(rows, False)) == len(want) - 1
+    assert all(a % 2 != b % 2 for a, b in S.alike_links(rows, True))
+
+
+def test_tally_alone_joins_no_nodes_by_their_components():
+    keys = [[1, 2, 3], [7, 8, 9], [1, 2, 3], [7, 8, 9]]
+    rows = pd.DataFrame({"node": range(4), "known": [0, 0, 5, 5], "block": 0, "size": 10, **{m: 0 for m in S.SKETCH}, "keys": [np.array(k) for k in keys]})
+    assert sorted(S.alike_links(rows, False)) == [(0, 2), (1, 3)]
