@@ -64,21 +64,23 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def pick(names: tuple[str, ...], at):
         return F.element_at(F.array(*[F.lit(n) for n in names]), (at % len(names) + 1).cast("int"))
 
+    # A record is a small row with much work and compresses well: adaptive execution, which goes by bytes, would give many
+    # to one task. Orders and customers take partitions by the rows of orders.
     o = load(spark, sf_dir, "orders")
+    n = parts_for(o)
+    o = o.repartition(n, "o_custkey")
     job = F.struct(
         F.date_format("o_orderdate", "MMM yyyy").alias("start"), F.when(F.col("o_orderkey") % 9 == 0, "Present").otherwise(F.date_format(F.add_months("o_orderdate", 7), "MM/yyyy")).alias("end"),
         pick(_ROLES, F.col("o_custkey")).alias("role"), F.concat(F.lit("Clerk Bank "), F.col("o_orderkey").cast("string")).alias("company"),
         F.lit("Built api services").alias("description"), F.array(F.lit("kept the backend running")).alias("achievements"),
     )
     work = o.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list(job)).alias("experience"))
-    c, k = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = load(spark, sf_dir, "customer").repartition(n, "c_custkey"), F.col("c_custkey")
     empty = F.array().cast(work.schema["experience"].dataType)
-    rows = c.join(work, F.col("id") == k, "left").select(
+    return c.join(work, F.col("id") == k, "left").select(
         k.alias("id"), F.col("c_name").alias("name"), F.array_distinct(F.array(pick(_SKILLS, k), pick(_SKILLS, k + 3), pick(_SKILLS, k * 2))).alias("skills"), F.lit("").alias("summary"), F.coalesce("experience", empty).alias("experience"),
         F.array(F.struct(pick(_DEGREES, k).alias("degree"), F.lit("State University").alias("institution"))).alias("education"),
         F.array(F.struct(F.lit("Shop").alias("name"), F.lit("a web shop").alias("description"), F.array(pick(_SKILLS, k + 1)).alias("technologies"))).alias("projects"),
         F.array(F.struct(F.when(k % 5 == 0, "AWS Cloud Practitioner").otherwise("First Aid").alias("name"), F.lit(None).cast("string").alias("issuer"))).alias("certifications"),
         F.create_map(F.lit("full_text"), F.concat(F.col("c_mktsegment"), F.lit(" with "), (k % 9).cast("string"), F.lit(" years of experience"))).alias("raw_text_sections"), ((k % 10) / 10.0).alias("extraction_quality"),
     )
-    # A record is a small row with much work: by bytes alone, adaptive execution would give a small table to one task.
-    return rows.repartition(spark.sparkContext.defaultParallelism, "id")

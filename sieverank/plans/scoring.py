@@ -17,7 +17,7 @@ from sieverank.operators.classify import degree_level, degree_score
 from sieverank.operators.intervals import years_score
 from sieverank.operators.relevance import idf
 from sieverank.plans.ranking import anomalies, weighted_final
-from sieverank.session import ensure_checkpoint_dir
+from sieverank.session import ROWS_A_TASK, ensure_checkpoint_dir, parts_for
 
 JD = """jd_id int, title string, department string, description string, must array<string>, nice array<string>, min_years int,
  max_years int, required_degree string, preferred_field string, keywords array<string>, weights map<string,double>"""
@@ -73,26 +73,30 @@ def skill_statistics(pairs: DataFrame) -> DataFrame:
     """jd_id, idf (map of skill to weight), average (length of skill lists) over the records that are scored."""
     hit = F.filter("jd.asked", lambda a: F.exists("own", lambda s: S.same_skill(s, a)))
     rows = pairs.select(F.col("jd.jd_id").alias("jd_id"), F.size("own").alias("n"), F.array_distinct(F.transform(hit, lambda a: a["s"])).alias("hit"), F.array_distinct(F.transform("jd.asked", lambda a: a["s"])).alias("every"))
-    totals = rows.groupBy("jd_id").agg(F.count("*").alias("records"), F.avg("n").alias("average"))
-    counted = rows.select("jd_id", "hit", F.explode("every").alias("skill")).groupBy("jd_id", "skill").agg(F.count_if(F.array_contains("hit", F.col("skill"))).alias("df"))
-    weighed = counted.join(totals, "jd_id").groupBy("jd_id").agg(F.map_from_entries(F.collect_list(F.struct("skill", idf(F.col("records"), F.col("df"))))).alias("idf"))
-    return totals.select("jd_id", "average").join(weighed, "jd_id", "left")
+    # One pass: each record of a request counts once for each skill, and for none (null) where the request asks for none.
+    counted = rows.select("jd_id", "n", "hit", F.explode_outer("every").alias("skill")).groupBy("jd_id", "skill").agg(F.count_if(F.array_contains("hit", F.col("skill"))).alias("df"), F.count("*").alias("records"), F.avg("n").alias("average"))
+    weighed = F.collect_list(F.when(F.col("skill").isNotNull(), F.struct("skill", idf(F.col("records"), F.col("df")))))
+    return counted.groupBy("jd_id").agg(F.first("average").alias("average"), F.map_from_entries(weighed).alias("idf"))
 
 
 def ranked(scores: DataFrame, per: str = "jd_id") -> DataFrame:
     """`rank` (knocked-out rows last, then by score, then by id) and `percentile` (percent of the request's best score).
 
     Rows are dealt out by ranges of that order; a row's rank is its place in its range after the rows of the ranges
-    before, so no request is sorted in one task.
+    before, so no request is sorted in one task. There are as many ranges as the rows ask for, and best scores travel as
+    one map: a join by request would bring all rows of a request together.
     """
     ensure_checkpoint_dir(scores.sparkSession)
-    scores = scores.checkpoint()  # read for the best scores, the bounds of the ranges and their rows
+    scores = scores.filter(F.col(per).isNotNull()).checkpoint()  # read for the best scores, the bounds of the ranges and their rows
+    n = parts_for(scores, ROWS_A_TASK // 4)
     best = scores.groupBy(per).agg(F.max(F.when(~F.col("knocked_out"), F.col("final_score"))).alias("_best"))
+    table = best.agg(F.map_from_entries(F.collect_list(F.struct(per, "_best")))).scalar()
     order = [F.col("knocked_out"), F.col("final_score").desc(), F.col("id")]
-    dealt = scores.repartitionByRange(F.col(per), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    dealt = scores.repartitionByRange(n, F.col(per), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy(per, "_range").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy(per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = dealt.join(sizes.select(per, "_range", before.alias("_before")), [per, "_range"]).join(best, per)
+    ranges = sizes.select(per, "_range", before.alias("_before")).repartition(n, per, "_range")
+    placed = dealt.repartition(n, per, "_range").join(ranges, [per, "_range"]).withColumn("_best", F.try_element_at(table, F.col(per)))
     within = F.row_number().over(Window.partitionBy(per, "_range").orderBy(*order))
     share = F.when(~F.col("knocked_out") & (F.col("_best") > 0), round_half_up(F.col("final_score") / F.col("_best") * 100, 1)).otherwise(0.0)
     return placed.withColumn("rank", (F.col("_before") + within).cast("int")).withColumn("percentile", share).drop("_range", "_before", "_best")
@@ -101,8 +105,9 @@ def ranked(scores: DataFrame, per: str = "jd_id") -> DataFrame:
 def score(jds: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
     """All scores of every (request, record) that the pre-filter leaves; knocked-out records keep their partial scores."""
     rows = paired(jds, people, as_of)
-    stats = skill_statistics(rows)
-    rows = rows.select("*", "jd.*").drop("jd").join(stats, "jd_id")
+    # Statistics travel as one map: joined by request, all records of a request would meet in one task.
+    stats = skill_statistics(rows).agg(F.map_from_entries(F.collect_list(F.struct("jd_id", F.struct("average", "idf"))))).scalar()
+    rows = rows.select("*", "jd.*").drop("jd").withColumn("stats", F.try_element_at(stats, F.col("jd_id"))).select("*", "stats.*").drop("stats")
     rows = rows.withColumn("wider", S.augmented(F.col("own"), F.col("asked"), F.col("skill_text")))
     rows = rows.withColumn("skill_matches", S.skill_results(F.col("wider"), F.col("asked")))
     weight = lambda s: S.weight_of(F.col("skill_matches"), s)

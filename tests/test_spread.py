@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sieverank.operators import matching
-from sieverank.plans import audits, fixtures
+from sieverank.plans import audits, fixtures, scoring
 from sieverank.session import parts_for
 
 DATA = "/root/testdata/sf0.01"
@@ -40,3 +40,21 @@ def test_graph_keys_are_dealt_out(spark, monkeypatch):
     out = matching.graph_keys(skills, nodes)
     assert ", 23" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r["skill"]: r["key"] for r in out.collect()} == {"X": "a_b", "a b": "a_b", "C": "c"}
+
+
+def test_scored_records_do_not_meet_by_request(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "parts_for", lambda rows: 23)
+    rows = scoring.score(fixtures.record_jds(spark), fixtures.records(spark, DATA), F.lit(fixtures.AS_OF).cast("date"))
+    plan = rows.select("jd_id", "id", "final_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and ", 23" in plan
+
+
+def test_ranges_of_ranks_keep_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "parts_for", lambda rows, most: 23)
+    rows = spark.range(3000).select((F.col("id") % 2).cast("int").alias("jd_id"), "id", (F.col("id") % 7 == 0).alias("knocked_out"), (F.col("id") % 90).cast("double").alias("final_score"))
+    out = scoring.ranked(rows)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    want = sorted((r for r in rows.collect()), key=lambda r: (r.jd_id, r.knocked_out, -r.final_score, r.id))
+    got = sorted(out.collect(), key=lambda r: (r.jd_id, r["rank"]))
+    assert [(r.jd_id, r.id) for r in got] == [(r.jd_id, r.id) for r in want]
+    assert got[0].percentile == 100.0 and [r["rank"] for r in got if r.jd_id == 1] == list(range(1, 1501))
