@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sieverank.operators import matching
-from sieverank.plans import audits, fixtures, scoring
+from sieverank.plans import audits, fixtures, profiles, scoring
 from sieverank.session import parts_for
 
 DATA = "/root/testdata/sf0.01"
@@ -58,3 +58,9 @@ def test_ranges_of_ranks_keep_their_number(spark, monkeypatch):
     got = sorted(out.collect(), key=lambda r: (r.jd_id, r["rank"]))
     assert [(r.jd_id, r.id) for r in got] == [(r.jd_id, r.id) for r in want]
     assert got[0].percentile == 100.0 and [r["rank"] for r in got if r.jd_id == 1] == list(range(1, 1501))
+
+
+def test_tagged_texts_are_read_once(spark):
+    """Of an exploded array Spark infers a filter that it has entries; below the shuffle it would read every text again."""
+    plan = profiles.tagged_employment(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "Filter ((size(" not in plan
