@@ -62,8 +62,8 @@ def skill_scores(have: DataFrame, wanted: DataFrame, edges: DataFrame) -> DataFr
     return bm25.join(met, ["jd_id", "id"], "full").select("jd_id", "id", F.coalesce("raw", F.lit(0.0)).alias("skill_score"), F.coalesce("matched_must", F.array().cast("array<string>")).alias("matched_must"))
 
 
-def rank(jds: DataFrame, people: DataFrame, have: DataFrame, wanted: DataFrame, spans: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
-    """All scores of every (request, person).
+def score(jds: DataFrame, people: DataFrame, have: DataFrame, wanted: DataFrame, spans: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
+    """All scores of every (request, person), without ranks.
 
     jds(jd_id, min_years, max_years, required_level, keywords); people(id, level, text); have(id, pos, skill);
     wanted(jd_id, jd_pos, jd_skill, must); spans(id, start, end). Requests are a small stated set: they travel as one
@@ -88,6 +88,11 @@ def rank(jds: DataFrame, people: DataFrame, have: DataFrame, wanted: DataFrame,
     reasons = knockout_reasons(F.col("missing_must"), F.col("total_years"), F.col("entries"), F.col("min_years"), F.col("max_years"), F.col("level"), required, F.lit(None).cast("int"))
     rows = rows.withColumn("reasons", reasons).withColumn("knocked_out", F.size("reasons") > 0)
     final = weighted_final(F.col("skill_score"), F.col("experience_score"), F.col("keyword_score"), F.col("education_score"), has, F.lit(0.0), F.col("knocked_out"))
+    return rows.withColumn("final_score", final)
+
+
+def rank(jds: DataFrame, people: DataFrame, have: DataFrame, wanted: DataFrame, spans: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
+    """score() with ranks."""
     from sieverank.plans.scoring import ranked
 
-    return ranked(rows.withColumn("final_score", final))
+    return ranked(score(jds, people, have, wanted, spans, edges, as_of))

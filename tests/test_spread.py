@@ -64,3 +64,15 @@ def test_tagged_texts_are_read_once(spark):
     """Of an exploded array Spark infers a filter that it has entries; below the shuffle it would read every text again."""
     plan = profiles.tagged_employment(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate posexplode" in plan and "Filter ((size(" not in plan
+
+
+def test_graph_keys_are_worked_out_for_distinct_names(spark, monkeypatch):
+    monkeypatch.setattr(matching, "graph_key", lambda x: F.concat(F.lit("key of "), x))
+    have = spark.createDataFrame([(i, 0, "a") for i in range(9)] + [(9, 0, None)], "id int, pos int, skill string")
+    wanted = spark.createDataFrame([(1, 0, "zzz")], "jd_id int, jd_pos int, jd_skill string")
+    edges = spark.createDataFrame([("key of a", "key of zzz", "implies")], "src string, dst string, kind string")
+    out = matching.infer(have, wanted, edges)
+    assert sorted((r.id, r.match_type) for r in out.collect()) == [(i, "inferred") for i in range(9)]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    keyed = [i for i, s in enumerate(lines) if "Project" in s and "key of " in s and "skill#" in s]
+    assert keyed and all("Aggregate [skill" in lines[i + 1] for i in keyed if "jd_skill" not in lines[i])
