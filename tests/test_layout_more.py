@@ -38,3 +38,37 @@ def test_views_and_failures(spark, tmp_path):
     assert tables.read_dictionary(spark, str(tmp_path / "none.json")).count() == 0
     tables.write_ranking(rows, str(tmp_path / "r"), "j1")
     assert tables.read_ranking(spark, str(tmp_path / "r"), "j1", rows.schema).count() == 2
+
+
+def test_lines_are_made_of_whole_spans(spark):
+    """Spans go to their lines without a row for each word, and no page leaves the JVM."""
+    spans = spark.createDataFrame(
+        [
+            (1, 0, 0, "b  c", 100.0, 10.0, 140.0, 20.0, "Serif", 10.0),
+            (1, 0, 1, "a", 10.0, 12.0, 20.0, 22.0, "Serif-Bold", 12.0),
+            (1, 0, 2, "xx y", 110.0, 13.0, 126.0, 23.0, "Serif", 10.0),
+            (1, 0, 3, "anchor moves", 10.0, 14.0, 130.0, 24.0, "Serif-Bold", 10.0),
+            (1, 0, 4, "flat flat b a", 50.0, 40.0, 50.0, 50.0, None, None),
+            (1, 0, 5, " ", 0.0, 60.0, 9.0, 70.0, "Serif", 10.0),
+            (1, 1, 6, "no top", 0.0, None, 60.0, None, "Serif", 10.0),
+            (1, 1, 7, " ".join(f"w{i}" for i in range(40)), 0.0, 5.0, 900.0, 15.0, "Serif-Bold", 8.0),
+            (1, 2, 10, "pp q", 5.0, 1.0, None, 15.0, "Serif", 8.0),
+            (None, 0, 8, None, 0.0, 5.0, 9.0, 15.0, "Serif", 8.0),
+            (None, 0, 9, "one", None, 5.0, None, 15.0, "Serif", 8.0),
+        ],
+        "doc_id long, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, font string, size double",
+    )
+    whole = L.lines_of_spans(spans)
+    key = lambda r: (r.doc_id or 0, r.page, r.line)
+    got = sorted(whole.collect(), key=key)
+    assert got == sorted(L.page_lines(L.words_of_spans(spans)).collect(), key=key)
+    long = "no " + " ".join(f"w{i}" for i in range(2)) + " top " + " ".join(f"w{i}" for i in range(2, 40))
+    assert [(r.doc_id, r.page, r.line, r.text, r.top, r.x0, r.bold) for r in got] == [
+        (None, 0, 0, "one", 5.0, None, False),
+        (1, 0, 0, "a b xx y c", 10.0, 10.0, False),
+        (1, 0, 1, "anchor moves", 14.0, 10.0, True),
+        (1, 0, 2, "flat flat b a", 40.0, 50.0, False),
+        (1, 1, 0, long, 5.0, 0.0, False),
+        (1, 2, 0, "pp q", 1.0, None, False),
+    ]
+    assert "Pandas" not in whole._jdf.queryExecution().toString()
