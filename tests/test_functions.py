@@ -1,6 +1,8 @@
 """Scalar functions on inline cases."""
 
 import datetime as dt
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +61,22 @@ def test_matched_names_are_those_of_all_pairs(spark, strict):
     every = have.crossJoin(wanted).filter(matching.skills_match(F.col("skill"), F.col("jd_skill"), strict))
     assert got == sorted((r.id, r.jd_pos) for r in every.collect())
     assert matching.match_pairs(have, wanted.limit(0), strict).count() == 0
+
+
+def test_lines_and_counts_are_worked_out_once(spark):
+    """Each way to a place read all lines anew; each character that was counted became a string."""
+    from sieverank.operators import extract
+
+    assert str(extract.location(F.col("text"))).count("split(coalesce(text") == 1
+    assert str(text.text_quality(F.col("text"))).count("regexp_count") == 3
+    cases = ["Ünïcode \U0001d400 text $$$ ab ###% \x01\x02 (cid:3) [TAG] $$", "###a$$$ %%% words", "a1b22c333d4444 (((", "\x0b \x85 words here and there"]
+    want = []
+    for x in cases:
+        x = re.sub(r"\[/?[A-Z_]+\]", "", x)
+        blank = "[ \t\n\x0b\f\r]"
+        letters, mean = sum(c.isalpha() for c in x) / len(x), len(re.sub(blank, "", x)) / len(re.findall(f"[^{blank[1:]}+", x))
+        value = 1.0 - (0.5 if letters < 0.4 else 0.2 if letters < 0.6 else 0) - (0.3 if mean < 2 else 0.1 if mean < 3 else 0)
+        value -= 2 * len(re.findall(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", x)) / len(x) + min(0.5, 0.1 * len(re.findall(r"\(cid:\d+\)", x)))
+        value -= min(0.3, 0.02 * len(re.findall(r"[^a-zA-Z \t\n\x0b\f\r,.\-:;()]{3,}", x)))
+        want.append(math.floor(max(0.0, min(1.0, value)) * 100 + 0.5) / 100)
+    assert column(spark, cases, text.text_quality) == want
