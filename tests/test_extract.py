@@ -99,3 +99,13 @@ def test_strip_record(spark):
     df = spark.createDataFrame([(1, "[TITLE]x", ["a||LOC:b"], {"k": "[X]y"}, ("[Z]q", 3))], "id int, t string, a array<string>, m map<string,string>, s struct<u:string,v:int>")
     r = X.strip_record(df).first()
     assert (r.t, r.a, r.m, r.s.u, r.s.v) == ("x", ["a"], {"k": "y"}, "q", 3)
+
+
+def test_contacts_are_read_once(spark):
+    """Of the expressions that name them several times, each read the address and the place anew."""
+    from sieverank import registries as R
+    from sieverank.plans import extraction
+
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = extraction.extract_records(docs, R.section_headers(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("linkedin\\.com|(?:programming") == 1
